@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -22,5 +23,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(name)
-    os.unlink(name)
+    atexit.register(Path(name).unlink, missing_ok=True)
     sc._lodeworks_shipped = True
