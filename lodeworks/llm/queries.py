@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import centroid_lid
+from lodeworks.llm import centroid_lid, jaccard_tree
 from lodeworks.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op9_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_lid.predict(docs.select("doc_id", "text"), model).select("doc_id", centroid_lid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_centroid_language_id": op9_centroid_language_id}
+    return {"op9_centroid_language_id": op9_centroid_language_id, "op5_signature_tree_join": op5_signature_tree_join}
 
 
 def oracle_sql() -> dict[str, str]:
