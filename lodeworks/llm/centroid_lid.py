@@ -130,7 +130,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     w = Window.partitionBy("l").orderBy(F.xxhash64("k", "l"), "k")
     ids = rows.select("k", "l", F.row_number().over(w).alias("r")).where(F.col("r") <= sample_per_language).select("k", "l")
     # bounded: languages x sample_per_language ids
-    drawn = rows.join(F.broadcast(ids), ["k", "l"]).select("l", "k", F.substring("t", 1, _CHARS).alias("t")).mapInArrow(_vectors, "l string, k string, v binary")
+    drawn = rows.join(F.broadcast(ids), ["k", "l"]).select("l", "k", "t").mapInArrow(_vectors, "l string, k string, v binary")
     got = sorted((r.l, r.k, bytes(r.v)) for r in drawn.collect())
     model = Model([], idf.astype(np.float32), np.zeros((0, BUCKETS)), np.zeros(0, int))
     rng, cents, of = np.random.default_rng(seed), [], []
