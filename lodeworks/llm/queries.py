@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import centroid_lid, jaccard_tree
+from lodeworks.llm import centroid_lid, hash_tree, jaccard_tree, line_dedup, packing, spaced_seed
 from lodeworks.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,43 @@ def op9_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_lid.predict(docs.select("doc_id", "text"), model).select("doc_id", centroid_lid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    lines = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r["last_line"] - r["first_line"] + 1)
+    return out.select("doc_id", lines.alias("removed_lines"), "removed_runs", "text")
+
+
 def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_tree.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shard(table(spark, sf_dir, "documents"), hash_tree.layout(40), hash_tree.layout(41))
+
+
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_centroid_language_id": op9_centroid_language_id, "op5_signature_tree_join": op5_signature_tree_join}
+    return {
+        "op2_suffix_line_dedup": op2_suffix_line_dedup,
+        "op4_mixture_packing": op4_mixture_packing,
+        "op6_hash_tree_sharding": op6_hash_tree_sharding,
+        "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
+        "op9_centroid_language_id": op9_centroid_language_id,
+        "op5_signature_tree_join": op5_signature_tree_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
