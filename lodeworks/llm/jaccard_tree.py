@@ -274,13 +274,13 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str =
     members = stored(trees.join(reps, "node").select("node", F.col("label").alias("comp"), "rep", "n"), "members")
     sized = members.groupBy("comp").agg((F.floor(F.sum("n") * 8 / block_bytes) + 1).alias("k"))
     count, size = members.select(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = int(size * 8 // block_bytes) + 1
+    groups = int(size * 8 // (block_bytes // 8)) + 32
     wanted = members.join(sized, "comp").select("comp", "node", "rep", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
     texts = slim.where("id is not null").join(small(wanted, count, 48), F.col("id") == F.col("rep")).select("comp", "node", "rep", "k", "block", "text")
     sets = texts.mapInArrow(_sets(k), "comp long, node long, rep long, k long, block long, s binary")
     dealt = sets.select("comp", "rep", "k", "s", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")).select(
         "comp", "rep", "k", "s",
-        F.when(F.col("k") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(groups * 4))).alias("g"),
+        F.when(F.col("k") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(groups))).alias("g"),
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
     )
