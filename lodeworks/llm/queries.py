@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import centroid_lid, hash_tree, jaccard_tree, line_dedup, packing, spaced_seed
+from lodeworks.llm import additive_ann, centroid_lid, cotrain, hash_tree, jaccard_tree, license_scan, line_dedup, packing, preference, spaced_seed
 from lodeworks.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,32 @@ def op9_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_lid.predict(docs.select("doc_id", "text"), model).select("doc_id", centroid_lid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def with_path(docs: DataFrame) -> DataFrame:
+    """documents as files: source/lang/part/name, every 50th of them a licence file."""
+    part = F.concat(F.lit("p"), F.pmod(F.floor(F.col("doc_id") / 50), F.lit(40)))
+    name = F.when(F.pmod("doc_id", F.lit(50)) == 7, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), part, name))
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(with_path(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
+def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.format_pairs(preference.borrowed(preference.turns_of(table(spark, sf_dir, "conversations"))))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"], s["end"])), ",").alias(c)
+    return pairs.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
+
+
+def op8_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents"))
     lines = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r["last_line"] - r["first_line"] + 1)
@@ -54,6 +80,10 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op3_additive_quantisation": op3_additive_quantisation,
+        "op7_preference_pairs": op7_preference_pairs,
+        "op8_cotraining_quality": op8_cotraining_quality,
         "op2_suffix_line_dedup": op2_suffix_line_dedup,
         "op4_mixture_packing": op4_mixture_packing,
         "op6_hash_tree_sharding": op6_hash_tree_sharding,
