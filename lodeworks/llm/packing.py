@@ -13,8 +13,11 @@ Documents are cut freely; each token is in exactly one piece.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from lodeworks.llm.shared import small, stored
 from lodeworks.llm.textops import slices, string_bytes
 
 #: Words kept by a worker with their ids.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 _STATE: dict = {}
 
 
@@ -60,13 +63,18 @@ class Schedule:
         exact = muldiv_rest(block + 1, self.rounds, b) == 0
         return down - exact
 
-    def place(self, s: int, start: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Global position of a token of queue s at ``start`` in the queue, in quantum ``block``."""
-        w = self.round_of(s, block)
-        at = start - self.served(s, w)
-        for r in range(len(self.tokens)):
-            at = at + self.served(r, w + 1 if r < s else w)
-        return at
+    def place(self, s: np.ndarray, start: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Global positions of tokens at ``start`` of queues s, in their quanta ``block``."""
+        w = np.empty(len(s), np.int64)
+        for q in np.unique(s):
+            own = s == q
+            w[own] = self.round_of(int(q), block[own])
+        rounds, at = np.unique(w, return_inverse=True)
+        # neighbours are mostly served in the same rounds, so there are few rounds to sum over all queues for
+        now = np.stack([self.served(q, rounds) for q in range(len(self.tokens))])
+        then = np.stack([self.served(q, rounds + 1) for q in range(len(self.tokens))])
+        first = now.sum(0) + np.vstack([np.zeros(len(rounds), np.int64), np.cumsum(then - now, 0)[:-1]]) - now
+        return first[s, at] + start
 
     def sequence(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sequence, offset in it, room after the offset) of global positions."""
@@ -97,6 +105,8 @@ def muldiv_rest(a: np.ndarray, b: int, c: int) -> np.ndarray:
 def _encoder(path: str):
     """The tokenizer and the worker's cache of words."""
     if _STATE.get("path") != path:
+        # a worker is one of many on its machine: threads of its own would only contend
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
@@ -106,31 +116,30 @@ def _encoder(path: str):
 def token_ids(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of whole texts, each ended by end_id; null is empty.
 
-    Distinct words (between ASCII white space) are tokenized once for each slice: the tokenizer's normaliser drops
-    white space and none of its patterns looks across it, so ids of words, joined, are the ids of the text.
+    The tokenizer drops white space and none of its patterns looks across it; nor does one look from a letter or
+    digit to the ASCII punctuation that ends a word, and it lower-cases. So each text is taken as words between ASCII
+    white space, each word as a stem and the punctuation at its end, and each distinct lower-cased stem is tokenized
+    once for a slice; the ids, joined, are those of the text. Words with < or > are left whole for special tokens.
     """
-    tokenizer, cache = _encoder(path)
     lists = pc.ascii_split_whitespace(pc.fill_null(col, "").cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    got = [cache.get(w) if w else () for w in names]
-    miss = [i for i, x in enumerate(got) if x is None]
-    for at in range(0, len(miss), 20_000):
-        part = miss[at : at + 20_000]
-        for i, e in zip(part, tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False), strict=True):
-            got[i] = np.array(e.ids, np.uint32)
-            if len(cache) < CACHE_WORDS and len(names[i]) < 40:
-                cache[names[i]] = got[i]
-    size = np.fromiter((len(x) for x in got), np.int64, len(got))
-    flat = np.concatenate([np.asarray(x, np.uint32) for x in got]) if got else np.zeros(0, np.uint32)
-    base = np.r_[0, np.cumsum(size)]
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    names = coded.dictionary
+    stem = pc.utf8_rtrim(names, characters="!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
+    splits = pc.and_(pc.match_substring_regex(stem, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring_regex(names, "[<>]")))
+    stem = pc.if_else(splits, pc.ascii_lower(stem), names)
+    tail = _tails(names, stem, splits)
+    stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
+    size, base, flat = _encoded(stems.dictionary.to_pylist() + tails.dictionary.to_pylist(), path)
+    word = coded.indices.to_numpy(zero_copy_only=False)
+    code = np.empty(2 * len(word), np.int64)
+    code[0::2] = stems.indices.to_numpy(zero_copy_only=False)[word]
+    code[1::2] = tails.indices.to_numpy(zero_copy_only=False)[word] + len(stems.dictionary)
     n = size[code]
     woff = lists.offsets.to_numpy().astype(np.int64)
     woff = woff - woff[0]
     start = np.r_[0, np.cumsum(n)]
     ids = flat[np.repeat(base[code] - start[:-1], n) + np.arange(start[-1])]
-    ends = start[woff]
+    ends = start[2 * woff]
     out = np.empty(len(ids) + len(lists), np.uint32)
     docs = np.repeat(np.arange(len(lists)), np.diff(ends))
     out[np.arange(len(ids)) + docs] = ids
@@ -139,6 +148,43 @@ def token_ids(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.nda
     return out, off
 
 
+def _tails(names: pa.Array, stem: pa.Array, splits: pa.Array) -> pa.Array:
+    """What follows the stem of each name that splits, else nothing."""
+    raw, off = string_bytes(names)
+    end = off[1:]
+    begin = np.where(splits.to_numpy(zero_copy_only=False), off[:-1] + pc.binary_length(stem).to_numpy(zero_copy_only=False), end)
+    n = end - begin
+    at = np.r_[0, np.cumsum(n)]
+    data = raw[np.repeat(begin - at[:-1], n) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(names), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _encoded(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of ids, first positions, ids) of the names, from the worker's cache or the tokenizer."""
+    tokenizer, cache = _encoder(path)
+    got = list(map(cache.get, names))
+    miss = [i for i, x in enumerate(got) if x is None]
+    size = np.zeros(len(names), np.int64)
+    hits = [x for x in got if x is not None]
+    known = np.ones(len(names), bool)
+    known[miss] = False
+    size[known] = np.fromiter(map(len, hits), np.int64, len(hits)) // 4
+    parts = [np.frombuffer(b"".join(hits), np.uint32)]
+    for at in range(0, len(miss), 10_000):
+        part = miss[at : at + 10_000]
+        ids = [e.ids for e in tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False)]
+        size[part] = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        room = CACHE_WORDS - len(cache)
+        for i, x in zip(part[: max(room, 0)], ids, strict=False):
+            if len(names[i]) < 40:
+                cache[names[i]] = array("I", x).tobytes()
+    order = np.r_[np.flatnonzero(known), np.array(miss, np.int64)]
+    first = np.empty(len(names), np.int64)
+    first[order] = np.r_[0, np.cumsum(size[order])][:-1]
+    return size, first, np.concatenate(parts)
+
+
 def _tokenize(path: str, end_id: int, width: str):
     """Rows (id, queue name, chunk, tokens of the queue before it in the chunk, number of ids, ids)."""
 
@@ -148,7 +194,7 @@ def _tokenize(path: str, end_id: int, width: str):
         chunk, before = TaskContext.get().partitionId(), {}
         for batch in batches:
             _, off = string_bytes(batch.column(2))
-            for a, b in slices(off, 8 << 20):
+            for a, b in slices(off, 4 << 20):
                 part = batch.slice(a, b - a)
                 ids, at = token_ids(part.column(2), path, end_id)
                 n, start = np.diff(at), []
@@ -179,10 +225,7 @@ def _pieces(schedule: Schedule, width: str, with_ids: bool):
                 block = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(b1 - b0 + 1)][:-1], b1 - b0 + 1) + b0[doc]
                 x = np.maximum(first[doc], block * g)
                 size = np.minimum((first + n)[doc], (block + 1) * g) - x
-                at = np.empty(len(x), np.int64)
-                for s in np.unique(q):
-                    own = q[doc] == s
-                    at[own] = schedule.place(int(s), x[own], block[own])
+                at = schedule.place(q[doc], x, block)
                 start = x - first[doc]
                 out = []
                 while len(doc):  # cut at the ends of sequences
