@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one codeword from each of several full-dimensional codebooks. Codebooks are fitted one
-after the other on the residuals of a bounded sample (``train_rows``, least hash first) and then refined together by
-least squares; encoding keeps the best ``beam`` partial sums. The index holds every vector: its codes and the norm of
+after the other on the residuals of a bounded sample (``train_rows``, least hash first) and then refitted in turn,
+given the others; encoding keeps the best ``beam`` partial sums. The index holds every vector: its codes and the norm of
 vector over norm of sum. A query scores all codes by lookup tables of its inner products with the codewords, scaled
 by the stored norms, and the ``shortlist`` best of each part of the index are ranked again on the original vectors.
 
@@ -13,7 +13,6 @@ the search, so many copies of one vector neither fill a shortlist nor lose a pla
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +24,19 @@ from lodeworks.llm.shared import stored
 _ROWS = 2048
 
 
-@dataclass
 class Codebooks:
-    """Codewords (books x words x dims) and the inner products among them."""
+    """Codewords (books x words x dims); the inner products among them are made where they are needed."""
 
-    words: np.ndarray
-
-    def __post_init__(self) -> None:
-        m, k, d = self.words.shape
-        self.flat = self.words.reshape(m * k, d)
+    def __init__(self, words: np.ndarray):
+        m, k, d = words.shape
+        self.words = words
+        self.flat = words.reshape(m * k, d)
         self.gram = self.flat @ self.flat.T
         self.square = np.einsum("ij,ij->i", self.flat, self.flat)
 
+    def __reduce__(self):
+        return Codebooks, (self.words,)
+
     def encode(self, x: np.ndarray, beam: int = 8) -> np.ndarray:
         """Codes (rows x books) by beam search: |x - sum|^2 of all extensions of the best partial sums."""
         m, k, _ = self.words.shape
@@ -64,7 +64,7 @@ class Codebooks:
 
 
 def train(x: np.ndarray, books: int = 16, words: int = 256, rounds: int = 8, refine: int = 2, seed: int = 3) -> Codebooks:
-    """Residual k-means, then least squares over all codebooks with the codes held."""
+    """Residual k-means, then rounds of encoding and of refitting each codebook given the others."""
     rng, rest = np.random.default_rng(seed), x.astype(np.float32).copy()
     k, out = min(words, len(x)), []
     for _ in range(books):
@@ -80,19 +80,18 @@ def train(x: np.ndarray, books: int = 16, words: int = 256, rounds: int = 8, ref
         own = (rest @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
         rest -= c[own]
         out.append(c)
-    found = Codebooks(np.array(out))
+    book = np.array(out)
     for _ in range(refine):
-        codes = found.encode(x, 4)
-        one = np.zeros((books * k, books * k))
-        side = np.zeros((books * k, x.shape[1]))
-        rows = codes + np.arange(books) * k
-        for i in range(books):
-            np.add.at(side, rows[:, i], x)
-            for j in range(books):
-                np.add.at(one, (rows[:, i], rows[:, j]), 1)
-        solved = np.linalg.solve(one + 0.5 * np.eye(len(one)), side + 0.5 * found.flat)
-        found = Codebooks(solved.reshape(found.words.shape).astype(np.float32))
-    return found
+        codes = Codebooks(book).encode(x, 4)
+        rest = x - sum(book[j][codes[:, j]] for j in range(books))
+        for j in range(books):  # each codebook in turn becomes the mean of what the others leave to it
+            rest += book[j][codes[:, j]]
+            n = np.bincount(codes[:, j], minlength=k)
+            order = np.argsort(codes[:, j], kind="stable")
+            used = np.flatnonzero(n)
+            book[j][used] = np.add.reduceat(rest[order], np.r_[0, np.cumsum(n[used])[:-1]]) / n[used, None]
+            rest -= book[j][codes[:, j]]
+    return Codebooks(book)
 
 
 def usable(vector: Column, dims: int | None = None) -> Column:
@@ -126,7 +125,8 @@ def _search(shared, dims: int, books: int, k: int, shortlist: int, share: float)
     """The best k classes of this part of the index for each query: table scores, then exact ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, tables = shared.value
+        qid, q, words = shared.value
+        dims_first = words.reshape(-1, dims).astype(np.float32)
         have: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> tuple[np.ndarray, ...]:
@@ -139,9 +139,10 @@ def _search(shared, dims: int, books: int, k: int, shortlist: int, share: float)
             few = min(max(shortlist, int(share * len(ids))), len(ids))
             rows, whom, score = [], [], []
             for i in range(len(q)):
-                s = tables[i, 0][columns[0]]
+                table = (dims_first @ q[i].astype(np.float32)).reshape(books, -1)
+                s = table[0][columns[0]]
                 for j in range(1, books):
-                    s = s + tables[i, j][columns[j]]
+                    s += table[j][columns[j]]
                 s *= scale
                 near = np.argpartition(-s, few - 1)[:few] if few < len(s) else np.arange(len(s))
                 exact = x[near] @ q[i]
@@ -164,7 +165,7 @@ def _search(shared, dims: int, books: int, k: int, shortlist: int, share: float)
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 16, words: int = 256, beam: int = 8, shortlist: int = 200, share: float = 0.02, train_rows: int = 16384, query_block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 16, words: int = 256, beam: int = 8, shortlist: int = 200, share: float = 0.02, train_rows: int = 12288, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row where ``queries``.
 
     A query's own row is no candidate; rows that repeat its id are one row with it. Vectors that are null, empty or
@@ -200,8 +201,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
 
     def block() -> DataFrame:
         q = np.array(rows)
-        tables = np.einsum("qd,mkd->qmk", q.astype(np.float32), model.words)
-        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), q, tables))
+        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), q, model.words))
         return index.mapInArrow(_search(shared, dims, len(model.words), k + 1, shortlist, share), "query_id long, class_id long, score double")
 
     for r in asked.toLocalIterator():
