@@ -7,12 +7,12 @@ den * intersection >= num * union.
    and segment keys. Hash space is cut into m segments; m is more than the largest symmetric difference that linked
    sets of that size class can have, so linked sets agree on at least one whole segment (pigeonhole). Nodes that
    share a segment key form the roots of the trees; nothing else can link.
-2. Nodes joined by such keys (connected components, in Spark) are one forest. Its members' sets are gathered once,
-   in blocks bounded in bytes: a large forest is cut into blocks and each pair of blocks is a task of its own.
-3. In a block, a signature tree holds OR-combined shingle bitmaps and size ranges. Dual traversal prunes node pairs
-   whose greatest possible overlap is too small, and pairs whose leaves are already connected. What is left is
-   verified on the exact sets. Only links that join two parts are emitted, so a group of many copies costs about
-   one verification a copy, not one a pair.
+2. Each bucket of nodes with a common key is a signature tree over bitmaps: hierarchical nodes hold OR-combined
+   bitmaps and size ranges. Dual traversal prunes node pairs whose greatest possible overlap is too small, and pairs
+   whose leaves are already joined. What is left joins nodes to forests (connected components, in Spark).
+3. A forest's sets are gathered once, in blocks bounded in bytes: a large forest is cut into blocks and each pair of
+   blocks is a task of its own. The same tree and traversal find its links, now verified on the exact sets. Only
+   links that join two parts are emitted, so a group of many copies costs about one verification a copy, not a pair.
 4. Links become components by least document id.
 
 No cap, no sampling: every pair that links is found or is already connected through links that were verified.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.shared import components, forget, small, stored
@@ -99,17 +99,35 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each shingle, in a power of two of bits, at least twice the set's size and 256."""
+    width = 256
+    while width < 2 * len(s) and width < 1 << 16:
+        width *= 2
+    flag = np.zeros(width, np.uint8)
+    flag[(mix(s) >> np.uint64(8)).astype(np.int64) & (width - 1)] = 1
+    return np.packbits(flag, bitorder="little").tobytes()
+
+
+def narrowed(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in fewer words: halves are combined, which is what hashing to fewer bits gives."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _sketch(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, keys = [], [], []
+            n, node, keys, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
+                bits.append(bitmap(s))
                 n.append(len(s))
                 node.append(digest(s))
                 keys.append(segment_keys(s, num, den))
             off = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "n", "node", "keys"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(bits, pa.binary())], ["id", "n", "node", "keys", "bits"])
 
     return run
 
@@ -142,40 +160,33 @@ def _with(rest: pa.RecordBatch, where: list[int], part: list[bytes]) -> pa.Recor
 
 
 class Tree:
-    """A signature tree over sets: leaves of LEAF sets, FAN children a node, arrays by level from the leaves up."""
+    """A signature tree: leaves of LEAF sets, FAN children a node, arrays by level from the leaves up. It knows the
+    sets by their sizes and bitmaps; ``near`` puts sets that are likely alike next to each other."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
+    def __init__(self, size: np.ndarray, bitmaps: list[bytes], near: np.ndarray):
         band = np.floor(np.log(size) / np.log(1.1)).astype(np.int64)
-        self.order = np.lexsort((size, np.array([s[0] for s in sets]), band))
-        self.n = size[self.order]
-        width = 256
-        while width < 2 * size.max() and width < 1 << 16:
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for row, i in enumerate(self.order):
-            flag = np.zeros(width, np.uint8)
-            flag[(mix(sets[i]) >> np.uint64(8)).astype(np.int64) & (width - 1)] = 1
-            bits[row] = np.packbits(flag).view(np.uint64)
-        ones = np.bitwise_count(bits).sum(1).astype(np.int64)
-        self.bits, self.ones = bits, ones
-        #: By level: OR of bitmaps, least and largest size, least and most of (size - bits set), first and end row.
-        at = np.arange(0, len(sets), LEAF)
-        self.levels = [(np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.n, at), np.maximum.reduceat(self.n - ones, at), at, np.r_[at[1:], len(sets)])]
+        self.order = np.lexsort((size, near, band))
+        self.n = size[self.order].astype(np.int64)
+        words = min(len(b) for b in bitmaps) // 8
+        self.bits = np.stack([narrowed(np.frombuffer(bitmaps[i], np.uint64), words) for i in self.order])
+        self.ones = np.bitwise_count(self.bits).sum(1).astype(np.int64)
+        #: By level: OR of bitmaps, least and largest size, most of (size - bits set), first and end row.
+        at = np.arange(0, len(size), LEAF)
+        self.levels = [(np.bitwise_or.reduceat(self.bits, at), np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.n, at), np.maximum.reduceat(self.n - self.ones, at), at, np.r_[at[1:], len(size)])]
         while len(self.levels[-1][0]) > 1:
             o, lo, hi, extra, first, end = self.levels[-1]
             at = np.arange(0, len(o), FAN)
             self.levels.append((np.bitwise_or.reduceat(o, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(extra, at), first[at], end[np.r_[at[1:] - 1, len(o) - 1]]))
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
-    """The part (a row index) of each set after all its links; with ``side``, only links across sides are needed,
-    those within a side being found in another task, but any link that is met counts."""
-    m = len(sets)
+def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """The part (a row index) of each set after all its links; without the sets themselves, after all pairs that
+    their bitmaps don't rule out."""
+    m = len(size)
     part = np.arange(m)
     if m < 2:
         return part
-    tree = Tree(sets)
+    tree = Tree(size, bitmaps, near)
     order, n, levels = tree.order, tree.n, tree.levels
     root = np.arange(m)  # by row
 
@@ -184,6 +195,8 @@ def linked(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
         root[root == max(x, y)] = min(x, y)
 
     def verify(a: int, b: int) -> bool:
+        if sets is None:
+            return True
         x, y = sets[order[a]], sets[order[b]]
         if len(x) > len(y):
             x, y = y, x
@@ -239,7 +252,7 @@ def _forest(num: int, den: int):
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             rows = order[x:y]
             sets = [np.frombuffer(blobs[r], np.uint64) for r in rows]
-            part = linked(sets, num, den)
+            part = linked(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], np.array([s[0] for s in sets]), num, den, sets)
             ids = rep[rows]
             least = {}
             for p, i in zip(part, ids, strict=True):
@@ -255,6 +268,30 @@ def _forest(num: int, den: int):
     return run
 
 
+def _plausible(num: int, den: int):
+    """In each bucket, links that join the nodes whose bitmaps and sizes allow a link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key, node, n = (group.column(c).to_numpy() for c in ("key", "node", "n"))
+        bits = group.column("bits").to_pylist()
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        a, b = [], []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            rows = order[x:y]
+            part = linked(n[rows], [bits[r] for r in rows], n[rows], num, den)
+            off = np.flatnonzero(part != np.arange(len(part)))
+            a.append(node[rows[off]])
+            b.append(node[rows[part[off]]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+#: Nodes in a bucket beyond which its nodes are joined to its least one unseen, and the exact sets decide.
+LARGE_BUCKET = 20_000
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_shingles, component_id): one row for each row of docs.
 
@@ -263,13 +300,23 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str =
     Repeated rows link to each other like any equal texts. Other columns of docs are not looked at.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = stored(slim.mapInArrow(_sketch(k, num, den), "id long, n long, node long, keys array<long>"), "sketch")
+    sketch = stored(slim.mapInArrow(_sketch(k, num, den), "id long, n long, node long, keys array<long>, bits binary"), "sketch")
 
     keyed = sketch.where("id is not null and n > 0")
+    w = Window.partitionBy("key")
     seg = keyed.select("node", F.explode("keys").alias("key"))
-    shared = seg.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root < last").select("key", "root")
-    edges = seg.join(shared, "key").where("node != root").select("node", "root").distinct()
-    trees = components(edges, "node", "root")
+    met = seg.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), F.bit_xor("node").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("c")).where("lo < hi")
+    met = stored(met.select("key", "node", "lo", F.xxhash64("lo", "hi", "total", "c").alias("same"), "c"), "met")
+    # documents that are alike meet under many keys: buckets of the same nodes are one bucket
+    once = met.groupBy("same").agg(F.min("key").alias("key"))
+    rows = stored(met.join(once, ["same", "key"]).select("key", "node", "lo", "c").distinct(), "buckets")
+    forget(met)
+    about = keyed.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
+    few = rows.where(F.col("c") <= LARGE_BUCKET).select("key", "node").join(about, "node")
+    deals = F.lit(int(rows.count() // 20_000) + 32)
+    plausible = few.groupBy(F.pmod(F.xxhash64("key"), deals).alias("deal")).applyInArrow(_plausible(num, den), "a long, b long")
+    edges = plausible.unionByName(rows.where((F.col("c") > LARGE_BUCKET) & (F.col("node") != F.col("lo"))).select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    trees = components(edges, "a", "b")
     reps = keyed.groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     members = stored(trees.join(reps, "node").select("node", F.col("label").alias("comp"), "rep", "n"), "members")
     sized = members.groupBy("comp").agg((F.floor(F.sum("n") * 8 / block_bytes) + 1).alias("k"))
