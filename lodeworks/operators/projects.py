@@ -43,18 +43,19 @@ def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
     """(cycle): elementary cycles of at most max_len edges, each once, from its least name and closed by it.
 
     Paths only grow through names above their first, so a cycle is found from its least name alone; a path's length
-    bounds the rounds. Each round is one equi join.
+    bounds the rounds. Each round is one equi join, and the rounds end when no path is left to grow.
     """
-    e = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct()
-    loops = e.where("a = b").select(F.array("a", "b").alias("cycle"))
+    e = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct().persist()
+    found = [e.where("a = b").select(F.array("a", "b").alias("cycle"))]
     e = e.where("a <> b")
     paths = e.where("a < b").select(F.array("a", "b").alias("p"), F.col("b").alias("last"))
-    found = loops
     for _ in range(max_len - 1):
-        step = paths.join(e, paths["last"] == e["a"]).select("p", F.col("b").alias("n"))
-        found = found.unionByName(step.where(F.col("n") == F.element_at("p", 1)).select(F.concat("p", F.array("n")).alias("cycle")))
+        step = paths.join(e, paths["last"] == e["a"]).select("p", F.col("b").alias("n")).persist()
+        if step.isEmpty():
+            break
+        found.append(step.where(F.col("n") == F.element_at("p", 1)).select(F.concat("p", F.array("n")).alias("cycle")))
         paths = step.where((F.col("n") > F.element_at("p", 1)) & ~F.array_contains("p", F.col("n"))).select(F.concat("p", F.array("n")).alias("p"), F.col("n").alias("last"))
-    return found.distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _named(name: str, df: DataFrame, ord_: int, summary: Column, detail: str) -> DataFrame:
