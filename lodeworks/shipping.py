@@ -1,4 +1,4 @@
-"""Puts this package where Python workers can import it."""
+"""Puts this package where Python workers can import it, and bounds what is sent to them at once."""
 
 from __future__ import annotations
 
@@ -10,10 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB.
+BATCH_BYTES = 8 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once for each Spark context, through Spark's own file server."""
+    """Send the package to the workers, once for each Spark context, through Spark's own file server.
+
+    Workers hold a batch of whole texts and what is made of it, so a session with the default size of batches gets a
+    smaller one; a size that was chosen stays.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_LIMIT, _DEFAULT).rstrip("b") == _DEFAULT:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     if getattr(sc, "_lodeworks_shipped", False):
         return
     root = Path(__file__).resolve().parent
