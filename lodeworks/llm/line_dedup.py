@@ -10,7 +10,8 @@ A run counts when it has ``min_words`` words. As every line has a word, its shor
 are no longer than min_words lines, so floor(log2(min_words)) rounds suffice however long the runs are: a run of any
 length is the union of its shortest stretches from each start and to each end. A stretch of n lines, 2**k <= n, is
 named by the ranks of its first and last 2**k lines; all but its first copy (least key, then least line) are deleted.
-What is deleted is thus the union of all maximal repeated runs of min_words words, without their first copies.
+What is deleted is thus the union of all maximal repeated runs of min_words words, without their first copies; a blank
+line goes if the lines with words before and after it do.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.shared import forget, small, stored
-from lodeworks.llm.textops import BYTE_VALUES, hash_spans, pieces, word_marks
+from lodeworks.llm.textops import BYTE_VALUES, hash_spans, pieces, tidy, word_marks
 
 _LINES = "uid long, key {kind}, i int, line int, h long, ahead int, ahead_line int, back int, back_line int"
 
@@ -60,6 +61,7 @@ def _lines(min_words: int):
                     [batch.column(0).take(own), batch.column(1).take(own), i32(i), i32(line), pa.array(h), i32(ahead), i32(line[np.minimum(rows + np.maximum(ahead, 1) - 1, len(rows) - 1)]), i32(back), i32(line[rows - np.maximum(back, 1) + 1])],
                     ["uid", "key", "i", "line", "h", "ahead", "ahead_line", "back", "back_line"],
                 )
+        tidy()
 
     return run
 
@@ -95,12 +97,13 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", tex
     stretch = ahead.unionByName(back).dropDuplicates(["uid", "s", "n"]).withColumn("k", level).withColumn("t", (F.col("s") + F.col("n") - F.pow(F.lit(2), F.col("k"))).cast("int"))
     head = every.select("uid", F.col("i").alias("s"), "k", F.col("r").alias("r1"))
     tail = every.select("uid", F.col("i").alias("t"), "k", F.col("r").alias("r2"))
-    named = stored(stretch.join(head, ["uid", "s", "k"]).join(tail, ["uid", "t", "k"]).select("uid", "key", "s", "a", "b", F.xxhash64("n", "r1", "r2").alias("name")), "stretches")
+    named = stored(stretch.join(head, ["uid", "s", "k"]).join(tail, ["uid", "t", "k"]).select("uid", "key", "s", (F.col("s") + F.col("n") - 1).alias("e"), "a", "b", F.xxhash64("n", "r1", "r2").alias("name")), "stretches")
     first = named.groupBy("name").agg(F.min(F.struct("key", "uid", "s")).alias("first"))
-    later = named.join(first, "name").where((F.col("first.uid") != F.col("uid")) | (F.col("first.s") != F.col("s"))).select("uid", "a", "b")
-    w = Window.partitionBy("uid").orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = later.withColumn("new", F.coalesce((F.col("a") > reach + 1).cast("int"), F.lit(1)))
+    later = named.join(first, "name").where((F.col("first.uid") != F.col("uid")) | (F.col("first.s") != F.col("s"))).select("uid", "s", "e", "a", "b")
+    # lines that follow each other but for blank lines are one run, and the blank lines go along
+    w = Window.partitionBy("uid").orderBy("s", "e")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = later.withColumn("new", F.coalesce((F.col("s") > reach + 1).cast("int"), F.lit(1)))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = stored(runs.groupBy("uid", "run").agg(F.min("a").alias("first_line"), F.max("b").alias("last_line")).drop("run"), "runs")
     forget(lines, base, *ranks, named)

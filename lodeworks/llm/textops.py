@@ -7,13 +7,14 @@ sums, then mixed. Texts are worked on in slices cut at separators, so memory is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -26,6 +27,23 @@ LOWERED = BYTE_VALUES[LOWER]
 _POWERS: list[np.ndarray] = []
 
 
+#: What workers keep from task to task.
+CACHES: list[dict] = []
+
+
+def tidy(keep: dict | None = None) -> None:
+    """Give freed memory back, and what other operators keep: workers live on between tasks, and an executor's workers
+    share its memory."""
+    for cache in CACHES:
+        if cache is not keep:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**j and its inverse modulo 2**64, for j below n."""
     if not _POWERS or len(_POWERS[0]) < n:
