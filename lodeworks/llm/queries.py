@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import additive_ann, centroid_lid, cotrain, hash_tree, jaccard_tree, license_scan, line_dedup, packing, preference, spaced_seed
+from lodeworks.llm import additive_ann, centroid_lid, cotrain, hash_tree, jaccard_tree, license_scan, line_dedup, oracle, packing, preference, spaced_seed
 from lodeworks.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,4 +94,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": oracle.OP1, "op5_signature_tree_join": oracle.OP5, "op7_preference_pairs": oracle.OP7}
