@@ -13,7 +13,9 @@ Documents are cut freely; each token is in exactly one piece.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.shared import small, stored
-from lodeworks.llm.textops import slices, string_bytes
+from lodeworks.llm.textops import CACHES, slices, string_bytes, tidy
 
 #: Words kept by a worker with their ids.
 CACHE_WORDS = 400_000
 _STATE: dict = {}
+CACHES.append(_STATE)
 
 
 def muldiv(a: np.ndarray, b: int, c: int) -> np.ndarray:
@@ -102,15 +105,42 @@ def muldiv_rest(a: np.ndarray, b: int, c: int) -> np.ndarray:
     return ((rest * high) % c * 65536 + rest * low) % c
 
 
-def _encoder(path: str):
-    """The tokenizer and the worker's cache of words."""
+# The patterns of tokenizers that work on words, each on its own.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters by which byte-level models write bytes: printable ones for themselves, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [x for x in range(256) if x not in shown]
+    return {x: x for x in shown} | {x: 256 + k for k, x in enumerate(rest)}
+
+
+def works_on_words(tokenizer) -> bool:
+    """Does this tokenizer lower-case, drop white space and apply a byte-level BPE to words of WORD_PATTERN?"""
+    spec = json.loads(tokenizer.to_str())
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    split, level = (pre.get("pretokenizers") or [{}, {}])[:2]
+    return (
+        [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and (split.get("pattern", {}).get("Regex"), split.get("behavior"), split.get("invert")) == (WORD_PATTERN, "Removed", True)
+        and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+        and spec["model"]["type"] == "BPE"
+        and not spec.get("post_processor")
+    )
+
+
+def _encoder(path: str) -> dict:
+    """The worker's tokenizer, its bare model and its cache of words."""
     if _STATE.get("path") != path:
         # a worker is one of many on its machine: threads of its own would only contend
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
-    return _STATE["tokenizer"], _STATE["cache"]
+        t = Tokenizer.from_file(path)
+        _STATE.update(path=path, tokenizer=t, model=t.model, words=works_on_words(t), chars=_byte_chars(), cache={})
+    return _STATE
 
 
 def token_ids(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +150,12 @@ def token_ids(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.nda
     digit to the ASCII punctuation that ends a word, and it lower-cases. So each text is taken as words between ASCII
     white space, each word as a stem and the punctuation at its end, and each distinct lower-cased stem is tokenized
     once for a slice; the ids, joined, are those of the text. Words with < or > are left whole for special tokens.
+    A tokenizer of another kind gets whole texts.
     """
+    if not _encoder(path)["words"]:
+        every = [e.ids for e in _STATE["tokenizer"].encode_batch_fast([t or "" for t in col.to_pylist()], add_special_tokens=False)]
+        off = np.r_[0, np.cumsum([len(x) + 1 for x in every])].astype(np.int64)
+        return np.fromiter(chain.from_iterable((*x, end_id) for x in every), np.uint32, off[-1]), off
     lists = pc.ascii_split_whitespace(pc.fill_null(col, "").cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
     names = coded.dictionary
@@ -160,29 +195,35 @@ def _tails(names: pa.Array, stem: pa.Array, splits: pa.Array) -> pa.Array:
 
 
 def _encoded(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of ids, first positions, ids) of the names, from the worker's cache or the tokenizer."""
-    tokenizer, cache = _encoder(path)
+    """(numbers of ids, first positions, ids) of the names, from the worker's cache, the model or the tokenizer.
+
+    A name of lower-case Latin letters is one word as it is, so the model alone gives its ids.
+    """
+    state = _encoder(path)
+    cache, tokenizer, tokenize, chars = state["cache"], state["tokenizer"], state["model"].tokenize, state["chars"]
     got = list(map(cache.get, names))
-    miss = [i for i, x in enumerate(got) if x is None]
-    size = np.zeros(len(names), np.int64)
-    hits = [x for x in got if x is not None]
-    known = np.ones(len(names), bool)
-    known[miss] = False
-    size[known] = np.fromiter(map(len, hits), np.int64, len(hits)) // 4
-    parts = [np.frombuffer(b"".join(hits), np.uint32)]
-    for at in range(0, len(miss), 10_000):
-        part = miss[at : at + 10_000]
-        ids = [e.ids for e in tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False)]
-        size[part] = np.fromiter(map(len, ids), np.int64, len(ids))
-        parts.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        room = CACHE_WORDS - len(cache)
-        for i, x in zip(part[: max(room, 0)], ids, strict=False):
-            if len(names[i]) < 40:
-                cache[names[i]] = array("I", x).tobytes()
-    order = np.r_[np.flatnonzero(known), np.array(miss, np.int64)]
-    first = np.empty(len(names), np.int64)
-    first[order] = np.r_[0, np.cumsum(size[order])][:-1]
-    return size, first, np.concatenate(parts)
+    rest = []
+    room = CACHE_WORDS - len(cache)
+    for i, x in enumerate(got):
+        if x is None:
+            w = names[i]
+            if PLAIN(w):
+                ids = array("I", [k.id for k in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(chars))]).tobytes()
+                got[i] = ids
+                if room > 0 and len(w) < 40:
+                    cache[w] = ids
+                    room -= 1
+            else:
+                rest.append(i)
+    for at in range(0, len(rest), 10_000):
+        part = rest[at : at + 10_000]
+        for i, e in zip(part, tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False), strict=True):
+            got[i] = array("I", e.ids).tobytes()
+            if room > 0 and len(names[i]) < 40:
+                cache[names[i]] = got[i]
+                room -= 1
+    size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    return size, np.r_[0, np.cumsum(size)][:-1], np.frombuffer(b"".join(got), np.uint32)
 
 
 def _tokenize(path: str, end_id: int, width: str):
@@ -194,7 +235,7 @@ def _tokenize(path: str, end_id: int, width: str):
         chunk, before = TaskContext.get().partitionId(), {}
         for batch in batches:
             _, off = string_bytes(batch.column(2))
-            for a, b in slices(off, 4 << 20):
+            for a, b in slices(off, 6 << 20):
                 part = batch.slice(a, b - a)
                 ids, at = token_ids(part.column(2), path, end_id)
                 n, start = np.diff(at), []
@@ -206,6 +247,7 @@ def _tokenize(path: str, end_id: int, width: str):
                     [part.column(0), part.column(1), pa.array(np.full(len(n), chunk), pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array([raw[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                     ["id", "queue", "chunk", "start", "n", "ids"],
                 )
+        tidy(_STATE)
 
     return run
 
@@ -215,7 +257,7 @@ def _pieces(schedule: Schedule, width: str, with_ids: bool):
         g = schedule.quantum
         for whole in batches:
             sizes = np.r_[0, np.cumsum(whole.column(whole.schema.get_field_index("n")).to_numpy())]
-            for lo, hi in slices(sizes, 1 << 20):
+            for lo, hi in slices(sizes, 1 << 19):
                 batch = whole.slice(lo, hi - lo)
                 name = batch.schema.get_field_index
                 keys, blobs = batch.column(name("id")), batch.column(name("ids")).to_pylist()
@@ -248,6 +290,7 @@ def _pieces(schedule: Schedule, width: str, with_ids: bool):
                     cols.append(pa.array(ids, pa.binary()))
                     names.append("ids")
                 yield pa.record_batch(cols, names)
+        tidy()
 
     return run
 
