@@ -16,12 +16,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_to(vector: Column, probe: list[float]) -> Column:
-    """Cosine to one probe whose norm is known before the scan."""
+    """Cosine to one probe whose norm is known before the scan.
+
+    Higher-order functions beat an unrolled sum, which is too large for generated code. try_divide makes a zero norm
+    null, so dot and norm are worked out once a row.
+    """
     size = sum(x * x for x in probe) ** 0.5
     p = F.array(*[F.lit(float(x)) for x in probe])
     dot = F.aggregate(F.zip_with(vector, p, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) * size
-    value = F.when(norm == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norm)))
+    # least and greatest skip nulls, so null is told apart first
+    value = F.aggregate(F.array(F.try_divide(dot, norm)), F.lit(0.0), lambda _, x: F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))))
     return F.when(F.size(vector) == len(probe), value).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodeworks.functions.vectors import cosine
+from lodeworks.functions.vectors import cosine, cosine_to
 from lodeworks.operators import retrieval as R
 
 
@@ -25,6 +25,11 @@ def test_cosine(spark):
         assert cos(spark, [0.5] * n, [1.5] * n) == pytest.approx(1)
     with pytest.raises(Exception, match="differ in length"):
         cos(spark, [1.0], [1.0, 2.0])
+    d = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],), ([-3.0, -4.0],), ([4.0, -3.0],)], "v array<float>")
+    got = [r[0] for r in d.select(cosine_to(F.col("v"), [3.0, 4.0])).collect()]
+    assert got[0] == 0 and got[1:] == pytest.approx([1, -1, 0]) and max(got) <= 1
+    with pytest.raises(Exception, match="differ in length"):
+        d.select(cosine_to(F.col("v"), [1.0])).collect()
 
 
 def test_text_search_finds_identifiers_and_density(spark):
