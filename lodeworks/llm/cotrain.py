@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.textops import pieces
+from lodeworks.llm.textops import pieces, tidy
 
 BUCKETS = 1 << 14
 META = 1 << 10
@@ -218,5 +218,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float =
                 t, f, s = m.combine(zt, zm)
             keep = s >= threshold if m.text is not None else np.ones(len(batch), bool)
             yield pa.record_batch([batch.column(0), pa.array(t, pa.float64()), pa.array(f, pa.float64()), pa.array(s, pa.float64()), pa.array(keep)], ["id", "text_score", "meta_score", "score", "keep"])
+        tidy()
 
     return slim.mapInArrow(run, f"id {kind}, text_score double, meta_score double, score double, keep boolean").withColumnRenamed("id", key)

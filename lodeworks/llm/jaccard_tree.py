@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.shared import components, forget, small, stored
-from lodeworks.llm.textops import mix, pieces, window_hashes, words
+from lodeworks.llm.textops import mix, pieces, tidy, window_hashes, words
 
 #: Ratio of a size class's largest to its smallest set.
 CLASS_RATIO = 1.5
 #: Segments beyond the pigeonhole's need, so that empty segments need no key of their own.
 SPARE = 2
 #: Bytes of sets in one block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 LEAF, FAN = 16, 4
 
 
@@ -128,6 +128,7 @@ def _sketch(k: int, num: int, den: int):
             off = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(bits, pa.binary())], ["id", "n", "node", "keys", "bits"])
+        tidy()
 
     return run
 
@@ -150,6 +151,7 @@ def _sets(k: int):
                     size, part, where = 0, [], []
             if part:
                 yield _with(rest, where, part)
+        tidy()
 
     return run
 
@@ -263,6 +265,7 @@ def _forest(num: int, den: int):
                     a.append(i)
                     b.append(least[p])
                     open_.append(bool(many[r] > 1))
+        tidy()
         return pa.table({"rep": pa.array(a, pa.int64()), "label": pa.array(b, pa.int64()), "open": pa.array(open_, pa.bool_())})
 
     return run
@@ -283,6 +286,7 @@ def _plausible(num: int, den: int):
             off = np.flatnonzero(part != np.arange(len(part)))
             a.append(node[rows[off]])
             b.append(node[rows[part[off]]])
+        tidy()
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
@@ -313,7 +317,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str =
     forget(met)
     about = keyed.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
     few = rows.where(F.col("c") <= LARGE_BUCKET).select("key", "node").join(about, "node")
-    deals = F.lit(int(rows.count() // 20_000) + 32)
+    deals = F.lit(int(rows.count() // 10_000) + 32)
     plausible = few.groupBy(F.pmod(F.xxhash64("key"), deals).alias("deal")).applyInArrow(_plausible(num, den), "a long, b long")
     edges = plausible.unionByName(rows.where((F.col("c") > LARGE_BUCKET) & (F.col("node") != F.col("lo"))).select(F.col("node").alias("a"), F.col("lo").alias("b")))
     trees = components(edges, "a", "b")
@@ -336,6 +340,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str =
     opened = found.where("open and rep != label").select("rep", "label")
     if not opened.isEmpty():
         closed = closed.unionByName(components(opened, "rep", "label").select(F.col("node").alias("rep"), "label"))
+    closed = closed.groupBy("rep").agg(F.min("label").alias("label"))  # rows that repeat a key met more than once
     labels = reps.join(closed, "rep", "left").select("node", F.coalesce("label", "rep").alias("component"))
     out = sketch.select("id", "n", "node").join(labels, "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))

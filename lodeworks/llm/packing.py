@@ -119,15 +119,15 @@ def _byte_chars() -> dict[int, int]:
 
 def works_on_words(tokenizer) -> bool:
     """Does this tokenizer lower-case, drop white space and apply a byte-level BPE to words of WORD_PATTERN?"""
-    spec = json.loads(tokenizer.to_str())
-    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    part = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+    norm, pre = part(tokenizer.normalizer), part(tokenizer.pre_tokenizer)
     split, level = (pre.get("pretokenizers") or [{}, {}])[:2]
     return (
         [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         and (split.get("pattern", {}).get("Regex"), split.get("behavior"), split.get("invert")) == (WORD_PATTERN, "Removed", True)
         and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
-        and spec["model"]["type"] == "BPE"
-        and not spec.get("post_processor")
+        and type(tokenizer.model).__name__ == "BPE"
+        and tokenizer.post_processor is None
     )
 
 
@@ -140,10 +140,11 @@ def _encoder(path: str) -> dict:
 
         t = Tokenizer.from_file(path)
         _STATE.update(path=path, tokenizer=t, model=t.model, words=works_on_words(t), chars=_byte_chars(), cache={})
+        tidy(_STATE)
     return _STATE
 
 
-def token_ids(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(col: pa.Array, path: str, end_id: int, cache_words: int = CACHE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of whole texts, each ended by end_id; null is empty.
 
     The tokenizer drops white space and none of its patterns looks across it; nor does one look from a letter or
@@ -164,7 +165,7 @@ def token_ids(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.nda
     stem = pc.if_else(splits, pc.ascii_lower(stem), names)
     tail = _tails(names, stem, splits)
     stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
-    size, base, flat = _encoded(stems.dictionary.to_pylist() + tails.dictionary.to_pylist(), path)
+    size, base, flat = _encoded(stems.dictionary.to_pylist() + tails.dictionary.to_pylist(), path, cache_words)
     word = coded.indices.to_numpy(zero_copy_only=False)
     code = np.empty(2 * len(word), np.int64)
     code[0::2] = stems.indices.to_numpy(zero_copy_only=False)[word]
@@ -194,7 +195,7 @@ def _tails(names: pa.Array, stem: pa.Array, splits: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(names), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _encoded(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _encoded(names: list[str], path: str, cache_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(numbers of ids, first positions, ids) of the names, from the worker's cache, the model or the tokenizer.
 
     A name of lower-case Latin letters is one word as it is, so the model alone gives its ids.
@@ -203,7 +204,7 @@ def _encoded(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.nd
     cache, tokenizer, tokenize, chars = state["cache"], state["tokenizer"], state["model"].tokenize, state["chars"]
     got = list(map(cache.get, names))
     rest = []
-    room = CACHE_WORDS - len(cache)
+    room = cache_words - len(cache)
     for i, x in enumerate(got):
         if x is None:
             w = names[i]
@@ -226,7 +227,7 @@ def _encoded(names: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return size, np.r_[0, np.cumsum(size)][:-1], np.frombuffer(b"".join(got), np.uint32)
 
 
-def _tokenize(path: str, end_id: int, width: str):
+def _tokenize(path: str, end_id: int, width: str, slice_bytes: int, cache_words: int):
     """Rows (id, queue name, chunk, tokens of the queue before it in the chunk, number of ids, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +236,9 @@ def _tokenize(path: str, end_id: int, width: str):
         chunk, before = TaskContext.get().partitionId(), {}
         for batch in batches:
             _, off = string_bytes(batch.column(2))
-            for a, b in slices(off, 6 << 20):
+            for a, b in slices(off, slice_bytes):
                 part = batch.slice(a, b - a)
-                ids, at = token_ids(part.column(2), path, end_id)
+                ids, at = token_ids(part.column(2), path, end_id, cache_words)
                 n, start = np.diff(at), []
                 for name, k in zip(part.column(1).to_pylist(), n.tolist(), strict=True):
                     start.append(before.get(name, 0))
@@ -295,19 +296,20 @@ def _pieces(schedule: Schedule, width: str, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = 2048, quantum: int = 64, end_id: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", max_queues: int = 256, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = 2048, quantum: int = 64, end_id: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", max_queues: int = 256, with_ids: bool = False, slice_bytes: int = 6 << 20, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row for each piece of each document: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue).
 
     A null text is empty: its document is end_id alone. A null source is a queue of its own. Beyond ``max_queues``
     the queues of fewest tokens share one, which bounds what the driver holds; no row is dropped. Repeated rows are
-    packed as often as they occur. Columns of docs beyond the three are not looked at. An empty table gives no piece.
+    packed as often as they occur. ``slice_bytes`` of text are tokenized at once and a worker keeps the ids of
+    ``cache_words`` words: less takes less memory and more time. Columns of docs beyond the three are not looked at. An empty table gives no piece.
     """
     from tokenizers import Tokenizer
 
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
     slim = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("queue"), F.col(text).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    tokens = stored(slim.mapInArrow(_tokenize(vocabulary, end_id, width), f"id {kind}, queue string, chunk long, start long, n long, ids binary"), "tokens")
+    tokens = stored(slim.mapInArrow(_tokenize(vocabulary, end_id, width, slice_bytes, cache_words), f"id {kind}, queue string, chunk long, start long, n long, ids binary"), "tokens")
     by_chunk = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("tokens"))
     top = by_chunk.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "queue").limit(max_queues - 1).collect()
     total = by_chunk.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]

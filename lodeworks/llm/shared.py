@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 48 << 20
 
 
+#: Tables made by ``stored`` and not yet deleted.
+MADE: list[DataFrame] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else one of our own.
 
@@ -36,6 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeworks_path = path
+    MADE.append(out)
     return out
 
 
@@ -46,6 +51,12 @@ def forget(*tables: DataFrame | None) -> None:
             jvm, spark = t.sparkSession._jvm, t.sparkSession
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            MADE[:] = [m for m in MADE if m is not t]
+
+
+def forget_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables made since ``len(MADE)`` was ``mark``, but for some; results that still read them end."""
+    forget(*[t for t in MADE[mark:] if not any(t is k for k in keep)])
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.textops import BYTE_VALUES, LOWER, pieces, window_hashes, words
+from lodeworks.llm.textops import BYTE_VALUES, LOWER, pieces, tidy, window_hashes, words
 
 #: Fixed masks, as offsets of the words that must agree: one without gaps, two that leave words out.
 MASKS = (
@@ -157,6 +157,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, match: floa
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.record_batch([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "item_id", "matches", "doc_word", "item_word", "length"])
+            tidy()
 
         out = out.unionByName(slim.mapInArrow(run, schema))
     return out.withColumnRenamed("id", key)
