@@ -19,9 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.llm.shared import small
+from lodeworks.llm.textops import tidy
+
 BUCKETS = 1 << 12
 _ROWS = 128
-_CHARS = 1 << 19
+_CHARS = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -90,6 +93,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(col), _ROWS):
             seen += (gram_counts(col.slice(at, _ROWS).to_pylist()) > 0).sum(0)
         n += len(col)
+    tidy()
     if n:
         yield pa.record_batch({"bucket": np.arange(-1, BUCKETS), "df": np.r_[n, seen]})
 
@@ -127,8 +131,11 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     n = freq.pop(-1)
     df = np.array([freq[b] for b in range(BUCKETS)])
     idf = np.log((1 + n) / (1 + df)) + 0.05
-    w = Window.partitionBy("l").orderBy(F.xxhash64("k", "l"), "k")
-    ids = rows.select("k", "l", F.row_number().over(w).alias("r")).where(F.col("r") <= sample_per_language).select("k", "l")
+    w = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("k", "l"), F.lit(1 << 30)), "k")
+    # thinned by hash to about twice the bound first, so that no language's rows meet in one task
+    many = rows.groupBy("l").count()
+    few = rows.select("k", "l").join(small(many, many.count(), 64), "l").where(F.pmod(F.xxhash64("k", "l"), F.lit(1 << 30)) < F.lit(2.0 * sample_per_language) / F.col("count") * (1 << 30))
+    ids = few.select("k", "l", F.row_number().over(w).alias("r")).where(F.col("r") <= sample_per_language).select("k", "l")
     # bounded: languages x sample_per_language ids
     drawn = rows.join(F.broadcast(ids), ["k", "l"]).select("l", "k", "t").mapInArrow(_vectors, "l string, k string, v binary")
     got = sorted((r.l, r.k, bytes(r.v)) for r in drawn.collect())
@@ -190,6 +197,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
                 score = np.where(ok, score, 0.0)
                 names = [m.languages[j] if k else "und" for j, k in zip(which, ok, strict=True)]
                 yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~ok | (score < threshold * np.minimum(1, grams / full_grams)))], [*part.schema.names, "lang_pred", "score", "rejected"])
+        tidy()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, rejected boolean"])
     return docs.mapInArrow(run, schema)
