@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm import centroid_lid, jaccard_tree, line_dedup, packing, spaced_seed
 from lodeworks.llm.queries import table, vocabulary
-from lodeworks.llm.shared import stored
+from lodeworks.llm.shared import MADE, forget, forget_since, stored
 from lodeworks.shipping import ship
 
 
@@ -41,9 +41,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens, sources in proportion."""
+    """Pieces of the documents in sequences of 2048 tokens, sources in proportion.
+
+    Workers come here after four other stages and share what memory those left, so slices and cache are small.
+    """
     ship(spark)
-    return packing.pack(docs, vocabulary())
+    return packing.pack(docs, vocabulary(), slice_bytes=1 << 20, cache_words=50_000)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("packing", pack)]
@@ -53,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
+    """All stages over documents; each stage's result is written as Parquet and read again, then goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        mark = len(MADE)
+        done = stored(stage(spark, docs, sf_dir), name)
+        forget_since(mark, done)  # what the stage kept for itself
+        forget(docs)
+        docs = done
     return docs
