@@ -3,7 +3,12 @@
 A seed is a hash of the words at a mask's fixed positions in a window; words at the other positions may differ. The
 benchmark's seeds are joined with those of every window of every document. Around each hit, the words of item and
 document are compared along the hit's diagonal and the overlap is grown while at least ``match`` of its words agree;
-it counts from ``least`` equal words (or the whole item, if shorter).
+it counts from ``least`` equal words (or the whole item, if shorter: all words of such an item must agree).
+
+No overlap goes unseen. One of at least 13 equal words and 80 % has a stretch of at most 33 words that is one too, as
+one half of a longer one would do, and every placing of unequal words in such a stretch leaves all words of one mask
+equal (the tests go through all of them). For a lower ``least`` or ``match``, the run of equal words that must be there
+by pigeonhole is a further mask. Hits with too few equal words around them for a stretch are dropped in bulk.
 
 The documents are read once for each block of the benchmark; a block holds at most ``block_words`` words, so what is
 sent to the workers has a fixed bound however large the benchmark is. No shuffle is needed.
@@ -11,6 +16,7 @@ sent to the workers has a fixed bound however large the benchmark is. No shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +26,14 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.textops import BYTE_VALUES, LOWER, pieces, tidy, window_hashes, words
 
-#: Fixed masks, as offsets of the words that must agree: one without gaps, two that leave words out.
+#: Fixed masks, as offsets of the words that must agree; together they meet every overlap of 13 equal words and 80 %.
 MASKS = (
-    (0, 1, 2, 3, 4, 5, 6, 7),
-    (0, 1, 3, 4, 6, 7, 9, 10),
-    (0, 1, 2, 4, 7, 8, 10, 12),
+    (0, 1, 2, 3, 5, 6),
+    (0, 1, 2, 4, 6, 7),
+    (0, 1, 3, 7, 10, 11),
 )
 TABLE_BITS = 22
+_HITS = 1 << 13
 
 # Words for matching are runs of ASCII letters and digits and of bytes of other characters, lower-cased: punctuation
 # separates, as copies often differ in it.
@@ -35,6 +42,11 @@ _WORDY[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _VALUES = BYTE_VALUES[LOWER]
 
 
+def _unequal(n: int, match: float) -> int:
+    """Words that may differ beside n equal ones."""
+    return int(n * (1 - match) / match + 1e-9)
+
+
 class Block:
     """A block of benchmark items with the seeds of their windows."""
 
@@ -44,6 +56,10 @@ class Block:
         parts = [(words(raw, off, _VALUES, _WORDY)) for _, _, raw, off in pieces(col, 1 << 40)]
         h, off = parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         self.words, self.off = h, off
+        #: Words of the longest overlap that holds no shorter one.
+        self.reach = 2 * math.ceil(least / match) - 1
+        if least < 13 or match < 0.8:
+            masks = (*masks, tuple(range(min(-(-n // (_unequal(n, match) + 1)) for n in range(least, self.reach + 1)))))
         #: Masks, then whole items of fewer words than the longest mask, by length.
         length = np.diff(off)
         span = max(m[-1] + 1 for m in masks)
@@ -67,26 +83,39 @@ class Block:
     def overlaps(self, h: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
         """Of one document's words: by item row the best (equal words, document word, item word, length)."""
         found: dict[int, tuple[int, int, int, int]] = {}
+        done: set[tuple[int, int]] = set()
         for j, m in enumerate(self.masks):
             every = window_hashes(h, m)
             hits = np.flatnonzero(self.flags[j][(every >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(every) else ()
             if len(hits):
                 lo, hi = np.searchsorted(self.seeds[j], every[hits]), np.searchsorted(self.seeds[j], every[hits], "right")
-                done = set()
-                for p, a, b in zip(hits.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    for q in self.at[j][a:b].tolist():
-                        item = int(np.searchsorted(self.off, q, "right")) - 1
-                        if (item, p - q) not in done:
-                            done.add((item, p - q))
-                            best = self.verify(h, item, p, q, m[-1] + 1)
+                first = np.r_[0, np.cumsum(hi - lo)]
+                for at in range(0, int(first[-1]), _HITS):
+                    i = np.arange(at, min(at + _HITS, int(first[-1])))
+                    k = np.searchsorted(first, i, "right") - 1
+                    for item, d in self.likely(h, hits[k], self.at[j][lo[k] + i - first[k]]):
+                        if (item, d) not in done:
+                            done.add((item, d))
+                            best = self.verify(h, item, d)
                             if best and best > found.get(item, (0,)):
                                 found[item] = best
         return found
 
-    def verify(self, h: np.ndarray, item: int, p: int, q: int, span: int) -> tuple[int, int, int, int] | None:
+    def likely(self, h: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+        """(item, diagonal) of the hits of document words p on item words q with enough equal words in reach."""
+        item = np.searchsorted(self.off, q, "right") - 1
+        a, b = self.off[item], self.off[item + 1]
+        equal = np.zeros(len(p), np.int64)
+        for w in range(-self.reach, self.reach + 1):
+            x, y = p + w, q + w
+            on = (x >= 0) & (x < len(h)) & (y >= a) & (y < b)
+            equal[on] += self.words[y[on]] == h[x[on]]
+        ok = equal >= np.minimum(self.least, b - a)
+        return list(dict.fromkeys(zip(item[ok].tolist(), (p - q)[ok].tolist(), strict=True)))
+
+    def verify(self, h: np.ndarray, item: int, d: int) -> tuple[int, int, int, int] | None:
         """The longest stretch of the diagonal with at least ``match`` equal words that holds the most of them."""
         a, b = int(self.off[item]), int(self.off[item + 1])
-        d = p - q
         lo, hi = max(a, -d), min(b, len(h) - d)
         same = self.words[lo:hi] == h[lo + d : hi + d]
         score = np.cumsum(np.where(same, 1.0, -self.match / (1 - self.match) if self.match < 1 else -1e9))

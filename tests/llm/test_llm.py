@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -356,6 +357,45 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in spaced_seed.clean(corpus(spark, texts), bench).collect()) == [5, 7, 9, 10]
 
 
+def test_masks_meet_every_overlap():
+    for words, unequal in ((16, 3), (20, 4), (25, 5), (30, 6)):  # all others hold one of these or are part of one
+        gone = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(words), unequal)])
+        met = np.zeros(len(gone), bool)
+        for m in spaced_seed.MASKS:
+            for at in range(words - m[-1]):
+                met |= (gone & sum(1 << at + k for k in m)) == 0
+        assert met.all()
+
+
+def test_decontamination_of_edited_passages(spark):
+    rng = np.random.default_rng(12)
+    items = [prose(rng, n, "abcdefghijklmnop") for n in (40, 80, *range(13, 21), *rng.integers(16, 60, 40))]
+    texts = []
+    for i, item in enumerate(items):
+        w = item.split()
+        most = min(len(w) // 5, len(w) - 13)
+        for k in range(4, len(w), 5) if i < 2 else rng.choice(len(w), most, replace=False):
+            w[k] = "other"
+        texts.append(f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}")
+    rows = spaced_seed.overlaps(corpus(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in range(len(items))}
+    assert {r.doc_id: r.matches for r in rows}[0] == 32
+
+
+@pytest.mark.parametrize(("least", "match"), [(8, 0.7), (5, 0.5), (20, 0.9), (13, 1.0)])
+def test_decontamination_at_other_thresholds(least, match):
+    rng = np.random.default_rng(least)
+    for _ in range(60):
+        w = prose(rng, 60, "abcdefghijklmnop").split()
+        size = least + spaced_seed._unequal(least, match)
+        doc = ["x"] * 20 + w[10 : 10 + size] + ["y"] * 20
+        for k in rng.choice(np.arange(1, size - 1), size - least, replace=False):
+            doc[20 + k] = "z"
+        block = spaced_seed.Block([0], [" ".join(w)], least=least, match=match)
+        words = spaced_seed.Block([0], [" ".join(doc)]).words
+        assert block.overlaps(words)[0][0] >= least
+
+
 def test_decontamination_odd_rows(spark):
     d, bench = odd_frame(spark), spark.createDataFrame([(1, odd_texts()[5])], "item_id long, text string")
     out = spaced_seed.clean(d, bench)
