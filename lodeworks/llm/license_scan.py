@@ -5,8 +5,8 @@ notices. A path's own licence is that of its best line. A licence file (LICENSE,
 licence to its directory; paths without one of their own inherit from the nearest directory above that has one.
 
 Document frequencies are counted over all texts, for the terms of the templates; any other term counts as unseen. By
-Cauchy-Schwarz a line without any of the ``telling`` terms is under the threshold for every template, so only lines
-with one are split further: no line that would count is left out. Only DataFrame functions are used, and texts are
+Cauchy-Schwarz a part without any of the ``telling`` terms is under the threshold for every template, so only lines
+with one, and lines next to these, are split further: no part that would count is left out. Only DataFrame functions are used, and texts are
 never shuffled.
 """
 
@@ -19,6 +19,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.shared import stored
+
 # Notices by SPDX id, as their licences ask for them to be put on files.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
@@ -38,6 +40,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 TERM = r"[a-z0-9]+(\.[0-9]+)*"
+#: Cosines are rounded to six places, so a square may be under the threshold's by so much.
+_SLACK = 2e-6
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.\-_].*)?$"
 
 
@@ -67,7 +71,7 @@ def telling_terms(vectors: list[tuple[str, int, dict[str, float]]], threshold: f
         left = 0.0
         for t, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
             left += x * x
-            if left >= threshold * threshold * (1 - 1e-9):
+            if left >= threshold * threshold * (1 - _SLACK):
                 out.add(t)
     return sorted(out)
 
@@ -80,15 +84,28 @@ def frequencies(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> tup
     return docs.count(), {t: found.get(t, 0) for t in vocab}
 
 
+def _square(held: Column, squares: dict[str, float]) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
+    return F.aggregate(held, F.lit(0.0), lambda total, t: total + F.coalesce(F.try_element_at(known, t), F.lit(0.0)))
+
+
 def _notices(docs: DataFrame, vectors, idf: dict[str, float], unseen: float, threshold: float, rid: Column, text: str) -> DataFrame:
     """(rid, license, score, line): the best line of each text with one that reaches the threshold."""
     spark = docs.sparkSession
     tell = rf"(?i)(^|[^a-z0-9])({'|'.join(map(re.escape, telling_terms(vectors, threshold)))})([^a-z0-9]|$)"
     hit = docs.where(F.col(text).rlike(tell)).select(rid.alias("rid"), F.split(text, "\n", -1).alias("l"))
-    lines = hit.select("rid", "l", F.posexplode("l").alias("line", "x")).where(F.col("x").rlike(tell))
+    lines = hit.select("rid", "l", F.transform("l", lambda x: x.rlike(tell)).alias("tells"), F.posexplode("l").alias("line", "x"))
+    # a window's terms are those of three lines, of which the middle one need not tell anything
+    lines = lines.where(F.exists(F.slice("tells", F.greatest(F.col("line"), F.lit(1)), F.when(F.col("line") > 0, 3).otherwise(2)), lambda x: x))
     three = F.array_join(F.slice("l", F.greatest(F.col("line"), F.lit(1)), F.when(F.col("line") > 0, 3).otherwise(2)), " ")
-    parts = lines.select("rid", "line", F.posexplode(F.array("x", three)).alias("wide", "x"))
-    tf = parts.select("rid", "line", "wide", F.explode(_terms(F.col("x"))).alias("t")).groupBy("rid", "line", "wide", "t").agg(F.count(F.lit(1)).alias("tf"))
+    part = lambda wide, x: F.struct(F.lit(wide).alias("wide"), x.alias("x"))
+    both = F.when(F.get("tells", F.col("line")), F.array(part(0, F.col("x")), part(1, three))).otherwise(F.array(part(1, three)))
+    parts = lines.select("rid", "line", F.explode(both).alias("p")).select("rid", "line", "p.wide", _terms(F.col("p.x")).alias("ts"))
+    # a cosine is at most the length of the notice's vector in the terms that the part holds
+    held = F.array_intersect("ts", F.array(*map(F.lit, sorted(idf))))
+    length = [_square(F.col("held"), {t: x * x for t, x in w.items()}) for _, _, w in vectors]
+    parts = stored(parts.withColumn("held", held).where(F.greatest(F.lit(0.0), *length) >= threshold * threshold * (1 - _SLACK)).drop("held"), "parts")
+    tf = parts.select("rid", "line", "wide", F.explode("ts").alias("t")).groupBy("rid", "line", "wide", "t").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "t string, idf double"))
     v = tf.join(known, "t", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     long = F.broadcast(spark.createDataFrame([(n, k, t, x) for n, k, w in vectors for t, x in w.items()], "license string, k int, t string, u double"))

@@ -485,6 +485,20 @@ def test_licenses_as_brute_force(spark):
     assert got == want and 20 < sum(x is not None for x in want) < 110
 
 
+def test_licenses_wrapped_around_lines_that_tell_nothing(spark):
+    rng = np.random.default_rng(10)
+    texts = [prose(rng, 6) for _ in range(60)]
+    for notices in license_scan.TEMPLATES.values():
+        for x in notices:
+            w = x.split()
+            for at in range(1, len(w)):
+                texts += [f"{prose(rng, 4)}\n\n{' '.join(w[:at])}\n{blank}\n{' '.join(w[at:])}" for blank in ("", "//")]
+            texts.append("\n".join([" ".join(w[: len(w) // 3]), " ".join(w[len(w) // 3 : 2 * len(w) // 3]), " ".join(w[2 * len(w) // 3 :])]))
+    texts += ["", "\n", "all\n\nrights"]
+    d = spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    assert [r.license for r in license_scan.scan(d).orderBy("doc_id").collect()] == brute_license(texts, 0.75)
+
+
 # ---- 7: preference pairs
 
 
