@@ -5,11 +5,16 @@ projects: name, path, kind, target_framework, references, assembly_references, s
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.shipping import ship
+
 # Assemblies that tie a library to the web, and what marks test projects.
 WEB_ASSEMBLIES = ("System.Web.Mvc", "System.Web.Http", "System.Web.WebPages", "Microsoft.AspNetCore")
 TEST_REFERENCES = ("xunit", "nunit", "mstest", "microsoft.visualstudio.qualitytools")
@@ -40,7 +45,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """(cycle): elementary cycles of at most max_len edges, each once, from its least name and closed by it.
+    """(cycle): elementary cycles of at most max_len edges, each once, from its least name and closed by it, and longer
+    ones among names that are in none of these, so that no strongly connected part is left without a cycle.
 
     Paths only grow through names above their first, so a cycle is found from its least name alone; a path's length
     bounds the rounds. Each round is one equi join, and the rounds end when no path is left to grow.
@@ -52,10 +58,56 @@ def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
     for _ in range(max_len - 1):
         step = paths.join(e, paths["last"] == e["a"]).select("p", F.col("b").alias("n")).persist()
         if step.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, found).distinct()
         found.append(step.where(F.col("n") == F.element_at("p", 1)).select(F.concat("p", F.array("n")).alias("cycle")))
         paths = step.where((F.col("n") > F.element_at("p", 1)) & ~F.array_contains("p", F.col("n"))).select(F.concat("p", F.array("n")).alias("p"), F.col("n").alias("last"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    short = reduce(DataFrame.unionByName, found).distinct().persist()
+    inside = short.select(F.explode("cycle").alias("_n")).distinct()
+    rest = e.join(inside, e["a"] == F.col("_n"), "left_anti").join(inside, e["b"] == F.col("_n"), "left_anti").select("a", "b")
+    ship(e.sparkSession)
+    return short.unionByName(rest.coalesce(1).mapInArrow(_rings, "cycle array<string>"))
+
+
+def _rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shortest cycle through the least name of each strongly connected part of all edges (a, b), in linear time."""
+    after, before = defaultdict(list), defaultdict(list)
+    for batch in batches:
+        for a, b in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            after[a].append(b)
+            before[b].append(a)
+    done, order = set(), []
+    for name in sorted(after):
+        todo = [(name, False)]
+        while todo:
+            x, left = todo.pop()
+            if left:
+                order.append(x)
+            elif x not in done:
+                done.add(x)
+                todo += [(x, True), *((y, False) for y in after.get(x, ()) if y not in done)]
+    placed: set[str] = set()
+    out = []
+    for name in reversed(order):
+        part, todo = set(), [name]
+        while todo:
+            x = todo.pop()
+            if x not in placed:
+                placed.add(x)
+                part.add(x)
+                todo += before.get(x, ())
+        if len(part) > 1:
+            first = min(part)
+            came, row = {}, [first]
+            for x in row:
+                for y in after[x]:
+                    if y in part and y not in came:
+                        came[y] = x
+                        row.append(y)
+            path = [first, came[first]]
+            while path[-1] != first:
+                path.append(came[path[-1]])
+            out.append(path[::-1])
+    yield pa.record_batch([pa.array(out, pa.list_(pa.string()))], ["cycle"])
 
 
 def _named(name: str, df: DataFrame, ord_: int, summary: Column, detail: str) -> DataFrame:

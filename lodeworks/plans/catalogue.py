@@ -442,7 +442,7 @@ def project_edges(spark, d):
 
 @query(f"WITH {SQL_FINDINGS} SELECT replace(summary, 'Dependency cycle: ', '') AS cycle FROM cyc")
 def project_cycles(spark, d):
-    """Dependency cycles of up to three edges."""
+    """Dependency cycles of up to three edges, and longer ones among projects in none of these."""
     return cycle_table(spark, d).select(F.array_join("cycle", " -> ").alias("cycle"))
 
 
