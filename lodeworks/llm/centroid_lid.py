@@ -23,6 +23,10 @@ from lodeworks.llm.shared import small
 from lodeworks.llm.textops import tidy
 
 BUCKETS = 1 << 12
+#: A short text of a learned language comes nearer than this to a centroid, one of another language hardly ever.
+FLOOR = 0.17
+#: N-grams of a text that is short, and of one that is too short for a centroid to be near.
+FULL_GRAMS, FEW_GRAMS = 1200, 20
 _ROWS = 128
 _CHARS = 1 << 17
 
@@ -71,6 +75,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     of: np.ndarray
+    #: Least cosine of a short text that counts as near.
+    floor: float = FLOOR
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -140,15 +146,20 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     drawn = rows.join(F.broadcast(ids), ["k", "l"]).select("l", "k", "t").mapInArrow(_vectors, "l string, k string, v binary")
     got = sorted((r.l, r.k, bytes(r.v)) for r in drawn.collect())
     model = Model([], idf.astype(np.float32), np.zeros((0, BUCKETS)), np.zeros(0, int))
-    rng, cents, of = np.random.default_rng(seed), [], []
+    rng, cents, of, near = np.random.default_rng(seed), [], [], []
     for j, name in enumerate(sorted({x[0] for x in got})):
         mine = [x[2] for x in got if x[0] == name][: 2 * sample_per_language]
-        v = model.vectors(np.array([_dense(x) for x in mine]))
+        counts = np.array([_dense(x) for x in mine])
+        v = model.vectors(counts)
         c = _kmeans(v, clusters, rounds, rng)
+        grams = counts.sum(1)
+        near += (v @ c.T).max(1)[(grams >= FEW_GRAMS) & (grams < FULL_GRAMS)].tolist()
         cents.append(c)
         of += [j] * len(c)
         model.languages.append(name)
     model.centroids, model.of = np.concatenate(cents).astype(np.float32), np.array(of)
+    if len(near) >= 50:  # where short training rows themselves are far, fewer than one in twenty is rejected
+        model.floor = min(FLOOR, float(np.quantile(near, 0.05)))
     return model
 
 
@@ -172,14 +183,13 @@ def _dense(packed: bytes) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.2, full_grams: int = 1200) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.2, full_grams: int = FULL_GRAMS) -> DataFrame:
     """docs with lang_pred, score and rejected.
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter, or no language was learned. rejected
     is true there and where the nearest centroid is too far: its cosine is under ``threshold``, lowered in proportion
-    for texts of fewer than ``full_grams`` n-grams, as few n-grams can't come near any centroid.
-    is true there and where the nearest centroid is too far: its cosine is under ``threshold``, lowered in proportion
-    for texts of fewer than ``full_grams`` n-grams, as few n-grams can't come near any centroid.
+    for texts of fewer than ``full_grams`` n-grams, but not under the model's floor. Texts of fewer than FEW_GRAMS
+    n-grams (two or three words) can't come near any centroid, so for them the floor is lowered in proportion.
     Columns of these names in docs are replaced; all others, whatever their names, stay as they are.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
@@ -195,8 +205,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
                 which, score, grams = m.nearest(texts)
                 ok = np.array([bool(m.languages) and has_letter(t) for t in texts], bool)
                 score = np.where(ok, score, 0.0)
+                bar = np.maximum(threshold * np.minimum(1, grams / full_grams), min(threshold, m.floor) * np.minimum(1, grams / FEW_GRAMS))
                 names = [m.languages[j] if k else "und" for j, k in zip(which, ok, strict=True)]
-                yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~ok | (score < threshold * np.minimum(1, grams / full_grams)))], [*part.schema.names, "lang_pred", "score", "rejected"])
+                yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~ok | (score < bar))], [*part.schema.names, "lang_pred", "score", "rejected"])
         tidy()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, rejected boolean"])

@@ -316,6 +316,18 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(got[i].rejected for i in (1, 2, 3, 4)) and got[5].lang_pred == "aa"
 
 
+def test_short_texts_of_an_unlearned_language_are_rejected(spark):
+    rng = np.random.default_rng(13)
+    letters = {"aa": "aeiourst", "bb": "aeioulmn", "other": "aeiodgpk"}
+    rows = [(i, prose(rng, int(rng.integers(8, 250)), letters[k]), k) for i in range(800) for k in ["aa" if i % 2 else "bb"]]
+    model = centroid_lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    short = [(i, prose(rng, int(rng.integers(8, 17)), letters[k]), k) for i in range(300) for k in [list(letters)[i % 3]]]
+    out = centroid_lid.predict(spark.createDataFrame(short, "doc_id long, text string, lang string"), model).collect()
+    assert all(centroid_lid.gram_counts([r.text]).sum() < 300 for r in out)
+    assert sum(r.rejected for r in out if r.lang == "other") >= 95
+    assert sum(r.rejected for r in out if r.lang != "other") <= 2
+
+
 def test_gram_counts_are_whole():
     rng = np.random.default_rng(9)
     text = prose(rng, 5000, "abcXYé") + "  ,, 12 end"
