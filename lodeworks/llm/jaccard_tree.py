@@ -309,8 +309,11 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str =
     keyed = sketch.where("id is not null and n > 0")
     w = Window.partitionBy("key")
     seg = keyed.select("node", F.explode("keys").alias("key"))
-    met = seg.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), F.bit_xor("node").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("c")).where("lo < hi")
-    met = stored(met.select("key", "node", "lo", F.xxhash64("lo", "hi", "total", "c").alias("same"), "c"), "met")
+    # rows of a node are as many in each of its buckets, so sums over rows tell sets of nodes apart; halves can't overflow
+    hashes = [F.xxhash64("node"), F.xxhash64("node", F.lit(1))]
+    halves = [x for h in hashes for x in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    met = seg.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), *[F.sum(x).over(w).alias(f"total{i}") for i, x in enumerate(halves)], F.count(F.lit(1)).over(w).alias("c")).where("lo < hi")
+    met = stored(met.select("key", "node", "lo", F.xxhash64("lo", "hi", "total0", "total1", "total2", "total3", "c").alias("same"), "c"), "met")
     # documents that are alike meet under many keys: buckets of the same nodes are one bucket
     once = met.groupBy("same").agg(F.min("key").alias("key"))
     rows = stored(met.join(once, ["same", "key"]).select("key", "node", "lo", "c").distinct(), "buckets")

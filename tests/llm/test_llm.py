@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,36 @@ def test_join_is_exact(spark, seed, k, num, block):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == list(zip(range(len(texts)), sizes, parts, strict=True))
 
 
+def test_buckets_of_even_copies_stay_apart(spark):
+    """Buckets {L, H, Z} with Z twice: L and H hold the extreme digests, and each Z meets L in its own bucket only."""
+    k, num, den = 3, 90, 100
+    rng = np.random.default_rng(3)
+
+    def sketch(text):
+        s = next(iter(jaccard_tree.shingle_sets(pa.array([text]), k)))
+        return s, jaccard_tree.digest(s), set(jaccard_tree.segment_keys(s, num, den).tolist())
+
+    word = lambda: prose(rng, 1, "abcdefghijklmnop")
+    only: dict[int, str] = {}
+    while len(only) < 4:
+        base = prose(rng, 22, "abcdefghijklmnop")
+        far = f"{base} {word()}"
+        low, high = sketch(base), sketch(far)
+        ends = sorted((low[1], high[1]))
+        if len(low[0]) != 20 or len(low[2]) != 5 or len(low[2] & high[2]) != 4 or ends[1] - ends[0] < 8 << 60:
+            continue
+        only = {}
+        for _ in range(400):
+            z = f"{word()} {base} {word()}"
+            s = sketch(z)
+            gone = (low[2] & high[2]) - s[2]
+            if ends[0] < s[1] < ends[1] and len(gone) == 1 and not (low[2] - high[2]) & s[2]:
+                only.setdefault(min(gone), z)
+    texts = [base, far, *(z for z in only.values() for _ in range(2))]
+    got = sorted(jaccard_tree.join(corpus(spark, texts), k, num, den).collect())
+    assert [r.component_id for r in got] == brute_components(texts, k, num, den)[1]
+
+
 def test_tree_prunes_nothing_that_links():
     rng = np.random.default_rng(2)
     sets = []
