@@ -7,14 +7,19 @@ den * intersection >= num * union.
    and segment keys. Hash space is cut into m segments; m is more than the largest symmetric difference that linked
    sets of that size class can have, so linked sets agree on at least one whole segment (pigeonhole). Nodes that
    share a segment key form the roots of the trees; nothing else can link.
-2. Each bucket of nodes with a common key is a signature tree over bitmaps: hierarchical nodes hold OR-combined
-   bitmaps and size ranges. Dual traversal prunes node pairs whose greatest possible overlap is too small, and pairs
-   whose leaves are already joined. What is left joins nodes to forests (connected components, in Spark).
-3. A forest's sets are gathered once, in blocks bounded in bytes: a large forest is cut into blocks and each pair of
-   blocks is a task of its own. The same tree and traversal find its links, now verified on the exact sets. Only
-   links that join two parts are emitted, so a group of many copies costs about one verification a copy, not a pair.
+2. Nodes that meet under a key are put together by the least node they meet, each once however many keys they share.
+   Each such group is a signature tree over bitmaps: hierarchical nodes hold OR-combined bitmaps and size ranges. Dual
+   traversal prunes node pairs whose greatest possible overlap is too small, and pairs whose leaves are already joined.
+   What is left joins nodes to forests (connected components, in Spark).
+3. The sets of a forest are gathered, and the same tree and traversal find its links, now verified on the exact sets.
+   Only links that join two parts are emitted, so a group of many copies costs about one verification a copy, not a pair.
 4. Links become components by least document id.
 
+A group or forest of more than ``block_bytes`` is never one task. All its members are first compared with one of them,
+the pivot, in a pass that needs no group at all; those that link to it are one part. Only the rest, in blocks, are then
+compared with all, in blocks, each pair of blocks a task: near copies of one text are nearly all linked to the pivot,
+so what is sent grows with the rest and not with the square of the group.
+
 No cap, no sampling: every pair that links is found or is already connected through links that were verified.
 """
 
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.shared import components, forget, small, stored
+from lodeworks.llm.shared import components, forget, quoted, small, stored, unused
 from lodeworks.llm.textops import mix, pieces, tidy, window_hashes, words
 
 #: Ratio of a size class's largest to its smallest set.
@@ -117,50 +122,52 @@ def narrowed(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sketch(k: int, num: int, den: int):
+    """Sizes and nodes of all rows; keys and bitmap of a node only once a task, so copies add nothing to the shuffle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             n, node, keys, bits = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
-                bits.append(bitmap(s))
+            named = batch.column(0).is_valid().to_pylist()
+            for i, s in enumerate(shingle_sets(batch.column(2), k)):
                 n.append(len(s))
                 node.append(digest(s))
-                keys.append(segment_keys(s, num, den))
+                if len(s) and named[i] and node[-1] not in seen:
+                    seen.add(node[-1])
+                    keys.append(segment_keys(s, num, den))
+                    bits.append(bitmap(s))
+                else:
+                    keys.append(np.zeros(0, np.int64))
+                    bits.append(None)
             off = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(bits, pa.binary())], ["id", "n", "node", "keys", "bits"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(bits, pa.binary())], ["id", "h", "n", "node", "keys", "bits"])
         tidy()
 
     return run
 
 
 def _sets(k: int):
-    """Sets of the documents that need them; a row whose text isn't the representative's (a repeated id) goes."""
+    """The sets of the texts, in batches of bounded bytes; g and id go along. Rows that repeat an id give one a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            text, want = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("node")).to_numpy()
-            size, part, where = 0, [], []
-            rest = batch.drop_columns(["text"])
-            for i, s in enumerate(shingle_sets(text, k)):
-                if digest(s) == want[i]:
-                    part.append(s.tobytes())
-                    where.append(i)
-                    size += s.nbytes
-                if part and (size > BLOCK_BYTES // 2 or i == len(text) - 1):
-                    yield _with(rest, where, part)
-                    size, part, where = 0, [], []
-            if part:
-                yield _with(rest, where, part)
+            new = [x not in seen and not seen.add(x) for x in batch.column(1).to_pylist()]
+            batch = batch if all(new) else batch.filter(pa.array(new))
+            done, size, part = 0, 0, []
+            for s in shingle_sets(batch.column(2), k):
+                part.append(s)
+                size += s.nbytes
+                if size > BLOCK_BYTES // 2 or done + len(part) == len(batch):
+                    rest = batch.slice(done, len(part))
+                    yield pa.record_batch([rest.column(0), rest.column(1), pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], ["g", "id", "n", "data"])
+                    done, size, part = done + len(part), 0, []
         tidy()
 
     return run
 
 
-def _with(rest: pa.RecordBatch, where: list[int], part: list[bytes]) -> pa.RecordBatch:
-    own = rest.take(pa.array(where))
-    return pa.record_batch([*own.columns, pa.array(part, pa.binary())], [*own.schema.names, "s"])
-
-
 class Tree:
     """A signature tree: leaves of LEAF sets, FAN children a node, arrays by level from the leaves up. It knows the
     sets by their sizes and bitmaps; ``near`` puts sets that are likely alike next to each other."""
@@ -181,20 +188,34 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(o, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(extra, at), first[at], end[np.r_[at[1:] - 1, len(o) - 1]]))
 
 
-def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None, one: np.ndarray | None = None) -> np.ndarray:
     """The part (a row index) of each set after all its links; without the sets themselves, after all pairs that
-    their bitmaps don't rule out."""
+    their bitmaps don't rule out. Rows marked in ``one`` are known to be one part."""
     m = len(size)
     part = np.arange(m)
     if m < 2:
         return part
     tree = Tree(size, bitmaps, near)
     order, n, levels = tree.order, tree.n, tree.levels
-    root = np.arange(m)  # by row
-
-    def join(a: int, b: int) -> None:
-        x, y = root[a], root[b]
-        root[root == max(x, y)] = min(x, y)
+    up = np.arange(m)  # union-find over rows of the tree
+    if one is not None and one.any():
+        mine = np.flatnonzero(one[order])
+        up[mine] = mine[0]
+
+    def find(a: int) -> int:
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    def roots(a: int, b: int) -> np.ndarray:
+        r = up[a:b]
+        while True:
+            q = up[r]
+            if (q == r).all():
+                up[a:b] = r
+                return r
+            r = q
 
     def verify(a: int, b: int) -> bool:
         if sets is None:
@@ -210,7 +231,7 @@ def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, d
     while todo:
         level, i, j = todo.pop()
         bits, lo, hi, extra, first, end = levels[level]
-        ra, rb = root[first[i] : end[i]], root[first[j] : end[j]]
+        ra, rb = roots(first[i], end[i]), roots(first[j], end[j])
         if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all():
             continue
         if i != j:
@@ -236,64 +257,144 @@ def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, d
         good = (num + den) * most >= num * (n[x][:, None] + n[y][None, :])
         for p, q in zip(*np.nonzero(good), strict=True):
             a, b = x[p], y[q]
-            if a < b and root[a] != root[b] and verify(a, b):
-                join(a, b)
-    part[order] = order[root]
+            if a < b and find(a) != find(b) and verify(a, b):
+                u, v = find(a), find(b)
+                up[max(u, v)] = min(u, v)
+    part[order] = order[roots(0, m)]
     return part
 
 
-def _forest(num: int, den: int):
-    def run(group: pa.Table) -> pa.Table:
-        comp = group.column("comp").to_numpy()
-        rep = group.column("rep").to_numpy()
-        blobs = group.column("s").to_pylist()
-        many = group.column("k").to_numpy()
-        order = np.argsort(comp, kind="stable")
-        cut = np.flatnonzero(np.r_[True, comp[order][1:] != comp[order][:-1], True])
-        a, b, open_ = [], [], []
+def _as_set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _groups(num: int, den: int, exact: bool):
+    """In each group g, links (a, b) to the least id of its part; ``data`` are bitmaps or, if exact, the sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        g, ids, n, one = (table.column(c).to_numpy() for c in ("g", "id", "n", "one"))
+        data = table.column("data").to_pylist()
+        order = np.argsort(g, kind="stable")
+        cut = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1], True])
+        a, b = [], []
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             rows = order[x:y]
-            sets = [np.frombuffer(blobs[r], np.uint64) for r in rows]
-            part = linked(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], np.array([s[0] for s in sets]), num, den, sets)
-            ids = rep[rows]
-            least = {}
-            for p, i in zip(part, ids, strict=True):
-                least[p] = min(least.get(p, i), i)
-            size = np.bincount(part, minlength=len(part))
-            for p, i, r in zip(part, ids, rows, strict=True):
-                if size[p] > 1:
-                    a.append(i)
-                    b.append(least[p])
-                    open_.append(bool(many[r] > 1))
+            if exact:
+                sets = [_as_set(data[r]) for r in rows]
+                part = linked(n[rows], [bitmap(s) for s in sets], np.array([s[0] for s in sets]), num, den, sets, one[rows])
+            else:
+                part = linked(n[rows], [data[r] for r in rows], n[rows], num, den, one=one[rows])
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, part, ids[rows])
+            to = least[part]
+            off = to != ids[rows]
+            a.append(ids[rows][off])
+            b.append(to[off])
         tidy()
-        return pa.table({"rep": pa.array(a, pa.int64()), "label": pa.array(b, pa.int64()), "open": pa.array(open_, pa.bool_())})
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
     return run
 
 
-def _plausible(num: int, den: int):
-    """In each bucket, links that join the nodes whose bitmaps and sizes allow a link."""
+def _star(num: int, den: int, exact: bool):
+    """Is each row linked to its group's pivot (or, by bitmaps, not ruled out)?"""
 
-    def run(group: pa.Table) -> pa.Table:
-        key, node, n = (group.column(c).to_numpy() for c in ("key", "node", "n"))
-        bits = group.column("bits").to_pylist()
-        order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
-        a, b = [], []
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            rows = order[x:y]
-            part = linked(n[rows], [bits[r] for r in rows], n[rows], num, den)
-            off = np.flatnonzero(part != np.arange(len(part)))
-            a.append(node[rows[off]])
-            b.append(node[rows[part[off]]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, pn = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "pn"))
+            one = []
+            for i, (x, y) in enumerate(zip(batch.column(batch.schema.get_field_index("data")).to_pylist(), batch.column(batch.schema.get_field_index("pdata")).to_pylist(), strict=True)):
+                size = np.array([n[i], pn[i]])
+                if exact:
+                    sets = [_as_set(x), _as_set(y)]
+                    part = linked(size, [bitmap(s) for s in sets], size, num, den, sets)
+                else:
+                    part = linked(size, [x, y], size, num, den)
+                one.append(bool(part[0] == part[1]))
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in ("g", "id", "n", "data", "pivot", "k")), pa.array(one, pa.bool_())], ["g", "id", "n", "data", "pivot", "k", "one"])
         tidy()
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
-#: Nodes in a bucket beyond which its nodes are joined to its least one unseen, and the exact sets decide.
-LARGE_BUCKET = 20_000
+def links(rows: DataFrame, num: int, den: int, exact: bool, block_bytes: int) -> tuple[DataFrame, bool]:
+    """(a, b) that join the linked members of each group of a stored table (g, id, n, data), and whether each group's
+    members all came to the least of their part, so that no components are left to be found."""
+    size = F.octet_length("data") + 32
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    deals = int(total // max(block_bytes // 8, 1)) + 32
+    by = rows.groupBy("g").agg(F.sum(size).alias("bytes"), F.min("id").alias("pivot"))
+    big = stored(by.where(F.col("bytes") > block_bytes).select("g", "pivot", (F.floor(F.col("bytes") / block_bytes) + 1).alias("k")), "big")
+    many, run = big.count(), _groups(num, den, exact)
+    calm = rows if not many else rows.join(small(big, many, 32), "g", "left_anti")
+    none = F.lit(False).alias("one")
+    out = calm.select(F.pmod(F.xxhash64("g"), F.lit(deals)).alias("deal"), "g", "id", "n", "data", none).groupBy("deal").applyInArrow(run, "a long, b long")
+    if not many:
+        return out, True
+    hot = rows.join(small(big, many, 32), "g")
+    pivots = stored(hot.where("id = pivot").select("g", F.col("n").alias("pn"), F.col("data").alias("pdata")).dropDuplicates(["g"]), "pivots")
+    width = pivots.agg(F.coalesce(F.sum(F.octet_length("pdata") + 32), F.lit(0))).first()[0]
+    starred = stored(hot.join(small(pivots, 1, width), "g").mapInArrow(_star(num, den, exact), "g long, id long, n long, data binary, pivot long, k long, one boolean"), "starred")
+    rest = starred.where("not one").groupBy("g").agg((F.floor(F.sum(size) / block_bytes) + 1).alias("kr"))
+    w = starred.join(small(rest, many, 24), "g")
+    block = lambda k: F.pmod(F.xxhash64("id"), F.col(k))
+    every = w.select("g", "id", "n", "data", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kr") - 1)).alias("i"), block("k").alias("j"))
+    left = w.where("not one").select("g", "id", "n", "data", "one", block("kr").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    met = every.unionByName(left).groupBy(F.col("g").alias("group"), "i", "j").applyInArrow(run, "a long, b long")
+    return out.unionByName(starred.where("one and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))).unionByName(met), False
+
+
+#: Nodes under one key beyond which the key is hot, and the share of the nodes by which hot keys are found.
+HOT_NODES, HOT_SHARE = 20_000, 64
+
+
+def meetings(seg: DataFrame) -> DataFrame:
+    """(g, node): the nodes that meet under some key, each with the least node (g) of that key, each pair once.
+
+    Rows of a key are dealt to one task, but for the hot keys: their least node is found by partial aggregation. Which
+    keys are hot is estimated from every 64th node; that decides the way only, and both ways give the same.
+    """
+    w = Window.partitionBy("key")
+    counted = seg.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(HOT_SHARE)) == 0).groupBy("key").count()
+    heavy = stored(counted.where(F.col("count") > HOT_NODES // HOT_SHARE).select("key"), "heavy")
+    many = heavy.count()
+    cold = seg if not many else seg.join(small(heavy, many, 16), "key", "left_anti")
+    met = cold.select("node", F.min("node").over(w).alias("g"), F.max("node").over(w).alias("hi")).where("g < hi").select("g", "node")
+    if many:
+        hot = seg.join(small(heavy, many, 16), "key")
+        ends = hot.groupBy("key").agg(F.min("node").alias("g"), F.max("node").alias("hi")).where("g < hi")
+        met = met.unionByName(hot.join(small(ends, many, 32), "key").select("g", "node"))
+    return met.distinct()
+
+
+def _solved(docs: DataFrame, k: int, num: int, den: int, key: str, text: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """A row (id, h, n, node) for each of docs, and by node (node, least (id, h) of its component)."""
+    slim = docs.select(F.col(quoted(key)).cast("long").alias("id"), F.xxhash64(F.col(quoted(text))).alias("h"), F.col(quoted(text)).alias("text"))
+    sketch = stored(slim.mapInArrow(_sketch(k, num, den), "id long, h long, n long, node long, keys array<long>, bits binary"), "sketch")
+    keyed = sketch.where("id is not null and n > 0")
+    first = keyed.where("bits is not null")
+    pairs = stored(meetings(first.select("node", F.explode("keys").alias("key"))), "meetings")
+    nodes = pairs.select("node").distinct()
+    about = first.join(nodes, "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
+    grouped = stored(pairs.join(about, "node").select("g", F.col("node").alias("id"), "n", F.col("bits").alias("data")), "groups")
+    forget(pairs)
+    edges, _ = links(grouped, num, den, False, block_bytes)
+    trees = components(edges)
+    reps = keyed.groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"))
+    wanted = stored(trees.join(reps, "node").select("node", F.col("label").alias("g"), F.col("r.id").alias("rep"), F.col("r.h").alias("rh")), "members")
+    count = wanted.count()
+    texts = slim.join(small(wanted, count, 48), (F.col("id") == F.col("rep")) & (F.col("h") == F.col("rh")))
+    sets = stored(texts.select("g", F.col("node").alias("id"), "text").mapInArrow(_sets(k), "g long, id long, n long, data binary"), "sets")
+    forget(grouped)
+    found, closed = links(sets, num, den, True, block_bytes)
+    found = stored(found, "links")
+    forget(sets)
+    to = found.select(F.col("a").alias("node"), F.col("b").alias("label")) if closed else components(found)
+    to = to.groupBy("node").agg(F.min("label").alias("label"))
+    labels = reps.join(to, "node", "left").select("node", "r", F.coalesce("label", "node").alias("label"))
+    least = labels.groupBy("label").agg(F.min("r").alias("c"))
+    return sketch.select("id", "h", "n", "node"), labels.join(least, "label").select("node", "c")
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -301,64 +402,29 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, key: str =
 
     component_id is the least key reachable by links, itself included. Null and wordless texts have no shingles and
     are linked with nothing. A null key links nothing and gets a null component, as it can't be told from others.
-    Repeated rows link to each other like any equal texts. Other columns of docs are not looked at.
+    Repeated rows link to each other like any equal texts; rows that repeat a key with another text are rows of their
+    own. Other columns of docs are not looked at.
     """
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = stored(slim.mapInArrow(_sketch(k, num, den), "id long, n long, node long, keys array<long>, bits binary"), "sketch")
-
-    keyed = sketch.where("id is not null and n > 0")
-    w = Window.partitionBy("key")
-    seg = keyed.select("node", F.explode("keys").alias("key"))
-    # rows of a node are as many in each of its buckets, so sums over rows tell sets of nodes apart; halves can't overflow
-    hashes = [F.xxhash64("node"), F.xxhash64("node", F.lit(1))]
-    halves = [x for h in hashes for x in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
-    met = seg.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), *[F.sum(x).over(w).alias(f"total{i}") for i, x in enumerate(halves)], F.count(F.lit(1)).over(w).alias("c")).where("lo < hi")
-    met = stored(met.select("key", "node", "lo", F.xxhash64("lo", "hi", "total0", "total1", "total2", "total3", "c").alias("same"), "c"), "met")
-    # documents that are alike meet under many keys: buckets of the same nodes are one bucket
-    once = met.groupBy("same").agg(F.min("key").alias("key"))
-    rows = stored(met.join(once, ["same", "key"]).select("key", "node", "lo", "c").distinct(), "buckets")
-    forget(met)
-    about = keyed.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
-    few = rows.where(F.col("c") <= LARGE_BUCKET).select("key", "node").join(about, "node")
-    deals = F.lit(int(rows.count() // 10_000) + 32)
-    plausible = few.groupBy(F.pmod(F.xxhash64("key"), deals).alias("deal")).applyInArrow(_plausible(num, den), "a long, b long")
-    edges = plausible.unionByName(rows.where((F.col("c") > LARGE_BUCKET) & (F.col("node") != F.col("lo"))).select(F.col("node").alias("a"), F.col("lo").alias("b")))
-    trees = components(edges, "a", "b")
-    reps = keyed.groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    members = stored(trees.join(reps, "node").select("node", F.col("label").alias("comp"), "rep", "n"), "members")
-    sized = members.groupBy("comp").agg((F.floor(F.sum("n") * 8 / block_bytes) + 1).alias("k"))
-    count, size = members.select(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = int(size * 8 // (block_bytes // 8)) + 32
-    wanted = members.join(sized, "comp").select("comp", "node", "rep", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
-    texts = slim.where("id is not null").join(small(wanted, count, 48), F.col("id") == F.col("rep")).select("comp", "node", "rep", "k", "block", "text")
-    sets = texts.mapInArrow(_sets(k), "comp long, node long, rep long, k long, block long, s binary")
-    dealt = sets.select("comp", "rep", "k", "s", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")).select(
-        "comp", "rep", "k", "s",
-        F.when(F.col("k") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(groups))).alias("g"),
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-    )
-    found = stored(dealt.groupBy("g", "i", "j", F.col("k") > 1).applyInArrow(_forest(num, den), "rep long, label long, open boolean"), "links")
-    closed = found.where("not open").select("rep", "label")
-    opened = found.where("open and rep != label").select("rep", "label")
-    if not opened.isEmpty():
-        closed = closed.unionByName(components(opened, "rep", "label").select(F.col("node").alias("rep"), "label"))
-    closed = closed.groupBy("rep").agg(F.min("label").alias("label"))  # rows that repeat a key met more than once
-    labels = reps.join(closed, "rep", "left").select("node", F.coalesce("label", "rep").alias("component"))
-    out = sketch.select("id", "n", "node").join(labels, "node", "left")
+    rows, labels = _solved(docs, k, num, den, key, text, block_bytes)
+    out = rows.join(labels.select("node", F.col("c.id").alias("component")), "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row of least key stays; all columns are kept.
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without near-duplicates: of each component the row of least key stays (of its texts, that of least hash);
+    all columns are kept, whatever their names.
 
-    Rows that repeat a key are told apart by nothing, so one of them stays. Rows with a null key all stay.
+    Of rows that repeat both key and text one stays. Rows with a null key and rows without a word all stay.
     """
-    verdict = join(docs, k, num, den, key, text)
-    stay = stored(verdict.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep")).distinct(), "kept")
-    rows = stay.count()
-    named = docs.join(small(stay, rows, 16), F.col(key) == F.col("_keep"), "left_semi")
-    repeated = docs.groupBy(key).count().where(f"count > 1 and `{key}` is not null").limit(1)
-    if not repeated.isEmpty():
-        named = named.dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    rows, labels = _solved(docs, k, num, den, key, text, block_bytes)
+    id_, h, c = unused(docs, "id", "h", "count")
+    named = rows.where("id is not null and n > 0").join(labels, "node")
+    counted = stored(named.groupBy("id", "h").agg(F.max(F.struct("id", "h") == F.col("c")).alias("stays"), F.count(F.lit(1)).alias("rows")), "verdicts")
+    gone = counted.where("not stays").select(F.col("id").alias(id_), F.col("h").alias(h))
+    twice = counted.where("stays and rows > 1").select(F.col("id").alias(id_), F.col("h").alias(h))
+    n_gone, n_twice = gone.count(), twice.count()
+    on = [id_, h]
+    out = docs.withColumn(id_, F.col(quoted(key)).cast("long")).withColumn(h, F.xxhash64(F.col(quoted(text)))).join(small(gone, n_gone, 24), on, "left_anti")
+    if n_twice:
+        out = out.join(small(twice, n_twice, 24), on, "left_anti").unionByName(out.join(small(twice, n_twice, 24), on, "left_semi").dropDuplicates(on))
+    return out.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -64,6 +64,22 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has; Spark's names know no case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (node, label), label the least node reached.
 

@@ -126,6 +126,44 @@ def test_join_is_exact(spark, seed, k, num, block):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == list(zip(range(len(texts)), sizes, parts, strict=True))
 
 
+@pytest.mark.parametrize(("seed", "copies", "k", "num"), [(21, 2, 1, 80), (22, 4, 3, 90), (23, 2, 5, 80)])
+def test_join_is_exact_with_copies_and_hot_keys(spark, monkeypatch, seed, copies, k, num):
+    """Each near copy has exact copies; keys of four nodes count as hot and groups of 3000 bytes as large."""
+    monkeypatch.setattr(jaccard_tree, "HOT_NODES", 4)
+    monkeypatch.setattr(jaccard_tree, "HOT_SHARE", 1)
+    texts = [t for t in near_texts(seed) for _ in range(copies)]
+    got = sorted(jaccard_tree.join(corpus(spark, texts), k, num, 100, block_bytes=3000).collect())
+    assert [r.component_id for r in got] == brute_components(texts, k, num, 100)[1]
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Most members link to the pivot of their group; the rest is compared with all in blocks."""
+    rng = np.random.default_rng(31)
+    base = prose(rng, 90).split()
+    texts = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(1 + i % 9):
+            w[int(rng.integers(len(w)))] = prose(rng, 1)
+        texts.append(" ".join(w))
+    got = sorted(jaccard_tree.join(corpus(spark, texts), 5, 80, 100, block_bytes=4000).collect())
+    parts = brute_components(texts, 5, 80, 100)[1]
+    assert [r.component_id for r in got] == parts
+    kept = jaccard_tree.keep_one(corpus(spark, texts), block_bytes=4000).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(parts))
+
+
+def test_keep_one_with_repeated_keys_and_clashing_names(spark):
+    rng = np.random.default_rng(32)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, a, "x"), (3, b.upper(), "y"), (None, a, "n"), (4, "", "e"), (4, None, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _keep string").withColumn("ID", F.lit("own")).withColumn("h", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = jaccard_tree.keep_one(d)
+    assert got.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (None, a), (4, ""), (4, None)])
+    assert {(r.ID, r.h, r["a.b"]) for r in got.collect()} == {("own", 1, 2)}
+
+
 def test_buckets_of_even_copies_stay_apart(spark):
     """Buckets {L, H, Z} with Z twice: L and H hold the extreme digests, and each Z meets L in its own bucket only."""
     k, num, den = 3, 90, 100
