@@ -7,10 +7,10 @@ den * intersection >= num * union.
    and segment keys. Hash space is cut into m segments; m is more than the largest symmetric difference that linked
    sets of that size class can have, so linked sets agree on at least one whole segment (pigeonhole). Nodes that
    share a segment key form the roots of the trees; nothing else can link.
-2. Nodes that meet under a key are put together by the least node they meet, each once however many keys they share.
-   Each such group is a signature tree over bitmaps: hierarchical nodes hold OR-combined bitmaps and size ranges. Dual
-   traversal prunes node pairs whose greatest possible overlap is too small, and pairs whose leaves are already joined.
-   What is left joins nodes to forests (connected components, in Spark).
+2. The nodes of a key are a bucket. Buckets of the same least node come to one task, with their nodes' bitmaps once
+   however many buckets a node is in. Each bucket is a signature tree over bitmaps: hierarchical nodes hold OR-combined
+   bitmaps and size ranges. Dual traversal prunes node pairs whose greatest possible overlap is too small, and pairs whose
+   leaves are already joined. What is left joins nodes to forests (connected components, in Spark).
 3. The sets of a forest are gathered, and the same tree and traversal find its links, now verified on the exact sets.
    Only links that join two parts are emitted, so a group of many copies costs about one verification a copy, not a pair.
 4. Links become components by least document id.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.shared import components, forget, quoted, small, stored, unused
@@ -188,19 +188,30 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(o, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(extra, at), first[at], end[np.r_[at[1:] - 1, len(o) - 1]]))
 
 
-def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None, one: np.ndarray | None = None) -> np.ndarray:
+def possible(size: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> bool:
+    """Do two sets' bitmaps allow a link?"""
+    words = min(map(len, bitmaps)) // 8
+    x, y = (narrowed(np.frombuffer(b, np.uint64), words) for b in bitmaps)
+    both = int(np.bitwise_count(x & y).sum())
+    a, b = (int(n) - int(np.bitwise_count(v).sum()) for n, v in zip(size, (x, y), strict=True))
+    return (num + den) * min(both + a, both + b, int(size.min())) >= num * int(size.sum())
+
+
+def linked(size: np.ndarray, bitmaps: list[bytes], near: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None, known: np.ndarray | None = None) -> np.ndarray:
     """The part (a row index) of each set after all its links; without the sets themselves, after all pairs that
-    their bitmaps don't rule out. Rows marked in ``one`` are known to be one part."""
+    their bitmaps don't rule out. Rows of equal ``known`` are one part from the start."""
     m = len(size)
     part = np.arange(m)
     if m < 2:
         return part
+    if m == 2 and sets is None:
+        return np.zeros(2, np.int64) if possible(size, bitmaps, num, den) else part
     tree = Tree(size, bitmaps, near)
     order, n, levels = tree.order, tree.n, tree.levels
     up = np.arange(m)  # union-find over rows of the tree
-    if one is not None and one.any():
-        mine = np.flatnonzero(one[order])
-        up[mine] = mine[0]
+    if known is not None:
+        _, first, of = np.unique(known[order], return_index=True, return_inverse=True)
+        up[:] = first[of]
 
     def find(a: int) -> int:
         while up[a] != a:
@@ -269,7 +280,8 @@ def _as_set(data: bytes) -> np.ndarray:
 
 
 def _groups(num: int, den: int, exact: bool):
-    """In each group g, links (a, b) to the least id of its part; ``data`` are bitmaps or, if exact, the sets."""
+    """In each group g, links (a, b) to the least id of its part; ``data`` are bitmaps or, if exact, the sets. Rows marked
+    as ``one`` are known to be one part."""
 
     def run(table: pa.Table) -> pa.Table:
         g, ids, n, one = (table.column(c).to_numpy() for c in ("g", "id", "n", "one"))
@@ -279,11 +291,12 @@ def _groups(num: int, den: int, exact: bool):
         a, b = [], []
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             rows = order[x:y]
+            known = np.where(one[rows], -1, np.arange(len(rows)))
             if exact:
                 sets = [_as_set(data[r]) for r in rows]
-                part = linked(n[rows], [bitmap(s) for s in sets], np.array([s[0] for s in sets]), num, den, sets, one[rows])
+                part = linked(n[rows], [bitmap(s) for s in sets], np.array([s[0] for s in sets]), num, den, sets, known)
             else:
-                part = linked(n[rows], [data[r] for r in rows], n[rows], num, den, one=one[rows])
+                part = linked(n[rows], [data[r] for r in rows], n[rows], num, den, known=known)
             least = np.full(len(rows), np.iinfo(np.int64).max)
             np.minimum.at(least, part, ids[rows])
             to = least[part]
@@ -318,20 +331,59 @@ def _star(num: int, den: int, exact: bool):
     return run
 
 
-def links(rows: DataFrame, num: int, den: int, exact: bool, block_bytes: int) -> tuple[DataFrame, bool]:
-    """(a, b) that join the linked members of each group of a stored table (g, id, n, data), and whether each group's
-    members all came to the least of their part, so that no components are left to be found."""
-    size = F.octet_length("data") + 32
+def _plausible(num: int, den: int):
+    """Of buckets (key, node) and the nodes' bitmaps, each once: links that join the nodes of each bucket whose bitmaps
+    and sizes allow a link. Parts are kept from bucket to bucket, and buckets of the same nodes are one."""
+
+    def run(rows: pa.Table, about: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(rows):
+            return none
+        node, n, bits = about.column("own").to_numpy(), about.column("n").to_numpy(), about.column("bits").to_pylist()
+        sort = np.argsort(node)
+        key, at = rows.column("key").to_numpy(), sort[np.searchsorted(node[sort], rows.column("node").to_numpy())]
+        order = np.lexsort((at, key))
+        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        root, seen = np.arange(len(node)), set()
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            own = at[order[x:y]]
+            if (name := own.tobytes()) in seen:
+                continue
+            seen.add(name)
+            known = root[own]
+            while (root[known] != known).any():
+                known = root[known]
+            root[own] = known
+            if (known == known[0]).all():
+                continue
+            part = linked(n[own], [bits[i] for i in own], n[own], num, den, known=known)
+            for i in np.flatnonzero(part != np.arange(len(part))):
+                u, v = known[i], known[part[i]]
+                while root[u] != u:
+                    u = root[u]
+                while root[v] != v:
+                    v = root[v]
+                root[max(u, v)] = min(u, v)
+        while (root[root] != root).any():
+            root = root[root]
+        off = root != np.arange(len(root))
+        tidy()
+        return pa.table({"a": node[off], "b": node[root[off]]})
+
+    return run
+
+
+def _weighed(rows: DataFrame, size: Column, block_bytes: int) -> tuple[int, DataFrame, int]:
+    """(tasks to deal groups to, groups of more than a block with their least id and number of blocks, their number)."""
     total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    deals = int(total // max(block_bytes // 8, 1)) + 32
     by = rows.groupBy("g").agg(F.sum(size).alias("bytes"), F.min("id").alias("pivot"))
     big = stored(by.where(F.col("bytes") > block_bytes).select("g", "pivot", (F.floor(F.col("bytes") / block_bytes) + 1).alias("k")), "big")
-    many, run = big.count(), _groups(num, den, exact)
-    calm = rows if not many else rows.join(small(big, many, 32), "g", "left_anti")
-    none = F.lit(False).alias("one")
-    out = calm.select(F.pmod(F.xxhash64("g"), F.lit(deals)).alias("deal"), "g", "id", "n", "data", none).groupBy("deal").applyInArrow(run, "a long, b long")
-    if not many:
-        return out, True
+    return int(total // max(block_bytes // 8, 1)) + 32, big, big.count()
+
+
+def _large(rows: DataFrame, big: DataFrame, many: int, num: int, den: int, exact: bool, block_bytes: int) -> DataFrame:
+    """(a, b): links of the members (g, id, n, data) of large groups, by their pivots and then in pairs of blocks."""
+    size = F.octet_length("data") + 32
     hot = rows.join(small(big, many, 32), "g")
     pivots = stored(hot.where("id = pivot").select("g", F.col("n").alias("pn"), F.col("data").alias("pdata")).dropDuplicates(["g"]), "pivots")
     width = pivots.agg(F.coalesce(F.sum(F.octet_length("pdata") + 32), F.lit(0))).first()[0]
@@ -341,8 +393,37 @@ def links(rows: DataFrame, num: int, den: int, exact: bool, block_bytes: int) ->
     block = lambda k: F.pmod(F.xxhash64("id"), F.col(k))
     every = w.select("g", "id", "n", "data", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kr") - 1)).alias("i"), block("k").alias("j"))
     left = w.where("not one").select("g", "id", "n", "data", "one", block("kr").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-    met = every.unionByName(left).groupBy(F.col("g").alias("group"), "i", "j").applyInArrow(run, "a long, b long")
-    return out.unionByName(starred.where("one and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))).unionByName(met), False
+    met = every.unionByName(left).groupBy(F.col("g").alias("group"), "i", "j").applyInArrow(_groups(num, den, exact), "a long, b long")
+    return starred.where("one and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionByName(met)
+
+
+def links(rows: DataFrame, num: int, den: int, block_bytes: int) -> tuple[DataFrame, bool]:
+    """(a, b) that join the linked members of each forest of a stored table of sets (g, id, n, data), and whether each
+    forest's members all came to the least of their part, so that no components are left to be found."""
+    deals, big, many = _weighed(rows, F.octet_length("data") + 32, block_bytes)
+    calm = rows if not many else rows.join(small(big, many, 32), "g", "left_anti")
+    dealt = calm.select(F.pmod(F.xxhash64("g"), F.lit(deals)).alias("deal"), "g", "id", "n", "data", F.lit(False).alias("one"))
+    out = dealt.groupBy("deal").applyInArrow(_groups(num, den, True), "a long, b long")
+    return (out.unionByName(_large(rows, big, many, num, den, True, block_bytes)), False) if many else (out, True)
+
+
+def plausible(met: DataFrame, about: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
+    """(a, b) that join the nodes whose bitmaps allow a link, of a stored table of meetings (key, g, node) and of the
+    nodes' sizes and bitmaps (node, n, bits). Buckets whose least node is the same come to one task with their nodes'
+    bitmaps, each once; a bucket with too many of them is a large group."""
+    pairs = met.select("g", F.col("node").alias("id")).distinct()
+    width = about.select(F.col("node").alias("id"), F.col("n"), (F.octet_length("bits") + 32).alias("width"))
+    sized = stored(pairs.join(width, "id"), "pairs")
+    deals, big, many = _weighed(sized, F.col("width"), block_bytes)
+    deals = max(deals, int(met.count() // 20_000))
+    calm = met if not many else met.join(small(big, many, 32), "g", "left_anti")
+    dealt = calm.select(F.pmod(F.xxhash64("g"), F.lit(deals)).alias("deal"), "key", "node")
+    bitmaps = dealt.select(F.col("deal").alias("to"), F.col("node").alias("own")).distinct().join(about, F.col("own") == F.col("node")).select("to", "own", "n", "bits")
+    out = dealt.groupBy("deal").cogroup(bitmaps.groupBy("to")).applyInArrow(_plausible(num, den), "a long, b long")
+    if many:
+        rows = sized.join(small(big.select("g"), many, 16), "g", "left_semi").join(about.select(F.col("node").alias("id"), F.col("bits").alias("data")), "id").select("g", "id", "n", "data")
+        out = out.unionByName(_large(rows, big, many, num, den, False, block_bytes))
+    return out
 
 
 #: Nodes under one key beyond which the key is hot, and the share of the nodes by which hot keys are found.
@@ -350,7 +431,7 @@ HOT_NODES, HOT_SHARE = 20_000, 64
 
 
 def meetings(seg: DataFrame) -> DataFrame:
-    """(g, node): the nodes that meet under some key, each with the least node (g) of that key, each pair once.
+    """(key, g, node): the nodes that meet under a key, each with the least node (g) of that key, each once.
 
     Rows of a key are dealt to one task, but for the hot keys: their least node is found by partial aggregation. Which
     keys are hot is estimated from every 64th node; that decides the way only, and both ways give the same.
@@ -360,11 +441,11 @@ def meetings(seg: DataFrame) -> DataFrame:
     heavy = stored(counted.where(F.col("count") > HOT_NODES // HOT_SHARE).select("key"), "heavy")
     many = heavy.count()
     cold = seg if not many else seg.join(small(heavy, many, 16), "key", "left_anti")
-    met = cold.select("node", F.min("node").over(w).alias("g"), F.max("node").over(w).alias("hi")).where("g < hi").select("g", "node")
+    met = cold.select("key", "node", F.min("node").over(w).alias("g"), F.max("node").over(w).alias("hi")).where("g < hi").select("key", "g", "node")
     if many:
         hot = seg.join(small(heavy, many, 16), "key")
         ends = hot.groupBy("key").agg(F.min("node").alias("g"), F.max("node").alias("hi")).where("g < hi")
-        met = met.unionByName(hot.join(small(ends, many, 32), "key").select("g", "node"))
+        met = met.unionByName(hot.join(small(ends, many, 32), "key").select("key", "g", "node"))
     return met.distinct()
 
 
@@ -374,20 +455,17 @@ def _solved(docs: DataFrame, k: int, num: int, den: int, key: str, text: str, bl
     sketch = stored(slim.mapInArrow(_sketch(k, num, den), "id long, h long, n long, node long, keys array<long>, bits binary"), "sketch")
     keyed = sketch.where("id is not null and n > 0")
     first = keyed.where("bits is not null")
-    pairs = stored(meetings(first.select("node", F.explode("keys").alias("key"))), "meetings")
-    nodes = pairs.select("node").distinct()
-    about = first.join(nodes, "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
-    grouped = stored(pairs.join(about, "node").select("g", F.col("node").alias("id"), "n", F.col("bits").alias("data")), "groups")
-    forget(pairs)
-    edges, _ = links(grouped, num, den, False, block_bytes)
-    trees = components(edges)
+    met = stored(meetings(first.select("node", F.explode("keys").alias("key"))), "meetings")
+    nodes = stored(met.select("node").distinct(), "nodes")
+    about = stored(first.join(small(nodes, nodes.count(), 16), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"]), "bitmaps")
+    trees = components(plausible(met, about, num, den, block_bytes))
+    forget(met, about, nodes)
     reps = keyed.groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"))
     wanted = stored(trees.join(reps, "node").select("node", F.col("label").alias("g"), F.col("r.id").alias("rep"), F.col("r.h").alias("rh")), "members")
     count = wanted.count()
     texts = slim.join(small(wanted, count, 48), (F.col("id") == F.col("rep")) & (F.col("h") == F.col("rh")))
     sets = stored(texts.select("g", F.col("node").alias("id"), "text").mapInArrow(_sets(k), "g long, id long, n long, data binary"), "sets")
-    forget(grouped)
-    found, closed = links(sets, num, den, True, block_bytes)
+    found, closed = links(sets, num, den, block_bytes)
     found = stored(found, "links")
     forget(sets)
     to = found.select(F.col("a").alias("node"), F.col("b").alias("label")) if closed else components(found)

@@ -64,6 +64,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def repeats(df: DataFrame, *names: str) -> bool:
+    """Do any two rows of df agree in these columns?"""
+    return not df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
+
+
 def quoted(name: str) -> str:
     """A column's name as Spark reads it whole, dots and all."""
     return "`" + name.replace("`", "``") + "`"
