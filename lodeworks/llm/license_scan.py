@@ -1,13 +1,16 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance from the nearest directory above.
 
-Every line of every text, and every three lines in a row, is a sparse TF-IDF vector, compared by cosine with licence
-notices. A path's own licence is that of its best line. A licence file (LICENSE, COPYING, NOTICE) also gives its
-licence to its directory; paths without one of their own inherit from the nearest directory above that has one.
-
-Document frequencies are counted over all texts, for the terms of the templates; any other term counts as unseen. By
-Cauchy-Schwarz a part without any of the ``telling`` terms is under the threshold for every template, so only lines
-with one, and lines next to these, are split further: no part that would count is left out. Only DataFrame functions are used, and texts are
-never shuffled.
+A sparse TF-IDF vector is made of every line of every text, of every three lines in a row, of the text's header (its
+first lines up to an empty one) and, of licence files (LICENSE, COPYING, NOTICE), of the whole file. Each is compared by
+cosine with licence notices, titles, source headers and licence texts. A path's own licence is that of its best part. A
+licence file also gives its licence to its directory; paths without one of their own inherit from the nearest
+directory above that has one.
+
+Document frequencies are counted over all texts: first those of the templates' terms, and later those of the terms of the
+parts that are compared. By Cauchy-Schwarz, a part's cosine to a template is at most the length of the template's unit
+vector in the terms that the part holds. So texts, and then lines, that hold too few of every template's terms are left
+out before any vector is made, and no part that would count is. Only DataFrame functions are used, and texts are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -19,38 +22,122 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.shared import stored
+from lodeworks.llm.shared import quoted, small, stored
 
-# Notices by SPDX id, as their licences ask for them to be put on files.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. {} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published
+by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. This {0} is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of
+the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."""
+# Fixed values by SPDX id: notices as their licences ask for them to be put on files, titles, source headers, and the
+# texts of short licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        _GNU.format("program", "Affero General Public License", "3"),
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _BSD.format("")),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _BSD.format(_BSD3)),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0).",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0).", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        _GNU.format("program", "General Public License", "2"),
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        _GNU.format("program", "General Public License", "3"),
+    ),
+    "ISC": (
+        "ISC License",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        _GNU.format("library", "Lesser General Public License", "3"),
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
     "Proprietary": ("All rights reserved.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
+        any purpose, commercial or non-commercial, and by any means.""",
+    ),
 }
-TERM = r"[a-z0-9]+(\.[0-9]+)*"
+TERM = "[a-z0-9]+"
+BLANK = r"^[ \t\r]*$"
 #: Cosines are rounded to six places, so a square may be under the threshold's by so much.
 _SLACK = 2e-6
+#: The square of the length of a template's vector that its lightest terms make up: they count as held by every part.
+_LIGHT = 0.02
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.\-_].*)?$"
 
 
 def terms(text: str) -> list[str]:
-    return [m.group() for m in re.finditer(TERM, text.lower())]
+    return re.findall(TERM, text.lower())
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
+    """Terms in order; the split leaves an empty string at an end."""
+    return F.filter(_split(text), lambda t: t != "")
+
+
+def _split(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z0-9]+")
 
 
 def weights(idf: dict[str, float], templates=TEMPLATES) -> list[tuple[str, int, dict[str, float]]]:
@@ -64,51 +151,65 @@ def weights(idf: dict[str, float], templates=TEMPLATES) -> list[tuple[str, int,
     return out
 
 
-def telling_terms(vectors: list[tuple[str, int, dict[str, float]]], threshold: float) -> list[str]:
-    """Terms without which no line reaches the threshold: of each notice, all but the lightest that together weigh less."""
-    out: set[str] = set()
-    for _, _, v in vectors:
-        left = 0.0
-        for t, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
-            left += x * x
-            if left >= threshold * threshold * (1 - _SLACK):
-                out.add(t)
-    return sorted(out)
+def heavy(vector: dict[str, float]) -> tuple[float, dict[str, float]]:
+    """(square of the length in the lightest terms, squares of the weights of the others)."""
+    light, out = 0.0, {}
+    for t, x in sorted(vector.items(), key=lambda p: (p[1], p[0])):
+        if out or light + x * x > _LIGHT:
+            out[t] = x * x
+        else:
+            light += x * x
+    return light, out
 
 
-def frequencies(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> tuple[int, dict[str, int]]:
-    """(texts, texts that hold each term of the templates), over all rows; null texts count as empty."""
-    vocab = sorted({t for notices in templates.values() for n in notices for t in terms(n)})
-    held = docs.select(F.explode(F.array_intersect(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9a-z])\."), F.array(*map(F.lit, vocab)))).alias("t"))
-    found = {r.t: r["count"] for r in held.groupBy("t").count().collect()}
-    return docs.count(), {t: found.get(t, 0) for t in vocab}
+def frequencies(docs: DataFrame, wanted: DataFrame, rows: int, text: str = "text") -> DataFrame:
+    """(t, df): how many texts hold each of the wanted terms (t), over all rows; null texts count as empty."""
+    held = docs.select(F.explode(F.array_distinct(_split(F.col(quoted(text))))).alias("t"))
+    return held.join(small(wanted, rows, 48), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
 
+def _bounded(held: Column, tables: list[tuple[float, dict[str, float]]], threshold: float) -> Column:
+    """Can a part that holds these heavy terms reach the threshold?"""
 
-def _square(held: Column, squares: dict[str, float]) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
-    return F.aggregate(held, F.lit(0.0), lambda total, t: total + F.coalesce(F.try_element_at(known, t), F.lit(0.0)))
+    def square(light: float, squares: dict[str, float]) -> Column:
+        known = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
+        return F.aggregate(held, F.lit(light), lambda total, t: total + F.coalesce(F.try_element_at(known, t), F.lit(0.0)))
 
+    return (F.size(held) > 0) & (F.greatest(F.lit(0.0), *[square(*x) for x in tables]) >= threshold * threshold * (1 - _SLACK))
 
-def _notices(docs: DataFrame, vectors, idf: dict[str, float], unseen: float, threshold: float, rid: Column, text: str) -> DataFrame:
-    """(rid, license, score, line): the best line of each text with one that reaches the threshold."""
+
+def _notices(docs: DataFrame, threshold: float, path: str, text: str, templates) -> DataFrame:
+    """(rid, license, score, line): the best part of each text with one that reaches the threshold."""
     spark = docs.sparkSession
-    tell = rf"(?i)(^|[^a-z0-9])({'|'.join(map(re.escape, telling_terms(vectors, threshold)))})([^a-z0-9]|$)"
-    hit = docs.where(F.col(text).rlike(tell)).select(rid.alias("rid"), F.split(text, "\n", -1).alias("l"))
-    lines = hit.select("rid", "l", F.transform("l", lambda x: x.rlike(tell)).alias("tells"), F.posexplode("l").alias("line", "x"))
-    # a window's terms are those of three lines, of which the middle one need not tell anything
-    lines = lines.where(F.exists(F.slice("tells", F.greatest(F.col("line"), F.lit(1)), F.when(F.col("line") > 0, 3).otherwise(2)), lambda x: x))
+    vocab = sorted({t for notices in templates.values() for n in notices for t in terms(n)})
+    n = docs.count()
+    df = {r.t: r.df for r in docs.select(F.explode(F.array_intersect(_split(F.col(quoted(text))), F.array(*map(F.lit, vocab)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()}
+    vectors = weights({t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocab}, templates)
+    tables = [heavy(v) for _, _, v in vectors]
+    telling = F.array(*map(F.lit, sorted({t for _, squares in tables for t in squares})))
+    held = lambda x: F.array_intersect(_split(x), telling)
+
+    slim = docs.select(F.col(quoted(path)).alias("path"), F.col(quoted(text)).alias("text"))
+    found = slim.withColumn("held", held(F.col("text"))).where(_bounded(F.col("held"), tables, threshold))
+    hit = found.select(rid("path", "text").alias("rid"), F.split("text", "\n", -1).alias("l"), F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE), F.lit(False)).alias("gives"))
+    hit = stored(hit.dropDuplicates(["rid"]), "hits")
+    lines = hit.select("rid", "l", F.posexplode("l").alias("line", "x"))
     three = F.array_join(F.slice("l", F.greatest(F.col("line"), F.lit(1)), F.when(F.col("line") > 0, 3).otherwise(2)), " ")
-    part = lambda wide, x: F.struct(F.lit(wide).alias("wide"), x.alias("x"))
-    both = F.when(F.get("tells", F.col("line")), F.array(part(0, F.col("x")), part(1, three))).otherwise(F.array(part(1, three)))
-    parts = lines.select("rid", "line", F.explode(both).alias("p")).select("rid", "line", "p.wide", _terms(F.col("p.x")).alias("ts"))
-    # a cosine is at most the length of the notice's vector in the terms that the part holds
-    held = F.array_intersect("ts", F.array(*map(F.lit, sorted(idf))))
-    length = [_square(F.col("held"), {t: x * x for t, x in w.items()}) for _, _, w in vectors]
-    parts = stored(parts.withColumn("held", held).where(F.greatest(F.lit(0.0), *length) >= threshold * threshold * (1 - _SLACK)).drop("held"), "parts")
-    tf = parts.select("rid", "line", "wide", F.explode("ts").alias("t")).groupBy("rid", "line", "wide", "t").agg(F.count(F.lit(1)).alias("tf"))
-    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "t string, idf double"))
-    v = tf.join(known, "t", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    long = F.broadcast(spark.createDataFrame([(n, k, t, x) for n, k, w in vectors for t, x in w.items()], "license string, k int, t string, u double"))
+    windows = lines.select("rid", "line", "x", three.alias("y")).withColumn("held", held(F.col("y"))).where(_bounded(F.col("held"), tables, threshold))
+    part = lambda wide, x: F.struct(F.lit(wide).alias("wide"), _terms(x).alias("ts"))
+    parts = windows.select("rid", "line", F.explode(F.array(part(0, F.col("x")), part(1, F.col("y")))).alias("p")).select("rid", "line", "p.*")
+    first = F.array_position(F.transform("l", lambda x: ~x.rlike(BLANK)), True).cast("int")
+    top = hit.where(first > 0).select("rid", "l", "gives", F.slice("l", first, F.size("l")).alias("body"))
+    end = F.array_position(F.transform("body", lambda x: x.rlike(BLANK)), True).cast("int")
+    header = F.array_join(F.when(end > 0, F.slice("body", F.lit(1), end - 1)).otherwise(F.col("body")), " ")
+    whole = top.select("rid", F.lit(0).alias("line"), F.explode(F.when(F.col("gives"), F.array(part(2, header), part(3, F.array_join("l", " ")))).otherwise(F.array(part(2, header)))).alias("p")).select("rid", "line", "p.*")
+    parts = parts.unionByName(whole).withColumn("held", F.array_intersect("ts", telling)).where(_bounded(F.col("held"), tables, threshold)).drop("held")
+    tf = stored(parts.select("rid", "line", "wide", F.explode("ts").alias("t")).groupBy("rid", "line", "wide", "t").agg(F.count(F.lit(1)).alias("tf")), "parts")
+    wanted = stored(tf.select("t").distinct(), "wanted")
+    rows = wanted.count()
+    idf = frequencies(docs, wanted, rows, text).select("t", (F.log((F.lit(1.0 + n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    v = tf.join(small(idf, rows, 48), "t").withColumn("w", F.col("tf") * F.col("idf"))
+    long = F.broadcast(spark.createDataFrame([(name, k, t, x) for name, k, w in vectors for t, x in w.items()], "license string, k int, t string, u double"))
     norm = v.groupBy("rid", "line", "wide").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = v.join(long, "t").groupBy("rid", "line", "wide", "license", "k").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     cos = dot.join(norm, ["rid", "line", "wide"]).select("rid", "line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
@@ -116,6 +217,11 @@ def _notices(docs: DataFrame, vectors, idf: dict[str, float], unseen: float, thr
     return best.select("rid", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").cast("int").alias("line"))
 
 
+def rid(path: str, text: str) -> Column:
+    """Rows of equal path and text are alike."""
+    return F.xxhash64(F.col(quoted(path)), F.col(quoted(text)))
+
+
 def folder(path: Column) -> Column:
     """The directory of a path; the root is the empty string."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
@@ -130,18 +236,15 @@ def above(directory: Column) -> Column:
 def scan(docs: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", threshold: float = 0.75, templates=TEMPLATES) -> DataFrame:
     """(key, path, license, score, line, how, from_dir) for each row of docs.
 
-    how is ``own`` (a line of the text reached the threshold: license, cosine and line number from 0; ties go to the
-    first licence by name, then the first line), ``inherited`` (from_dir is the directory) or ``none``. A directory
+    how is ``own`` (a part of the text reached the threshold: license, cosine and line number from 0, that of the
+    middle one of three lines, and 0 for header and file; ties go to the first licence by name, then the first line), ``inherited`` (from_dir is the directory) or ``none``. A directory
     with several licence files has that of highest score, ties by name. Null and empty texts have no licence of their
     own; a null path neither gives nor inherits. Rows of equal path and text are alike; other columns aren't looked at.
     """
-    n, df = frequencies(docs, text, templates)
-    idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
-    vectors = weights(idf, templates)
-    rid = F.xxhash64(F.col(path), F.col(text))
-    own = _notices(docs, vectors, idf, math.log(1 + n) + 1, threshold, rid, text)
-    slim = docs.select(F.col(key), F.col(path).alias("path"), rid.alias("rid"), folder(F.col(path)).alias("dir"))
-    found = slim.join(own, "rid", "left")
+    own = stored(_notices(docs, threshold, path, text, templates), "licenses")
+    p = F.col(quoted(path))
+    slim = docs.select(F.col(quoted(key)), p.alias("path"), rid(path, text).alias("rid"), folder(p).alias("dir"))
+    found = slim.join(small(own, own.count(), 64), "rid", "left")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     givers = found.where(F.col("license").isNotNull() & name.rlike(LICENSE_FILE)).groupBy(F.col("dir").alias("from_dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("g")).select("from_dir", F.col("g.license").alias("given"))
     ways = slim.where("dir is not null").select("dir").distinct().select("dir", F.posexplode(above(F.col("dir"))).alias("up", "from_dir"))

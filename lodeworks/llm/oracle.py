@@ -8,18 +8,21 @@ from lodeworks.llm.license_scan import TEMPLATES, TERM, terms
 
 _NOTICES = ", ".join(f"('{name}', {k}, '{t}', {n})" for name, notices in sorted(TEMPLATES.items()) for k, notice in enumerate(notices) for t, n in sorted(Counter(terms(notice)).items()))
 
-OP1 = rf"""WITH files AS (SELECT doc_id, text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || '/p' || (doc_id // 50) % 40 || '/' || CASE WHEN doc_id % 50 = 7 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
+OP1 = rf"""WITH files AS (SELECT doc_id, text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') || '/p' || (doc_id // 50) % 40 || '/' || CASE WHEN doc_id % 50 = 7 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path, doc_id % 50 = 7 AS gives FROM documents),
 notices(license, k, t, tf) AS (VALUES {_NOTICES}),
 n AS (SELECT count(*) AS n FROM files),
-df AS (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM files) WHERE t IN (SELECT t FROM notices) GROUP BY t),
-idf AS (SELECT t, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM notices) LEFT JOIN df USING (t), n),
-nw AS (SELECT license, k, t, tf * idf AS w FROM notices JOIN idf USING (t)),
+idf AS (SELECT t, ln((1 + any_value(n))::DOUBLE / (1 + count(DISTINCT doc_id))) + 1 AS idf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM files), n GROUP BY t),
+nw AS (SELECT license, k, t, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM notices LEFT JOIN idf USING (t), n),
 nu AS (SELECT license, k, t, w / sqrt(sum(w * w) OVER (PARTITION BY license, k)) AS u FROM nw),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM files),
+a AS (SELECT doc_id, gives, string_split(text, chr(10)) AS l, list_transform(string_split(text, chr(10)), lambda x: regexp_full_match(x, '[ \t\r]*')) AS blank FROM files),
+b AS (SELECT *, list_position(blank, false) AS f FROM a),
+c AS (SELECT *, list_position(blank[f:], true) AS e FROM b WHERE f > 0),
+l AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS line FROM a),
 three AS (SELECT doc_id, line, x, coalesce(lag(x) OVER w || ' ', '') || x || coalesce(' ' || lead(x) OVER w, '') AS y FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
-parts AS (SELECT doc_id, line, 0 AS wide, x FROM three UNION ALL SELECT doc_id, line, 1, y FROM three),
+parts AS (SELECT doc_id, line, 0 AS wide, x FROM three UNION ALL SELECT doc_id, line, 1, y FROM three
+  UNION ALL SELECT doc_id, 0, 2, array_to_string(CASE WHEN e > 0 THEN l[f:f + e - 2] ELSE l[f:] END, ' ') FROM c UNION ALL SELECT doc_id, 0, 3, array_to_string(l, ' ') FROM c WHERE gives),
 tf AS (SELECT doc_id, line, wide, t, count(*) AS tf FROM (SELECT doc_id, line, wide, unnest(regexp_extract_all(lower(x), '{TERM}')) AS t FROM parts) GROUP BY ALL),
-v AS (SELECT tf.*, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM tf LEFT JOIN idf USING (t), n),
+v AS (SELECT tf.*, tf * idf AS w FROM tf JOIN idf USING (t)),
 norm AS (SELECT doc_id, line, wide, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL),
 cos AS (SELECT doc_id, line, license, round(sum(w * u) / any_value(norm), 6) AS score FROM v JOIN nu USING (t) JOIN norm USING (doc_id, line, wide) GROUP BY doc_id, line, wide, license, k),
 own AS (SELECT doc_id, license, score, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, line) AS r FROM cos WHERE score >= 0.75) WHERE r = 1),
