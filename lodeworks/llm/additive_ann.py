@@ -3,8 +3,16 @@
 A vector is coded as a sum of one codeword from each of several full-dimensional codebooks. Codebooks are fitted one
 after the other on the residuals of a bounded sample (``train_rows``, least hash first) and then refitted in turn,
 given the others; encoding keeps the best ``beam`` partial sums. The index holds every vector: its codes and the norm of
-vector over norm of sum. A query scores all codes by lookup tables of its inner products with the codewords, scaled
-by the stored norms, and the ``shortlist`` best of each part of the index are ranked again on the original vectors.
+vector over norm of sum. A query scores codes by lookup tables of its inner products with the codewords, scaled by the
+stored norms, and the ``shortlist`` best of each tile of the index are ranked again on the original vectors.
+
+The index is dealt to lists of about ``list_rows`` vectors by nearest coarse centroid. A query goes to the lists whose
+centroids it has the largest inner products with. How many lists that is, is measured: ``probe_queries`` queries, those of
+least hash, go to all lists, and all others then go to as many as hold ``probe_recall`` of what those found. Where vectors
+have no clusters, that is nearly all lists; where they have, the work grows far less than with the square of the rows.
+
+Lists are cut into tiles of at most ``tile_rows`` vectors and ``query_rows`` queries: a tile is what a task holds. Queries
+and vectors meet there by a shuffle, so nothing that grows with the input passes through the driver or is broadcast.
 
 Equal vectors are coded once, as a class; a class's least ``k`` + 1 ids, all that a result can hold, come back after
 the search, so many copies of one vector neither fill a shortlist nor lose a place.
@@ -19,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.shared import stored
+from lodeworks.llm.shared import quoted, repeats, stored
 
 _ROWS = 2048
 
@@ -106,9 +114,24 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def coarse(x: np.ndarray, lists: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Centroids of the lists: k-means by direction on a sample."""
+    rng = np.random.default_rng(seed)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = unit[rng.choice(len(unit), min(lists, len(unit)), replace=False)]
+    for _ in range(rounds):
+        own = (unit @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, unit)
+        empty = np.linalg.norm(total, axis=1) < 1e-9
+        total[empty] = unit[rng.choice(len(unit), int(empty.sum()))]
+        c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    return c.astype(np.float32)
+
+
 def _coded(shared, beam: int, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        books, centres = shared.value
         for batch in batches:
             for at in range(0, len(batch), _ROWS):
                 part = batch.slice(at, _ROWS)
@@ -116,108 +139,118 @@ def _coded(shared, beam: int, dims: int):
                 codes = books.encode(x.astype(np.float32), beam)
                 sums = np.linalg.norm(books.decode(codes), axis=1)
                 scale = np.linalg.norm(x, axis=1) / np.maximum(sums, 1e-12)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes.astype("<u2")], pa.binary()), pa.array(scale, pa.float64())], ["id", "vector", "codes", "scale"])
+                own = (x.astype(np.float32) @ centres.T).argmax(1)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes.astype("<u2")], pa.binary()), pa.array(scale, pa.float64()), pa.array(own.astype(np.int32))], ["id", "vector", "codes", "scale", "list"])
 
     return run
 
 
-def _search(shared, dims: int, books: int, k: int, shortlist: int, share: float):
-    """The best k classes of this part of the index for each query: table scores, then exact ones."""
+def _probes(shared, dims: int, probes: int):
+    """A row for each query and each of its lists: probe numbers them from 0, the most promising first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, words = shared.value
-        dims_first = words.reshape(-1, dims).astype(np.float32)
-        have: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> tuple[np.ndarray, ...]:
-            ids = np.concatenate([h[0] for h in have])
-            x = np.concatenate([h[1] for h in have])
-            codes = np.concatenate([h[2] for h in have])
-            scale = np.concatenate([h[3] for h in have])
-            have.clear()
-            columns = np.ascontiguousarray(codes.T)
-            few = min(max(shortlist, int(share * len(ids))), len(ids))
-            rows, whom, score = [], [], []
-            for i in range(len(q)):
-                table = (dims_first @ q[i].astype(np.float32)).reshape(books, -1)
-                s = table[0][columns[0]]
-                for j in range(1, books):
-                    s += table[j][columns[j]]
-                s *= scale
-                near = np.argpartition(-s, few - 1)[:few] if few < len(s) else np.arange(len(s))
-                exact = x[near] @ q[i]
-                best = np.lexsort((ids[near], -exact))[:k]
-                rows.append(np.full(len(best), qid[i]))
-                whom.append(ids[near[best]])
-                score.append(exact[best])
-            return np.concatenate(rows), np.concatenate(whom), np.concatenate(score)
-
-        size = 0
+        _, centres = shared.value
         for batch in batches:
-            have.append((batch.column(0).to_numpy(), _matrix(batch.column(1), dims), np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, books), batch.column(3).to_numpy().astype(np.float32)))
-            size += len(batch)
-            if size >= 1 << 16:
-                size = 0
-                yield pa.record_batch([pa.array(c) for c in flush()], ["query_id", "class_id", "score"])
-        if have:
-            yield pa.record_batch([pa.array(c) for c in flush()], ["query_id", "class_id", "score"])
+            for at in range(0, len(batch), _ROWS):
+                part = batch.slice(at, _ROWS)
+                near = np.argsort(-(_matrix(part.column(1), dims).astype(np.float32) @ centres.T), 1, kind="stable")[:, :probes]
+                own = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
+                yield pa.record_batch([part.column(0).take(own), part.column(1).take(own), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(part)))], ["id", "vector", "list", "probe"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 16, words: int = 256, beam: int = 8, shortlist: int = 200, share: float = 0.02, train_rows: int = 12288, query_block: int = 4096) -> DataFrame:
+def _tile(shared, dims: int, k: int, shortlist: int, share: float):
+    """The best k classes of a tile for each of its queries: table scores, then exact ones."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        words = shared.value[0].words
+        first = words.reshape(-1, dims).astype(np.float32)
+        asks = tile.column("codes").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        rows, queries = tile.filter(pa.array(~asks)), tile.filter(pa.array(asks))
+        none = pa.table({"query_id": pa.array([], pa.int64()), "class_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "probe": pa.array([], pa.int32())})
+        if not len(rows) or not len(queries):
+            return none
+        ids, x = rows.column("id").to_numpy(), _matrix(rows.column("vector").combine_chunks(), dims)
+        columns = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2").reshape(-1, len(words)).T)
+        scale = rows.column("scale").to_numpy().astype(np.float32)
+        qid, q, probe = queries.column("id").to_numpy(), _matrix(queries.column("vector").combine_chunks(), dims), queries.column("probe").to_numpy()
+        few = min(max(shortlist, int(share * len(ids))), len(ids))
+        found = []
+        for i in range(len(q)):
+            table = (first @ q[i].astype(np.float32)).reshape(len(words), -1)
+            s = table[0][columns[0]]
+            for j in range(1, len(words)):
+                s += table[j][columns[j]]
+            s *= scale
+            near = np.argpartition(-s, few - 1)[:few] if few < len(s) else np.arange(len(s))
+            exact = x[near] @ q[i]
+            best = np.lexsort((ids[near], -exact))[:k]
+            found.append((np.full(len(best), qid[i]), ids[near[best]], exact[best], np.full(len(best), probe[i], np.int32)))
+        return pa.table(dict(zip(("query_id", "class_id", "score", "probe"), (pa.array(np.concatenate(c)) for c in zip(*found, strict=True)), strict=True)))
+
+    return run
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", books: int = 16, words: int = 256, beam: int = 8, shortlist: int = 200, share: float = 0.02, train_rows: int = 12288, list_rows: int = 1 << 14, most_lists: int = 4096, probe_queries: int = 256, probe_recall: float = 0.98, tile_rows: int = 1 << 14, query_rows: int = 1 << 12) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row where ``queries``.
 
-    A query's own row is no candidate; rows that repeat its id are one row with it. Vectors that are null, empty or
-    zero, or that hold a null or a non-finite component, take no part, nor do those of another length than the most
-    common one (ties: the shorter). Null ids take no part. Equal scores go to the smaller id.
+    A query's own row is no candidate; rows that repeat its id are one row with it, that of least hash of the vector.
+    Vectors that are null, empty or zero, or that hold a null or a non-finite component, take no part, nor do those of
+    another length than the most common one (ties: the shorter). Null ids take no part. Equal scores go to the smaller id.
 
-    Queries are taken in blocks of ``query_block``, each sent whole to all parts of the index: what is broadcast has
-    a fixed bound. Each part of the index (65,536 classes at most) ranks its ``shortlist`` best, or its ``share`` if
-    that is more, on the original vectors; so what is ranked again grows with the data.
+    Each tile ranks its ``shortlist`` best, or its ``share`` if that is more, on the original vectors; so what is ranked
+    again grows with the data.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    slim = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    slim = vectors.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(vector)).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     common = slim.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return spark.createDataFrame([], schema)
     dims = common.d
-    slim = slim.where(F.size("vector") == dims).withColumn("same", F.xxhash64("vector"))
+    # 128 bits of hash tell vectors apart
+    slim = slim.where(F.size("vector") == dims).withColumn("same", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")))
+    rows = slim.groupBy("id").agg(F.min(F.struct("same", "vector")).alias("v"), F.max("asks").alias("asks")) if repeats(slim, "id") else slim.select("id", F.struct("same", "vector").alias("v"), "asks")
+    rows = rows.select("id", "v.same", "v.vector", "asks")
     w = Window.partitionBy("same").orderBy("id")
     # the least k + 1 ids of each class; the group limit drops the rest before the shuffle
-    heads = slim.dropDuplicates(["id"]).select("id", "same", "vector").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    heads = stored(heads.withColumn("class_id", F.min("id").over(Window.partitionBy("same"))), "classes")
+    heads = rows.select("id", "same", "vector").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    heads = stored(heads.withColumn("class_id", F.min("id").over(Window.partitionBy("same"))).drop("same"), "classes")
     classes = heads.where("r = 1").select("id", "vector")
-    drawn_share = min(1.0, 1.3 * train_rows / max(classes.count(), 1))
+    many = classes.count()
+    drawn_share = min(1.0, 1.3 * train_rows / max(many, 1))
     drawn = classes.select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "id", F.col("vector").cast("array<float>").alias("v")).where(F.col("h") <= int(drawn_share * (1 << 30)))
     sample = sorted((r.h, r.id, r.v) for r in drawn.collect())[:train_rows]
-    model = train(np.array([x[2] for x in sample], np.float32), books, words)
-    coded = spark.sparkContext.broadcast(model)
-    index = stored(classes.mapInArrow(_coded(coded, beam, dims), "id long, vector array<double>, codes binary, scale double"), "index")
-    asked = slim.where("asks").dropDuplicates(["id"]).select("id", "vector")
-    found = None
-    ids, rows = [], []
-
-    def block() -> DataFrame:
-        q = np.array(rows)
-        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), q, model.words))
-        return index.mapInArrow(_search(shared, dims, len(model.words), k + 1, shortlist, share), "query_id long, class_id long, score double")
-
-    for r in asked.toLocalIterator():
-        ids.append(r.id)
-        rows.append(r.vector)
-        if len(ids) == query_block:
-            part = block()
-            found = part if found is None else found.unionByName(part)
-            ids, rows = [], []
-    if ids:
-        part = block()
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    sample = np.array([x[2] for x in sample], np.float32)
+    lists = max(1, min(most_lists, many // list_rows, len(sample) // 8))
+    model = spark.sparkContext.broadcast((train(sample, books, words), coarse(sample, lists)))
+    index = stored(classes.mapInArrow(_coded(model, beam, dims), "id long, vector array<double>, codes binary, scale double, list int"), "index")
+    asked = stored(rows.where("asks").select("id", "vector"), "queries")
+    parts = lambda n, most: (F.floor((F.col(n) - 1) / most) + 1).cast("int")
+    sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", parts("n", tile_rows).alias("parts"))
+
+    def scan(some: DataFrame, probes: int) -> DataFrame:
+        to = stored(some.mapInArrow(_probes(model, dims, probes), "id long, vector array<double>, list int, probe int"), "probes")
+        plan = F.broadcast(to.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", parts("n", query_rows).alias("asks")).join(sizes, "list"))  # most_lists rows at most
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        left = index.join(plan, "list").select("list", mine("parts").alias("part"), every("asks").alias("ask"), "id", "vector", "codes", "scale", F.lit(None).cast("int").alias("probe"))
+        right = to.join(plan, "list").select("list", every("parts").alias("part"), mine("asks").alias("ask"), "id", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("scale"), "probe")
+        return left.unionByName(right).groupBy("list", "part", "ask").applyInArrow(_tile(model, dims, k + 1, shortlist, share), "query_id long, class_id long, score double, probe int")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class_id")
-    near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    probes = lists
+    if lists > 1:
+        n = max(asked.count(), 1)
+        test = asked.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) <= int(min(1.0, probe_queries / n) * (1 << 30)))
+        top = scan(test, lists).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+        held = {r.probe: r.n for r in top.groupBy("probe").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each list at most
+        if held:
+            up = np.cumsum([held.get(p, 0) for p in range(lists)])
+            probes = int(np.searchsorted(up, probe_recall * up[-1])) + 1
+    found = scan(asked, probes)
+    near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n", "probe")
     wide = near.join(heads.select("class_id", F.col("id").alias("vec_id")), "class_id").where("vec_id != query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return wide.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
