@@ -2,10 +2,15 @@
 
 Every source is a queue of tokens, served in quanta. Rounds go over the queues in turn; in each round a queue is owed
 its target share of a sequence of tokens and gets as many whole quanta as its deficit counter allows, the rest being
-carried to the next round. With targets in proportion to the queues' lengths, all queues end in the same round and
-the counter has a closed form: after round w of W a queue of B quanta has been served floor(B w / W). So any task
-can say where a token goes from the queues' lengths alone, deficits are carried across windows and partitions without
-any message between them, and no queue is gathered anywhere.
+carried to the next round. Targets are shares by source; without them, and among sources that have none, a source's
+share is its part of the tokens. When a queue runs out, a phase ends: the others go on with their shares of what is
+left, and their deficits go along.
+
+Within a phase the counters have a closed form: all queues that are served end in its last round, so after round w of W
+a queue that gives B quanta has been served floor(B w / W). So any task can say where a token goes from the queues'
+lengths alone, deficits are carried across windows and partitions without any message between them, and no queue is
+gathered anywhere. The smallest sources are one queue, in which they are queues by the same rule, and so on: that
+bounds what a task sums over, and no source is out of control.
 
 The stream is cut every ``length`` tokens. Only the last, short window is cut at powers of two, so nothing is padded.
 Documents are cut freely; each token is in exactly one piece.
@@ -19,6 +24,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import chain
 
 import numpy as np
@@ -27,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.shared import small, stored
+from lodeworks.llm.shared import quoted, small, stored
 from lodeworks.llm.textops import CACHES, slices, string_bytes, tidy
 
 #: Words kept by a worker with their ids.
@@ -66,9 +72,9 @@ class Schedule:
         exact = muldiv_rest(block + 1, self.rounds, b) == 0
         return down - exact
 
-    def place(self, s: np.ndarray, start: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Global positions of tokens at ``start`` of queues s, in their quanta ``block``."""
-        w = np.empty(len(s), np.int64)
+    def place(self, s: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Global positions of tokens at ``start`` of queues s."""
+        w, block = np.empty(len(s), np.int64), start // self.quantum
         for q in np.unique(s):
             own = s == q
             w[own] = self.round_of(int(q), block[own])
@@ -105,6 +111,90 @@ def muldiv_rest(a: np.ndarray, b: int, c: int) -> np.ndarray:
     return ((rest * high) % c * 65536 + rest * low) % c
 
 
+class Phases:
+    """Queues with target shares: a phase ends when a queue runs out, and each phase is a Schedule of its own."""
+
+    def __init__(self, tokens: list[int], shares: list[Fraction], length: int = 2048, quantum: int = 64):
+        self.quantum = quantum
+        # the time at which a queue ends, in tokens of all queues if all went on for ever
+        ends = [Fraction(t) / p if t else Fraction(0) for t, p in zip(tokens, shares, strict=True)]
+        at = np.zeros(len(tokens), np.int64)
+        self.given, self.schedules, self.first = [at], [], [0]
+        for end in sorted({e for e in ends if e}):
+            # whole quanta until the end of the phase; a queue that ends gives all
+            to = np.array([t if e <= end else max(int(a), min(t, int(p * end) // quantum * quantum)) for t, e, p, a in zip(tokens, ends, shares, at, strict=True)], np.int64)
+            self.schedules.append(Schedule((to - at).tolist(), length, quantum))
+            self.given.append(to)
+            self.first.append(self.first[-1] + int((to - at).sum()))
+            at = to
+
+    def place(self, s: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out = np.empty(len(s), np.int64)
+        phase = np.zeros(len(s), np.int64)
+        for given in self.given[1:-1]:
+            phase += start >= given[s]
+        for k in np.unique(phase):
+            own = phase == k
+            out[own] = self.first[k] + self.schedules[k].place(s[own], start[own] - self.given[k][s[own]])
+        return out
+
+
+class Mixture:
+    """Where the tokens of each source go.
+
+    ``tokens`` and ``shares`` (None: none given) are by source; sources without a share have what the shares leave, in
+    proportion to their tokens. The ``fan`` - 1 largest of those are queues, the others are one queue, and within it the
+    same holds. Level 0 holds the phases; a source is a queue of some level.
+    """
+
+    def __init__(self, tokens: list[int], shares: list[float | None] | None = None, length: int = 2048, quantum: int = 64, fan: int = 256):
+        shares = shares or [None] * len(tokens)
+        self.quantum = quantum
+        self.flat = Schedule([sum(tokens)], length, quantum)
+        named = [i for i, p in enumerate(shares) if p is not None]
+        rest = sorted((i for i, p in enumerate(shares) if p is None), key=lambda i: (-tokens[i], i))
+        given = {i: Fraction(shares[i]) for i in named}
+        if not rest:  # those that are there share all
+            given = {i: p / sum(given.values()) for i, p in given.items()}
+        left = 1 - sum(given.values())
+        if any(p <= 0 for p in given.values()) or (rest and left <= 0):
+            raise ValueError("shares are positive and leave something for the sources that have none")
+        self.level, self.queue = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        self.levels: list[Phases] = []
+        while named or rest or not self.levels:
+            own, rest = [*named, *rest[: fan - 1]], rest[fan - 1 :]
+            sizes = [tokens[i] for i in own] + [sum(tokens[i] for i in rest)] * bool(rest)
+            free = sum(sizes[len(named) :])
+            parts = [given[i] for i in named] + [left * Fraction(t, free) if t else left for t in sizes[len(named) :]]
+            self.level[own], self.queue[own] = len(self.levels), np.arange(len(own))
+            self.levels.append(Phases(sizes or [0], parts or [Fraction(1)], length, quantum))
+            named, left = [], Fraction(1)
+        self.last = [len(x.given[0]) - 1 for x in self.levels]
+
+    def runs(self, s: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start in it, size, global position) of the runs that stay together of tokens first to first + n."""
+        row, start, size, at = np.arange(len(s)), np.zeros(len(s), np.int64), n, first
+        level, queue = self.level[s], self.queue[s]
+        for k in range(len(self.levels) - 1, -1, -1):
+            mine = level == k
+            b0, b1 = at // self.quantum, (at + size - 1) // self.quantum
+            many = np.where(mine, b1 - b0 + 1, 1)
+            of = np.repeat(np.arange(len(row)), many)
+            block = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(many)][:-1], many) + b0[of]
+            x = np.where(mine[of], np.maximum(at[of], block * self.quantum), at[of])
+            end = np.where(mine[of], np.minimum((at + size)[of], (block + 1) * self.quantum), (at + size)[of])
+            row, start, size, level, queue, mine = row[of], start[of] + x - at[of], end - x, level[of], queue[of], mine[of]
+            x[mine] = self.levels[k].place(queue[mine], x[mine])
+            at = x
+            level = np.where(mine, k - 1, level)
+            if k:
+                queue[mine] = self.last[k - 1]
+        return row, start, size, at
+
+    def sequence(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.flat.sequence(at)
+
+
 # The patterns of tokenizers that work on words, each on its own.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
@@ -253,9 +343,9 @@ def _tokenize(path: str, end_id: int, width: str, slice_bytes: int, cache_words:
     return run
 
 
-def _pieces(schedule: Schedule, width: str, with_ids: bool):
+def _pieces(shared, width: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = schedule.quantum
+        mixture: Mixture = shared.value
         for whole in batches:
             sizes = np.r_[0, np.cumsum(whole.column(whole.schema.get_field_index("n")).to_numpy())]
             for lo, hi in slices(sizes, 1 << 19):
@@ -263,16 +353,10 @@ def _pieces(schedule: Schedule, width: str, with_ids: bool):
                 name = batch.schema.get_field_index
                 keys, blobs = batch.column(name("id")), batch.column(name("ids")).to_pylist()
                 q, first, n = (batch.column(name(c)).to_numpy() for c in ("q", "first", "n"))
-                b0, b1 = first // g, (first + n - 1) // g
-                doc = np.repeat(np.arange(len(n)), b1 - b0 + 1)
-                block = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(b1 - b0 + 1)][:-1], b1 - b0 + 1) + b0[doc]
-                x = np.maximum(first[doc], block * g)
-                size = np.minimum((first + n)[doc], (block + 1) * g) - x
-                at = schedule.place(q[doc], x, block)
-                start = x - first[doc]
+                doc, start, size, at = mixture.runs(q, first, n)
                 out = []
                 while len(doc):  # cut at the ends of sequences
-                    seq, off, room = schedule.sequence(at)
+                    seq, off, room = mixture.sequence(at)
                     take = np.minimum(size, room)
                     out.append((doc, start, take, seq, off))
                     more = size > take
@@ -296,36 +380,36 @@ def _pieces(schedule: Schedule, width: str, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = 2048, quantum: int = 64, end_id: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", max_queues: int = 256, with_ids: bool = False, slice_bytes: int = 6 << 20, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = 2048, quantum: int = 128, end_id: int = 1, key: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, fan: int = 256, with_ids: bool = False, slice_bytes: int = 6 << 20, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row for each piece of each document: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue).
 
-    A null text is empty: its document is end_id alone. A null source is a queue of its own. Beyond ``max_queues``
-    the queues of fewest tokens share one, which bounds what the driver holds; no row is dropped. Repeated rows are
-    packed as often as they occur. ``slice_bytes`` of text are tokenized at once and a worker keeps the ids of
-    ``cache_words`` words: less takes less memory and more time. Columns of docs beyond the three are not looked at. An empty table gives no piece.
+    ``targets`` are shares of the tokens by source; sources that have none share what is left in proportion to their
+    tokens, and so do all without targets. A source that runs out leaves its share to the others; nothing is repeated.
+    Targets of sources that have no rows are as if they had run out. A window is off its targets by a few quanta at
+    most: a smaller ``quantum`` follows the targets more closely and cuts documents into more pieces.
+
+    A null text is empty: its document is end_id alone. A null source is a queue of its own. Sources are any number;
+    the driver holds their names and lengths. Repeated rows are packed as often as they occur. ``slice_bytes`` of text
+    are tokenized at once and a worker keeps the ids of ``cache_words`` words: less takes less memory and more time.
+    Columns of docs beyond the three are not looked at. An empty table gives no piece.
     """
     from tokenizers import Tokenizer
 
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    slim = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("queue"), F.col(text).alias("text"))
+    slim = docs.select(F.col(quoted(key)).alias("id"), F.col(quoted(source)).cast("string").alias("queue"), F.col(quoted(text)).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     tokens = stored(slim.mapInArrow(_tokenize(vocabulary, end_id, width, slice_bytes, cache_words), f"id {kind}, queue string, chunk long, start long, n long, ids binary"), "tokens")
-    by_chunk = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("tokens"))
-    top = by_chunk.groupBy("queue").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "queue").limit(max_queues - 1).collect()
-    total = by_chunk.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    named = sorted(((r.queue is not None, r.queue or "", r.tokens) for r in top))
-    lengths = [t for _, _, t in named]
-    if rest := total - sum(lengths):
-        lengths.append(rest)
+    by_chunk = stored(tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("tokens")), "chunks")
+    named = sorted((r.queue is not None, r.queue or "", r.tokens) for r in by_chunk.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())
+    shares = [(targets or {}).get(q) if k else None for k, q, _ in named]
+    mixture = docs.sparkSession.sparkContext.broadcast(Mixture([t for *_, t in named], shares, length, quantum, fan))
     number = docs.sparkSession.createDataFrame([(q if k else None, i) for i, (k, q, _) in enumerate(named)] or [(None, 0)], "queue string, q long")
-    other = F.lit(len(named)).cast("long")
-    # a chunk's queues: bounded by max_queues rows and partitions
-    mine = by_chunk.join(F.broadcast(number), by_chunk["queue"].eqNullSafe(number["queue"]), "left").select(by_chunk["queue"], "chunk", "tokens", F.coalesce("q", other).alias("q"))
-    w = Window.partitionBy("q").orderBy("chunk", F.col("queue").asc_nulls_first())
+    mine = by_chunk.join(small(number, len(named), 64), by_chunk["queue"].eqNullSafe(number["queue"])).select(by_chunk["queue"], "chunk", "tokens", "q")
+    w = Window.partitionBy("q").orderBy("chunk")
     base = stored(mine.withColumn("base", F.sum("tokens").over(w) - F.col("tokens")).select(F.col("queue").alias("_queue"), F.col("chunk").alias("_chunk"), "q", "base"), "bases")
     placed = tokens.join(small(base, base.count(), 64), (F.col("chunk") == F.col("_chunk")) & F.col("queue").eqNullSafe(F.col("_queue"))).select("id", "queue", "q", (F.col("base") + F.col("start")).alias("first"), "n", "ids")
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids binary" * with_ids
-    return placed.mapInArrow(_pieces(Schedule(lengths or [0], length, quantum), width, with_ids), schema).withColumnRenamed("id", key)
+    return placed.mapInArrow(_pieces(mixture, width, with_ids), schema).withColumnRenamed("id", key)
 
 
 def assemble(pieces: DataFrame) -> DataFrame:
