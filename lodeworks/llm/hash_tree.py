@@ -1,10 +1,15 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-Every shard has a weight and makes one exponential draw for a key, -ln(u) / weight, with u a hash of key and shard.
-A node's draw is the least of its subtree, which is itself exponential with the subtree's weight as rate; so at each
-level a key goes to the child of least draw, with odds in proportion to weight, and the three levels agree. When a
-weight changes, no draw outside that subtree changes: rows move only into or out of it, and a new shard takes rows
-only into itself (law ``key``).
+The tree has a place for every shard that there may ever be, with the most weight that the place can hold. A key draws
+a region, in it a rack and in that a shard's place, each by a weighted hash draw with odds in proportion to what the
+subtrees can hold, and stays with odds of the place's weight to the most it can hold. Otherwise it draws again, with the
+number of the attempt. What a subtree can hold never changes, so when a weight does, only keys that drew this very place
+are concerned: a heavier or new shard takes rows only into itself, a lighter one gives rows only out of itself (law
+``key``). Shards get rows in proportion to their weights.
+
+A key that found no place in ``ATTEMPTS`` attempts goes to the shard of least exponential draw, -ln(u) / weight: one draw
+for each shard, for few keys, with the same law. A new shard whose place is beyond the tree takes of those keys only, so
+the tree should be laid out for the shards to come; a larger tree is a new layout and moves rows.
 
 Only DataFrame functions are used. The single shuffle deals slim rows by (shard, bucket of the key).
 """
@@ -16,10 +21,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.llm.shared import quoted, stored
+
+#: Draws through the tree before a key takes the least draw of all shards; at half full, one key in 4,096 does.
+ATTEMPTS = 12
+
 
 @dataclass(frozen=True)
 class Node:
-    """A shard's place in the tree and its weight."""
+    """A shard's place in the tree and its weight, or the most weight the place can hold."""
 
     shard: int
     rack: str
@@ -32,60 +42,87 @@ def layout(shards: int, per_rack: int = 4, racks_per_region: int = 5) -> list[No
     return [Node(i, f"rack{i // per_rack}", f"region{i // per_rack // racks_per_region}") for i in range(shards)]
 
 
-def draw(key: Column, node: Node, seed: int) -> Column:
-    """The shard's exponential draw for a key, from 52 bits of hash; the same on any machine."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node.shard), F.lit(seed)), 12)
-    return -F.ln((bits.cast("double") + 0.5) / float(1 << 52)) / F.lit(float(node.weight))
+def _unit(seed: int, *parts: Column) -> Column:
+    """A number in (0, 1) from 52 bits of hash; the same on any machine."""
+    bits = F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed)), 12)
+    return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
 def least(nodes: list[Node], key: Column, seed: int) -> Column:
-    """struct(draw, shard) of least draw of some nodes; ties go to the smaller shard."""
-    found = [F.struct(draw(key, n, seed).alias("draw"), F.lit(n.shard).alias("shard")) for n in nodes]
-    return found[0] if len(found) == 1 else F.least(*found)
-
-
-def descend(key: Column, tree: list[Node], seed: int = 0) -> Column:
-    """The shard of a key: the region of least draw, its rack of least draw, that rack's shard of least draw.
-
-    A null key is a key like any other. Nodes of weight 0 or less get nothing.
+    """The shard of least exponential draw; ties go to the smaller shard."""
+    found = [F.struct((-F.ln(_unit(seed, key, F.lit(n.shard))) / float(n.weight)).alias("draw"), F.lit(n.shard).alias("shard")) for n in nodes]
+    return (found[0] if len(found) == 1 else F.least(*found))["shard"]
+
+
+def _choice(u: Column, children: list[tuple[float, Column]]) -> Column:
+    """The child whose range of (0, 1) holds u; ranges are in proportion to weights."""
+    total, below = sum(w for w, _ in children), 0.0
+    out = None
+    for w, child in children[:-1]:
+        below += w
+        out = F.when(u < below / total, child) if out is None else out.when(u < below / total, child)
+    return children[-1][1] if out is None else out.otherwise(children[-1][1])
+
+
+def draw(key: Column, attempt: Column, live: dict[int, float], places: list[Node], seed: int) -> Column:
+    """The shard whose place a key draws in an attempt, or null where it can't stay there."""
+    tree: dict[str, dict[str, list[Node]]] = {}
+    for n in places:
+        tree.setdefault(n.region, {}).setdefault(n.rack, []).append(n)
+    u = [_unit(seed, key, attempt, F.lit(level)) for level in range(4)]
+    regions = []
+    for racks in tree.values():
+        inside = []
+        for nodes in racks.values():
+            stay = [F.when(u[3] < live.get(n.shard, 0.0) / n.weight, F.lit(n.shard)) for n in nodes]
+            inside.append((sum(n.weight for n in nodes), _choice(u[2], [(n.weight, s) for n, s in zip(nodes, stay, strict=True)])))
+        regions.append((sum(w for w, _ in inside), _choice(u[1], inside)))
+    return _choice(u[0], regions)
+
+
+def descend(key: Column, tree: list[Node], places: list[Node] | None = None, seed: int = 0) -> Column:
+    """The shard of a key, for shards of these weights in a tree of these places (without any: the shards' own).
+
+    A null key is a key like any other. Nodes of weight 0 or less get nothing; a weight beyond its place is refused.
     """
-    live = [n for n in tree if n.weight > 0]
+    live = sorted((n for n in tree if n.weight > 0), key=lambda n: n.shard)
     if not live:
         raise ValueError("no node has a positive weight")
-    regions: dict[str, dict[str, list[Node]]] = {}
-    for n in live:
-        regions.setdefault(n.region, {}).setdefault(n.rack, []).append(n)
-
-    def best(parts: list[Column]) -> Column:
-        return parts[0] if len(parts) == 1 else F.least(*parts)
-
-    return best([best([least(nodes, key, seed) for nodes in racks.values()]) for racks in regions.values()])["shard"]
+    places = [p for p in (places or live) if p.weight > 0]
+    most = {p.shard: p.weight for p in places}
+    if over := [n.shard for n in live if n.weight > most.get(n.shard, n.weight)]:
+        raise ValueError(f"shards {over} are heavier than their places")
+    weights = {n.shard: n.weight for n in live}
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(None).cast("int"), lambda at, k: F.coalesce(at, draw(key, k, weights, places, seed)))
+    return F.coalesce(found, least(live, key, seed))
 
 
-def shard(docs: DataFrame, tree: list[Node], grown: list[Node] | None = None, key: str = "doc_id", text: str = "text", seed: int = 0, bucket_rows: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, tree: list[Node], grown: list[Node] | None = None, places: list[Node] | None = None, key: str = "doc_id", text: str = "text", seed: int = 0, bucket_rows: int = 1024) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard), one row for each row of docs.
 
     size is the text's UTF-8 bytes plus 16; a null text has none and the checksum of no bytes, 0. slot counts a
     shard's rows from 0 without gaps, by bucket of the key and then by key; rows that repeat a key take slots next to
-    each other. grown_shard is the shard in the tree ``grown``, null without one. Other columns aren't looked at.
+    each other. grown_shard is the shard in the tree ``grown``, null without one. ``places`` is the tree that both are
+    laid out in: without it, the larger one of the two. Other columns aren't looked at.
 
     A shard's rows are numbered in buckets of about ``bucket_rows`` rows; a bucket's first slot is a sum of counts.
-    The counts read the key column only.
     """
-    k = F.col(key)
+    k, t = F.col(quoted(key)), F.col(quoted(text))
+    places = places or max(tree, grown or [], key=len)
     rows = docs.count()
     buckets = max(1, -(-rows // (bucket_rows * len(tree))))
-    at = [descend(k, tree, seed).alias("shard"), F.pmod(F.xxhash64(k, F.lit(seed + 1)), F.lit(buckets)).alias("bucket")]
     slim = docs.select(
-        k,
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        *at,
-        (descend(k, grown, seed) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        k.alias("k"),
+        (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
+        descend(k, tree, places, seed).alias("shard"),
+        F.pmod(F.xxhash64(k, F.lit(seed + 1)), F.lit(buckets)).alias("bucket"),
+        (descend(k, grown, places, seed) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    counts = docs.select(*at).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    slim = stored(slim, "sharded")
+    counts = slim.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard", "bucket").orderBy(k, "text_crc32", "size")
+    own = Window.partitionBy("shard", "bucket").orderBy("k", "text_crc32", "size")
     placed = slim.withColumn("row", F.row_number().over(own) - 1).join(first, ["shard", "bucket"])
-    return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("row")).cast("long").alias("slot"), "grown_shard")
+    return placed.select(F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("row")).cast("long").alias("slot"), "grown_shard")

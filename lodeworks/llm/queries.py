@@ -71,7 +71,7 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_tree.shard(table(spark, sf_dir, "documents"), hash_tree.layout(40), hash_tree.layout(41))
+    return hash_tree.shard(table(spark, sf_dir, "documents"), hash_tree.layout(40), hash_tree.layout(41), hash_tree.layout(80))
 
 
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
