@@ -51,13 +51,29 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), _clean(t["role"]), F.lit(BODY), _clean(t["text"]), F.lit(END))), "")
 
 
+#: Turns whose spans are added up in one go: appending to an array copies it, so long arrays are made of short ones.
+_BLOCK = 256
+
+
 def spans(turns: Column, role: str = "assistant") -> Column:
-    """(begin, end) of what the loss counts in ``render(turns)``: texts of the role with their end marks."""
-    head = F.transform(turns, lambda t: F.length(_clean(t["role"])) + len(HEAD) + len(BODY))
-    body = F.transform(turns, lambda t: F.length(_clean(t["text"])) + len(END))
-    before = F.transform(turns, lambda t, i: F.aggregate(F.slice(F.zip_with(head, body, lambda h, b: h + b), 1, i), F.lit(0), lambda a, x: a + x))
-    every = F.zip_with(F.arrays_zip(before.alias("at"), head.alias("head")), F.zip_with(body, turns, lambda b, t: F.struct(b.alias("body"), t["role"].alias("role"))), lambda x, y: F.struct((x["at"] + x["head"]).alias("begin"), (x["at"] + x["head"] + y["body"]).alias("end"), y["role"].alias("role")))
-    return F.transform(F.filter(every, lambda s: s["role"] == role), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
+    """(begin, end) of what the loss counts in ``render(turns)``: texts of the role with their end marks.
+
+    The running length is carried from turn to turn and from block to block of turns.
+    """
+
+    def one(state: Column, turn: Column) -> Column:
+        begin = state["at"] + F.length(_clean(turn["role"])) + len(HEAD) + len(BODY)
+        end = begin + F.length(_clean(turn["text"])) + len(END)
+        new = F.when(turn["role"] == role, F.array(F.struct(begin.alias("begin"), end.alias("end")))).otherwise(none)
+        return F.struct(end.alias("at"), F.concat(state["spans"], new).alias("spans"))
+
+    def block(state: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(turns, k * _BLOCK + 1, F.lit(_BLOCK)), F.struct(state["at"].alias("at"), none.alias("spans")), one)
+        return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(state["spans"], p["spans"]).alias("spans")))[0]
+
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    blocks = F.sequence(F.lit(0), F.floor(F.size(turns) / _BLOCK).cast("int"))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("spans")), block)["spans"]
 
 
 def format_pairs(pairs: DataFrame, role: str = "assistant") -> DataFrame:
