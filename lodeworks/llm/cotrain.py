@@ -1,11 +1,14 @@
 """Quality scores by co-training.
 
-Two views of a document have a logistic model each: its text (hashed byte trigrams of the whole text) and its page
-metadata (source, language, length). In each round, either model labels the rows of an unlabelled pool it is surest
-of for the *other* model. A fold of the labels that neither trains on calibrates each view, and a small model joins
-the calibrated views. Scoring every document is one pass without a shuffle.
-
-Training rows are bounded: ``max_labelled`` labels and ``max_pool`` unlabelled documents, of least hash of the id.
+Two views of a document have a naive Bayes model each: its text (hashed byte trigrams of the whole text) and its page
+metadata (source, language, and the size that the page's row states). In each round all documents without a label are
+scored by both views, and those that one view is sure of (a calibrated probability of ``sure`` or more, for either
+class) are examples of that class for the *other* view. A fold of the labels that neither trains on calibrates each
+view, and a small model joins the calibrated views. Scoring every document is one pass without a shuffle.
+
+A naive Bayes model is sums of features by class. So the pseudo-labels of a round, however many, come as sums from the
+tasks, and the driver holds two tables of fixed size. Only the labelled rows are bounded: ``max_labelled``, those of
+least hash of the id.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.shared import quoted, small, stored
 from lodeworks.llm.textops import pieces, tidy
 
 BUCKETS = 1 << 14
@@ -121,7 +125,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         meta = meta_features(batch.column(2), batch.column(3), batch.column(4))
         packed = [on.astype("<u2").tobytes() + v.astype("<f4").tobytes() for on, v in text_features(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary()), pa.array([m.astype("<u2").tobytes() for m in meta], pa.binary()), batch.column(5)], ["id", "t", "m", "y"])
+        yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary()), pa.array([m.astype("<u2").tobytes() for m in meta], pa.binary()), batch.column(5), batch.column(6)], ["id", "t", "m", "y", "h"])
 
 
 def _rows(packed: list[bytes], size: int, width: int) -> Rows:
@@ -133,79 +137,115 @@ def _rows(packed: list[bytes], size: int, width: int) -> Rows:
     return Rows(row, col, val.astype(float), len(packed), width)
 
 
-def _take(x: Rows, keep: np.ndarray) -> Rows:
-    new = np.cumsum(keep) - 1
-    on = keep[x.row]
-    return Rows(new[x.row[on]], x.col[on], x.val[on], int(keep.sum()), x.width)
+def class_sums(x: Rows, y: np.ndarray) -> np.ndarray:
+    """Sums of the features of the rows of class 0 and of class 1; other rows count for nothing."""
+    return np.stack([np.bincount(x.col, x.val * (y == c)[x.row], x.width) for c in (0, 1)])
+
+
+def bayes(sums: np.ndarray, smooth: float) -> np.ndarray:
+    """Log odds of class 1 by feature, of one feature sum to the class's whole."""
+    p = sums + smooth
+    w = np.log(p / p.sum(1, keepdims=True))
+    return w[1] - w[0]
+
+
+def _pseudo(shared, sure: float):
+    """Sums (view, class, feature, total) of the documents that the other view is sure of, and their numbers (-1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total = [np.zeros((2, BUCKETS)), np.zeros((2, META))]
+        many = np.zeros((2, 2))
+        for batch in batches:
+            meta = meta_features(batch.column(2), batch.column(3), batch.column(4))
+            words = list(text_features(batch.column(1)))
+            p, q, _ = m.combine(np.array([float((m.text[on] * v).sum()) for on, v in words]), m.meta[meta].sum(1))
+            for view, odds in ((0, q), (1, p)):
+                for c, rows in enumerate((np.flatnonzero(odds <= 1 - sure), np.flatnonzero(odds >= sure))):
+                    many[view, c] += len(rows)
+                    if view:
+                        total[1][c] += np.bincount(meta[rows].ravel(), minlength=META)
+                    else:
+                        for i in rows:
+                            on, v = words[i]
+                            total[0][c, on] += v
+        tidy()
+        for view in (0, 1):
+            for c in (0, 1):
+                on = np.flatnonzero(total[view][c])
+                cols = np.r_[-1, on], np.r_[many[view, c], total[view][c, on]]
+                yield pa.record_batch([pa.array(np.full(len(on) + 1, view, np.int32)), pa.array(np.full(len(on) + 1, c, np.int32)), pa.array(cols[0].astype(np.int64)), pa.array(cols[1])], ["view", "c", "f", "total"])
+
+    return run
+
+
+SMOOTH = (0.01, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", max_labelled: int = 4000, max_pool: int = 4000, rounds: int = 4, share: float = 0.05) -> Model:
-    """Fit on labels (key, target of 0 or 1; other values and null keys are left out) and a pool of other documents.
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", max_labelled: int = 4000, rounds: int = 2, sure: float = 0.95) -> Model:
+    """Fit on labels (key, target of 0 or 1; other values and null keys are left out) and all other documents.
 
-    In each of ``rounds`` either view hands the other the ``share`` of the pool it is surest of, in the proportion of
-    the labels' classes. A key labelled twice has its largest label. Without two classes the model is the prior.
+    In each of ``rounds`` either view hands the other all documents without a label that it is sure of; in each class
+    they weigh as much as the labelled ones at most. A key labelled twice has its largest label; of documents that
+    repeat a labelled key, that of least hash is learned from. Without two classes the model is the prior.
     """
-    cols = [F.col(key).alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
+    slim = _columns(docs, key)
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
-    known = labels.where(F.col(key).isNotNull() & F.col(target).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(target).cast("int").alias("y"))
+    known = stored(labels.where(F.col(quoted(key)).isNotNull() & F.col(quoted(target)).isin(0, 1)).groupBy(F.col(quoted(key)).alias("id")).agg(F.max(quoted(target)).cast("int").alias("y")), "labels")
     n, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or good in (0, n):
         return Model(prior=good / n if n else 0.5)
-    some = known.where(part <= int(min(1.0, max_labelled / n) * (1 << 30)))
-    every = docs.count()
-    pool = docs.select(F.col(key).alias("id")).where(F.col("id").isNotNull() & (part <= int(min(1.0, max_pool / max(every - n, 1)) * (1 << 30)))).join(known, "id", "left_anti").distinct()
-    # bounded: about max_labelled + max_pool ids
-    drawn = some.unionByName(pool.select("id", F.lit(-1).alias("y")))
-    rows = docs.select(*cols).join(F.broadcast(drawn), "id").mapInArrow(_features, f"id {docs.schema[key].dataType.simpleString()}, t binary, m binary, y int").collect()
-    rows = sorted(({r.id: r for r in rows}).values(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
+    prior = good / n
+    some = known.where(part <= int(min(1.0, max_labelled / n) * (1 << 30)))  # bounded: about max_labelled ids
+    drawn = slim.join(F.broadcast(some), "id").withColumn("h", F.xxhash64("text", "source", "lang", "n_chars"))
+    featured = drawn.mapInArrow(_features, f"id {slim.schema['id'].dataType.simpleString()}, t binary, m binary, y int, h long")
+    rows = featured.groupBy("id").agg(F.min_by(F.struct("t", "m", "y"), "h").alias("r")).select("id", "r.*").collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
     y = np.array([r.y for r in rows], float)
-    if not len(y) or not (y == 1).any() or not (y == 0).any():
-        return Model(prior=good / n)
-    x = (_rows([bytes(r.t) for r in rows], 4, BUCKETS), _rows([bytes(r.m) for r in rows], 0, META))
     fold = np.arange(len(y)) % 4 == 3
-    test = fold & (y >= 0)
-    given = [np.where(fold, -1, y), np.where(fold, -1, y)]
-    pooled = (y < 0) & ~fold
-    w: list[np.ndarray | None] = [None, None]
-    prior = good / n
-    for _ in range(rounds + 1):
-        for view in (0, 1):
-            on = given[view] >= 0
-            w[view] = logistic(_take(x[view], on), given[view][on], np.where(y[on] >= 0, 1.0, 0.5), w[view], 120 if w[view] is None else 40)
-        for view in (0, 1):
-            free = pooled & (given[1 - view] < 0)
-            if not free.any():
-                continue
-            z = np.where(free, x[view].dot(w[view]) + w[view][-1], 0.0)
-            order = np.argsort(z, kind="stable")
-            order = order[free[order]]
-            take = max(1, int(share * len(order)))
-            lows = max(1, round(take * (1 - prior)))
-            for i in order[:lows]:
-                if z[i] < 0:
-                    given[1 - view][i] = 0
-            for i in order[len(order) - max(1, take - lows) :]:
-                if z[i] > 0:
-                    given[1 - view][i] = 1
-    z = [x[v].dot(w[v]) + w[v][-1] for v in (0, 1)]
-    if not (y[test] == 1).any() or not (y[test] == 0).any():
-        test = y >= 0
-    scale = tuple(platt(z[v][test], y[test]) for v in (0, 1))
-    lt, lm = (scale[v][0] * z[v][test] + scale[v][1] for v in (0, 1))
+    if not all((y[k] == c).any() for k in (fold, ~fold) for c in (0, 1)):
+        return Model(prior=prior)
+    x = (_rows([bytes(r.t) for r in rows], 4, BUCKETS), _rows([bytes(r.m) for r in rows], 0, META))
+    of = np.where(fold, -1, y)
+    given = [class_sums(x[v], of) for v in (0, 1)]
+    sums = given
+    free = slim.join(small(known.select("id"), n, 24), "id", "left_anti")
+    for k in range(rounds + 1):
+        w = [bayes(sums[v], SMOOTH[v]) for v in (0, 1)]
+        z = [x[v].dot(w[v]) for v in (0, 1)]
+        model = Model(prior, w[0], w[1], tuple(platt(z[v][fold], y[fold]) for v in (0, 1)))
+        if k == rounds:
+            break
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        found = free.mapInArrow(_pseudo(shared, sure), "view int, c int, f long, total double").groupBy("view", "c", "f").agg(F.sum("total").alias("total")).collect()
+        more, many = [np.zeros((2, BUCKETS)), np.zeros((2, META))], np.zeros((2, 2))
+        for r in found:
+            if r.f < 0:
+                many[r.view, r.c] = r.total
+            else:
+                more[r.view][r.c, r.f] = r.total
+        labelled = np.array([(of == 0).sum(), (of == 1).sum()])
+        scale = np.minimum(1, labelled / np.maximum(many, 1))
+        sums = [given[v] + more[v] * scale[v][:, None] for v in (0, 1)]
+    lt, lm = (model.scale[v][0] * z[v][fold] + model.scale[v][1] for v in (0, 1))
     both = Rows(np.repeat(np.arange(len(lt)), 2), np.tile([0, 1], len(lt)), np.stack([lt, lm], 1).ravel(), len(lt), 2)
-    joined = logistic(both, y[test], np.ones(len(lt)), np.array([1.0, 0.0, 0.0]), 200, 1e-3)
-    return Model(prior, w[0], w[1], scale, joined)
+    model.joined = logistic(both, y[fold], np.ones(len(lt)), np.array([1.0, 0.0, 0.0]), 200, 1e-3)
+    return model
+
+
+def _columns(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.col(quoted(key)).alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(key, text_score, meta_score, score, keep) for each row of docs; scores are calibrated probabilities.
 
-    Null and empty texts have no trigram and get what the bias and their metadata give. keep: score is ``threshold``
+    Null and empty texts have no trigram and get what the calibration and their metadata give. keep: score is ``threshold``
     or more; a model that is only a prior keeps all. Columns of docs beyond the five named aren't looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    slim = _columns(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -213,8 +253,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float =
             if m.text is None:
                 t = f = s = np.full(len(batch), m.prior)
             else:
-                zt = np.array([float((m.text[on] * v).sum()) for on, v in text_features(batch.column(1))]) + m.text[-1]
-                zm = m.meta[meta_features(batch.column(2), batch.column(3), batch.column(4))].sum(1) + m.meta[-1]
+                zt = np.array([float((m.text[on] * v).sum()) for on, v in text_features(batch.column(1))])
+                zm = m.meta[meta_features(batch.column(2), batch.column(3), batch.column(4))].sum(1)
                 t, f, s = m.combine(zt, zm)
             keep = s >= threshold if m.text is not None else np.ones(len(batch), bool)
             yield pa.record_batch([batch.column(0), pa.array(t, pa.float64()), pa.array(f, pa.float64()), pa.array(s, pa.float64()), pa.array(keep)], ["id", "text_score", "meta_score", "score", "keep"])
