@@ -1,17 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a hash of the words at a mask's fixed positions in a window; words at the other positions may differ. The
-benchmark's seeds are joined with those of every window of every document. Around each hit, the words of item and
-document are compared along the hit's diagonal and the overlap is grown while at least ``match`` of its words agree;
-it counts from ``least`` equal words (or the whole item, if shorter: all words of such an item must agree).
+seeds of the benchmark's windows are a table, those of the documents' windows another, and the two are joined. Each hit
+names a diagonal of an item and a document; the words of both are compared along it and the overlap is grown while at
+least ``match`` of its words agree. It counts from ``least`` equal words (or the whole item, if shorter: all words of
+such an item must agree).
 
 No overlap goes unseen. One of at least 13 equal words and 80 % has a stretch of at most 33 words that is one too, as
 one half of a longer one would do, and every placing of unequal words in such a stretch leaves all words of one mask
 equal (the tests go through all of them). For a lower ``least`` or ``match``, the run of equal words that must be there
-by pigeonhole is a further mask. Hits with too few equal words around them for a stretch are dropped in bulk.
+by pigeonhole is a further mask.
 
-The documents are read once for each block of the benchmark; a block holds at most ``block_words`` words, so what is
-sent to the workers has a fixed bound however large the benchmark is. No shuffle is needed.
+Of the documents' seeds only those leave their task that a bitmap of the benchmark's seeds lets through. It has a fixed
+size, so a larger benchmark lets more through to the join and nothing else changes. Of the texts, only the words on a
+hit's diagonal are sent to be compared, as many as the item has.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.shared import quoted, small, stored, unused
 from lodeworks.llm.textops import BYTE_VALUES, LOWER, pieces, tidy, window_hashes, words
 
 #: Fixed masks, as offsets of the words that must agree; together they meet every overlap of 13 equal words and 80 %.
@@ -32,8 +35,8 @@ MASKS = (
     (0, 1, 2, 4, 6, 7),
     (0, 1, 3, 7, 10, 11),
 )
-TABLE_BITS = 22
-_HITS = 1 << 13
+#: Most bits of the bitmap of the benchmark's seeds, as a power of two: 2 MB.
+MOST_BITS = 24
 
 # Words for matching are runs of ASCII letters and digits and of bytes of other characters, lower-cased: punctuation
 # separates, as copies often differ in it.
@@ -47,159 +50,185 @@ def _unequal(n: int, match: float) -> int:
     return int(n * (1 - match) / match + 1e-9)
 
 
-class Block:
-    """A block of benchmark items with the seeds of their windows."""
-
-    def __init__(self, ids: list[int], texts: list[str], masks=MASKS, least: int = 13, match: float = 0.8):
-        self.ids, self.least, self.match = np.array(ids, np.int64), least, match
-        col = pa.array(texts, pa.string())
-        parts = [(words(raw, off, _VALUES, _WORDY)) for _, _, raw, off in pieces(col, 1 << 40)]
-        h, off = parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        self.words, self.off = h, off
-        #: Words of the longest overlap that holds no shorter one.
-        self.reach = 2 * math.ceil(least / match) - 1
-        if least < 13 or match < 0.8:
-            masks = (*masks, tuple(range(min(-(-n // (_unequal(n, match) + 1)) for n in range(least, self.reach + 1)))))
-        #: Masks, then whole items of fewer words than the longest mask, by length.
-        length = np.diff(off)
-        span = max(m[-1] + 1 for m in masks)
-        self.masks = [*masks, *(tuple(range(n)) for n in sorted(set(length[(length > 0) & (length < span)].tolist())) if n > 1 or least <= 1)]
-        self.seeds, self.at, self.flags = [], [], []
-        for j, m in enumerate(self.masks):
-            every = window_hashes(h, m)
-            ok = np.zeros(len(every), bool)
-            for a, b in zip(off[:-1], off[1:], strict=True):
-                if j < len(masks) or b - a == len(m):
-                    ok[a : max(a, b - m[-1])] = True
-            at = np.flatnonzero(ok)
-            order = np.argsort(every[at], kind="stable")
-            seeds = every[at][order]
-            flags = np.zeros(1 << TABLE_BITS, bool)
-            flags[(seeds >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-            self.seeds.append(seeds)
-            self.at.append(at[order])
-            self.flags.append(flags)
-
-    def overlaps(self, h: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-        """Of one document's words: by item row the best (equal words, document word, item word, length)."""
-        found: dict[int, tuple[int, int, int, int]] = {}
-        done: set[tuple[int, int]] = set()
-        for j, m in enumerate(self.masks):
-            every = window_hashes(h, m)
-            hits = np.flatnonzero(self.flags[j][(every >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(every) else ()
-            if len(hits):
-                lo, hi = np.searchsorted(self.seeds[j], every[hits]), np.searchsorted(self.seeds[j], every[hits], "right")
-                first = np.r_[0, np.cumsum(hi - lo)]
-                for at in range(0, int(first[-1]), _HITS):
-                    i = np.arange(at, min(at + _HITS, int(first[-1])))
-                    k = np.searchsorted(first, i, "right") - 1
-                    for item, d in self.likely(h, hits[k], self.at[j][lo[k] + i - first[k]]):
-                        if (item, d) not in done:
-                            done.add((item, d))
-                            best = self.verify(h, item, d)
-                            if best and best > found.get(item, (0,)):
-                                found[item] = best
-        return found
-
-    def likely(self, h: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
-        """(item, diagonal) of the hits of document words p on item words q with enough equal words in reach."""
-        item = np.searchsorted(self.off, q, "right") - 1
-        a, b = self.off[item], self.off[item + 1]
-        equal = np.zeros(len(p), np.int64)
-        for w in range(-self.reach, self.reach + 1):
-            x, y = p + w, q + w
-            on = (x >= 0) & (x < len(h)) & (y >= a) & (y < b)
-            equal[on] += self.words[y[on]] == h[x[on]]
-        ok = equal >= np.minimum(self.least, b - a)
-        return list(dict.fromkeys(zip(item[ok].tolist(), (p - q)[ok].tolist(), strict=True)))
-
-    def verify(self, h: np.ndarray, item: int, d: int) -> tuple[int, int, int, int] | None:
-        """The longest stretch of the diagonal with at least ``match`` equal words that holds the most of them."""
-        a, b = int(self.off[item]), int(self.off[item + 1])
-        lo, hi = max(a, -d), min(b, len(h) - d)
-        same = self.words[lo:hi] == h[lo + d : hi + d]
-        score = np.cumsum(np.where(same, 1.0, -self.match / (1 - self.match) if self.match < 1 else -1e9))
-        # stretches [s, e) whose score is >= 0 hold at least `match` equal words; take the one of most equal words
-        prefix = np.r_[0.0, score]
-        equal = np.r_[0, np.cumsum(same)]
-        low = np.minimum.accumulate(prefix)
-        best = None
-        for e in np.flatnonzero(same) + 1:
-            s = int(np.searchsorted(-low, -prefix[e] - 1e-9))
-            n = int(equal[e] - equal[s])
-            if best is None or n > best[0]:
-                best = (n, s, e)
-        if best is None:
-            return None
-        n, s, e = best
-        while not same[s]:
-            s += 1
-        if n >= min(self.least, b - a):
-            return n, lo + s + d, lo + s - a, e - s
-        return None
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[tuple[list[int], list[str]]]:
-    ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        n = len(r.t.split()) + r.t.count(".")
-        if ids and size + n > block_words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(r.t)
-        size += n
-    if ids:
-        yield ids, texts
+def masks_for(lengths: list[int], least: int, match: float, masks=MASKS) -> tuple[list[tuple[int, ...]], int]:
+    """(masks, number of those that are for all items): the rest are whole items that are shorter than a mask."""
+    if least < 13 or match < 0.8:
+        reach = 2 * math.ceil(least / match) - 1  # words of the longest overlap that holds no shorter one
+        masks = (*masks, tuple(range(min(-(-n // (_unequal(n, match) + 1)) for n in range(least, reach + 1)))))
+    span = max(m[-1] + 1 for m in masks)
+    return [*masks, *(tuple(range(n)) for n in sorted(set(lengths)) if 0 < n < span and (n > 1 or least <= 1))], len(masks)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, match: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 1 << 20) -> DataFrame:
+def grown(item: np.ndarray, first: int, doc: np.ndarray, least: int, match: float) -> tuple[int, int, int] | None:
+    """(equal words, first word of the item, length) of the longest stretch with at least ``match`` equal words that
+    holds the most of them. ``doc`` are the document's words beside the item's words from ``first`` on."""
+    same = item[first : first + len(doc)] == doc
+    need = min(least, len(item))
+    if same.sum() < need:
+        return None
+    score = np.cumsum(np.where(same, 1.0, -match / (1 - match) if match < 1 else -1e9))
+    # stretches [s, e) whose score is >= 0 hold at least `match` equal words; take the one of most equal words
+    prefix, equal = np.r_[0.0, score], np.r_[0, np.cumsum(same)]
+    low = np.minimum.accumulate(prefix)
+    e = np.flatnonzero(same) + 1
+    s = np.searchsorted(-low, -prefix[e] - 1e-9)
+    n = equal[e] - equal[s]
+    best = int(n.argmax())
+    if n[best] < need:
+        return None
+    s = int(s[best])
+    while not same[s]:
+        s += 1
+    return int(n[best]), first + s, int(e[best]) - s
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (iid, item, text) with the hashes of their words."""
+    for batch in batches:
+        n, packed = [], []
+        for a, b, raw, off in pieces(batch.column(2)):
+            h, at = words(raw, off, _VALUES, _WORDY)
+            n += np.diff(at).tolist()
+            packed += [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["iid", "item", "n", "words"])
+    tidy()
+
+
+def _item_seeds(masks: list[tuple[int, ...]], common: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for iid, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(packed, np.uint64)
+                for j, m in enumerate(masks):
+                    if j < common or len(h) == len(m):
+                        seeds = window_hashes(h, m)
+                        yield pa.record_batch([pa.array(np.full(len(seeds), iid)), pa.array(np.full(len(seeds), j, np.int32)), pa.array(seeds.view(np.int64)), pa.array(np.arange(len(seeds)))], ["iid", "m", "seed", "at"])
+
+    return run
+
+
+def _doc_seeds(shared, masks: list[tuple[int, ...]]):
+    """Seeds of all windows of whole texts that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(shared.value, bitorder="little").view(bool)
+        shift = np.uint64(64 - int(len(flags)).bit_length() + 1)
+        for batch in batches:
+            for a, _, raw, off in pieces(batch.column(2)):
+                h, at = words(raw, off, _VALUES, _WORDY)
+                for j, m in enumerate(masks):
+                    every = window_hashes(h, m)
+                    hit = np.flatnonzero(flags[(every >> shift).astype(np.int64)]) if len(every) else np.zeros(0, np.int64)
+                    doc = np.searchsorted(at, hit, "right") - 1
+                    inside = hit + m[-1] < at[doc + 1]  # windows don't go over the end of a text
+                    hit, doc = hit[inside], doc[inside]
+                    for x in range(0, len(hit), 1 << 16):
+                        p, d = hit[x : x + (1 << 16)], doc[x : x + (1 << 16)]
+                        own = pa.array(d + a)
+                        yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.full(len(p), j, np.int32)), pa.array(every[p].view(np.int64)), pa.array(p - at[d])], ["key", "uid", "m", "seed", "p"])
+        tidy()
+
+    return run
+
+
+def _diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text and each of its diagonals (iid, d, n): the text's words beside the item's."""
+    for batch in batches:
+        lists = batch.column(3)
+        for a, b, raw, off in pieces(batch.column(2)):
+            h, at = words(raw, off, _VALUES, _WORDY)
+            for i in range(b - a):
+                own = h[at[i] : at[i + 1]]
+                wanted = lists[a + i].as_py()
+                for x in range(0, len(wanted), 1024):
+                    part = wanted[x : x + 1024]
+                    first = [max(0, -w["d"]) for w in part]
+                    cut = [own[w["d"] + f : max(w["d"] + w["n"], 0)].tobytes() for w, f in zip(part, first, strict=True)]
+                    same = pa.array([a + i] * len(part))
+                    yield pa.record_batch([batch.column(0).take(same), batch.column(1).take(same), pa.array([w["iid"] for w in part], pa.int64()), pa.array([w["d"] for w in part], pa.int64()), pa.array(first, pa.int64()), pa.array(cut, pa.binary())], ["key", "uid", "iid", "d", "first", "beside"])
+    tidy()
+
+
+def _verified(least: int, match: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+            for i, (d, first, beside, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), strict=True)):
+                if found := grown(np.frombuffer(item, np.uint64), first, np.frombuffer(beside, np.uint64), least, match):
+                    rows.append((found[0], found[1] + d, found[1], found[2]))
+                    at.append(i)
+            own = pa.array(at, pa.int64())
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.record_batch([*(batch.column(c).take(own) for c in range(3)), *(pa.array(c, pa.int64()) for c in cols)], ["key", "uid", "iid", "matches", "doc_word", "item_word", "length"])
+
+    return run
+
+
+def _bitmap(seeds: DataFrame, count: int) -> np.ndarray:
+    """Packed bits, set where a seed's first bits point; from 2**16 to 2**MOST_BITS of them, 16 for a seed."""
+    bits = min(max(16, int(count * 16).bit_length()), MOST_BITS)
+    at = F.shiftrightunsigned(F.col("seed"), 64 - bits)
+    word = seeds.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("v"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in word.collect():  # 2**(MOST_BITS - 6) rows at most
+        out[r.w] = r.v
+    return out.view(np.uint8)
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, least: int, match: float, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(key, uid, item, matches, doc_word, item_word, length, rows): the best overlap of each document with each item;
+    a document is a key and a hash of key and text, and is in so many rows."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(quoted(key)).alias("key"), F.xxhash64(F.col(quoted(key)), F.col(quoted(text))).alias("uid"), F.col(quoted(text)).alias("text"))
+    kind = slim.schema["key"].dataType.simpleString()
+    tests = benchmark.select(F.xxhash64(F.col(quoted(item)), F.col(quoted(item_text))).alias("iid"), F.col(quoted(item)).alias("item"), F.col(quoted(item_text)).alias("text")).where("item is not null and text is not null")
+    items = stored(tests.dropDuplicates(["iid"]).mapInArrow(_hashes, f"iid long, item {tests.schema['item'].dataType.simpleString()}, n long, words binary"), "items")
+    span = max(m[-1] + 1 for m in MASKS)
+    short = [r.n for r in items.where(F.col("n") < max(span, least)).select("n").distinct().collect()]
+    masks, common = masks_for(short, least, match)
+    seeds = stored(items.select("iid", "words").mapInArrow(_item_seeds(masks, common), "iid long, m int, seed long, at long"), "seeds")
+    many, (count, width) = seeds.count(), items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()
+    flags = spark.sparkContext.broadcast(_bitmap(seeds, many))
+    hits = slim.mapInArrow(_doc_seeds(flags, masks), f"key {kind}, uid long, m int, seed long, p long")
+    met = hits.join(small(seeds, many, 40), ["m", "seed"]).select("key", "uid", "iid", (F.col("p") - F.col("at")).alias("d")).distinct()
+    met = stored(met, "met")
+    sized = met.join(small(items.select("iid", "n"), count, 32), "iid")
+    by_doc = sized.groupBy("key", "uid").agg(F.collect_list(F.struct("iid", "d", "n")).alias("diagonals"))
+    by_doc = stored(by_doc.withColumnRenamed("key", "own").withColumnRenamed("uid", "own_uid"), "diagonals")
+    few, bytes_ = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("diagonals") * 40 + 64), F.lit(0))).first()
+    texts = stored(slim.join(small(by_doc, 1, bytes_), (F.col("uid") == F.col("own_uid")) & F.col("key").eqNullSafe(F.col("own"))).select("key", "uid", "text", "diagonals"), "hits")
+    rows = texts.groupBy(F.col("key").alias("own"), F.col("uid").alias("own_uid")).agg(F.count(F.lit(1)).alias("rows"))
+    beside = texts.mapInArrow(_diagonals, f"key {kind}, uid long, iid long, d long, first long, beside binary")
+    pairs = beside.join(small(items.select(F.col("iid").alias("other"), "words"), 1, width), F.col("iid") == F.col("other")).select("key", "uid", "iid", "d", "first", "beside", "words")
+    found = pairs.mapInArrow(_verified(least, match), f"key {kind}, uid long, iid long, matches long, doc_word long, item_word long, length long")
+    found = found.join(small(items.select("iid", "item"), count, 64), "iid")
+    best = found.groupBy("key", "uid", "item").agg(F.max(F.struct("matches", (-F.col("doc_word")).alias("a"), (-F.col("item_word")).alias("b"), "length")).alias("x"))
+    best = best.join(small(rows, few, 48), (F.col("uid") == F.col("own_uid")) & F.col("key").eqNullSafe(F.col("own")))
+    return best.select("key", "uid", "item", "x.matches", (-F.col("x.a")).alias("doc_word"), (-F.col("x.b")).alias("item_word"), "x.length", "rows")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, match: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, matches, doc_word, item_word, length): each row of docs with each item it overlaps, the best
-    overlap of each. Word positions count the operator's own words (letters and digits, lower-cased).
+    overlap of each (of most equal words, then the first in the text, then in the item). Word positions count the
+    operator's own words (letters and digits, lower-cased).
 
-    Null and empty texts on either side overlap nothing; items without an id are not searched. Repeated rows each
-    give their rows. An empty benchmark gives no rows. Other columns aren't looked at.
+    Keys and item ids are of any type. Null and empty texts on either side overlap nothing; items without an id are
+    not searched; rows that repeat an item's id are one item. Repeated rows each give their rows. An empty benchmark
+    gives no rows. Other columns aren't looked at.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item_id long, matches long, doc_word long, item_word long, length long"
-    out = spark.createDataFrame([], schema)
-    for ids, texts in _blocks(benchmark, item, item_text, block_words):
-        shared = spark.sparkContext.broadcast(Block(ids, texts, least=least, match=match))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            for batch in batches:
-                rows = []
-                for a, _, raw, off in pieces(batch.column(1)):
-                    h, at = words(raw, off, _VALUES, _WORDY)
-                    hot = np.zeros(len(h) + 1, np.int64)
-                    for m, flags in zip(block.masks, block.flags, strict=True):
-                        every = window_hashes(h, m)
-                        if len(every):
-                            hot[1 : len(every) + 1] += flags[(every >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                    hot = np.cumsum(hot)
-                    for i in np.flatnonzero(hot[at[1:]] > hot[at[:-1]]):
-                        for j, (n, p, q, size) in block.overlaps(h[at[i] : at[i + 1]]).items():
-                            rows.append((a + i, block.ids[j], n, p, q, size))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.record_batch([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "item_id", "matches", "doc_word", "item_word", "length"])
-            tidy()
-
-        out = out.unionByName(slim.mapInArrow(run, schema))
-    return out.withColumnRenamed("id", key)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that overlap a benchmark item; all columns are kept.
-
-    Documents are told apart by key: all rows of a contaminated key go. Rows with a null key that overlap can't be
-    told from other such rows, so each is tested on its own text by giving it a key of its own.
-    """
-    from lodeworks.llm.shared import small, stored
+    found = _overlaps(docs, benchmark, least, match, key, text, item, item_text)
+    each = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select(F.col("key").alias(key), F.col("item").alias(item), "matches", "doc_word", "item_word", "length")
+
 
-    tagged = docs.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.sha2(F.col("text"), 256))))
-    bad = stored(overlaps(tagged, benchmark, key="_key", **how).select("_key").distinct(), "leaks")
-    return tagged.join(small(bad, bad.count(), 64), "_key", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: int = 13, match: float = 0.8, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the documents that overlap a benchmark item; all columns are kept, whatever their names.
+
+    A document is told by key and text, null keys too: another text under a contaminated one's key stays.
+    """
+    uid, own, other = unused(docs, "uid", "own", "other")
+    bad = _overlaps(docs, benchmark, least, match, key, text, item, item_text).select(F.col("key").alias(own), F.col("uid").alias(other)).distinct()
+    bad = stored(bad, "leaks")
+    tagged = docs.withColumn(uid, F.xxhash64(F.col(quoted(key)), F.col(quoted(text))))
+    left = tagged.join(small(bad, bad.count(), 64), (F.col(uid) == F.col(other)) & F.col(quoted(key)).eqNullSafe(F.col(own)), "left_anti")
+    return left.select(*[F.col(quoted(c)) for c in docs.columns])
