@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -311,12 +314,73 @@ def test_packing_round_trip(spark):
 @pytest.mark.parametrize("tokens", [[5, 3000, 70000, 1, 64, 128], [2048], [1], [2047, 5000, 1, 1, 1]])
 def test_schedule_places_each_token_once(tokens):
     s = packing.Schedule(tokens)
-    at = np.concatenate([s.place(np.full(n, q), np.arange(n), np.arange(n) // 64) for q, n in enumerate(tokens)])
+    at = np.concatenate([s.place(np.full(n, q), np.arange(n)) for q, n in enumerate(tokens)])
     assert sorted(at) == list(range(sum(tokens)))
     seq, off, room = s.sequence(at)
     assert all(sorted(off[seq == i]) == list(range((seq == i).sum())) for i in np.unique(seq)) and (room > 0).all()
 
 
+def served_by_rounds(tokens, shares, length, quantum):
+    """The queue of each token of the stream, by deficit counters that are kept round by round."""
+    left, out, given = list(tokens), [], [0] * len(tokens)
+    ends = [Fraction(t) / p for t, p in zip(tokens, shares, strict=True)]
+    for end in sorted(set(ends)):
+        to = [t if e <= end else int(p * end) // quantum * quantum for t, e, p in zip(tokens, ends, shares, strict=True)]
+        owed = [b - a for a, b in zip(given, to, strict=True)]
+        quanta, rounds = [-(-x // quantum) for x in owed], max(1, -(-sum(owed) // length))
+        deficit, left = [0] * len(tokens), list(owed)
+        for _ in range(rounds):
+            for q in range(len(tokens)):
+                deficit[q] += quanta[q]
+                turns, deficit[q] = divmod(deficit[q], rounds)
+                n = min(turns * quantum, left[q])
+                out += [q] * n
+                left[q] -= n
+        assert not any(left)
+        given = to
+    return out
+
+
+@pytest.mark.parametrize("shares", [None, [0.5, 0.25, 0.125, 0.125], [0.1, 0.6, 0.2, 0.1]])
+def test_mixture_as_counted_round_by_round(shares):
+    tokens = [3000, 9000, 700, 41]
+    exact = [Fraction(x) for x in shares] if shares else [Fraction(t, sum(tokens)) for t in tokens]
+    exact = [x / sum(exact) for x in exact]
+    want = served_by_rounds(tokens, exact, 512, 32)
+    # the queues of a mixture without shares are in order of their tokens
+    mix = packing.Mixture(tokens, shares, 512, 32)
+    stream = [None] * sum(tokens)
+    for q, n in enumerate(tokens):
+        row, start, size, at = mix.runs(np.array([q]), np.array([0]), np.array([n]))
+        for a, b, c in zip(start, size, at, strict=True):
+            assert stream[c : c + b] == [None] * b
+            stream[c : c + b] = [(q, x) for x in range(a, a + b)]
+        assert sorted(range(sum(tokens)), key=lambda i: stream[i] or (9, i))[0] is not None
+    assert all(x is not None for x in stream)
+    for q in range(len(tokens)):
+        assert [x for s, x in stream if s == q] == list(range(tokens[q]))
+    if shares:
+        assert [s for s, _ in stream] == want
+        run_out = min(t / p for t, p in zip(tokens, shares, strict=True))
+        for w in range(int(run_out) // 512):  # until a queue runs out, every window is near its targets
+            share = Counter(s for s, _ in stream[w * 512 : w * 512 + 512])
+            assert all(abs(share[q] - 512 * p) <= 4 * 32 for q, p in enumerate(shares))
+
+
+def test_mixture_of_more_sources_than_a_task_sums_over():
+    tokens = [*range(40, 400, 3), 20_000, 7, 1]
+    mix = packing.Mixture(tokens, None, 512, 16, fan=5)
+    assert len(mix.levels) > 20
+    q = np.repeat(np.arange(len(tokens)), 2)  # two documents a source
+    n = np.ravel([(t // 2, t - t // 2) for t in tokens])
+    first = np.ravel([(0, t // 2) for t in tokens])
+    row, start, size, at = mix.runs(q[n > 0], first[n > 0], n[n > 0])
+    seen = np.zeros(sum(tokens), int)
+    for a, b in zip(at, size, strict=True):
+        seen[a : a + b] += 1
+    assert (seen == 1).all() and np.bincount(row, size).tolist() == n[n > 0].tolist()
+
+
 def test_muldiv_beyond_64_bits():
     a = np.array([0, 1, 7 * 10**10, 15 * 10**10])
     for b, c in ((5 * 10**9, 15 * 10**10), (10**13, 15 * 10**10)):
@@ -326,7 +390,8 @@ def test_muldiv_beyond_64_bits():
 
 def test_packing_odd_rows_and_many_queues(spark):
     d = odd_frame(spark).withColumn("source", F.when(F.col("source").isNotNull(), F.concat("source", F.col("doc_id"))))
-    rows = packing.pack(d, vocabulary(), max_queues=4).collect()
+    rows = packing.pack(d, vocabulary(), fan=3, targets={"s211": 0.5, "nowhere": 0.1}).collect()
+    assert sorted((r.sequence_id, r.offset) for r in rows)[0] == (0, 0) and all(r.queue == "s211" for r in rows if r.sequence_id == 0 and r.offset == 0)
     assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(r.doc_id for r in d.collect())
     assert packing.pack(empty(spark), vocabulary()).count() == 0
 
@@ -337,7 +402,7 @@ def test_packing_odd_rows_and_many_queues(spark):
 def test_sharding(spark):
     d = corpus(spark, [prose(np.random.default_rng(i), 4) for i in range(600)] + odd_texts())
     for n in (1, 7, 40, 41):
-        rows = hash_tree.shard(d, hash_tree.layout(n), hash_tree.layout(n + 1), bucket_rows=8).collect()
+        rows = hash_tree.shard(d, hash_tree.layout(n), hash_tree.layout(n + 1), hash_tree.layout(80) if n == 40 else None, bucket_rows=8).collect()
         texts = {r.doc_id: r.text for r in d.collect()}
         slots = defaultdict(list)
         for r in rows:
@@ -347,11 +412,53 @@ def test_sharding(spark):
         assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def spark_hash(*parts, seed=42):
+    """xxhash64 of longs and ints as Spark chains it."""
+    xxhash = pytest.importorskip("xxhash")
+    for value, code in parts:
+        if value is not None:
+            seed = xxhash.xxh64(struct.pack(code, value), seed=seed).intdigest()
+    return seed
+
+
+def brute_shard(key, live, places, seed=0):
+    """The descent in plain Python: cumulative weights, level by level, then the least draw."""
+    unit = lambda *parts: ((spark_hash((key, "<q"), *parts, (seed, "<i")) >> 12) + 0.5) / 2**52
+
+    def choose(groups, u):
+        total, below = sum(p.weight for _, g in groups for p in g), 0.0
+        for name, g in groups:
+            below += sum(p.weight for p in g)
+            if u < below / total:
+                return name
+        return groups[-1][0]
+
+    for k in range(hash_tree.ATTEMPTS):
+        left = places
+        for level, of in enumerate((lambda p: p.region, lambda p: p.rack, lambda p: p.shard)):
+            left = [p for p in left if of(p) == choose([(n, [p for p in left if of(p) == n]) for n in dict.fromkeys(map(of, left))], unit((k, "<i"), (level, "<i")))]
+        if unit((k, "<i"), (3, "<i")) < live.get(left[0].shard, 0) / left[0].weight:
+            return left[0].shard
+    return min((-math.log(unit((s, "<i"))) / w, s) for s, w in live.items())[1]
+
+
+def test_descent_as_brute_force(spark):
+    keys = [*range(-40, 400), None, 2**60]
+    d = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n, places in ((1, hash_tree.layout(1)), (7, hash_tree.layout(30, 2, 3)), (40, hash_tree.layout(80)), (9, hash_tree.layout(5))):
+        tree = [hash_tree.Node(x.shard, x.rack, x.region, 1 / (1 + x.shard % 3)) for x in hash_tree.layout(n)]
+        got = [r[0] for r in d.select(hash_tree.descend(F.col("k"), tree, places)).collect()]
+        assert got == [brute_shard(k, {x.shard: x.weight for x in tree}, places) for k in keys]
+
+
 def test_weights_and_movement(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     even = hash_tree.layout(8, 2, 2)
     heavy = [hash_tree.Node(n.shard, n.rack, n.region, 3.0 if n.shard == 2 else 1.0) for n in even]
-    rows = d.select(hash_tree.descend(F.col("doc_id"), even).alias("a"), hash_tree.descend(F.col("doc_id"), heavy).alias("b")).collect()
+    places = [hash_tree.Node(n.shard, n.rack, n.region, 4.0 if n.shard == 2 else 1.0) for n in hash_tree.layout(12, 2, 2)]
+    with pytest.raises(ValueError):
+        hash_tree.descend(F.col("doc_id"), heavy, even)
+    rows = d.select(hash_tree.descend(F.col("doc_id"), even, places).alias("a"), hash_tree.descend(F.col("doc_id"), heavy, places).alias("b")).collect()
     assert all(r.a == r.b or r.b == 2 for r in rows)
     share = Counter(r.b for r in rows)
     assert abs(share[2] / 6000 - 0.3) < 0.03 and all(abs(share[i] / 6000 - 0.1) < 0.02 for i in range(8) if i != 2)
@@ -399,15 +506,57 @@ def test_short_texts_of_an_unlearned_language_are_rejected(spark):
 
 def test_gram_counts_are_whole():
     rng = np.random.default_rng(9)
-    text = prose(rng, 5000, "abcXYé") + "  ,, 12 end"
-    old, centroid_lid._CHARS = centroid_lid._CHARS, 1 << 30
-    whole = centroid_lid.gram_counts([text])
-    for size in (997, 64):
+    text = prose(rng, 5000, "abcXYéİΣς") + "  ,, 12 ΑΣ ΟΔΟΣ. end"
+
+    def naive(t):
+        runs = re.sub("[^\0]+", lambda m: "".join(c if c.isalpha() else "\0" for c in m[0]), t.lower())
+        runs = re.sub("\0+", "\0", runs)
+        hashed = lambda *cs: (np.array([sum_(cs)], np.int64) * -7046029254386353131 >> 52 & (centroid_lid.BUCKETS - 1))[0]
+
+        def sum_(cs):
+            x = 0
+            for c in cs:
+                x = x * 1_000_003 + (0 if c == "\0" else ord(c))
+            return {1: x * 2 + 1, 2: x * 4 + 2, 3: x * 8 + 4}[len(cs)]
+
+        out = np.zeros(centroid_lid.BUCKETS, np.float32)
+        for n in (1, 2, 3):
+            for i in range(len(runs) - n + 1):
+                if n > 1 or runs[i] != "\0":
+                    out[hashed(*runs[i : i + n])] += 1
+        return out
+
+    old, want = centroid_lid._CHARS, naive(text)
+    for size in (1 << 30, 997, 64, 3, 1):
         centroid_lid._CHARS = size
-        assert np.abs(centroid_lid.gram_counts([text]) - whole).sum() <= 0.002 * whole.sum()
+        assert (centroid_lid.gram_counts([text, None, text])[[0, 2]] == want).all()
     centroid_lid._CHARS = old
 
 
+def test_nearest_centroid_as_brute_force(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, prose(rng, int(rng.integers(1, 60)), LETTERS[k]), k) for i in range(300) for k in [list(LETTERS)[i % 3]]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a.b", F.lit("own"))
+    model = centroid_lid.fit(d)
+    got = centroid_lid.predict(d, model).orderBy("doc_id").collect()
+    counts = centroid_lid.gram_counts([t for _, t, _ in rows])
+    df = (counts > 0).sum(0)  # over all rows
+    assert np.allclose(model.idf, np.log(301 / (1 + df)) + 0.05)
+    for r, c in zip(got, counts, strict=True):
+        v = np.log1p(c) * (np.log(301 / (1 + df)) + 0.05)
+        cos = [(float(v @ m) / float(np.linalg.norm(v)), model.languages[j]) for m, j in zip(model.centroids, model.of, strict=True)]
+        assert max(cos)[1] == r.lang_pred and abs(max(cos)[0] - r.score) < 1e-5 and r["a.b"] == "own"
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, prose(rng, 20, LETTERS["aa"]), "aa") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = d.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
+    a, b = centroid_lid.fit(d, clusters=2), centroid_lid.fit(many, clusters=2)
+    assert len(b.centroids) == 2 and b.languages == a.languages == ["aa"]
+
+
 def test_language_id_odd_rows(spark):
     d = odd_frame(spark)
     out = centroid_lid.predict(d, centroid_lid.fit(d))
@@ -429,10 +578,9 @@ def test_decontamination(spark):
     noise = lambda n=80: prose(rng, n)
     texts = [f"{noise()} {items[0]} {noise()}", f"{noise()} {' '.join(swapped)}. {noise()}", f"{noise()} {items[1].upper().replace(' ', ', ')}", items[2], f"{noise()}\n{items[3]}\n{noise()}", noise(), f"{noise()} {half} {noise()}", f"{noise()} {' '.join(items[0].split()[:9])} {noise()}", f"{items[4]} x {noise()}", None, "", items[0] * 2]
     bench = spark.createDataFrame([*enumerate(items), (7, None), (8, ""), (None, noise())], "item_id long, text string")
-    for block in (1 << 20, 30):
-        rows = spaced_seed.overlaps(corpus(spark, texts), bench, block_words=block).collect()
-        assert {(r.doc_id, r.item_id) for r in rows} >= {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (6, 0), (8, 4)}
-        assert {r.doc_id for r in rows} == {0, 1, 2, 3, 4, 6, 8, 11}
+    for name in (F.col("item_id"), F.concat(F.lit("i"), "item_id")):  # ids of any type
+        rows = spaced_seed.overlaps(corpus(spark, texts), bench.withColumn("item_id", name)).collect()
+        assert {(r.doc_id, int(str(r.item_id).strip("i"))) for r in rows} == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (6, 0), (8, 4), (11, 0)}
         one = next(r for r in rows if r.doc_id == 1)
         assert one.matches == 36 and one.length == 40 and one.item_word == 0
     assert sorted(r.doc_id for r in spaced_seed.clean(corpus(spark, texts), bench).collect()) == [5, 7, 9, 10]
@@ -463,18 +611,40 @@ def test_decontamination_of_edited_passages(spark):
     assert {r.doc_id: r.matches for r in rows}[0] == 32
 
 
-@pytest.mark.parametrize(("least", "match"), [(8, 0.7), (5, 0.5), (20, 0.9), (13, 1.0)])
-def test_decontamination_at_other_thresholds(least, match):
+def brute_overlaps(docs, items, least, match):
+    """By diagonal, the most equal words of any stretch with at least ``match`` of them."""
+    out = {}
+    split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    for i, doc in enumerate(map(split, docs)):
+        for j, item in enumerate(map(split, items)):
+            best = 0
+            for d in range(1 - len(item), len(doc)):
+                same = [doc[d + q] == item[q] for q in range(max(0, -d), min(len(item), len(doc) - d))]
+                for s in range(len(same)):
+                    equal = 0
+                    for e in range(s, len(same)):
+                        equal += same[e]
+                        if equal >= match * (e - s + 1) - 1e-9 and same[s] and same[e]:
+                            best = max(best, equal)
+            if item and best >= min(least, len(item)) and (len(item) > 1 or least <= 1):
+                out[i, j] = best
+    return out
+
+
+@pytest.mark.parametrize(("least", "match"), [(13, 0.8), (8, 0.7), (5, 0.5), (20, 0.9), (13, 1.0)])
+def test_decontamination_as_brute_force(spark, least, match):
     rng = np.random.default_rng(least)
-    for _ in range(60):
-        w = prose(rng, 60, "abcdefghijklmnop").split()
-        size = least + spaced_seed._unequal(least, match)
-        doc = ["x"] * 20 + w[10 : 10 + size] + ["y"] * 20
-        for k in rng.choice(np.arange(1, size - 1), size - least, replace=False):
-            doc[20 + k] = "z"
-        block = spaced_seed.Block([0], [" ".join(w)], least=least, match=match)
-        words = spaced_seed.Block([0], [" ".join(doc)]).words
-        assert block.overlaps(words)[0][0] >= least
+    pool = prose(rng, 12, "abcdefghijklmnop").split()  # few words, so that chance overlaps are many
+    items = [" ".join(rng.choice(pool, int(n))) for n in (30, 24, 16, 9, 6, 2)] + ["the same the same the same the same the same", ""]
+    docs = [" ".join(rng.choice(pool, int(rng.integers(0, 40)))) for _ in range(12)]
+    for item in items[:5]:
+        for share in (0.1, 0.25, 0.5):
+            w = [x if rng.random() > share else "z" for x in item.split()]
+            docs.append(" ".join([*rng.choice(pool, 8), *w, *rng.choice(pool, 5)]))
+    docs += ["the same " * 12, None]
+    rows = spaced_seed.overlaps(corpus(spark, docs), spark.createDataFrame([*enumerate(items)], "item_id long, text string"), least, match).collect()
+    want = brute_overlaps(docs, items, least, match)
+    assert len(rows) == len(want) > 2 and {(r.doc_id, r.item_id): r.matches for r in rows} == want
 
 
 def test_decontamination_odd_rows(spark):
@@ -483,6 +653,8 @@ def test_decontamination_odd_rows(spark):
     assert out.columns == d.columns
     ids = [r.doc_id for r in out.collect()]
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14] and ids.count(None) == 1
+    assert {r["_key"] for r in out.collect()} == {"own"}
+    assert Counter(r.doc_id for r in spaced_seed.overlaps(d, bench).collect())[5] == 3  # the row and its two repeats
     assert spaced_seed.overlaps(d, bench.limit(0)).count() == 0 and spaced_seed.overlaps(empty(spark), bench).count() == 0
 
 
@@ -495,7 +667,7 @@ def test_ann(spark):
     x[100:160] = x[100]  # many copies of one vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [float("nan")] + [1.0] * 15), (2080, [None] + [1.0] * 15), (2100, [1.0] * 3), (None, [1.0] * 16), (2120, [float("inf")] * 16), (20, x[20].tolist())]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
-    out = additive_ann.search(d.repartition(3), F.col("vec_id") % 20 == 0, books=6, words=64, shortlist=100, query_block=20).collect()
+    out = additive_ann.search(d.repartition(3), F.col("vec_id") % 20 == 0, books=6, words=64, shortlist=100, tile_rows=300, query_rows=20).collect()
     got = defaultdict(list)
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
@@ -513,6 +685,21 @@ def test_ann(spark):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("spread", [0.3, 10.0])  # clear clusters, and none
+def test_ann_with_lists(spark, spread):
+    rng = np.random.default_rng(16)
+    x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 4000)] + spread * rng.normal(size=(4000, 16))).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "`a.id` long, embedding array<float>")
+    out = additive_ann.search(d, F.col("`a.id`") % 20 == 0, key="a.id", books=6, words=64, shortlist=40, list_rows=300, tile_rows=200, query_rows=64, probe_queries=60).collect()
+    wide, hits = x.astype(float), 0
+    for q in range(0, 4000, 20):
+        order = [i for i in np.lexsort((np.arange(4000), -(wide @ wide[q]))) if i != q][:20]
+        found = sorted((r.rank, r.vec_id) for r in out if r.query_id == q)
+        assert [r for r, _ in found] == list(range(1, 21))
+        hits += len({i for _, i in found} & set(order))
+    assert hits / (20 * 200) >= 0.9
+
+
 # ---- 1: licences
 
 
@@ -527,28 +714,49 @@ def test_licenses(spark):
     assert license_scan.scan(d).count() == 10 and license_scan.scan(d.limit(0)).count() == 0
 
 
-def brute_license(texts, threshold):
-    import math
-
+def brute_license(texts, threshold, files=()):
     n = len(texts)
-    vocab = {t for v in license_scan.TEMPLATES.values() for x in v for t in license_scan.terms(x)}
-    df = Counter(t for x in texts for t in set(license_scan.terms(x or "")) & vocab)
-    idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in vocab}
-    out = []
-    for x in texts:
+    df = Counter(t for x in texts for t in set(license_scan.terms(x or "")))
+    idf = defaultdict(lambda: math.log(1 + n) + 1, {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()})
+    vectors, out = license_scan.weights(idf), []
+    for at, x in enumerate(texts):
         lines, best = (x or "").split("\n"), None
-        for i, line in enumerate(lines):
-            for part in (line, " ".join(lines[max(0, i - 1) : i + 2])):
-                v = {t: c * idf.get(t, math.log(1 + n) + 1) for t, c in Counter(license_scan.terms(part)).items()}
-                norm = math.sqrt(sum(w * w for w in v.values()))
-                for name, _, u in license_scan.weights(idf):
-                    cos = round(sum(w * v.get(t, 0) for t, w in u.items()) / norm, 6) if norm else 0
-                    if cos >= threshold and (best is None or (-cos, name, i) < best):
-                        best = (-cos, name, i)
+        parts = [(i, p) for i in range(len(lines)) for p in (lines[i], " ".join(lines[max(0, i - 1) : i + 2]))]
+        full = [i for i, line in enumerate(lines) if line.strip(" \t\r")]
+        if full:
+            end = next((i for i in range(full[0], len(lines)) if not lines[i].strip(" \t\r")), len(lines))
+            parts.append((0, " ".join(lines[full[0] : end])))
+        if at in files:
+            parts.append((0, " ".join(lines)))
+        for i, part in parts:
+            v = {t: c * idf[t] for t, c in Counter(license_scan.terms(part)).items()}
+            norm = math.sqrt(sum(w * w for w in v.values()))
+            for name, _, u in vectors:
+                cos = round(sum(w * v.get(t, 0) for t, w in u.items()) / norm, 6) if norm else 0
+                if cos >= threshold and (best is None or (-cos, name, i) < best):
+                    best = (-cos, name, i)
         out.append(best and best[1])
     return out
 
 
+def test_license_texts_and_headers(spark):
+    """Whole licence files and source headers, wrapped and in comments, against brute force."""
+    rng = np.random.default_rng(18)
+    texts, want, files = [prose(rng, 40) for _ in range(40)], [None] * 40, set()
+    wrap = lambda x, mark: "\n".join(f"{mark}{' '.join(x.split()[i : i + 9])}" for i in range(0, len(x.split()), 9))
+    for name, notices in license_scan.TEMPLATES.items():
+        for x in notices:
+            if len(x) > 150:
+                texts += [f"/*\n{wrap('Copyright 2020 Someone ' + x, ' * ')}\n */\n\n{prose(rng, 50)}", f"{name} thing\n\nCopyright (c) 2021 Someone Else\n\n{wrap(x, '')}\n"]
+                want += [name, name]
+                files.add(len(texts) - 1)
+    texts.append("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + prose(rng, 900))
+    want.append("GPL-3.0")
+    d = spark.createDataFrame([(i, f"d{i}/{'LICENSE' if i in files else 'x.c'}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = [r.license for r in license_scan.scan(d).orderBy("doc_id").collect()]
+    assert got == brute_license(texts, 0.75, files) and got == want
+
+
 def test_licenses_as_brute_force(spark):
     rng = np.random.default_rng(8)
     notices = [x for v in license_scan.TEMPLATES.values() for x in v]
@@ -597,7 +805,26 @@ def test_preference_pairs(spark):
     assert got[2].chosen[got[2].chosen_spans[0].begin : got[2].chosen_spans[0].end] == "x<|end|>\n" and len(got[2].chosen_spans) == 1
     assert got[3].chosen == "<|user|>\nalone<|end|>\n" and got[3].rejected == "" and got[3].chosen_spans == []
     assert got[4].prompt_turns == 2 and got[4].chosen == "" == got[4].rejected  # its neighbour's reply is its own
-    assert preference.turns_of(d.limit(0)).count() == 0
+    assert preference.format_pairs(preference.borrowed(preference.turns_of(d.limit(0)))).count() == 0
+
+
+def test_preference_pairs_of_a_long_conversation(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    short = spark.createDataFrame([(2, 0, "user", "q"), (2, 1, "assistant", "a")], "conv_id int, turn long, role string, text string")
+    pairs = preference.borrowed(preference.turns_of(rows.unionByName(short))).where("pair_id = 1")
+    other = preference.format_pairs(pairs.select("pair_id", "chosen", F.slice("chosen", 2, n).alias("rejected"))).first()  # nothing is common
+    heads = {"user": "<|user|>\n", "assistant": "<|assistant|>\n"}
+    at, want = 0, []
+    for i in range(n):
+        role = "assistant" if i % 2 else "user"
+        begin = at + len(heads[role])
+        at = begin + len(f"t{i}") + len("<|end|>\n")
+        if i % 2:
+            want.append((begin, at))
+    assert other.prompt_turns == 0 and len(other.chosen) == at and [tuple(x) for x in other.chosen_spans] == want
+    one = preference.format_pairs(pairs).first()
+    assert one.prompt_turns == n - 1 and one.rejected == "<|assistant|>\na<|end|>\n" and one.rejected_spans[0].end == len(one.rejected)
 
 
 # ---- 8: quality
