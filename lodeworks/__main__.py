@@ -44,7 +44,9 @@ def main(args: list[str] | None = None) -> int:
         from lodeworks.plans.answer import citations, find
         from lodeworks.sources.snapshots import Index
 
-        for c in citations(find(Index(spark, a.index).table("chunks"), a.question, k=a.k, floor=a.floor)):
+        index = Index(spark, a.index)
+        text = index.text()
+        for c in citations(find(index.table("chunks"), a.question, k=a.k, floor=a.floor, index=(text.postings(), text.stats()) if text else None)):
             print(c)
     return 0
 

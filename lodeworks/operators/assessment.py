@@ -13,10 +13,12 @@ EVIDENCE, EXPOSED = 10, 20
 
 
 def _step(rows: DataFrame, evidence: Column, order: list[Column], position: int, kind: str, title: str, why: str, unit: str, cap: int | None = EVIDENCE) -> DataFrame:
-    """One row if there is any in rows: what to do, why, how much of it and the first few by order."""
+    """One row if there is any in rows: what to do, why, how much of it and the first few by order. With a cap, a list of
+    so many is all that is gathered; without one the report prints them all."""
     ranked = rows.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], evidence.alias("e")).alias("r"))
-    every = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["e"])
-    one = ranked.agg(F.count(F.lit(1)).alias("n"), (F.slice(every, 1, cap) if cap else every).alias("evidence")).where("n > 0")
+    first = ranked.orderBy("r").limit(cap) if cap else ranked
+    listed = first.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["e"]).alias("evidence"))
+    one = rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0").crossJoin(F.broadcast(listed))  # one row each
     return one.select(F.lit(position).alias("position"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), F.lit(why).alias("why"), counted(F.col("n"), unit).alias("size"), "evidence")
 
 

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 MARK = "\x1f"
 
 
-def parse_log(logs: DataFrame, column: str = "log") -> DataFrame:
-    """(pos, author, ts, path) from log text whose commits begin with MARK author MARK ISO date on a line of their own.
+def parse_log(logs: DataFrame, column: str = "log", keep: list[str] | None = None) -> DataFrame:
+    """(pos, author, ts, path), and the columns to keep, from log texts whose commits begin with MARK author MARK ISO date on a line of their own.
 
     pos counts commits from the newest. A date that can't be read is null; blank lines are skipped.
     """
-    commits = logs.select(F.posexplode(F.split(F.concat(F.lit("\n"), F.col(column)), "\n" + MARK)).alias("pos", "block")).where("pos > 0")
+    keep = keep or []
+    commits = logs.select(*keep, F.posexplode(F.split(F.concat(F.lit("\n"), F.col(column)), "\n" + MARK)).alias("pos", "block")).where("pos > 0")
     lines = F.split("block", "\r?\n")
     head = F.split(F.element_at(lines, 1), MARK)
     paths = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.trim(x) != "")
-    rows = commits.select("pos", F.element_at(head, 1).alias("author"), F.try_to_timestamp(F.trim(F.get(head, F.lit(1)))).alias("ts"), paths.alias("paths"))
-    return rows.select("pos", "author", "ts", F.explode("paths").alias("path"))
+    rows = commits.select(*keep, "pos", F.element_at(head, 1).alias("author"), F.try_to_timestamp(F.trim(F.get(head, F.lit(1)))).alias("ts"), paths.alias("paths"))
+    return rows.select(*keep, "pos", "author", "ts", F.explode("paths").alias("path"))
 
 
 def churn(commit_files: DataFrame, path: str = "path", author: str = "author", ts: str = "ts", pos: str = "pos") -> DataFrame:

@@ -5,7 +5,6 @@ projects: name, path, kind, target_framework, references, assembly_references, s
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -44,69 +43,48 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from").agg(F.array_sort(F.collect_set("to")).alias("targets"), F.count_distinct("to").alias("degree"))
 
 
-def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """(cycle): elementary cycles of at most max_len edges, each once, from its least name and closed by it, and longer
-    ones among names that are in none of these, so that no strongly connected part is left without a cycle.
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle): dependency cycles of any length, each from its least name and closed by it, distinct.
 
-    Paths only grow through names above their first, so a cycle is found from its least name alone; a path's length
-    bounds the rounds. Each round is one equi join, and the rounds end when no path is left to grow.
+    A depth-first walk over names in order, without case, reports the path that each edge back to it closes. Every
+    part of the graph that has cycles thus gives one at least, but not all of those it has, which can be more than
+    can be counted. The walk is linear and one task's: there is one row for each reference between projects.
     """
-    e = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct().persist()
-    found = [e.where("a = b").select(F.array("a", "b").alias("cycle"))]
-    e = e.where("a <> b")
-    paths = e.where("a < b").select(F.array("a", "b").alias("p"), F.col("b").alias("last"))
-    for _ in range(max_len - 1):
-        step = paths.join(e, paths["last"] == e["a"]).select("p", F.col("b").alias("n")).persist()
-        if step.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
-        found.append(step.where(F.col("n") == F.element_at("p", 1)).select(F.concat("p", F.array("n")).alias("cycle")))
-        paths = step.where((F.col("n") > F.element_at("p", 1)) & ~F.array_contains("p", F.col("n"))).select(F.concat("p", F.array("n")).alias("p"), F.col("n").alias("last"))
-    short = reduce(DataFrame.unionByName, found).distinct().persist()
-    inside = short.select(F.explode("cycle").alias("_n")).distinct()
-    rest = e.join(inside, e["a"] == F.col("_n"), "left_anti").join(inside, e["b"] == F.col("_n"), "left_anti").select("a", "b")
-    ship(e.sparkSession)
-    return short.unionByName(rest.coalesce(1).mapInArrow(_rings, "cycle array<string>"))
-
-
-def _rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shortest cycle through the least name of each strongly connected part of all edges (a, b), in linear time."""
-    after, before = defaultdict(list), defaultdict(list)
-    for batch in batches:
-        for a, b in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            after[a].append(b)
-            before[b].append(a)
-    done, order = set(), []
-    for name in sorted(after):
-        todo = [(name, False)]
-        while todo:
-            x, left = todo.pop()
-            if left:
-                order.append(x)
-            elif x not in done:
-                done.add(x)
-                todo += [(x, True), *((y, False) for y in after.get(x, ()) if y not in done)]
-    placed: set[str] = set()
-    out = []
-    for name in reversed(order):
-        part, todo = set(), [name]
-        while todo:
-            x = todo.pop()
-            if x not in placed:
-                placed.add(x)
-                part.add(x)
-                todo += before.get(x, ())
-        if len(part) > 1:
-            first = min(part)
-            came, row = {}, [first]
-            for x in row:
-                for y in after[x]:
-                    if y in part and y not in came:
-                        came[y] = x
-                        row.append(y)
-            path = [first, came[first]]
-            while path[-1] != first:
-                path.append(came[path[-1]])
-            out.append(path[::-1])
+    ship(edges.sparkSession)
+    found = edges.select("from", "to").distinct().coalesce(1).mapInArrow(_back_edges, "cycle array<string>")
+    return found.distinct()
+
+
+def _back_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cycles that a depth-first walk of all edges (from, to) meets."""
+    written: dict[str, str] = {}
+    after: dict[str, list[str]] = {}
+    rows = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    for a, b in rows:
+        written.setdefault(a.lower(), a)
+        after.setdefault(a.lower(), []).append(b.lower())
+    for _, b in rows:
+        written.setdefault(b.lower(), b)
+    out, settled = [], set()
+    for first in sorted(after):
+        if first in settled:
+            continue
+        place, path, todo = {first: 0}, [first], [iter(dict.fromkeys(after[first]))]
+        while path:
+            to = next(todo[-1], None)
+            if to is None:
+                settled.add(path[-1])
+                del place[path.pop()]
+                todo.pop()
+            elif to in place:
+                ring = path[place[to] :]
+                at = ring.index(min(ring, key=written.__getitem__))
+                ring = ring[at:] + ring[:at]
+                out.append([written[x] for x in [*ring, ring[0]]])
+            elif to not in settled:
+                place[to] = len(path)
+                path.append(to)
+                todo.append(iter(dict.fromkeys(after.get(to, ()))))
     yield pa.record_batch([pa.array(out, pa.list_(pa.string()))], ["cycle"])
 
 
@@ -175,6 +153,11 @@ def totals(projects: DataFrame, edges: DataFrame) -> DataFrame:
     return projects.agg(F.count(F.lit(1)).alias("projects"), F.sum("source_files").alias("files"), F.sum("lines").alias("lines")).crossJoin(F.broadcast(n))
 
 
+def biggest(projects: DataFrame, top: int = 10) -> DataFrame:
+    """(name, lines) of the largest projects; ties go to the least name."""
+    return projects.select("name", "lines").orderBy(F.desc("lines"), "name").limit(top)
+
+
 def diagram_threshold(projects: DataFrame, least: int = 500, boxes: int = 12) -> DataFrame:
     """One row, threshold: the size of the boxes-th largest project without tests, not under least."""
     top = projects.where("kind <> 'Test'").select("lines").orderBy(F.desc("lines")).limit(boxes)

@@ -20,10 +20,35 @@ def vector_topk(chunks: DataFrame, probe: list[float], k: int) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(id, term, tf, doc_len): a row for each term of each chunk."""
-    terms = chunks.select("id", index_terms(F.col("content")).alias("terms"))
-    rows = terms.select("id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
-    return rows.groupBy("id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf, doc_len): a row for each term of each chunk.
+
+    Terms are counted within their chunk, by the runs of its sorted terms, so nothing is shuffled.
+    """
+    terms = chunks.select("id", F.array_sort(index_terms(F.col("content"))).alias("s")).where(F.size("s") > 0)
+    at = F.sequence(F.lit(0), F.size("s") - 1)
+    starts = F.filter(at, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = terms.select("id", "s", F.size("s").alias("doc_len"), starts.alias("from"))
+    ends = F.concat(F.slice("from", F.lit(2), F.size("from")), F.array("doc_len"))
+    rows = runs.select("id", "s", "doc_len", F.explode(F.arrays_zip(F.col("from"), ends.alias("to"))).alias("r"))
+    return rows.select("id", F.get("s", F.col("r.from")).alias("term"), (F.col("r.to") - F.col("r.from")).cast("long").alias("tf"), "doc_len")
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """One row: n, the chunks, and avgdl, their mean number of terms; null contents have none and count in n only."""
+    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content"))))).alias("avgdl"))
+
+
+def indexed_topk(index: DataFrame, stats: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """``bm25_topk`` from stored postings and corpus_stats: only the postings of the question's terms are read."""
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    mine = index.where(F.col("term").isin(sorted(set(terms)))).select("id", "term", "tf", "doc_len")
+    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the question
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.crossJoin(F.broadcast(stats)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+    top = mine.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
 def _equals(term: str):
@@ -92,13 +117,15 @@ def rank(hits: DataFrame, k: int, floor: float = FLOOR, per_file: int = PER_FILE
     return top.withColumn("final_rank", F.row_number().over(Window.orderBy(F.desc("score"), "file_pos", pos)))
 
 
-def retrieve(chunks: DataFrame, probe: list[float], terms: list[str], k: int = 6, floor: float = FLOOR, per_file: int = PER_FILE, trusted_rank: int = TRUSTED_RANK) -> DataFrame:
+def retrieve(chunks: DataFrame, probe: list[float], terms: list[str], k: int = 6, floor: float = FLOOR, per_file: int = PER_FILE, trusted_rank: int = TRUSTED_RANK, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best chunks for a question, given as a vector and terms: one lazy plan from scan to result.
 
-    Both lists are fetched ``OVERFETCH`` times wider than asked. Only the few hits are joined with their chunks.
+    Both lists are fetched ``OVERFETCH`` times wider than asked. Only the few hits are joined with their chunks. With
+    an ``index`` (stored postings and corpus statistics) the texts are not read for the text list.
     """
     wide = k * OVERFETCH
-    hits = trust(fuse(vector_topk(chunks.where(F.col("embedding").isNotNull()), probe, wide), bm25_topk(chunks, terms, wide)), floor, trusted_rank)
+    text = indexed_topk(*index, terms, wide) if index else bm25_topk(chunks, terms, wide)
+    hits = trust(fuse(vector_topk(chunks.where(F.col("embedding").isNotNull()), probe, wide), text), floor, trusted_rank)
     placed = F.broadcast(hits).join(chunks.select("id", "file_path"), "id")  # at most 2 * wide rows
     return rank(placed, k, floor, per_file)
 

@@ -92,7 +92,7 @@ def terms_of(spark, question: str) -> list[str]:
 
 
 def find(chunks: DataFrame, question: str, embedder: Embedder | None = None, k: int = 6, **how) -> list[Row]:
-    """The k best chunks, best first: at most k rows reach the driver."""
+    """The k best chunks, best first: at most k rows reach the driver. ``index`` in how: stored postings and statistics."""
     embedder = embedder or HashEmbedder()
     probe = embedder.embed([question])[0].tolist()
     hits = retrieval.retrieve(chunks, probe, terms_of(chunks.sparkSession, question), k, **how)

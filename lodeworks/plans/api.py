@@ -42,10 +42,14 @@ class Engine:
         return vars(I.ingest(self.spark, path, self.index.folder, self.embedder, batch_files))
 
     def ask(self, question: str, k: int = 6, **how) -> dict:
-        return A.answer(self.index.table("chunks"), question, self.chat, self.embedder, k, **how)
+        return A.answer(self.index.table("chunks"), question, self.chat, self.embedder, k, index=self._text(), **how)
 
     def ask_stream(self, question: str, k: int = 6, **how) -> Iterator[str]:
-        return A.sse(A.stream(self.index.table("chunks"), question, self.chat, self.embedder, k, **how))
+        return A.sse(A.stream(self.index.table("chunks"), question, self.chat, self.embedder, k, index=self._text(), **how))
+
+    def _text(self) -> tuple | None:
+        text = self.index.text()
+        return (text.postings(), text.stats()) if text else None
 
     def excerpt(self, path: str, line: int) -> dict | None:
         row = retrieval.excerpt(self.index.table("chunks"), path, line).drop("embedding").first()

@@ -44,14 +44,14 @@ def analyse(files: DataFrame, churn: DataFrame | None, min_code_lines: int = ris
     return metrics, risk.risk(metrics, churn, tested, min_code_lines)
 
 
-def assess(spark: SparkSession, root: str, top_risks: int = 20, min_code_lines: int = risk.MIN_CODE_LINES, history_months: int | None = 24, oversized: int = P.OVERSIZED, cycle_length: int = 8) -> Assessment:
+def assess(spark: SparkSession, root: str, top_risks: int = 20, min_code_lines: int = risk.MIN_CODE_LINES, history_months: int | None = 24, oversized: int = P.OVERSIZED) -> Assessment:
     """Assess the code under a directory that driver and executors can read."""
     found = tree(spark, root).where(outside(F.col("path"), PROJECT_SKIP_FOLDERS))
     text = F.when(extension(F.col("path")).isin(".cs", ".csproj", ".config", ".xaml", ".asax"), decoded(F.col("content")))
     files = found.select("path", text.alias("content")).persist(StorageLevel.MEMORY_AND_DISK)
     projects = source.read(files).persist()
     edges = P.edges(source.references(projects), projects).persist()
-    cycles = P.cycles(edges, cycle_length).persist()
+    cycles = P.cycles(edges).persist()
     findings = P.findings(projects, edges, cycles, oversized).persist()
     status, note, commits = git_log(spark, root, history_months)
     churn = history.churn(commits) if status == "Available" else None

@@ -6,15 +6,22 @@ part for projects, lineitem for references, customer for types, pages for config
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
+from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
-from lodeworks.operators import assessment, chunking, history, ledger, lines, packages, projects, retrieval, risk, typegraph
+from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, packages, projects, retrieval, risk, typegraph
+from lodeworks.plans import ingest
+from lodeworks.shipping import work_folder
 from lodeworks.sources import files as files_source
+from lodeworks.sources import projects as project_source
+from lodeworks.sources.snapshots import Index, TextIndex
+from lodeworks.streaming.ingest import windowed_churn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,8 +92,23 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored text index of documents, made by the first question of a session and read by all others."""
+    made = spark.sparkContext.__dict__.setdefault("_lodeworks_text", {})
+    source = f"{d}/documents.parquet"
+    key = (source, TextIndex.stamp(spark, source))
+    if key not in made:
+        made[key] = TextIndex(spark, f"{work_folder(spark)}/lodeworks/text-{uuid.uuid4().hex}").write(texts(spark, d))
+    return made[key]
+
+
+def text_topk(spark: SparkSession, d: str) -> DataFrame:
+    index = text_index(spark, d)
+    return retrieval.indexed_topk(index.postings(), index.stats(), TERMS, 24)
+
+
 def both(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse(retrieval.vector_topk(vectors(spark, d), probe(spark, d), 24), retrieval.bm25_topk(texts(spark, d), TERMS, 24))
+    return retrieval.fuse(retrieval.vector_topk(vectors(spark, d), probe(spark, d), 24), text_topk(spark, d))
 
 
 @query(f"WITH {SQL_VECTOR} SELECT id, round(score, 6) AS score, rank FROM vec")
@@ -118,7 +140,13 @@ def postings_tf(spark, d):
 
 @query(f"WITH {SQL_BM25} SELECT id, round(score, 6) AS score, rank FROM txt")
 def bm25_topk(spark, d):
-    """Full-text top list."""
+    """Full-text top list, from the stored postings of the question's terms."""
+    return text_topk(spark, d).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {SQL_BM25} SELECT id, round(score, 6) AS score, rank FROM txt")
+def bm25_scan(spark, d):
+    """The same list of texts that are in no index yet."""
     return retrieval.bm25_topk(texts(spark, d), TERMS, 24).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -145,7 +173,8 @@ def retriever_rank(spark, d):
 @query(f"WITH {SQL_VECTOR_DOCS}, {SQL_BM25}, {SQL_FUSED}, {SQL_TRUSTED}, {SQL_RANKED} SELECT id, file_path, source, round(score, 6) AS score, round(fused_score, 9) AS fused_score, final_rank FROM ranked WHERE final_rank <= 6")
 def retrieve_hybrid(spark, d):
     """Question to ranked chunks in one plan (the flagship)."""
-    return retrieval.retrieve(chunk_table(spark, d), probe(spark, d), TERMS, 6, FLOOR).select("id", "file_path", "source", F.round("score", 6).alias("score"), F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
+    index = text_index(spark, d)
+    return retrieval.retrieve(chunk_table(spark, d), probe(spark, d), TERMS, 6, FLOOR, index=(index.postings(), index.stats())).select("id", "file_path", "source", F.round("score", 6).alias("score"), F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
 @query("SELECT source || '/' || lang || '/' || doc_id AS file_path, 1 AS start_line, text AS content FROM documents WHERE source || '/' || lang || '/' || doc_id = 'src0/fr/0'")
@@ -158,7 +187,7 @@ def excerpt_lookup(spark, d):
 @query(f"WITH {SQL_BM25}, sized AS (SELECT t.id, t.rank, length(d.text) + 40 AS size FROM txt t JOIN documents d ON d.doc_id = t.id), run AS (SELECT *, sum(size) OVER (ORDER BY rank)::BIGINT AS used FROM sized) SELECT id, rank, used FROM run WHERE used <= 12000")
 def prompt_budget(spark, d):
     """The leading hits that fit a prompt."""
-    hits = retrieval.bm25_topk(texts(spark, d), TERMS, 24)
+    hits = text_topk(spark, d)
     sized = F.broadcast(hits).join(texts(spark, d), "id").withColumn("size", F.length("content") + 40)
     return retrieval.budgeted(sized, F.col("rank"), F.col("size")).select("id", F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
 
@@ -196,7 +225,7 @@ def binary_sniff(spark, d):
 GENERATED_PATHS = ["src/A.cs", "Web References/B.cs", "x/C.Designer.cs", "x/D.g.cs", "x/E.cs", "x/Connected Services/F.cs", "x/G.generated.cs"]
 
 
-@query(f"""WITH g AS (SELECT doc_id, {SQL_LIST(GENERATED_PATHS)}[doc_id % 7 + 1] AS path, rpad(left(text, 1975 + (doc_id % 23)::INT), 1975 + (doc_id % 23)::INT, 'x') || '<Auto-Generated/>' AS src FROM documents)
+@query(f"""WITH g AS (SELECT doc_id, {SQL_LIST(GENERATED_PATHS)}[doc_id % 7 + 1] AS path, rpad(left(text, 1975 + (doc_id % 23)::INT), 1975 + (doc_id % 23)::INT, 'x') || '<Auto-Generated/>' || text AS src FROM documents)
 SELECT doc_id, path, contains(lower(path), 'web references') OR contains(lower(path), 'service references') OR contains(lower(path), 'connected services')
   OR suffix(lower(path), '.designer.cs') OR suffix(lower(path), '.g.cs') OR suffix(lower(path), '.generated.cs')
   OR contains(lower(left(src, 2000)), 'auto-generated') OR contains(lower(left(src, 2000)), 'autogenerated') AS is_generated FROM g""")
@@ -204,7 +233,7 @@ def generated_filter(spark, d):
     """Generated code by folder, suffix or banner, with banners around the end of the head."""
     at = (F.lit(1975) + F.col("doc_id") % 23).cast("int")
     path = F.element_at(F.array(*map(F.lit, GENERATED_PATHS)), (F.col("doc_id") % 7 + 1).cast("int"))
-    src = F.concat(F.rpad(F.left("text", at), at, F.lit("x")), F.lit("<Auto-Generated/>"))
+    src = F.concat(F.rpad(F.left("text", at), at, F.lit("x")), F.lit("<Auto-Generated/>"), "text")
     return read(spark, d, "documents").select("doc_id", path.alias("path"), T.is_generated(path, src).alias("is_generated"))
 
 
@@ -265,10 +294,41 @@ def boundary_quality(spark, d):
     return lines.with_quality(braced(spark, d)).select(F.col("path").alias("doc_id"), "line_no", "quality")
 
 
-@query()
+SQL_CUT = """greatest(s + 1, len(list_filter(c, lambda x: x - coalesce(c[s], 0) <= 1500))) AS e, q[greatest(s, e - greatest(1, (e - s) // 5)) + 1:e] AS back,
+  CASE WHEN e < len(l) AND list_max(back) > 0 THEN e - list_position(list_reverse(back), list_max(back)) ELSE e - 1 END AS last"""
+SQL_CHUNKS = rf"""{SQL_DEPTH},
+q AS (SELECT doc_id, line_no, line, CASE WHEN regexp_matches(line, '^\s*$') THEN (CASE depth WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END) WHEN regexp_matches(line, '\}}\s*$') THEN 1 ELSE 0 END AS q, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS c FROM dep),
+a AS (SELECT doc_id, list(line ORDER BY line_no) AS l, list(q ORDER BY line_no) AS q, list(c::BIGINT ORDER BY line_no) AS c FROM q GROUP BY doc_id HAVING bool_or(regexp_matches(line, '\S'))),
+walk(doc_id, begun, ended) AS (SELECT doc_id, s, last FROM (SELECT doc_id, 0::BIGINT AS s, {SQL_CUT} FROM a)
+  UNION ALL SELECT doc_id, s, last FROM (SELECT w.doc_id, greatest(begun + 1, ended - 2) AS s, {SQL_CUT} FROM walk w JOIN a ON a.doc_id = w.doc_id WHERE ended < len(l) - 1)),
+cut AS (SELECT d.source || '/' || d.lang || '/' || d.doc_id AS file_path, (begun + 1)::INT AS start_line, (ended + 1)::INT AS end_line, array_to_string(l[begun + 1:ended + 1], chr(10)) AS content FROM walk JOIN a USING (doc_id) JOIN documents d USING (doc_id))"""
+
+
+def braced_files(spark: SparkSession, d: str) -> DataFrame:
+    return file_table(spark, d).withColumn("content", F.translate("content", "wy", "{}"))
+
+
+@query(rf"WITH RECURSIVE {SQL_CHUNKS} SELECT file_path || '#' || start_line AS id, file_path, start_line, end_line, content FROM cut WHERE regexp_matches(content, '\S')")
 def chunk_documents(spark, d):
     """Documents cut into chunks."""
-    return chunking.chunks(file_table(spark, d))
+    return chunking.chunks(braced_files(spark, d))
+
+
+@query(rf"""WITH RECURSIVE {SQL_CHUNKS} SELECT d.source || '/' || d.lang || '/' || d.doc_id AS path, any_value(upper(sha256(translate(text, 'wy', '{{}}')))) AS content_hash, count_if(regexp_matches(content, '\S'))::INT AS chunk_count
+FROM documents d LEFT JOIN cut ON file_path = d.source || '/' || d.lang || '/' || d.doc_id GROUP BY d.source, d.lang, d.doc_id""")
+def ingest_ledger(spark, d):
+    """What an index holds after a run over all files and another over the same."""
+    index = Index(spark, f"{work_folder(spark)}/lodeworks/index-{uuid.uuid4().hex}")
+    for _ in range(2):
+        ingest.ingest_files(braced_files(spark, d).select("path", "content"), index, HashEmbedder(16))
+    chunks = index.table("chunks").where(F.size("embedding") == 16).groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return index.table("ledger").join(chunks, "path", "left").where(F.coalesce("n", F.lit(0)) == F.col("chunk_count")).select("path", "content_hash", "chunk_count")
+
+
+@query("SELECT doc_id, lang AS layer FROM documents")
+def layers(spark, d):
+    """the layer that a path's third part from its end names."""
+    return read(spark, d, "documents").select("doc_id", T.layer(F.concat_ws("\\", "source", "lang", F.lit("Project"), "doc_id")).alias("layer"))
 
 
 @query("SELECT doc_id, upper(sha256(text)) AS content_hash FROM documents")
@@ -277,16 +337,17 @@ def content_hash(spark, d):
     return read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
 
-SQL_SNAPS = """now_files AS (SELECT source || '/' || lang || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 1),
-then_files AS (SELECT source || '/' || lang || '/' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 2)"""
+SQL_SNAPS = """now_files AS (SELECT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 10 = 1 THEN '.moved' ELSE '' END AS path, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS h FROM documents),
+then_files AS (SELECT source || '/' || lang || '/' || doc_id AS path, sha256(text) AS h FROM documents)"""
 
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Files now, and the ledger: some new, some changed, some gone."""
+    """Files now, and the ledger: some moved, which are new and gone, some changed."""
     f = file_table(spark, d)
     changed = F.when(F.col("doc_id") % 10 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    now = f.where("doc_id % 10 <> 1").select("doc_id", "path", changed.alias("content")).withColumn("content_hash", T.content_hash(F.col("content")))
-    return now, f.where("doc_id % 10 <> 2").select("doc_id", "path", "content", T.content_hash(F.col("content")).alias("content_hash"))
+    moved = F.concat("path", F.when(F.col("doc_id") % 10 == 1, ".moved").otherwise(""))
+    now = f.select("doc_id", moved.alias("path"), changed.alias("content")).withColumn("content_hash", T.content_hash(F.col("content")))
+    return now, f.select("doc_id", "path", "content", T.content_hash(F.col("content")).alias("content_hash"))
 
 
 @query(f"WITH {SQL_SNAPS} SELECT coalesce(n.path, t.path) AS path, CASE WHEN t.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'vanished' WHEN n.h = t.h THEN 'unchanged' ELSE 'changed' END AS status, upper(coalesce(n.h, t.h)) AS content_hash FROM now_files n FULL JOIN then_files t ON n.path = t.path")
@@ -310,11 +371,10 @@ def forget_vanished(spark, d):
     return ledger.forget(then.select("path", "content_hash"), gone, "path")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def fts_backfill(spark, d):
-    """Chunks that a text index lacks."""
-    t = texts(spark, d)
-    return retrieval.missing_from_index(t.where("id % 3 = 0"), t.where("id % 2 = 0")).select("id")
+    """Chunks that an index lacks."""
+    return retrieval.missing_from_index(texts(spark, d), vectors(spark, d)).select("id")
 
 
 # ---- history and risk -----------------------------------------------------------------------------------------
@@ -338,6 +398,24 @@ def git_churn_window(spark, d):
     return history.since(commits(spark, d), 7).groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
 
 
+@query("SELECT 'u' || user_id AS author, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS pos, strftime(ts, '%Y-%m-%d %H:%M:%S') AS read_at, event_type || '/' || json_extract_string(props, '$.k') AS path FROM events")
+def git_log_parse(spark, d):
+    """Commits of log texts, one text for each user."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    path = F.concat_ws("/", "event_type", F.get_json_object("props", "$.k"))
+    block = F.concat(F.lit(history.MARK), F.lit("u"), "user_id", F.lit(history.MARK), at, F.lit("\r\n\r\n"), path, F.lit("\n"))
+    logs = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", block.alias("b")))).alias("b"))
+    logs = logs.select("user_id", F.array_join(F.transform("b", lambda x: x["b"]), "").alias("log"))
+    return history.parse_log(logs, keep=["user_id"]).select("author", "pos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("read_at"), "path")
+
+
+@query(f"WITH {SQL_COMMITS}, w AS (SELECT path, date_trunc('day', ts) - to_days(k) AS start_day FROM commits, (SELECT unnest(range(7))::INT AS k)) SELECT strftime(start_day, '%Y-%m-%d') AS since, path, count(*) AS commits FROM w GROUP BY ALL")
+def sliding_churn(spark, d):
+    """2.11d: commits by path over windows of a week that slide by days."""
+    c = commits(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_churn(c).select(F.date_format("window.start", "yyyy-MM-dd").alias("since"), "path", "commits")
+
+
 @query("WITH r AS (SELECT *, dense_rank() OVER (ORDER BY p_size) - 1 AS r FROM part) SELECT p_partkey, round(CASE WHEN max(r) OVER () = 0 THEN 0.5 ELSE r::DOUBLE / max(r) OVER () END, 9) AS place FROM r")
 def norm_dense_rank(spark, d):
     """Place among distinct values."""
@@ -345,7 +423,7 @@ def norm_dense_rank(spark, d):
 
 
 SQL_METRICS = """m AS (SELECT 'src/' || p_partkey || '.cs' AS path, p_partkey, p_size AS complexity, (p_partkey % 9)::INT AS max_nesting, (p_size // 2)::INT AS worst, (p_retailprice)::INT AS code_lines FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0),
-c AS (SELECT l_partkey AS p_partkey, count(*) AS commits, count(DISTINCT l_suppkey) AS authors FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_partkey),
+c AS (SELECT l_partkey AS p_partkey, count(*) AS commits, count(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY l_partkey),
 t AS (SELECT DISTINCT doc_id AS p_partkey FROM labels WHERE quality = 1),
 j AS (SELECT m.*, coalesce(commits, 0) AS commits, coalesce(authors, 0) AS authors, t.p_partkey IS NOT NULL AS tested FROM m LEFT JOIN c USING (p_partkey) LEFT JOIN t USING (p_partkey) WHERE code_lines >= 100),
 r AS (SELECT *, dense_rank() OVER (ORDER BY complexity) - 1 AS cr, dense_rank() OVER (ORDER BY max_nesting) - 1 AS nr, dense_rank() OVER (ORDER BY commits) - 1 AS hr FROM j),
@@ -361,7 +439,7 @@ def risk_table(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("src/"), key, F.lit(".cs")).alias("path"), "p_partkey", F.col("p_size").alias("complexity"), (key % 9).cast("int").alias("max_nesting"), F.floor(F.col("p_size") / 2).cast("int").alias("worst_method_complexity"),
         F.lit("Run").alias("worst_method"), F.rint("p_retailprice").cast("int").alias("code_lines"), (key % 11 == 0).alias("is_generated"), (key % 13 == 0).alias("is_test"),
     )
-    churn = read(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.concat(F.lit("src/"), "l_partkey", F.lit(".cs")).alias("path")).agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("l_suppkey").alias("authors"))
+    churn = read(spark, d, "lineitem").groupBy(F.concat(F.lit("src/"), "l_partkey", F.lit(".cs")).alias("path")).agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("l_suppkey").alias("authors"))
     tested = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("subject"))
     return risk.risk(metrics, churn, tested)
 
@@ -390,7 +468,8 @@ def risk_without_tests(spark, d):
 
 # ---- projects -------------------------------------------------------------------------------------------------
 
-SQL_EDGES = "edges AS (SELECT DISTINCT 'P' || l_partkey % 40 AS a, 'P' || l_suppkey % 40 AS b FROM lineitem WHERE l_orderkey % 200 = 0)"
+SQL_REFERENCES = "refs_all AS (SELECT DISTINCT 'P' || l_partkey AS a, 'P' || l_suppkey AS b FROM lineitem)"
+SQL_EDGES = "edges AS (SELECT 'P' || l_partkey AS a, 'P' || (sum(l_orderkey * 7 + l_suppkey) % (SELECT count(*) FROM part))::BIGINT AS b FROM lineitem GROUP BY l_partkey)"
 SQL_KIND = "CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'Library' WHEN 'ECONOMY' THEN 'Web' WHEN 'MEDIUM' THEN 'Console' WHEN 'SMALL' THEN 'Wpf' WHEN 'PROMO' THEN 'Test' ELSE 'Broken' END"
 SQL_PROJECTS = f"""projects AS (SELECT 'P' || p_partkey AS name, {SQL_KIND} AS kind, p_size::BIGINT * 1000 * (p_partkey % 5 <> 4)::INT AS lines, p_size::BIGINT AS source_files, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'V4.5' WHEN p_partkey % 4 = 2 THEN 'v4.5' ELSE 'net' || p_size % 9 END AS target_framework,
   p_partkey FROM part)"""
@@ -401,10 +480,8 @@ coupled AS (SELECT 'LibraryCoupledToWeb' AS kind, name AS project, 'A library th
 untested AS (SELECT 'Untested' AS kind, name AS project, 'No test project refers to it (' || format('{{:,}}', lines) || ' lines)' AS summary, 2 AS kind_ord FROM projects WHERE kind NOT IN ('Test', 'Broken') AND lines > 0 AND name NOT IN (SELECT b FROM tested)),
 oversized AS (SELECT 'Oversized' AS kind, name AS project, format('{{:,}}', lines) || ' lines in one project' AS summary, 3 AS kind_ord FROM projects WHERE lines > 20000 AND kind <> 'Broken'),
 orphan AS (SELECT 'Orphan' AS kind, name AS project, 'Nothing in the solution refers to it' AS summary, 4 AS kind_ord FROM projects WHERE kind = 'Library' AND lines > 0 AND name NOT IN (SELECT b FROM edges)),
-cyc AS (SELECT 'DependencyCycle' AS kind, a AS project, 'Dependency cycle: ' || path AS summary, 5 AS kind_ord FROM (
-  SELECT a, a || ' -> ' || b AS path FROM edges WHERE a = b
-  UNION SELECT x.a, x.a || ' -> ' || x.b || ' -> ' || x.a FROM edges x JOIN edges y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b
-  UNION SELECT x.a, x.a || ' -> ' || x.b || ' -> ' || y.b || ' -> ' || x.a FROM edges x JOIN edges y ON y.a = x.b JOIN edges z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b)),
+walk(a, cur, path) AS (SELECT a, b, [a] FROM edges UNION ALL SELECT w.a, e.b, list_append(w.path, w.cur) FROM walk w JOIN edges e ON e.a = w.cur WHERE w.cur <> w.a AND NOT list_contains(w.path, w.cur)),
+cyc AS (SELECT 'DependencyCycle' AS kind, a AS project, 'Dependency cycle: ' || array_to_string(list_append(path, a), ' -> ') AS summary, 5 AS kind_ord FROM walk WHERE cur = a AND a = list_min(path)),
 findings AS (SELECT * FROM unreadable UNION ALL SELECT * FROM coupled UNION ALL SELECT * FROM untested UNION ALL SELECT * FROM oversized UNION ALL SELECT * FROM orphan UNION ALL SELECT * FROM cyc)"""
 
 
@@ -419,37 +496,44 @@ def project_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def reference_table(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as references, part by supplier; those to projects that are not there are among them."""
+    return read(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("from"), F.concat(F.lit("P"), "l_suppkey").alias("to"))
+
+
 def edge_table(spark: SparkSession, d: str) -> DataFrame:
-    l = read(spark, d, "lineitem").where("l_orderkey % 200 = 0")
-    refs = l.select(F.concat(F.lit("P"), F.col("l_partkey") % 40).alias("from"), F.concat(F.lit("P"), F.col("l_suppkey") % 40).alias("to"))
-    known = spark.range(40).select(F.concat(F.lit("p"), "id").alias("name"))
-    return projects.edges(refs, known)
+    """A sparse graph with cycles of any length: each part refers to one other, which a sum over its lines names."""
+    n = read(spark, d, "part").agg(F.count(F.lit(1)).alias("n"))
+    refs = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_orderkey") * 7 + F.col("l_suppkey")).alias("x")).crossJoin(F.broadcast(n))
+    refs = refs.select(F.concat(F.lit("P"), "l_partkey").alias("from"), F.concat(F.lit("P"), F.col("x") % F.col("n")).alias("to"))
+    return projects.edges(refs, read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name")))
 
 
 def cycle_table(spark: SparkSession, d: str) -> DataFrame:
-    return projects.cycles(edge_table(spark, d), 3)
+    return projects.cycles(edge_table(spark, d))
 
 
 def finding_table(spark: SparkSession, d: str) -> DataFrame:
     return projects.findings(project_table(spark, d), edge_table(spark, d), cycle_table(spark, d))
 
 
-@query(f"WITH {SQL_EDGES} SELECT a AS \"from\", b AS \"to\" FROM edges")
+@query(f"WITH {SQL_REFERENCES} SELECT a AS \"from\", b AS \"to\" FROM refs_all WHERE b IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 9)")
 def project_edges(spark, d):
     """References to projects that are there."""
-    return edge_table(spark, d)
+    known = read(spark, d, "part").where("p_size > 9").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    return projects.edges(reference_table(spark, d), known)
 
 
-@query(f"WITH {SQL_FINDINGS} SELECT replace(summary, 'Dependency cycle: ', '') AS cycle FROM cyc")
+@query(f"WITH RECURSIVE {SQL_FINDINGS} SELECT replace(summary, 'Dependency cycle: ', '') AS cycle FROM cyc")
 def project_cycles(spark, d):
-    """Dependency cycles of up to three edges, and longer ones among projects in none of these."""
+    """Dependency cycles of any length."""
     return cycle_table(spark, d).select(F.array_join("cycle", " -> ").alias("cycle"))
 
 
-@query(f"WITH {SQL_EDGES} SELECT a AS \"from\", string_agg(b, ',' ORDER BY b) AS targets, count(*) AS degree FROM edges GROUP BY a")
+@query(f"WITH {SQL_REFERENCES} SELECT a AS \"from\", string_agg(b, ',' ORDER BY b) AS targets, count(*) AS degree FROM refs_all GROUP BY a")
 def adjacency(spark, d):
     """Outgoing neighbours."""
-    return projects.adjacency(edge_table(spark, d)).select("from", F.array_join("targets", ",").alias("targets"), "degree")
+    return projects.adjacency(reference_table(spark, d).distinct()).select("from", F.array_join("targets", ",").alias("targets"), "degree")
 
 
 def _finding(name: str, table: str, kind: str) -> None:
@@ -457,20 +541,20 @@ def _finding(name: str, table: str, kind: str) -> None:
         return finding_table(spark, d).where(F.col("kind") == kind).select("kind", "project", "summary")
 
     run.__name__, run.__doc__ = name, f"J5, X6: findings of kind {kind}."
-    query(f"WITH {SQL_FINDINGS} SELECT kind, project, summary FROM {table}")(run)
+    query(f"WITH RECURSIVE {SQL_FINDINGS} SELECT kind, project, summary FROM {table}")(run)
 
 
 for _n, _t, _k in (("finding_orphan", "orphan", "Orphan"), ("finding_untested", "untested", "Untested"), ("finding_oversized", "oversized", "Oversized"), ("finding_coupled", "coupled", "LibraryCoupledToWeb")):
     _finding(_n, _t, _k)
 
 
-@query(f"WITH {SQL_FINDINGS} SELECT kind, project, summary, kind_ord FROM findings")
+@query(f"WITH RECURSIVE {SQL_FINDINGS} SELECT kind, project, summary, kind_ord FROM findings")
 def findings_all(spark, d):
     """All detectors."""
     return finding_table(spark, d).select("kind", "project", "summary", "kind_ord")
 
 
-@query(f"WITH {SQL_FINDINGS} SELECT count(*) AS projects, sum(p.lines)::BIGINT AS lines FROM untested u JOIN projects p ON p.name = u.project")
+@query(f"WITH RECURSIVE {SQL_FINDINGS} SELECT count(*) AS projects, sum(p.lines)::BIGINT AS lines FROM untested u JOIN projects p ON p.name = u.project")
 def untested_lines(spark, d):
     """Lines of projects without tests."""
     f = finding_table(spark, d).where("kind = 'Untested'")
@@ -489,7 +573,7 @@ def framework_histogram(spark, d):
     return projects.frameworks(project_table(spark, d))
 
 
-@query(f"WITH {SQL_FINDINGS} SELECT kind, count(*) AS findings, min(project) AS example FROM findings GROUP BY kind")
+@query(f"WITH RECURSIVE {SQL_FINDINGS} SELECT kind, count(*) AS findings, min(project) AS example FROM findings GROUP BY kind")
 def finding_summary(spark, d):
     """Findings by kind."""
     return projects.finding_summary(finding_table(spark, d)).drop("detail")
@@ -516,7 +600,58 @@ def diagram_edges(spark, d):
 @query(f"WITH {SQL_PROJECTS} SELECT name, lines FROM projects ORDER BY lines DESC, name LIMIT 10")
 def biggest_projects(spark, d):
     """O6."""
-    return project_table(spark, d).select("name", "lines").orderBy(F.desc("lines"), "name").limit(10)
+    return projects.biggest(project_table(spark, d))
+
+
+SQL_XML = """k AS (SELECT p_partkey AS k, p_size AS z, p_partkey % 17 = 0 AS broken, p_partkey % 2 = 1 AS sdk FROM part),
+xml AS (SELECT 'P' || k AS name, k, z, broken, sdk AND NOT broken AS sdk_style, CASE WHEN broken THEN 'Broken' ELSE (CASE k % 6 WHEN 0 THEN 'Test' WHEN 1 THEN 'Wpf' WHEN 2 THEN 'WinForms' WHEN 3 THEN 'Console' ELSE 'Library' END) END AS kind,
+  CASE WHEN NOT broken THEN CASE WHEN sdk THEN 'net' || z % 9 ELSE 'v' || z % 9 || '.5' END END AS target_framework FROM k)"""
+
+
+def xml_files(spark: SparkSession, d: str) -> DataFrame:
+    """part as project files in both dialects, some of them broken, with a source file and, beside old ones, a package list."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    folder = s("src/P", k)
+    sdk, test = k % 2 == 1, k % 6 == 0
+    head = F.when(sdk, '<Project Sdk="Microsoft.NET.Sdk">').otherwise('<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003">')
+    framework = F.when(sdk, s("<TargetFramework>net", z % 9, "</TargetFramework>")).otherwise(s("<TargetFrameworkVersion>v", z % 9, ".5</TargetFrameworkVersion>"))
+    more = F.when(k % 6 == 1, "<UseWPF>true</UseWPF>").when(k % 6 == 2, "<UseWindowsForms>true</UseWindowsForms>").when(k % 6 == 3, "<OutputType>Exe</OutputType>").otherwise("")
+    package = F.when(sdk, s('<PackageReference Include="Pack', k % 50, '" Version="', z % 7, '.0" />')).otherwise(s('<Reference Include="Lib', k % 30, ', Version=1.0.0.0" />'))
+    refs = s('<ProjectReference Include="..\\P', F.floor(k / 2), "\\P", F.floor(k / 2), '.csproj" />', package, F.when(test, '<Reference Include="xunit.core" />').otherwise(""))
+    end = F.when(k % 17 == 0, "</ItemGroup>").otherwise("</ItemGroup></Project>")
+    project = F.struct(s(folder, "/P", k, ".csproj").alias("path"), s(head, "<PropertyGroup>", framework, more, "</PropertyGroup><ItemGroup>", refs, end).alias("content"))
+    source = F.struct(s(folder, "/A.cs").alias("path"), F.repeat(F.lit("x\n"), z % 5).alias("content"))
+    listed = F.struct(s(folder, "/packages.config").alias("path"), s('<packages><package id="Old', k % 40, '" version="', z % 3, '.1" /><package id="Bare" /></packages>').alias("content"))
+    return read(spark, d, "part").select(F.inline(F.when(sdk, F.array(project, source)).otherwise(F.array(project, source, listed))))
+
+
+@query(f"""WITH {SQL_XML} SELECT name, kind, target_framework, sdk_style, broken, CASE WHEN broken THEN 0 ELSE 1 END::BIGINT AS source_files, CASE WHEN broken THEN 0 ELSE z % 5 END::BIGINT AS lines,
+  CASE WHEN broken THEN '' ELSE (CASE WHEN k % 2 = 1 THEN 'Pack' || k % 50 ELSE 'Lib' || k % 30 END) || (CASE WHEN k % 6 = 0 THEN ',xunit.core' ELSE '' END) END AS assemblies FROM xml""")
+def project_files(spark, d):
+    """Projects read from their files."""
+    p = project_source.read(xml_files(spark, d))
+    return p.select("name", "kind", "target_framework", "sdk_style", "broken", "source_files", "lines", F.array_join(F.array_sort("assembly_references"), ",").alias("assemblies"))
+
+
+@query(f"WITH {SQL_XML} SELECT name, coalesce(regexp_matches(target_framework, '^(v3|v4|net3|net4)'), false) AS legacy FROM xml")
+def legacy_frameworks(spark, d):
+    """Projects on a framework of before."""
+    return project_source.read(xml_files(spark, d)).select("name", T.is_legacy_framework(F.col("any_framework")).alias("legacy"))
+
+
+@query(f"WITH {SQL_XML} SELECT name AS \"from\", 'P' || k // 2 AS \"to\" FROM xml WHERE NOT broken")
+def project_references(spark, d):
+    """References as project files write them."""
+    return project_source.references(project_source.read(xml_files(spark, d)))
+
+
+@query(f"""WITH {SQL_XML} SELECT name AS project, 'Pack' || k % 50 AS id, z % 7 || '.0' AS version FROM xml WHERE k % 2 = 1 AND NOT broken
+UNION ALL SELECT name, 'Old' || k % 40, z % 3 || '.1' FROM xml WHERE k % 2 = 0 UNION ALL SELECT name, 'Bare', 'unknown' FROM xml WHERE k % 2 = 0""")
+def package_references(spark, d):
+    """Packages from lists beside project files, else from the files."""
+    files = xml_files(spark, d)
+    return project_source.package_refs(project_source.read(files), files.where(F.endswith("path", F.lit("packages.config"))))
 
 
 SQL_NESTED = "f AS (SELECT source || '/' || lang || '/' || doc_id || '.cs' AS path, len(string_split(text, chr(10)))::BIGINT AS lines, source, lang FROM documents)"
@@ -565,7 +700,45 @@ def type_neighbours(spark, d):
     return typegraph.around(t, typegraph.relations(t), "T7").select("name", "shape")
 
 
-SQL_REFS = "refs AS (SELECT 'Proj' || l_orderkey % 97 AS project, (CASE WHEN l_suppkey % 2 = 0 THEN 'Pack' ELSE 'pack' END) || l_partkey % 500 AS id, (l_suppkey % 7) || '.0' AS version FROM lineitem WHERE l_orderkey % 50 = 0)"
+@query(f"""WITH {SQL_TYPES}, near AS (SELECT a AS n FROM rel WHERE a = 'T7' OR b = 'T7' UNION SELECT b FROM rel WHERE a = 'T7' OR b = 'T7' UNION SELECT 'T7'),
+mine AS (SELECT * FROM rel WHERE a IN (FROM near)) SELECT a AS "from", b AS "to", b IN (FROM near) AS inside FROM mine""")
+def type_selection(spark, d):
+    """Relations among chosen types, and those that lead out."""
+    t = type_table(spark, d)
+    rels = typegraph.relations(t)
+    inside, out = typegraph.split_by_selection(rels, typegraph.around(t, rels, "T7").unionByName(rels.where("`from` = 'T7' or `to` = 'T7'").select(F.col("to").alias("name")), allowMissingColumns=True))
+    return inside.withColumn("inside", F.lit(True)).unionByName(out.withColumn("inside", F.lit(False))).select("from", "to", "inside")
+
+
+def csharp_files(spark: SparkSession, d: str) -> DataFrame:
+    """part as C# sources: a type with up to four methods of up to two branches, some of them tests or generated."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    method = lambda i: s("  public int M", i, "(int x) {\n", F.repeat(F.lit("    if (x > 1) { x--; } // if\n"), ((k + i) % 3).cast("int")), "    return x;\n  }\n")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), (z % 4).cast("int")), method), "")
+    kind = F.when(k % 5 == 0, "public record").when(k % 5 == 1, "abstract class").otherwise("class")
+    head = s("namespace N", k % 9, ";\n\n", F.when(k % 7 == 0, "[TestFixture]\n").otherwise(""), kind, " T", k, " : B", k % 11, "<int>, IThing\n{\n")
+    return read(spark, d, "part").select(k.alias("k"), s("src/T", k, F.when(k % 13 == 0, ".g.cs").otherwise(".cs")).alias("path"), s(head, body, "}\n").alias("content"))
+
+
+SQL_CSHARP = """cs AS (SELECT p_partkey AS k, p_size % 4 + 1 AS m, list_transform(range(p_size % 4 + 1), lambda i: 1 + (p_partkey + i) % 3) AS c, p_partkey % 7 = 0 AS test FROM part)"""
+
+
+@query(f"""WITH {SQL_CSHARP} SELECT 'src/T' || k || CASE WHEN k % 13 = 0 THEN '.g.cs' ELSE '.cs' END AS path, 1 AS types, m::INT AS methods, list_sum(c)::INT AS complexity, list_max(c)::INT AS worst_method_complexity, 'M' || (list_position(c, list_max(c)) - 1) AS worst_method,
+  CASE WHEN list_max(c) > 1 THEN 1 ELSE 0 END AS max_nesting, (6 + test::INT + 2 * m + list_sum(c))::INT AS lines, (4 + test::INT + 2 * m + list_sum(c))::INT AS code_lines, k % 13 = 0 AS is_generated, test AS is_test FROM cs""")
+def csharp_metrics(spark, d):
+    """Metrics of C# sources."""
+    return csharp.metrics(csharp_files(spark, d)).select("path", "types", "methods", "complexity", "worst_method_complexity", "worst_method", "max_nesting", "lines", "code_lines", "is_generated", "is_test")
+
+
+@query(f"""WITH {SQL_CSHARP} SELECT 'T' || k AS name, 'N' || k % 9 AS namespace, CASE WHEN k % 5 = 0 THEN 'Record' ELSE 'Class' END AS shape, k % 5 = 1 AS is_abstract, 'B' || k % 11 || '<int>,IThing' AS bases,
+  array_to_string(list_transform(range(m), lambda i: 'M' || i || '()'), ',') AS members, (list_sum(c) - m)::INT AS complexity FROM cs""")
+def csharp_types(spark, d):
+    """Types that C# sources declare."""
+    return csharp.types(csharp_files(spark, d)).select("name", "namespace", "shape", "is_abstract", F.array_join("base_types", ",").alias("bases"), F.array_join("members", ",").alias("members"), "complexity")
+
+
+SQL_REFS = "refs AS (SELECT 'Proj' || l_orderkey % 97 AS project, (CASE WHEN l_suppkey % 2 = 0 THEN 'Pack' ELSE 'pack' END) || l_partkey % 500 AS id, (l_suppkey % 7) || '.0' AS version FROM lineitem)"
 SQL_PORT = "CASE WHEN lower(id) IN ('pack1', 'pack2', 'pack3') THEN 'TiedToSystemWeb' WHEN lower(id) IN ('pack10', 'pack11', 'pack12', 'pack13') THEN 'Portable' ELSE 'Unknown' END"
 SQL_PACKAGES = f"{SQL_REFS}, packages AS (SELECT min(id) AS id, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, count(*) AS projects, count(DISTINCT version) > 1 AS divergent FROM refs GROUP BY lower(id)), classed AS (SELECT *, {SQL_PORT} AS portability FROM packages)"
 SQL_MODERN = f"{SQL_PACKAGES}, modern AS (SELECT project, hash_id % 3 = 0 AS sdk_style, dead FROM (SELECT project, substr(project, 5)::INT AS hash_id, count(DISTINCT CASE WHEN {SQL_PORT} = 'TiedToSystemWeb' THEN id END) AS dead FROM refs GROUP BY project))"
@@ -573,7 +746,7 @@ LISTS = {"tied": ("Pack1", "Pack2", "Pack3"), "portable": ("PACK10", "Pack11", "
 
 
 def ref_table(spark: SparkSession, d: str) -> DataFrame:
-    l = read(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    l = read(spark, d, "lineitem")
     name = F.when(F.col("l_suppkey") % 2 == 0, "Pack").otherwise("pack")
     return l.select(F.concat(F.lit("Proj"), F.col("l_orderkey") % 97).alias("project"), F.concat(name, F.col("l_partkey") % 500).alias("id"), F.concat(F.col("l_suppkey") % 7, F.lit(".0")).alias("version"))
 
@@ -629,7 +802,7 @@ def redirect_count(spark, d):
 SQL_SIZE = "lambda n, one, many: ''"
 
 
-@query(f"""WITH {SQL_FINDINGS}, {SQL_MODERN}, steps AS (
+@query(f"""WITH RECURSIVE {SQL_FINDINGS}, {SQL_MODERN}, steps AS (
 SELECT 1 AS position, 'Blocking' AS kind, count(*) AS n, 'project file' AS one, 'project files' AS many FROM unreadable
 UNION ALL SELECT 2, 'Blocking', count(*), 'cycle', 'cycles' FROM cyc
 UNION ALL SELECT 3, 'Prerequisite', count(*), 'package', 'packages' FROM classed WHERE portability = 'Unknown'
@@ -646,7 +819,7 @@ def repair_steps(spark, d):
     return assessment.repair_steps(finding_table(spark, d), cat, modern_table(spark, d), survey_table(spark, d), risk_table(spark, d)).select("position", "kind", "size")
 
 
-@query(f"""WITH {SQL_FINDINGS}, {SQL_PACKAGES} SELECT 1 AS position, 'Only project files, source text and history were read.' AS detail UNION ALL SELECT 2, 'A file counts as tested if a test file is named after it.'
+@query(f"""WITH RECURSIVE {SQL_FINDINGS}, {SQL_PACKAGES} SELECT 1 AS position, 'Only project files, source text and history were read.' AS detail UNION ALL SELECT 2, 'A file counts as tested if a test file is named after it.'
 UNION ALL SELECT 3, 'The history could not be read. Files are ranked on structure alone.' UNION ALL SELECT 4, count_if(portability = 'Unknown') || ' of ' || count(*) || ' packages are in neither list.' FROM classed HAVING count_if(portability = 'Unknown') > 0
 UNION ALL SELECT 5, count(*) || ' generated files are not ranked.' FROM part WHERE p_partkey % 11 = 0 HAVING count(*) > 0
 UNION ALL SELECT 6, count(*) || ' project files are not valid XML.' FROM unreadable HAVING count(*) > 0""")
@@ -664,9 +837,7 @@ SELECT m, row::INT AS row, CASE WHEN a = 0 THEN '' ELSE (row % a) || ',' || (row
 def in_step_cases(spark, d):
     """argument rows that take each list of values in step; without values, one empty row."""
     m = read(spark, d, "part").select(F.col("p_partkey").alias("m"), (F.col("p_size") % 4).alias("a"), (F.col("p_size") % 3 + 1).alias("b"))
-    n = F.when(F.col("a") == 0, 1).otherwise(F.least(F.lit(4), F.greatest("a", "b")))
-    c = m.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("row"))
-    return c.select("m", "row", F.when(F.col("a") == 0, "").otherwise(F.concat_ws(",", F.try_mod("row", "a"), F.try_mod("row", "b"))).alias("args"))
+    return characterize.in_step(m, [F.col("a"), F.col("b")]).select("m", "row", F.array_join("picks", ",").alias("args"))
 
 
 SQL_REASON = "CASE WHEN p_partkey % 3 = 0 THEN 'Generic' WHEN p_size % 4 = 0 THEN 'ReturnsNothing' WHEN p_partkey % 5 = 0 THEN 'UnsupportedParameter' WHEN p_size > 40 THEN 'CannotConstruct' END"
@@ -676,19 +847,17 @@ SQL_REASON = "CASE WHEN p_partkey % 3 = 0 THEN 'Generic' WHEN p_size % 4 = 0 THE
 def refusal_histogram(spark, d):
     """Why methods can't be called, first reason only."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    reason = F.when(k % 3 == 0, "Generic").when(s % 4 == 0, "ReturnsNothing").when(k % 5 == 0, "UnsupportedParameter").when(s > 40, "CannotConstruct")
-    return read(spark, d, "part").select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("methods"))
+    reasons = [("Generic", k % 3 == 0), ("ReturnsNothing", s % 4 == 0), ("UnsupportedParameter", k % 5 == 0), ("CannotConstruct", s > 40)]
+    return characterize.refusals(read(spark, d, "part"), reasons)
 
 
 @query("SELECT l_orderkey AS case_id, count(DISTINCT l_returnflag || '|' || l_linestatus) = 1 AS deterministic, count(*) AS calls FROM lineitem GROUP BY l_orderkey")
 def determinism_check(spark, d):
     """a case is kept if all its calls left one fingerprint."""
-    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg((F.count_distinct(F.concat_ws("|", "l_returnflag", "l_linestatus")) == 1).alias("deterministic"), F.count(F.lit(1)).alias("calls"))
+    return characterize.repeatable(read(spark, d, "lineitem"), F.col("l_orderkey"), F.concat_ws("|", "l_returnflag", "l_linestatus"))
 
 
 @query("SELECT p_name || CASE WHEN row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 THEN '_' || (row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1) ELSE '' END AS test_name FROM part")
 def unique_names(spark, d):
     """Names that repeat are numbered."""
-    w = Window.partitionBy("p_name").orderBy("p_partkey")
-    n = F.row_number().over(w) - 1
-    return read(spark, d, "part").select(F.concat("p_name", F.when(n > 0, F.concat(F.lit("_"), n)).otherwise("")).alias("test_name"))
+    return characterize.numbered(read(spark, d, "part"), "p_name", "p_partkey").select("test_name")

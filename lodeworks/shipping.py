@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,6 +16,24 @@ BATCH_BYTES = 8 << 20
 _LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else one of our own.
+
+    Where nothing is set, a local master gets a temporary folder (as in tests), which goes when the driver ends, and
+    any other master a folder in the warehouse, which the executors see too.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        folder = tempfile.mkdtemp(prefix="lodeworks-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
+    else:
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodeworks"
+    spark.sparkContext.setCheckpointDir(own)
+    return work_folder(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once for each Spark context, through Spark's own file server.
 

@@ -1,6 +1,6 @@
 """Versioned snapshots of several tables that change together.
 
-A snapshot is a folder of Parquet tables, written whole before the pointer file names it; readers go through the
+A snapshot is a folder of Parquet tables and the text index of its chunks, written whole before the pointer file names it; readers go through the
 pointer. A crash before that leaves the old snapshot in force.
 """
 
@@ -9,11 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lodeworks.operators.retrieval import corpus_stats, postings
+
 CHUNKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 LEDGER = T.StructType([T.StructField("path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_count", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
 SCHEMAS = {"chunks": CHUNKS, "ledger": LEDGER}
 
 
+class TextIndex:
+    """Postings and corpus statistics of chunks, as two Parquet tables.
+
+    Postings are dealt by ranges of terms and sorted, so a question's filter on its terms leaves few files and few row
+    groups to be read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @staticmethod
+    def stamp(spark: SparkSession, path: str) -> tuple:
+        """Names, sizes and times of the files of a table: another stamp, another table."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+    def write(self, chunks: DataFrame) -> TextIndex:
+        """Index chunks (id, content)."""
+        rows = postings(chunks)
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings")
+        corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats")
+        return self
+
+    def postings(self) -> DataFrame:
+        """(id, term, tf, doc_len)."""
+        return self.spark.read.parquet(f"{self.folder}/postings")
+
+    def stats(self) -> DataFrame:
+        """One row: n, avgdl."""
+        return self.spark.read.parquet(f"{self.folder}/stats")
+
+
 class Index:
     """The index under a folder that Spark can write: chunks and ledger, always of one version."""
 
@@ -43,6 +78,8 @@ class Index:
         self.fs.delete(self._path(f"{self.folder}/snapshot={new}"), True)
         for name, df in tables.items():
             df.select([f.name for f in SCHEMAS[name]]).write.parquet(f"{self.folder}/snapshot={new}/{name}")
+        if "chunks" in tables:
+            TextIndex(self.spark, f"{self.folder}/snapshot={new}/text").write(self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/snapshot={new}/chunks"))
         draft, current = self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT")
         out = self.fs.create(draft, True)
         out.writeBytes(f"{new}\n")
@@ -53,5 +90,10 @@ class Index:
             self.fs.delete(self._path(f"{self.folder}/snapshot={old - 1}"), True)
         return new
 
+    def text(self) -> TextIndex | None:
+        """The text index of the snapshot in force; None for none."""
+        v = self.version()
+        return TextIndex(self.spark, f"{self.folder}/snapshot={v}/text") if v else None
+
     def clear(self) -> None:
         self.fs.delete(self._path(self.folder), True)
