@@ -60,9 +60,8 @@ class Index:
 
     def version(self) -> int:
         """The snapshot in force; 0 for none."""
-        for name in ("CURRENT", "CURRENT.new"):  # the draft alone: the writer ended between taking away and renaming
-            if self.fs.exists(self._path(f"{self.folder}/{name}")):
-                return int(self.spark.read.text(f"{self.folder}/{name}").first()[0])
+        if self.fs.exists(self._path(f"{self.folder}/CURRENT")):
+            return int(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
         return 0
 
     def table(self, name: str) -> DataFrame:
@@ -72,7 +71,11 @@ class Index:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/snapshot={v}/{name}")
 
     def commit(self, **tables: DataFrame) -> int:
-        """Write all tables as the next snapshot, then put it in force and drop those before the last."""
+        """Write all tables as the next snapshot, then put it in force and drop those before the last.
+
+        A writer that finds another snapshot in force than the one it began from gives up with an error, as it would
+        undo the other's work.
+        """
         old = self.version()
         new = old + 1
         self.fs.delete(self._path(f"{self.folder}/snapshot={new}"), True)
@@ -84,8 +87,12 @@ class Index:
         out = self.fs.create(draft, True)
         out.writeBytes(f"{new}\n")
         out.close()
-        self.fs.delete(current, False)
-        self.fs.rename(draft, current)
+        if self.version() != old:
+            raise RuntimeError(f"another writer has put a snapshot after {old} in force")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(current.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, current, over)
         if old > 1:
             self.fs.delete(self._path(f"{self.folder}/snapshot={old - 1}"), True)
         return new

@@ -12,6 +12,7 @@ from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.operators import chunking, csharp, history, ledger
 from lodeworks.plans import answer, ingest
 from lodeworks.sources import files as S
+from lodeworks.sources import gitlog
 from lodeworks.sources.gitlog import git_log
 from lodeworks.sources.snapshots import Index
 
@@ -111,7 +112,7 @@ def test_churn(spark):
     assert history.churn(history.parse_log(spark.createDataFrame([("",)], "log string"))).count() == 0
 
 
-def test_git_source(spark, tmp_path):
+def test_git_source(spark, tmp_path, monkeypatch):
     assert git_log(spark, str(tmp_path))[0] == "NotARepository"
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=Ada", "-c", "user.email=a@b", *a], check=True, capture_output=True)
     git("init", "-q")
@@ -120,6 +121,16 @@ def test_git_source(spark, tmp_path):
     git("commit", "-qm", "one")
     status, _, rows = git_log(spark, str(tmp_path))
     assert status == "Available" and [(r.author, r.path) for r in rows.collect()] == [("Ada", "a.cs")]
+    for n in range(5):  # blocks of one commit, of which two are held
+        (tmp_path / "a.cs").write_text(f"x{n}")
+        (tmp_path / f"b{n}.cs").write_text("y")
+        git("add", "-A")
+        git("commit", "-qm", "more")
+    whole = sorted((r.pos, r.path) for r in git_log(spark, str(tmp_path))[2].collect())
+    monkeypatch.setattr(gitlog, "BLOCK", 1)
+    monkeypatch.setattr(gitlog, "HELD", 2)
+    assert sorted((r.pos, r.path) for r in git_log(spark, str(tmp_path))[2].collect()) == whole
+    assert whole == sorted([(6, "a.cs"), *((5 - n, p) for n in range(5) for p in ("a.cs", f"b{n}.cs"))])
 
 
 def test_ledger(spark):
@@ -141,6 +152,14 @@ def test_ingest(spark, root, tmp_path):
     assert index.table("ledger").count() == 3
     hits = answer.find(index.table("chunks"), "where is the Service class", HashEmbedder(32), floor=0.0)
     assert hits[0].file_path == "src/Service.cs" and hits[0].source in ("both", "vector")
+    text = index.text()
+    assert answer.find(index.table("chunks"), "where is the Service class", HashEmbedder(32), floor=0.0, index=(text.postings(), text.stats())) == hits
+    plan = text.postings().where("term in ('service')")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), EqualTo(term" in plan or "In(term, [service])" in plan
+    late, seen = Index(spark, at), iter([index.version() - 1, index.version()])
+    late.version = lambda: next(seen)
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.commit(ledger=index.table("ledger"))
     index.clear()
     assert index.table("chunks").count() == 0
 
