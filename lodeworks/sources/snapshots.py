@@ -6,6 +6,8 @@ pointer. A crash before that leaves the old snapshot in force.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -58,49 +60,55 @@ class Index:
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _current(self) -> tuple[int, str]:
+        """Number and folder of the snapshot in force; 0 for none."""
+        if not self.fs.exists(self._path(f"{self.folder}/CURRENT")):
+            return 0, ""
+        number, name = self.spark.read.text(f"{self.folder}/CURRENT").first()[0].split()
+        return int(number), f"{self.folder}/{name}"
+
     def version(self) -> int:
         """The snapshot in force; 0 for none."""
-        if self.fs.exists(self._path(f"{self.folder}/CURRENT")):
-            return int(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
-        return 0
+        return self._current()[0]
 
     def table(self, name: str) -> DataFrame:
-        v = self.version()
+        v, folder = self._current()
         if not v:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/snapshot={v}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
     def commit(self, **tables: DataFrame) -> int:
-        """Write all tables as the next snapshot, then put it in force and drop those before the last.
-
-        A writer that finds another snapshot in force than the one it began from gives up with an error, as it would
-        undo the other's work.
-        """
+        """Write all tables as the next snapshot, in a folder of its own, then put it in force and drop those before the
+        last. A writer that finds another snapshot in force than the one it began from gives up with an error, as it
+        would undo the other's work."""
         old = self.version()
         new = old + 1
-        self.fs.delete(self._path(f"{self.folder}/snapshot={new}"), True)
-        for name, df in tables.items():
-            df.select([f.name for f in SCHEMAS[name]]).write.parquet(f"{self.folder}/snapshot={new}/{name}")
+        name = f"snapshot={new}-{uuid.uuid4().hex[:12]}"
+        for table, df in tables.items():
+            df.select([f.name for f in SCHEMAS[table]]).write.parquet(f"{self.folder}/{name}/{table}")
         if "chunks" in tables:
-            TextIndex(self.spark, f"{self.folder}/snapshot={new}/text").write(self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/snapshot={new}/chunks"))
-        draft, current = self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT")
+            TextIndex(self.spark, f"{self.folder}/{name}/text").write(self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/{name}/chunks"))
+        draft, current = self._path(f"{self.folder}/{name}/CURRENT"), self._path(f"{self.folder}/CURRENT")
         out = self.fs.create(draft, True)
-        out.writeBytes(f"{new}\n")
+        out.writeBytes(f"{new} {name}\n")
         out.close()
         if self.version() != old:
+            self.fs.delete(self._path(f"{self.folder}/{name}"), True)
             raise RuntimeError(f"another writer has put a snapshot after {old} in force")
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
         over[0] = hadoop.Options.Rename.OVERWRITE
         hadoop.FileContext.getFileContext(current.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, current, over)
-        if old > 1:
-            self.fs.delete(self._path(f"{self.folder}/snapshot={old - 1}"), True)
+        for status in self.fs.listStatus(self._path(self.folder)):
+            found = status.getPath().getName()
+            if found.startswith("snapshot=") and int(found[9:].split("-")[0]) < old:
+                self.fs.delete(status.getPath(), True)
         return new
 
     def text(self) -> TextIndex | None:
         """The text index of the snapshot in force; None for none."""
-        v = self.version()
-        return TextIndex(self.spark, f"{self.folder}/snapshot={v}/text") if v else None
+        v, folder = self._current()
+        return TextIndex(self.spark, f"{folder}/text") if v else None
 
     def clear(self) -> None:
         self.fs.delete(self._path(self.folder), True)
