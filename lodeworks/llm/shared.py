@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.shipping import work_folder
+
 #: Most bytes that a side may have, by its row count and width, to be broadcast.
 BROADCAST_BYTES = 48 << 20
 
@@ -16,27 +20,14 @@ BROADCAST_BYTES = 48 << 20
 MADE: list[DataFrame] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else one of our own.
-
-    Where nothing is set, a local master gets a temporary folder (as in tests) and any other master a folder
-    in the warehouse, which the executors see too.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        own = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodeworks"
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_dir(spark)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table of its own in the shared folder and read it back: lineage ends here, and a lost executor
-    costs a reread only. ``path_of`` and ``forget`` work on the result."""
+    costs a reread only. ``forget`` deletes the result; what is left when the driver ends goes then."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
+    if not MADE:
+        atexit.unregister(_end)
+        atexit.register(_end, spark._jvm, spark._jsc.hadoopConfiguration())
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeworks_path = path
@@ -44,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _end(jvm, conf) -> None:
+    """Delete what is left."""
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended before
+        for t in MADE:
+            p = jvm.org.apache.hadoop.fs.Path(t._lodeworks_path)
+            p.getFileSystem(conf).delete(p, True)
+    MADE.clear()
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete tables made by ``stored`` which no later plan reads."""
     for t in tables:

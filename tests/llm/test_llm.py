@@ -850,6 +850,40 @@ def test_cotraining(spark):
     assert cotrain.score(empty(spark), cotrain.fit(empty(spark), lab.limit(0))).count() == 0
 
 
+# ---- names
+
+
+@pytest.mark.parametrize("case", [str.lower, str.upper, str.title])
+def test_filters_keep_columns_of_any_name(spark, case):
+    """Every internal name of the operators, in several cases, and a name with a dot: values stay as they were."""
+    rng = np.random.default_rng(41)
+    text = "\n".join(prose(rng, 20) for _ in range(4))
+    names = [case(x) for x in ("id", "uid", "h", "own", "other", "key", "count", "rows", "node", "g", "c", "k", "_keep", "_key", "_uid_of_row", "a.b", "uid_", "iid", "item", "label", "rep", "text_", "c0", "score", "rejected", "lang_pred")]
+    docs = spark.createDataFrame([(i, t, f"v{i}") for i, t in enumerate([text, text, f"{text} end", None, prose(rng, 30)])], "doc_id long, text string, v string")
+    docs = docs.select("doc_id", "text", *[F.concat("v", F.lit(n)).alias(n) for n in names])
+    bench = spark.createDataFrame([("x", prose(rng, 30))], "item_id string, text string")
+    model = centroid_lid.fit(docs.select("doc_id", "text", F.lit("aa").alias("lang")))
+    new = {"score", "rejected", "lang_pred", "removed_runs"}
+    for out in (line_dedup.dedup(docs), jaccard_tree.keep_one(docs), spaced_seed.clean(docs, bench), centroid_lid.predict(docs, model)):
+        kept = [n for n in names if out is not None and not (n.lower() in new and n not in docs.columns)]
+        own = [n for n in kept if n.lower() not in {"score", "rejected", "lang_pred"}]
+        assert [c for c in out.columns if c in own] == own
+        for r in out.collect():
+            assert all(r[n] == f"v{r.doc_id}{n}" for n in own)
+
+
+def test_operators_on_long_texts_and_empty_tables(spark, tmp_path):
+    """The pipeline on odd rows, and on no rows at all."""
+    import corpus_pipeline as C
+
+    for name, rows in (("odd", odd_frame(spark).select("doc_id", "text", "lang", "source", "n_chars")), ("none", empty(spark))):
+        d = str(tmp_path / name)
+        rows.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(0, prose(np.random.default_rng(1), 30))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = C.run(spark, d).collect()
+        assert bool(out) == (name == "odd") and all(r.length > 0 for r in out)
+
+
 # ---- the pipeline
 
 
