@@ -16,7 +16,7 @@ from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
 from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, packages, projects, retrieval, risk, typegraph
-from lodeworks.plans import ingest
+from lodeworks.plans import ingest, mermaid
 from lodeworks.shipping import work_folder
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
@@ -325,6 +325,21 @@ def ingest_ledger(spark, d):
     return index.table("ledger").join(chunks, "path", "left").where(F.coalesce("n", F.lit(0)) == F.col("chunk_count")).select("path", "content_hash", "chunk_count")
 
 
+@query("SELECT 'source=' || source || '/part' AS path, count(*) AS lines, true AS source_file FROM documents GROUP BY source")
+def walked_files(spark, d):
+    """Files under a folder with their paths relative to it; documents are written there as lines."""
+    folder = f"{work_folder(spark)}/lodeworks/tree-{uuid.uuid4().hex}"
+    read(spark, d, "documents").select("source", "doc_id").write.partitionBy("source").option("maxRecordsPerFile", 10_000).json(folder)
+    found = files_source.files(spark, folder).select(F.regexp_replace("path", "/part-[^/]*$", "/part").alias("path"), F.endswith("path", F.lit(".json")).alias("source_file"), T.read_lines_count(F.col("content")).alias("lines"))
+    return found.groupBy("path", "source_file").agg(F.sum("lines").alias("lines"))
+
+
+@query("SELECT doc_id, 'File: ' || source || '/' || lang || '/' || doc_id || chr(10) || chr(10) || text AS text FROM documents")
+def embedding_texts(spark, d):
+    """What is embedded for a chunk."""
+    return file_table(spark, d).select("doc_id", T.embedding_text(F.col("path"), F.col("content")).alias("text"))
+
+
 @query("SELECT doc_id, lang AS layer FROM documents")
 def layers(spark, d):
     """the layer that a path's third part from its end names."""
@@ -654,6 +669,22 @@ def package_references(spark, d):
     return project_source.package_refs(project_source.read(files), files.where(F.endswith("path", F.lit("packages.config"))))
 
 
+def as_rows(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in text.rstrip("\n").split("\n")], "line string")
+
+
+@query(f"""WITH {SQL_PROJECTS}, {SQL_EDGES}, top AS (SELECT lines FROM projects WHERE kind <> 'Test' ORDER BY lines DESC LIMIT 12), least AS (SELECT greatest(500, CASE WHEN count(*) >= 12 THEN min(lines) ELSE 500 END) AS n FROM top),
+shown AS (SELECT name, lines, p_brand AS layer FROM projects JOIN part USING (p_partkey), least WHERE lines >= n AND kind <> 'Test'), layers AS (SELECT DISTINCT layer FROM shown)
+SELECT 'graph LR' AS line UNION ALL SELECT '    subgraph g' || regexp_replace(layer, '[^0-9A-Za-z]', '_', 'g') || '["' || layer || '"]' FROM layers UNION ALL SELECT '    end' FROM layers
+UNION ALL SELECT '        n' || name || '["' || name || '<br/>' || format('{{:,}}', lines) || ' lines"]' FROM shown UNION ALL SELECT '    n' || a || ' --> n' || b FROM edges WHERE a IN (SELECT name FROM shown) AND b IN (SELECT name FROM shown)
+UNION ALL SELECT '    %% ' || ((SELECT count(*) FROM projects) - count(*)) || ' of ' || (SELECT count(*) FROM projects) || ' projects are not drawn' FROM shown""")
+def solution_diagram(spark, d):
+    """The largest projects by layer, as the lines of a diagram."""
+    p = project_table(spark, d).withColumn("path", F.concat_ws("/", F.lit("src"), F.split("path", "/")[0], "name", F.lit("x.csproj")))
+    least = projects.diagram_threshold(p).first()[0]
+    return as_rows(spark, mermaid.solution(p, edge_table(spark, d), least))
+
+
 SQL_NESTED = "f AS (SELECT source || '/' || lang || '/' || doc_id || '.cs' AS path, len(string_split(text, chr(10)))::BIGINT AS lines, source, lang FROM documents)"
 
 
@@ -738,6 +769,15 @@ def csharp_types(spark, d):
     return csharp.types(csharp_files(spark, d)).select("name", "namespace", "shape", "is_abstract", F.array_join("base_types", ",").alias("bases"), F.array_join("members", ",").alias("members"), "complexity")
 
 
+@query(f"""WITH {SQL_CSHARP}, t AS (SELECT * FROM cs WHERE k % 9 = 4)
+SELECT 'classDiagram' AS line UNION ALL SELECT '    class T' || k || ' {{' FROM t UNION ALL SELECT '    }}' FROM t UNION ALL SELECT '        <<' || CASE WHEN k % 5 = 0 THEN 'record' ELSE 'abstract' END || '>>' FROM t WHERE k % 5 < 2
+UNION ALL SELECT '        +M' || unnest(range(least(m, 2))) || '()' FROM t UNION ALL SELECT '        +' || (m - 2) || ' more' FROM t WHERE m > 2 UNION ALL SELECT '    %% ' || 2 * count(*) || ' relations lead out of this selection' FROM t""")
+def class_diagram(spark, d):
+    """The types of a namespace, as the lines of a diagram."""
+    t = csharp.types(csharp_files(spark, d))
+    return as_rows(spark, mermaid.class_diagram(t, typegraph.relations(t), namespace="N4", max_members=2))
+
+
 SQL_REFS = "refs AS (SELECT 'Proj' || l_orderkey % 97 AS project, (CASE WHEN l_suppkey % 2 = 0 THEN 'Pack' ELSE 'pack' END) || l_partkey % 500 AS id, (l_suppkey % 7) || '.0' AS version FROM lineitem)"
 SQL_PORT = "CASE WHEN lower(id) IN ('pack1', 'pack2', 'pack3') THEN 'TiedToSystemWeb' WHEN lower(id) IN ('pack10', 'pack11', 'pack12', 'pack13') THEN 'Portable' ELSE 'Unknown' END"
 SQL_PACKAGES = f"{SQL_REFS}, packages AS (SELECT min(id) AS id, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, count(*) AS projects, count(DISTINCT version) > 1 AS divergent FROM refs GROUP BY lower(id)), classed AS (SELECT *, {SQL_PORT} AS portability FROM packages)"
@@ -775,6 +815,12 @@ def unknown_packages(spark, d):
     return packages.unknown(packages.catalogue(ref_table(spark, d), **LISTS)).select("id", "projects")
 
 
+@query(f"WITH {SQL_PACKAGES} SELECT id, projects FROM classed WHERE portability = 'TiedToSystemWeb' ORDER BY projects DESC, id LIMIT 10")
+def dead_end_packages(spark, d):
+    """Packages that no version of modern .NET runs."""
+    return packages.dead_ends(packages.catalogue(ref_table(spark, d), **LISTS)).select("id", "projects")
+
+
 @query(f"WITH {SQL_MODERN} SELECT project, sdk_style, dead > 0 AS blocked, NOT sdk_style AND dead = 0 AS convertible_as_is FROM modern")
 def project_modernisation(spark, d):
     """P9, P10."""
