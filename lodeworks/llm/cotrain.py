@@ -91,18 +91,29 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) of a calibrated logit; the slope isn't negative."""
+    """(slope, offset) of a calibrated logit; the slope isn't negative.
+
+    Targets are drawn in from 0 and 1 by the classes' sizes, so that classes a score parts cleanly don't drive the slope
+    to infinity, and scores are brought to unit spread first.
+    """
+    spread = max(float(z.std()), 1e-9)
+    x = z / spread
+    high, low = (y == 1).sum(), (y == 0).sum()
+    t = np.where(y == 1, (high + 1) / (high + 2), 1 / (low + 2))
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * z + b)
+    loss = lambda a, b: float(np.logaddexp(0, a * x + b).sum() - (t * (a * x + b)).sum() + 5e-4 * a * a)
+    for _ in range(100):
+        p = sigmoid(a * x + b)
         d = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * z).sum() + 1e-3 * a, (p - y).sum()])
-        h = np.array([[(d * z * z).sum() + 1e-3, (d * z).sum()], [(d * z).sum(), d.sum()]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+        g = np.array([((p - t) * x).sum() + 1e-3 * a, (p - t).sum()])
+        h = np.array([[(d * x * x).sum() + 1e-3, (d * x).sum()], [(d * x).sum(), d.sum()]])
+        step, now, size = np.linalg.solve(h, g), loss(a, b), 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-9:
             break
-    return max(float(a), 0.0), float(b)
+    return max(float(a), 0.0) / spread, float(b)
 
 
 @dataclass
