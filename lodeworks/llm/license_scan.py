@@ -169,13 +169,18 @@ def frequencies(docs: DataFrame, wanted: DataFrame, rows: int, text: str = "text
 
 
 def _bounded(held: Column, tables: list[tuple[float, dict[str, float]]], threshold: float) -> Column:
-    """Can a part that holds these heavy terms reach the threshold?"""
-
-    def square(light: float, squares: dict[str, float]) -> Column:
-        known = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
-        return F.aggregate(held, F.lit(light), lambda total, t: total + F.coalesce(F.try_element_at(known, t), F.lit(0.0)))
-
-    return (F.size(held) > 0) & (F.greatest(F.lit(0.0), *[square(*x) for x in tables]) >= threshold * threshold * (1 - _SLACK))
+    """Can a part that holds these heavy terms reach the threshold? ``held`` is an expression that is read once, as a
+    filter is pushed to where it would be worked out anew for each of its uses."""
+    none = [0.0] * len(tables)
+    rows = {t: list(none) for _, squares in tables for t in squares}
+    for k, (_, squares) in enumerate(tables):
+        for t, x in squares.items():
+            rows[t][k] = x
+    array = lambda values: F.array(*map(F.lit, values))
+    known = F.create_map(*[x for t, r in sorted(rows.items()) for x in (F.lit(t), array(r))])
+    start = array([light for light, _ in tables])
+    total = F.aggregate(held, start, lambda a, t: F.zip_with(a, F.coalesce(F.try_element_at(known, t), array(none)), lambda x, y: x + y))
+    return F.exists(total, lambda x: x >= threshold * threshold * (1 - _SLACK))
 
 
 def _notices(docs: DataFrame, threshold: float, path: str, text: str, templates) -> DataFrame:
