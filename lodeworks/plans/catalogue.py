@@ -21,7 +21,7 @@ from lodeworks.shipping import work_folder
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
 from lodeworks.sources.snapshots import Index, TextIndex
-from lodeworks.streaming.ingest import windowed_churn
+from lodeworks.streaming.ingest import watch, windowed_churn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -334,6 +334,16 @@ def walked_files(spark, d):
     return found.groupBy("path", "source_file").agg(F.sum("lines").alias("lines"))
 
 
+@query("SELECT 'source=' || source AS folder, 1 AS chunk_count FROM documents GROUP BY source")
+def streamed_ledger(spark, d):
+    """2.11c: a watched folder with a file for each source, indexed by a stream that ends when all is read."""
+    work = f"{work_folder(spark)}/lodeworks/watched-{uuid.uuid4().hex}"
+    read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.partitionBy("source").json(f"{work}/tree")
+    run = watch(spark, f"{work}/tree", f"{work}/index", f"{work}/checkpoint", HashEmbedder(8))
+    run.awaitTermination()
+    return Index(spark, f"{work}/index").table("ledger").select(F.regexp_replace("path", "/part-[^/]*$", "").alias("folder"), "chunk_count")
+
+
 @query("SELECT doc_id, 'File: ' || source || '/' || lang || '/' || doc_id || chr(10) || chr(10) || text AS text FROM documents")
 def embedding_texts(spark, d):
     """What is embedded for a chunk."""

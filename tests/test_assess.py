@@ -133,4 +133,10 @@ def test_characterize(tmp_path, monkeypatch):
     assert dict(r.refusals) == {"returns nothing": 1, "unsupported parameter": 1, "not repeatable": 4}
     assert characterize.verify(r.source) == [] and "IndexError" in r.source
     assert characterize.verify(r.source.replace("== '84'", "== '85'")) == ["test_s_doubled_3"]
+    (tmp_path / "sample_values.py").write_text(
+        "import datetime\nfrom decimal import Decimal\nfrom uuid import UUID\ndef day(d: datetime.date) -> datetime.date:\n    return d\ndef at(t: datetime.datetime, by: datetime.timedelta) -> datetime.datetime:\n    return t + by\n"
+        "def twice(x: Decimal) -> Decimal:\n    return 2 * x\ndef name(u: UUID) -> UUID:\n    return u\ndef size(r: range, b: bytearray, c: complex, t: datetime.time) -> int:\n    return len(r) + len(b)\n"
+    )
+    v = characterize.run("sample_values")
+    assert {t.name for t in v.targets} == {"day", "at", "twice", "name", "size"} and len(v.cases) == 11 and not v.failed and not v.skipped
     assert len(characterize.cases([int, str, bool], 6)) == 4 and characterize.cases([]) == [[]]
