@@ -19,27 +19,29 @@ def vector_topk(chunks: DataFrame, probe: list[float], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(id, term, tf, doc_len): a row for each term of each chunk.
+def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, doc_len), and the columns to keep: a row for each term of each chunk.
 
     Terms are counted within their chunk, by the runs of its sorted terms, so nothing is shuffled.
     """
-    terms = chunks.select("id", F.array_sort(index_terms(F.col("content"))).alias("s")).where(F.size("s") > 0)
+    keep = keep or []
+    terms = chunks.select("id", *keep, F.array_sort(index_terms(F.col("content"))).alias("s")).where(F.size("s") > 0)
     at = F.sequence(F.lit(0), F.size("s") - 1)
     starts = F.filter(at, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    runs = terms.select("id", "s", F.size("s").alias("doc_len"), starts.alias("from"))
+    runs = terms.select("id", *keep, "s", F.size("s").alias("doc_len"), starts.alias("from"))
     ends = F.concat(F.slice("from", F.lit(2), F.size("from")), F.array("doc_len"))
-    rows = runs.select("id", "s", "doc_len", F.explode(F.arrays_zip(F.col("from"), ends.alias("to"))).alias("r"))
-    return rows.select("id", F.get("s", F.col("r.from")).alias("term"), (F.col("r.to") - F.col("r.from")).cast("long").alias("tf"), "doc_len")
+    rows = runs.select("id", *keep, "s", "doc_len", F.explode(F.arrays_zip(F.col("from"), ends.alias("to"))).alias("r"))
+    return rows.select("id", F.get("s", F.col("r.from")).alias("term"), (F.col("r.to") - F.col("r.from")).cast("long").alias("tf"), "doc_len", *keep)
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n, the chunks, and avgdl, their mean number of terms; null contents have none and count in n only."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content"))))).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n, the chunks, texts, those with a content, and terms, theirs in all: one row, or one for each group."""
+    size = F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content"))))
+    return chunks.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("terms"), F.count("content").alias("texts"))
 
 
 def indexed_topk(index: DataFrame, stats: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """``bm25_topk`` from stored postings and corpus_stats: only the postings of the question's terms are read."""
+    """``bm25_topk`` from stored postings and statistics (n, avgdl): only the postings of the question's terms are read."""
     if not terms:
         return index.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     mine = index.where(F.col("term").isin(sorted(set(terms)))).select("id", "term", "tf", "doc_len")

@@ -46,12 +46,10 @@ def ingest_files(found: DataFrame, index: Index, embedder: Embedder | None = Non
         todo = now.join(states.where(F.col("status").isin("new", "changed") & mine).select("path"), "path", "left_semi")
         new = chunking.chunks(todo).withColumn("embedding", embed(embedding_text(F.col("file_path"), F.col("content")), embedder)).persist()
         gone = states.where((F.col("status").isin("new", "changed") & mine) | ((F.col("status") == "vanished") & F.lit(b == 0))).select("path")
-        chunks = ledger.replace_paths(index.table("chunks"), new, gone)
         per_file = new.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         done = todo.select("path", "content_hash").join(per_file, "path", "left").select("path", "content_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
-        entries = ledger.forget(index.table("ledger"), gone, "path").unionByName(done)
         made += new.count()
-        index.commit(chunks=chunks, ledger=entries)
+        index.replace(gone, new, done)
         new.unpersist()
     states.unpersist()
     return IngestResult(read, made, int((time.time() - began) * 1000))

@@ -1,32 +1,40 @@
-"""Versioned snapshots of several tables that change together.
+"""Versioned snapshots of an index: chunks, their text index and the ledger, which change together.
 
-A snapshot is a folder of Parquet tables and the text index of its chunks, written whole before the pointer file names it; readers go through the
-pointer. A crash before that leaves the old snapshot in force.
+Rows are dealt to buckets by a hash of their path. A snapshot is a folder with the tables of the buckets that a commit
+touches, written whole before the pointer file names it; the pointer says for every bucket in which snapshot it lies. So
+a commit costs what its buckets hold, readers always see one version, and a crash leaves the old one in force.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.operators.retrieval import corpus_stats, postings
 
 CHUNKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 LEDGER = T.StructType([T.StructField("path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_count", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
-SCHEMAS = {"chunks": CHUNKS, "ledger": LEDGER}
+SCHEMAS, PATHS = {"chunks": CHUNKS, "ledger": LEDGER}, {"chunks": "file_path", "ledger": "path"}
+BUCKETS = 32
+
+
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
 class TextIndex:
-    """Postings and corpus statistics of chunks, as two Parquet tables.
+    """Postings and corpus statistics of chunks, as Parquet tables in one or more folders.
 
     Postings are dealt by ranges of terms and sorted, so a question's filter on its terms leaves few files and few row
     groups to be read.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, *folders: str):
+        self.spark, self.folders = spark, folders
 
     @staticmethod
     def stamp(spark: SparkSession, path: str) -> tuple:
@@ -36,79 +44,121 @@ class TextIndex:
         return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
     def write(self, chunks: DataFrame) -> TextIndex:
-        """Index chunks (id, content)."""
-        rows = postings(chunks)
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings")
-        corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats")
+        """Index chunks (id, content) in the one folder."""
+        (folder,) = self.folders
+        rows = postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+        corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
         return self
 
     def postings(self) -> DataFrame:
         """(id, term, tf, doc_len)."""
-        return self.spark.read.parquet(f"{self.folder}/postings")
+        return self.spark.read.parquet(*[f"{f}/postings" for f in self.folders])
 
     def stats(self) -> DataFrame:
         """One row: n, avgdl."""
-        return self.spark.read.parquet(f"{self.folder}/stats")
+        s = self.spark.read.parquet(*[f"{f}/stats" for f in self.folders])
+        return s.agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("texts")).alias("avgdl"))
 
 
 class Index:
-    """The index under a folder that Spark can write: chunks and ledger, always of one version."""
+    """The index under a folder that Spark can write: chunks, text index and ledger, always of one version."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> tuple[int, str]:
-        """Number and folder of the snapshot in force; 0 for none."""
+    def _current(self) -> dict:
+        """version, buckets, and for each bucket that holds anything the folder of its snapshot."""
         if not self.fs.exists(self._path(f"{self.folder}/CURRENT")):
-            return 0, ""
-        number, name = self.spark.read.text(f"{self.folder}/CURRENT").first()[0].split()
-        return int(number), f"{self.folder}/{name}"
+            return {"version": 0, "buckets": self.buckets, "in": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
 
     def version(self) -> int:
         """The snapshot in force; 0 for none."""
-        return self._current()[0]
+        return self._current()["version"]
+
+    def _read(self, name: str, current: dict, only: set[int] | None = None) -> DataFrame:
+        at = [f"{self.folder}/{s}/{name}/bucket={b}" for b, s in current["in"].items() if only is None or int(b) in only]
+        at = [p for p in at if self.fs.exists(self._path(p))]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*at) if at else self.spark.createDataFrame([], SCHEMAS[name])
 
     def table(self, name: str) -> DataFrame:
-        v, folder = self._current()
-        if not v:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Write all tables as the next snapshot, in a folder of its own, then put it in force and drop those before the
-        last. A writer that finds another snapshot in force than the one it began from gives up with an error, as it
-        would undo the other's work."""
-        old = self.version()
-        new = old + 1
+        return self._read(name, self._current())
+
+    def replace(self, gone: DataFrame, chunks: DataFrame, ledger: DataFrame) -> int:
+        """Put the next snapshot in force: rows of the paths gone (path) go, those of chunks and ledger come.
+
+        Only the buckets of these paths are read and written. A writer that finds another snapshot in force than the one
+        it began from gives up with an error, as it would undo the other's work.
+        """
+        current = self._current()
+        new, buckets = current["version"] + 1, current["buckets"]
         name = f"snapshot={new}-{uuid.uuid4().hex[:12]}"
-        for table, df in tables.items():
-            df.select([f.name for f in SCHEMAS[table]]).write.parquet(f"{self.folder}/{name}/{table}")
-        if "chunks" in tables:
-            TextIndex(self.spark, f"{self.folder}/{name}/text").write(self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/{name}/chunks"))
-        draft, current = self._path(f"{self.folder}/{name}/CURRENT"), self._path(f"{self.folder}/CURRENT")
+        paths = gone.select("path").unionByName(chunks.select(F.col("file_path").alias("path"))).unionByName(ledger.select("path"))
+        touched = {r[0] for r in paths.select(bucket_of(F.col("path"), buckets)).distinct().collect()}  # a number for each bucket
+        for table, rows in (("chunks", chunks), ("ledger", ledger)):
+            path = PATHS[table]
+            kept = self._read(table, current, touched).join(gone.select(F.col("path").alias(path)).distinct(), path, "left_anti")
+            every = kept.select(SCHEMAS[table].names).unionByName(rows.select(SCHEMAS[table].names)).withColumn("bucket", bucket_of(F.col(path), buckets))
+            every.repartitionByRange("bucket", path).write.partitionBy("bucket").parquet(f"{self.folder}/{name}/{table}")
+        held = {**current["in"], **{str(b): name for b in touched}}
+        written = {int(s.getPath().getName().split("=")[1]) for s in self.fs.listStatus(self._path(f"{self.folder}/{name}/ledger")) if "=" in s.getPath().getName()}
+        held = {b: s for b, s in held.items() if s != name or int(b) in written}  # buckets that nothing is left in
+        self._write_text(f"{self.folder}/{name}")
+        draft, pointer = self._path(f"{self.folder}/{name}/CURRENT"), self._path(f"{self.folder}/CURRENT")
         out = self.fs.create(draft, True)
-        out.writeBytes(f"{new} {name}\n")
+        out.writeBytes(json.dumps({"version": new, "buckets": buckets, "in": held}) + "\n")
         out.close()
-        if self.version() != old:
+        if self._current()["version"] != current["version"]:
             self.fs.delete(self._path(f"{self.folder}/{name}"), True)
-            raise RuntimeError(f"another writer has put a snapshot after {old} in force")
+            raise RuntimeError(f"another writer has put a snapshot after {current['version']} in force")
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
         over[0] = hadoop.Options.Rename.OVERWRITE
-        hadoop.FileContext.getFileContext(current.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, current, over)
+        hadoop.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, pointer, over)
+        used = {*held.values(), *current["in"].values(), name}  # those of the version before may still be read
         for status in self.fs.listStatus(self._path(self.folder)):
             found = status.getPath().getName()
-            if found.startswith("snapshot=") and int(found[9:].split("-")[0]) < old:
+            if found.startswith("snapshot=") and found not in used and int(found[9:].split("-")[0]) < new:
                 self.fs.delete(status.getPath(), True)
         return new
 
+    def _write_text(self, folder: str) -> None:
+        """Postings and statistics of a snapshot's chunks, by bucket."""
+        schema = T.StructType([*CHUNKS.fields, T.StructField("bucket", T.IntegerType())])
+        if not any("=" in s.getPath().getName() for s in self.fs.listStatus(self._path(f"{folder}/chunks"))):
+            return
+        chunks = self.spark.read.schema(schema).parquet(f"{folder}/chunks")
+        rows = postings(chunks.select("id", "content", "bucket"), keep=["bucket"])
+        rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{folder}/text/postings")
+        corpus_stats(chunks, by=["bucket"]).write.partitionBy("bucket").parquet(f"{folder}/text/stats")
+
     def text(self) -> TextIndex | None:
         """The text index of the snapshot in force; None for none."""
-        v, folder = self._current()
-        return TextIndex(self.spark, f"{folder}/text") if v else None
+        at = [(f"{self.folder}/{s}/text", b) for b, s in self._current()["in"].items()]
+        at = [(f, b) for f, b in at if self.fs.exists(self._path(f"{f}/stats/bucket={b}"))]
+        return _Buckets(self.spark, at) if at else None
 
     def clear(self) -> None:
         self.fs.delete(self._path(self.folder), True)
+
+
+class _Buckets(TextIndex):
+    """The text index of some buckets, each in a snapshot of its own."""
+
+    def __init__(self, spark: SparkSession, at: list[tuple[str, str]]):
+        super().__init__(spark)
+        self.at = at
+
+    def postings(self) -> DataFrame:
+        found = [f"{f}/postings/bucket={b}" for f, b in self.at]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(found[0]).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self.spark.read.schema("id string, term string, tf long, doc_len int").parquet(*[p for p in found if fs.exists(path(p))])
+
+    def stats(self) -> DataFrame:
+        s = self.spark.read.schema("n long, terms long, texts long").parquet(*[f"{f}/stats/bucket={b}" for f, b in self.at])
+        return s.agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("texts")).alias("avgdl"))

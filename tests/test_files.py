@@ -156,14 +156,43 @@ def test_ingest(spark, root, tmp_path):
     assert answer.find(index.table("chunks"), "where is the Service class", HashEmbedder(32), floor=0.0, index=(text.postings(), text.stats())) == hits
     plan = text.postings().where("term in ('service')")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), EqualTo(term" in plan or "In(term, [service])" in plan
-    late, seen = Index(spark, at), iter([index.version() - 1, index.version()])
-    late.version = lambda: next(seen)
+    late, before = Index(spark, at), index._current()
+    seen = iter([{**before, "version": before["version"] - 1}, before])
+    late._current = lambda: next(seen)
+    none = index.table("ledger").limit(0)
     with pytest.raises(RuntimeError, match="another writer"):
-        late.commit(ledger=index.table("ledger"))
+        late.replace(none, index.table("chunks").limit(0), none)
     index.clear()
     assert index.table("chunks").count() == 0
 
 
+def test_a_commit_touches_its_buckets_only(spark, tmp_path):
+    from lodeworks.operators.retrieval import bm25_topk, indexed_topk
+
+    index = Index(spark, str(tmp_path / "index"), buckets=8)
+    rows = lambda names, word: spark.createDataFrame([(f"{n}#1", n, 1, 1, f"{word} {n} {n}" if n != "p3" else None, [1.0]) for n in names], "id string, file_path string, start_line int, end_line int, content string, embedding array<float>")
+    entry = lambda names: spark.createDataFrame([(n, "h", 1, None) for n in names], "path string, content_hash string, chunk_count int, indexed_at timestamp")
+    gone = lambda names: spark.createDataFrame([(n,) for n in names], "path string")
+    names = [f"p{i}" for i in range(40)]
+    index.replace(gone([]), rows(names, "old"), entry(names))
+    first = dict(index._current()["in"])
+    index.replace(gone(["p5", "p6"]), rows(["p5"], "new"), entry(["p5"]))
+    second = index._current()["in"]
+    assert 1 <= sum(first[b] != second[b] for b in first) <= 2 and len(first) == 8
+    chunks = index.table("chunks")
+    assert {r.file_path: (r.content or "").split()[:1] for r in chunks.collect()} == {n: ["new"] if n == "p5" else [] if n == "p3" else ["old"] for n in names if n != "p6"}
+    assert index.table("ledger").count() == 39 and index.version() == 2
+    text = index.text()
+    for terms in (["new"], ["p7", "old"], ["nowhere"], []):
+        mine = indexed_topk(text.postings(), text.stats(), terms, 5).orderBy("rank").collect()
+        plain = bm25_topk(chunks, terms, 5).orderBy("rank").collect()
+        assert [(r.id, r["rank"]) for r in mine] == [(r.id, r["rank"]) for r in plain] and all(abs(a.score - b.score) < 1e-9 for a, b in zip(mine, plain, strict=True))
+    index.replace(gone(names), rows([], ""), entry([]))
+    assert index.table("chunks").count() == 0 and index.text() is None and index._current()["in"] == {}
+    index.replace(gone([]), rows(["p1"], "again"), entry(["p1"]))
+    assert index.table("chunks").count() == 1 and len(list((tmp_path / "index").glob("snapshot=*"))) <= 2
+
+
 def test_streaming_ingest(spark, root, tmp_path):
     from lodeworks.streaming.ingest import watch
 
