@@ -21,11 +21,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFra
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-def replace_paths(existing: DataFrame, incoming: DataFrame, paths: DataFrame) -> DataFrame:
-    """existing chunks without those of the given paths, and incoming: a changed file leaves no stale chunk behind."""
-    return existing.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti").select(existing.columns).unionByName(incoming)
-
-
 def forget(rows: DataFrame, paths: DataFrame, column: str = "file_path") -> DataFrame:
     """rows without those of the given paths."""
     return rows.join(paths.select(F.col("path").alias(column)), column, "left_anti").select(rows.columns)
