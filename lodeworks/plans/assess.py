@@ -49,11 +49,16 @@ def assess(spark: SparkSession, root: str, top_risks: int = 20, min_code_lines:
     found = tree(spark, root).where(outside(F.col("path"), PROJECT_SKIP_FOLDERS))
     text = F.when(extension(F.col("path")).isin(".cs", ".csproj", ".config", ".xaml", ".asax"), decoded(F.col("content")))
     files = found.select("path", text.alias("content")).persist(StorageLevel.MEMORY_AND_DISK)
+    return assess_files(files, root, git_log(spark, root, history_months), top_risks, min_code_lines, oversized)
+
+
+def assess_files(files: DataFrame, root: str, log: tuple[str, str | None, DataFrame], top_risks: int = 20, min_code_lines: int = risk.MIN_CODE_LINES, oversized: int = P.OVERSIZED) -> Assessment:
+    """Assess files (path, content) with a history (status, note, commits) as ``git_log`` gives it."""
+    status, note, commits = log
     projects = source.read(files).persist()
     edges = P.edges(source.references(projects), projects).persist()
     cycles = P.cycles(edges).persist()
     findings = P.findings(projects, edges, cycles, oversized).persist()
-    status, note, commits = git_log(spark, root, history_months)
     churn = history.churn(commits) if status == "Available" else None
     metrics, entries = analyse(files, churn, min_code_lines)
     entries = risk.without_tests(entries, projects.where("kind = 'Test'").select("folder")).persist().orderBy(F.desc("score"), "path")

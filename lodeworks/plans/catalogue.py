@@ -16,7 +16,7 @@ from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
 from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, packages, projects, retrieval, risk, typegraph
-from lodeworks.plans import ingest, mermaid
+from lodeworks.plans import assess, ingest, mermaid
 from lodeworks.shipping import work_folder
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
@@ -855,9 +855,6 @@ def redirect_count(spark, d):
     return packages.redirects(read(spark, d, "pages"), "<A ", "html")
 
 
-SQL_SIZE = "lambda n, one, many: ''"
-
-
 @query(f"""WITH RECURSIVE {SQL_FINDINGS}, {SQL_MODERN}, steps AS (
 SELECT 1 AS position, 'Blocking' AS kind, count(*) AS n, 'project file' AS one, 'project files' AS many FROM unreadable
 UNION ALL SELECT 2, 'Blocking', count(*), 'cycle', 'cycles' FROM cyc
@@ -885,6 +882,24 @@ def limitations(spark, d):
     return assessment.limitations(finding_table(spark, d), survey_table(spark, d), generated, project_table(spark, d), False).select("position", "detail")
 
 
+@query(f"""WITH {SQL_XML}, refs AS (SELECT name, kind, 'P' || k // 2 AS other FROM xml WHERE NOT broken), size AS (SELECT name, kind, k, broken, CASE WHEN broken THEN 0 ELSE z % 5 END AS lines FROM xml)
+SELECT 'Unreadable' AS kind, name AS project, 'The project file is not valid XML' AS summary FROM size WHERE broken
+UNION ALL SELECT 'Untested', name, 'No test project refers to it (' || lines || ' lines)' FROM size WHERE kind NOT IN ('Test', 'Broken') AND lines > 0 AND name NOT IN (SELECT other FROM refs WHERE kind = 'Test')
+UNION ALL SELECT 'Oversized', name, lines || ' lines in one project' FROM size WHERE lines > 3 UNION ALL SELECT 'Orphan', name, 'Nothing in the solution refers to it' FROM size WHERE kind = 'Library' AND lines > 0 AND name NOT IN (SELECT other FROM refs)""")
+def assess_findings(spark, d):
+    """The findings of an assessment of a tree of project files, sources and package lists."""
+    done = assess.assess_files(xml_files(spark, d), "", ("NotARepository", "There is no history.", commits(spark, d)), oversized=3)
+    return done.findings.select("kind", "project", "summary")
+
+
+@query(f"""WITH {SQL_CSHARP} SELECT 'src/T' || k || CASE WHEN k % 13 = 0 THEN '.g.cs' ELSE '.cs' END AS path, list_sum(c)::INT AS complexity, CASE WHEN list_max(c) > 1 THEN 1 ELSE 0 END AS max_nesting, false AS tested
+FROM cs WHERE NOT test AND k % 13 <> 0 AND 4 + 2 * m + list_sum(c) >= 10""")
+def assess_risk(spark, d):
+    """The files that an assessment of C# sources ranks."""
+    done = assess.assess_files(csharp_files(spark, d).select("path", "content"), "", ("NotARepository", "There is no history.", commits(spark, d)), min_code_lines=10)
+    return done.risk.select("path", "complexity", "max_nesting", "tested")
+
+
 # ---- characterization -----------------------------------------------------------------------------------------
 
 
