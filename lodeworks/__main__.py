@@ -35,7 +35,8 @@ def main(args: list[str] | None = None) -> int:
         from lodeworks.plans.assess import assess
         from lodeworks.plans.report import render
 
-        print(render(assess(spark, a.path)))
+        with assess(spark, a.path) as found:
+            print(render(found))
     elif a.command == "ingest":
         from lodeworks.plans.ingest import ingest
 

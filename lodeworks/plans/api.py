@@ -59,27 +59,34 @@ class Engine:
         self.index.clear()
 
     def report(self, path: str, **knobs) -> str:
-        return render(assess(self.spark, path, **knobs))
+        with assess(self.spark, path, **knobs) as a:
+            return render(a)
 
     def map(self, path: str) -> dict:
-        began, a = time.time(), assess(self.spark, path)
-        return _timed(began, totals=P.totals(a.projects, a.edges).first().asDict(), projects=_rows(a.projects.orderBy(F.desc("lines"), "name"), "name", "kind", "target_framework", "source_files", "lines"), edges=_rows(a.edges.orderBy("from", "to"), "from", "to"), cycles=[r.cycle for r in a.cycles.collect()], findings=_rows(a.findings.orderBy("kind_ord", "project"), "kind", "project", "summary", "detail"))
+        began = time.time()
+        with assess(self.spark, path) as a:
+            return _timed(began, totals=P.totals(a.projects, a.edges).first().asDict(), projects=_rows(a.projects.orderBy(F.desc("lines"), "name"), "name", "kind", "target_framework", "source_files", "lines"), edges=_rows(a.edges.orderBy("from", "to"), "from", "to"), cycles=[r.cycle for r in a.cycles.collect()], findings=_rows(a.findings.orderBy("kind_ord", "project"), "kind", "project", "summary", "detail"))
 
     def risk(self, path: str, top: int = 20, min_code_lines: int = 100) -> dict:
-        began, a = time.time(), assess(self.spark, path, min_code_lines=min_code_lines)
-        return _timed(began, history=a.history_status, note=a.history_note, ranked=a.risk.count(), entries=[r.asDict(True) for r in a.risk.limit(top).collect()])
+        began = time.time()
+        with assess(self.spark, path, min_code_lines=min_code_lines) as a:
+            return _timed(began, history=a.history_status, note=a.history_note, ranked=a.risk.count(), entries=[r.asDict(True) for r in a.risk.limit(top).collect()])
 
     def modernise(self, path: str) -> dict:
-        began, a = time.time(), assess(self.spark, path)
-        return _timed(began, survey=a.survey.first().asDict(), dead_ends=_rows(packages.dead_ends(a.packages), "id", "versions", "projects"), unknown=_rows(packages.unknown(a.packages), "id", "versions", "projects"), blocked=[r.project for r in a.modernised.where("blocked").orderBy("project").collect()])
+        began = time.time()
+        with assess(self.spark, path) as a:
+            return _timed(began, survey=a.survey.first().asDict(), dead_ends=_rows(packages.dead_ends(a.packages), "id", "versions", "projects"), unknown=_rows(packages.unknown(a.packages), "id", "versions", "projects"), blocked=[r.project for r in a.modernised.where("blocked").orderBy("project").collect()])
 
     def diagram(self, path: str, min_lines: int = 500, include_tests: bool = False, namespace: str | None = None, around: str | None = None) -> str:
         """The projects of a directory, or its types in a namespace or around one of them."""
         if namespace is None and around is None:
-            a = assess(self.spark, path)
-            return mermaid.solution(a.projects, a.edges, min_lines, include_tests)
+            with assess(self.spark, path) as a:
+                return mermaid.solution(a.projects, a.edges, min_lines, include_tests)
         types = csharp.types(with_suffix(self.spark, path, ".cs")).persist()
-        return mermaid.class_diagram(types, typegraph.relations(types), namespace, around)
+        try:
+            return mermaid.class_diagram(types, typegraph.relations(types), namespace, around)
+        finally:
+            types.unpersist()
 
 
 def blocks(text: str) -> list[tuple[str, str]]:
