@@ -407,6 +407,10 @@ def links(rows: DataFrame, num: int, den: int, block_bytes: int) -> tuple[DataFr
     return (out.unionByName(_large(rows, big, many, num, den, True, block_bytes)), False) if many else (out, True)
 
 
+#: Rows of buckets in a task.
+TASK_ROWS = 20_000
+
+
 def plausible(met: DataFrame, about: DataFrame, num: int, den: int, block_bytes: int) -> DataFrame:
     """(a, b) that join the nodes whose bitmaps allow a link, of a stored table of meetings (key, g, node) and of the
     nodes' sizes and bitmaps (node, n, bits). Buckets whose least node is the same come to one task with their nodes'
@@ -415,9 +419,15 @@ def plausible(met: DataFrame, about: DataFrame, num: int, den: int, block_bytes:
     width = about.select(F.col("node").alias("id"), F.col("n"), (F.octet_length("bits") + 32).alias("width"))
     sized = stored(pairs.join(width, "id"), "pairs")
     deals, big, many = _weighed(sized, F.col("width"), block_bytes)
-    deals = max(deals, int(met.count() // 20_000))
+    deals = max(deals, int(met.count() // TASK_ROWS))
     calm = met if not many else met.join(small(big, many, 32), "g", "left_anti")
-    dealt = calm.select(F.pmod(F.xxhash64("g"), F.lit(deals)).alias("deal"), "key", "node")
+    # a least node of very many buckets has them dealt to several tasks, each with the bitmaps that it needs
+    wide = stored(met.groupBy("g").agg((F.floor(F.count(F.lit(1)) / TASK_ROWS) + 1).alias("s")).where("s > 1"), "wide")
+    n_wide = wide.count()
+    part = F.lit(0).cast("long")
+    if n_wide:
+        calm, part = calm.join(small(wide, n_wide, 24), "g", "left"), F.coalesce(F.pmod(F.xxhash64("key"), F.col("s")), F.lit(0))
+    dealt = calm.select(F.pmod(F.xxhash64("g", part), F.lit(deals)).alias("deal"), "key", "node")
     bitmaps = dealt.select(F.col("deal").alias("to"), F.col("node").alias("own")).distinct().join(about, F.col("own") == F.col("node")).select("to", "own", "n", "bits")
     out = dealt.groupBy("deal").cogroup(bitmaps.groupBy("to")).applyInArrow(_plausible(num, den), "a long, b long")
     if many:

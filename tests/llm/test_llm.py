@@ -134,6 +134,7 @@ def test_join_is_exact_with_copies_and_hot_keys(spark, monkeypatch, seed, copies
     """Each near copy has exact copies; keys of four nodes count as hot and groups of 3000 bytes as large."""
     monkeypatch.setattr(jaccard_tree, "HOT_NODES", 4)
     monkeypatch.setattr(jaccard_tree, "HOT_SHARE", 1)
+    monkeypatch.setattr(jaccard_tree, "TASK_ROWS", 20)
     texts = [t for t in near_texts(seed) for _ in range(copies)]
     got = sorted(jaccard_tree.join(corpus(spark, texts), k, num, 100, block_bytes=3000).collect())
     assert [r.component_id for r in got] == brute_components(texts, k, num, 100)[1]
@@ -850,6 +851,62 @@ def test_cotraining(spark):
     assert cotrain.score(empty(spark), cotrain.fit(empty(spark), lab.limit(0))).count() == 0
 
 
+def brute_cotraining(rows, labels, rounds=2, sure=0.95):
+    """Co-training on dense rows in one process: naive Bayes by counting, pseudo-labels by looking at each document."""
+
+    def dense(text, source, lang, n):
+        raw, t, m = (text or "").encode(), np.zeros(cotrain.BUCKETS), np.zeros(cotrain.META)
+        for i in range(len(raw) - 2):
+            t[((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 % 2**32) >> 18] += 1
+        t = np.log1p(t)
+        for tag, x in (("source", source), ("lang", lang)):
+            m[zlib.crc32((f"{tag}={x}" if x is not None else tag).encode()) % (cotrain.META - 80) + 80] += 1
+        m[79 if n is None else int(math.log2(n + 1))] += 1
+        return t / max(np.linalg.norm(t), 1e-9), m
+
+    x = {i: dense(*r) for i, *r in rows}
+    order = sorted((i for i in x if i in labels), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    train = [i for k, i in enumerate(order) if k % 4 != 3]
+    fold = [i for k, i in enumerate(order) if k % 4 == 3]
+    more = [[[], []], [[], []]]  # by view and class, the pseudo-labelled
+    for k in range(rounds + 1):
+        w = []
+        for view, smooth in ((0, 0.01), (1, 1.0)):
+            logs = []
+            for c in (0, 1):
+                own = [i for i in train if labels[i] == c]
+                total = sum(x[i][view] for i in own)
+                if more[view][c]:
+                    total = total + sum(x[i][view] for i in more[view][c]) * min(1, len(own) / len(more[view][c]))
+                logs.append(np.log((total + smooth) / (total + smooth).sum()))
+            w.append(logs[1] - logs[0])
+        z = lambda i, view: float(x[i][view] @ w[view])
+        y = np.array([labels[i] for i in fold])
+        scale = [cotrain.platt(np.array([z(i, v) for i in fold]), y) for v in (0, 1)]
+        odds = lambda i, v: 1 / (1 + math.exp(-(scale[v][0] * z(i, v) + scale[v][1])))
+        if k < rounds:
+            free = [i for i in x if i not in labels]
+            more = [[[i for i in free if odds(i, 1 - v) <= 1 - sure], [i for i in free if odds(i, 1 - v) >= sure]] for v in (0, 1)]
+    return {i: (odds(i, 0), odds(i, 1)) for i in x}, [len(c) for v in more for c in v]
+
+
+def test_cotraining_as_brute_force(spark):
+    rng = np.random.default_rng(51)
+    rows, labels = [], {}
+    for i in range(240):
+        good = bool(rng.random() < 0.6)
+        text = prose(rng, 25, "abcdefgh" if good else "defghijkl")
+        rows.append((i, text, ("a" if good else "b") if rng.random() < 0.9 else None, "en" if i % 7 else None, len(text) if i % 5 else None))
+        if i % 2:
+            labels[i] = int(good)
+    want, pseudo = brute_cotraining(rows, labels)
+    d = spark.createDataFrame([(i, t, la, so, n) for i, t, so, la, n in rows], DOCS).repartition(5)
+    out = cotrain.score(d, cotrain.fit(d, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))).collect()
+    assert sum(n > 0 for n in pseudo) >= 3  # views did exchange
+    for r in out:
+        assert abs(r.text_score - want[r.doc_id][0]) < 1e-4 and abs(r.meta_score - want[r.doc_id][1]) < 1e-6
+
+
 # ---- names
 
 
@@ -915,3 +972,54 @@ def test_pipeline(spark, tmp_path):
     for r in pieces:
         sizes[r.sequence_id] += r.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_pipeline_as_brute_force(spark, tmp_path):
+    """Each filtering stage on a corpus of copies, near copies, repeated runs and benchmark passages, by brute force."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(61)
+    word = lambda n: prose(rng, n, LETTERS["aa"])
+    items = [word(30), word(18)]
+    run = "\n".join(word(14) for _ in range(5))  # 70 words
+    texts = [None, "", "123 456", *(word(int(rng.integers(30, 120))) for _ in range(12))]
+    for i in range(3, 9):
+        w = texts[i].split()
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = word(1)
+        texts.append(" ".join(w))
+    texts += [f"{word(20)}\n{run}\n{word(9)}", f"{run}\n{word(40)}", run, f"{word(30)}\n\n{run}", f"{word(25)} {items[0]}", f"{' '.join(items[1].split()[:15])} {word(30)}", f"{word(10)} {' '.join(items[0].split()[:9])}"]
+    docs = corpus(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    want = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    stages, kept = dict(C.STAGES), docs
+
+    def same(name, want):
+        nonlocal kept
+        kept = spark.createDataFrame(stages[name](spark, kept, str(tmp_path)).collect(), docs.schema)
+        got = {r.doc_id: r.text for r in kept.collect()}
+        assert got == want, name
+        assert all(r.n_chars == len(r.text) for r in kept.collect())
+
+    same("language_id", want)
+    gone = dict(zip(want, brute_lines(list(want.items()), 50), strict=True))
+    cut = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in want.items()}
+    want = {i: t for i, t in cut.items() if not gone[i] or t.strip()}
+    assert sum(map(bool, gone.values())) >= 3 and len(want) < len(cut)
+    same("line_dedup", want)
+    ids = sorted(want)
+    parts = brute_components([want[i] for i in ids], 5, 80, 100)[1]
+    want = {ids[i]: want[ids[i]] for i in sorted(set(parts))}
+    assert len(want) < len(ids)
+    same("near_duplicates", want)
+    ids = sorted(want)
+    hit = {ids[i] for i, _ in brute_overlaps([want[i] for i in ids], items, 13, 0.8)}
+    assert len(hit) >= 2
+    want = {i: t for i, t in want.items() if i not in hit}
+    same("decontaminate", want)
+    pieces = stages["packing"](spark, kept, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(want)
+    whole = {r.doc_id: r.doc_tokens for r in pieces}
+    assert Counter({i: sum(r.length for r in pieces if r.doc_id == i) for i in whole}) == Counter(whole)
