@@ -48,20 +48,26 @@ def _unit(seed: int, *parts: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def _literal(x: object) -> str:
+    """A nested list of numbers as SQL: one expression, however long."""
+    if isinstance(x, list):
+        return f"array({', '.join(map(_literal, x))})" if x else "cast(array() as array<double>)"
+    return f"{x!r}D" if isinstance(x, float) else str(x)
+
+
 def least(nodes: list[Node], key: Column, seed: int) -> Column:
     """The shard of least exponential draw; ties go to the smaller shard."""
-    found = [F.struct((-F.ln(_unit(seed, key, F.lit(n.shard))) / float(n.weight)).alias("draw"), F.lit(n.shard).alias("shard")) for n in nodes]
-    return (found[0] if len(found) == 1 else F.least(*found))["shard"]
+    every = F.arrays_zip(F.expr(_literal([n.shard for n in nodes])).alias("shard"), F.expr(_literal([float(n.weight) for n in nodes])).alias("weight"))
+    return F.array_min(F.transform(every, lambda n: F.struct((-F.ln(_unit(seed, key, n["shard"])) / n["weight"]).alias("draw"), n["shard"].alias("shard"))))["shard"]
 
 
-def _choice(u: Column, children: list[tuple[float, Column]]) -> Column:
-    """The child whose range of (0, 1) holds u; ranges are in proportion to weights."""
-    total, below = sum(w for w, _ in children), 0.0
-    out = None
-    for w, child in children[:-1]:
+def _cuts(weights: list[float]) -> list[float]:
+    """Where the ranges of (0, 1) end that are in proportion to weights, but for the last."""
+    total, below, out = sum(weights), 0.0, []
+    for w in weights[:-1]:
         below += w
-        out = F.when(u < below / total, child) if out is None else out.when(u < below / total, child)
-    return children[-1][1] if out is None else out.otherwise(children[-1][1])
+        out.append(below / total)
+    return out
 
 
 def draw(key: Column, attempt: Column, live: dict[int, float], places: list[Node], seed: int) -> Column:
@@ -69,15 +75,16 @@ def draw(key: Column, attempt: Column, live: dict[int, float], places: list[Node
     tree: dict[str, dict[str, list[Node]]] = {}
     for n in places:
         tree.setdefault(n.region, {}).setdefault(n.rack, []).append(n)
-    u = [_unit(seed, key, attempt, F.lit(level)) for level in range(4)]
-    regions = []
-    for racks in tree.values():
-        inside = []
-        for nodes in racks.values():
-            stay = [F.when(u[3] < live.get(n.shard, 0.0) / n.weight, F.lit(n.shard)) for n in nodes]
-            inside.append((sum(n.weight for n in nodes), _choice(u[2], [(n.weight, s) for n, s in zip(nodes, stay, strict=True)])))
-        regions.append((sum(w for w, _ in inside), _choice(u[1], inside)))
-    return _choice(u[0], regions)
+    racks = [list(r.values()) for r in tree.values()]
+    held = lambda nodes: sum(float(n.weight) for n in nodes)
+    u = lambda level: _unit(seed, key, attempt, F.lit(level))
+    pick = lambda cuts, level: F.size(F.filter(cuts, lambda x: x <= u(level)))
+    region = pick(F.expr(_literal(_cuts([sum(map(held, r)) for r in racks]))), 0)
+    rack = pick(F.get(F.expr(_literal([_cuts([held(nodes) for nodes in r]) for r in racks])), region), 1)
+    place = pick(F.get(F.get(F.expr(_literal([[_cuts([float(n.weight) for n in nodes]) for nodes in r] for r in racks])), region), rack), 2)
+    at = lambda table: F.get(F.get(F.get(F.expr(_literal(table)), region), rack), place)
+    odds = at([[[float(live.get(n.shard, 0.0) / n.weight) for n in nodes] for nodes in r] for r in racks])
+    return F.when(u(3) < odds, at([[[n.shard for n in nodes] for nodes in r] for r in racks]))
 
 
 def descend(key: Column, tree: list[Node], places: list[Node] | None = None, seed: int = 0) -> Column:
