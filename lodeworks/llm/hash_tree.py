@@ -11,7 +11,7 @@ A key that found no place in ``ATTEMPTS`` attempts goes to the shard of least ex
 for each shard, for few keys, with the same law. A new shard whose place is beyond the tree takes of those keys only, so
 the tree should be laid out for the shards to come; a larger tree is a new layout and moves rows.
 
-Only DataFrame functions are used. The single shuffle deals slim rows by (shard, bucket of the key).
+Only DataFrame functions are used. The single shuffle deals slim rows by (shard, bucket of the row).
 """
 
 from __future__ import annotations
@@ -108,11 +108,12 @@ def shard(docs: DataFrame, tree: list[Node], grown: list[Node] | None = None, pl
     """(key, size, text_crc32, law, shard, slot, grown_shard), one row for each row of docs.
 
     size is the text's UTF-8 bytes plus 16; a null text has none and the checksum of no bytes, 0. slot counts a
-    shard's rows from 0 without gaps, by bucket of the key and then by key; rows that repeat a key take slots next to
-    each other. grown_shard is the shard in the tree ``grown``, null without one. ``places`` is the tree that both are
+    shard's rows from 0 without gaps, by bucket of the row and then by key; rows that are equal in key and text take
+    slots next to each other. grown_shard is the shard in the tree ``grown``, null without one. ``places`` is the tree that both are
     laid out in: without it, the larger one of the two. Other columns aren't looked at.
 
-    A shard's rows are numbered in buckets of about ``bucket_rows`` rows; a bucket's first slot is a sum of counts.
+    A shard's rows are numbered in buckets of about ``bucket_rows`` rows; a bucket's first slot is a sum of counts. Key
+    and text deal the buckets, so a key (or null) that many rows share, with texts of their own, is no bucket of its own.
     """
     k, t = F.col(quoted(key)), F.col(quoted(text))
     places = places or max(tree, grown or [], key=len)
@@ -123,9 +124,9 @@ def shard(docs: DataFrame, tree: list[Node], grown: list[Node] | None = None, pl
         (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         descend(k, tree, places, seed).alias("shard"),
-        F.pmod(F.xxhash64(k, F.lit(seed + 1)), F.lit(buckets)).alias("bucket"),
         (descend(k, grown, places, seed) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
+    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("k", "size", "text_crc32", F.lit(seed + 1)), F.lit(buckets)))
     slim = stored(slim, "sharded")
     counts = slim.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

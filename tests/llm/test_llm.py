@@ -472,6 +472,19 @@ def test_sharding_odd_rows(spark):
     assert hash_tree.shard(d, hash_tree.layout(3)).count() == d.count() and hash_tree.shard(empty(spark), hash_tree.layout(3)).count() == 0
 
 
+def test_sharding_hot_key(spark):
+    texts = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 20 + [(i, "same") for i in range(600)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = hash_tree.shard(d, hash_tree.layout(5), bucket_rows=16).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(k) for k, _ in texts)
+    for n in range(5):
+        own = sorted(r.slot for r in rows if r["shard"] == n)
+        assert own == list(range(len(own)))
+    assert len({r["shard"] for r in rows if r.doc_id is None}) == 1
+    sevens = sorted(r.slot for r in rows if r.doc_id == 7 and r["size"] == 20)
+    assert len(sevens) == 21 and sevens == list(range(sevens[0], sevens[0] + 21))
+
+
 # ---- 9: language ID
 
 
