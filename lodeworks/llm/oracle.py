@@ -53,3 +53,43 @@ links AS (SELECT a, b FROM meets WHERE 100 * c >= 90 * (na + nb - c)),
 sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, s.b FROM reach r JOIN sides s ON s.a = r.root)
 SELECT s.doc_id, coalesce(len(s.s), 0) AS n_shingles, min(root) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY ALL"""
+
+# All phrases of one to five words of each piece, counted by language; the cut of least score, the longer candidates
+# that hold a phrase, the first 2000.
+OP11 = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts
+), runs AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces
+), starts AS (
+  SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM runs WHERE len(ws) > 0
+), grams AS (
+  SELECT lang, m, ws[i : i + m - 1] AS g FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS m) AS sizes WHERE i + m - 1 <= len(ws)
+), f AS (
+  SELECT lang, m, g, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM f WHERE m >= 2 AND a >= 100
+), cuts AS (
+  SELECT c.lang, c.m, c.g, c.a, k, n, unnest([x.a]) AS l, y.a AS r, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM candidates) AS c JOIN totals USING (lang)
+  JOIN f AS x ON x.lang = c.lang AND x.m = k AND x.g = c.g[1 : k]
+  JOIN f AS y ON y.lang = c.lang AND y.m = c.m - k AND y.g = c.g[k + 1 : c.m]
+), least AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, a, m, g, unnest(generate_series(1, m)) AS i FROM candidates
+), inside AS (
+  SELECT DISTINCT p.lang, p.g[i : i + s - 1] AS g, max(p.a) AS longer
+  FROM parts AS p, (SELECT unnest([2, 3, 4]) AS s) AS sizes WHERE s < p.m AND i + s - 1 <= p.m GROUP BY ALL
+), best AS (
+  SELECT lang, g, max(longer) AS longer FROM inside GROUP BY ALL
+), kept AS (
+  SELECT least.*, array_to_string(g, ' ') AS phrase FROM least LEFT JOIN best USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
