@@ -1,4 +1,4 @@
-"""Training-data operators: ten operators over document, vector and conversation tables.
+"""Training-data operators: thirteen operators over document, vector and conversation tables.
 
 Nothing else in the library imports this subpackage.
 """

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin wrappers that apply each to its whole table."""
+"""The registered queries of the operators: thin wrappers that apply each to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import additive_ann, centroid_lid, cotrain, hash_tree, jaccard_tree, license_scan, line_dedup, oracle, packing, preference, spaced_seed
+from lodeworks.llm import additive_ann, alignment, centroid_lid, cotrain, hash_tree, jaccard_tree, license_scan, line_dedup, oracle, packing, pair_naming, preference, spaced_seed, squares_packing
 from lodeworks.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,18 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return spaced_seed.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_naming.collocations(table(spark, sf_dir, "documents")).drop("cut")
+
+
+def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return squares_packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op13_event_sweep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -90,8 +102,11 @@ def queries() -> dict[str, Query]:
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
         "op9_centroid_language_id": op9_centroid_language_id,
         "op5_signature_tree_join": op5_signature_tree_join,
+        "op11_pair_naming": op11_pair_naming,
+        "op12_sum_of_squares_packing": op12_sum_of_squares_packing,
+        "op13_event_sweep_alignment": op13_event_sweep_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": oracle.OP1, "op5_signature_tree_join": oracle.OP5, "op7_preference_pairs": oracle.OP7}
+    return {"op1_license_scan": oracle.OP1, "op5_signature_tree_join": oracle.OP5, "op7_preference_pairs": oracle.OP7, "op11_pair_naming": oracle.OP11}
