@@ -43,12 +43,24 @@ CACHES.append(_STATE)
 
 
 def muldiv(a: np.ndarray, b: int, c: int) -> np.ndarray:
-    """floor(a b / c) for 0 <= a <= c without overflow, for c up to 2**46."""
+    """floor(a b / c) for 0 <= a <= c without overflow, as long as the result fits, for c below 2**61."""
+    return _muldivmod(a, b, c)[0]
+
+
+def _muldivmod(a: np.ndarray, b: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """(quotient, rest) of a b / c by long division: a in digits that leave the rest times a digit in 63 bits."""
     a = np.asarray(a, np.int64)
-    whole, rest = divmod(int(b), int(c))
-    high, low = a >> 16, a & 0xFFFF
-    q1, r1 = np.divmod(rest * high, c)
-    return a * whole + (q1 << 16) + (r1 * 65536 + rest * low) // c
+    whole, part = divmod(int(b), int(c))
+    bits = min(62 - int(c).bit_length(), 31)
+    if bits < 1:
+        raise ValueError("for c below 2**61")
+    digits = -(-int(a.max(initial=0)).bit_length() // bits)
+    q, r = np.zeros_like(a), np.zeros_like(a)
+    for k in range(digits - 1, -1, -1):
+        r = (r << bits) + part * ((a >> bits * k) & ((1 << bits) - 1))
+        up, r = np.divmod(r, c)
+        q = (q << bits) + up
+    return a * whole + q, r
 
 
 class Schedule:
@@ -68,9 +80,8 @@ class Schedule:
     def round_of(self, s: int, block: np.ndarray) -> np.ndarray:
         """The round that serves a quantum: the least w with floor(B (w+1) / W) > block."""
         b = int(self.quanta[s])
-        down = muldiv(block + 1, self.rounds, b)
-        exact = muldiv_rest(block + 1, self.rounds, b) == 0
-        return down - exact
+        down, rest = _muldivmod(block + 1, self.rounds, b)
+        return down - (rest == 0)
 
     def place(self, s: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Global positions of tokens at ``start`` of queues s."""
@@ -103,14 +114,6 @@ class Schedule:
         return np.where(last, full + k, seq), np.where(last, off - edges[k], off), np.where(last, upper - off, room)
 
 
-def muldiv_rest(a: np.ndarray, b: int, c: int) -> np.ndarray:
-    """a b mod c, for 0 <= a <= c."""
-    a = np.asarray(a, np.int64)
-    rest = int(b) % int(c)
-    high, low = a >> 16, a & 0xFFFF
-    return ((rest * high) % c * 65536 + rest * low) % c
-
-
 class Phases:
     """Queues with target shares: a phase ends when a queue runs out, and each phase is a Schedule of its own."""
 
@@ -229,7 +232,7 @@ def _encoder(path: str) -> dict:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _STATE.update(path=path, tokenizer=t, model=t.model, words=works_on_words(t), chars=_byte_chars(), cache={})
+        _STATE.update(path=path, tokenizer=t, model=t.model, words=works_on_words(t), chars=_byte_chars(), cache={}, ends={})
         tidy(_STATE)
     return _STATE
 
@@ -238,7 +241,8 @@ def token_ids(col: pa.Array, path: str, end_id: int, cache_words: int = CACHE_WO
     """(ids, offsets) of whole texts, each ended by end_id; null is empty.
 
     The tokenizer drops white space and none of its patterns looks across it; nor does one look from a letter or
-    digit to the ASCII punctuation that ends a word, and it lower-cases. So each text is taken as words between ASCII
+    digit to the ASCII punctuation that ends a word, as long as the letter still is one when it is normalized (a few
+    become a letter and a mark, and marks go with punctuation), and it lower-cases. So each text is taken as words between ASCII
     white space, each word as a stem and the punctuation at its end, and each distinct lower-cased stem is tokenized
     once for a slice; the ids, joined, are those of the text. Words with < or > are left whole for special tokens.
     A tokenizer of another kind gets whole texts.
@@ -251,7 +255,7 @@ def token_ids(col: pa.Array, path: str, end_id: int, cache_words: int = CACHE_WO
     coded = lists.flatten().dictionary_encode()
     names = coded.dictionary
     stem = pc.utf8_rtrim(names, characters="!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
-    splits = pc.and_(pc.match_substring_regex(stem, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring_regex(names, "[<>]")))
+    splits = pc.and_(_ends_in_letter(stem), pc.invert(pc.match_substring_regex(names, "[<>]")))
     stem = pc.if_else(splits, pc.ascii_lower(stem), names)
     tail = _tails(names, stem, splits)
     stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
@@ -274,6 +278,18 @@ def token_ids(col: pa.Array, path: str, end_id: int, cache_words: int = CACHE_WO
     return out, off
 
 
+def _ends_in_letter(stem: pa.Array) -> pa.Array:
+    """Is the punctuation behind each stem a word of its own? Asked of the tokenizer, once for each last character."""
+    last = pc.utf8_slice_codeunits(stem, -1).dictionary_encode()
+    known, tokenizer = _STATE["ends"], _STATE["tokenizer"]
+    for c in last.dictionary.to_pylist():
+        if c not in known:
+            seen = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(f"{c}!"))
+            known[c] = len(seen) > 1 and seen[-1][0] == "!"
+    alone = pa.array([known[c] for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+    return pc.and_(alone, pc.match_substring_regex(stem, r"[\p{L}\p{N}]$"))
+
+
 def _tails(names: pa.Array, stem: pa.Array, splits: pa.Array) -> pa.Array:
     """What follows the stem of each name that splits, else nothing."""
     raw, off = string_bytes(names)
