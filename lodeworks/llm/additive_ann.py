@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is coded as a sum of one codeword from each of several full-dimensional codebooks. Codebooks are fitted one
+A vector's direction is coded as a sum of one codeword from each of several full-dimensional codebooks; its norm, of any
+finite size, goes to the stored scale. Codebooks are fitted one
 after the other on the residuals of a bounded sample (``train_rows``, least hash first) and then refitted in turn,
 given the others; encoding keeps the best ``beam`` partial sums. The index holds every vector: its codes and the norm of
-vector over norm of sum. A query scores codes by lookup tables of its inner products with the codewords, scaled by the
+the vector over the norm of the sum. A query scores codes by lookup tables of its inner products with the codewords, scaled by the
 stored norms, and the ``shortlist`` best of each tile of the index are ranked again on the original vectors.
 
 The index is dealt to lists of about ``list_rows`` vectors by nearest coarse centroid. A query goes to the lists whose
 centroids it has the largest inner products with. How many lists that is, is measured: ``probe_queries`` queries, those of
 least hash, go to all lists, and all others then go to as many as hold ``probe_recall`` of what those found. Where vectors
 have no clusters, that is nearly all lists; where they have, the work grows far less than with the square of the rows.
+There are at most an eighth as many lists as sampled vectors (1,536 by default): beyond 25 million vectors lists grow.
 
 Lists are cut into tiles of at most ``tile_rows`` vectors and ``query_rows`` queries: a tile is what a task holds. Queries
 and vectors meet there by a shuffle, so nothing that grows with the input passes through the driver or is broadcast.
@@ -114,6 +116,16 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors in single precision, norms in double) of vectors that aren't zero, whatever their size."""
+    most = np.abs(x).max(1, initial=0)
+    part = x / np.where(most > 0, most, 1)[:, None]
+    size = np.maximum(np.linalg.norm(part, axis=1), 1e-300)
+    with np.errstate(over="ignore"):
+        norm = np.minimum(most * size, np.finfo(np.float64).max)
+    return (part / size[:, None]).astype(np.float32), norm
+
+
 def coarse(x: np.ndarray, lists: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
     """Centroids of the lists: k-means by direction on a sample."""
     rng = np.random.default_rng(seed)
@@ -136,10 +148,12 @@ def _coded(shared, beam: int, dims: int):
             for at in range(0, len(batch), _ROWS):
                 part = batch.slice(at, _ROWS)
                 x = _matrix(part.column(1), dims)
-                codes = books.encode(x.astype(np.float32), beam)
+                unit, norm = directions(x)
+                codes = books.encode(unit, beam)
                 sums = np.linalg.norm(books.decode(codes), axis=1)
-                scale = np.linalg.norm(x, axis=1) / np.maximum(sums, 1e-12)
-                own = (x.astype(np.float32) @ centres.T).argmax(1)
+                with np.errstate(over="ignore"):
+                    scale = np.minimum(norm / np.maximum(sums, 1e-12), np.finfo(np.float64).max)
+                own = (unit @ centres.T).argmax(1)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes.astype("<u2")], pa.binary()), pa.array(scale, pa.float64()), pa.array(own.astype(np.int32))], ["id", "vector", "codes", "scale", "list"])
 
     return run
@@ -153,7 +167,7 @@ def _probes(shared, dims: int, probes: int):
         for batch in batches:
             for at in range(0, len(batch), _ROWS):
                 part = batch.slice(at, _ROWS)
-                near = np.argsort(-(_matrix(part.column(1), dims).astype(np.float32) @ centres.T), 1, kind="stable")[:, :probes]
+                near = np.argsort(-(directions(_matrix(part.column(1), dims))[0] @ centres.T), 1, kind="stable")[:, :probes]
                 own = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
                 yield pa.record_batch([part.column(0).take(own), part.column(1).take(own), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(part)))], ["id", "vector", "list", "probe"])
 
@@ -173,16 +187,17 @@ def _tile(shared, dims: int, k: int, shortlist: int, share: float):
             return none
         ids, x = rows.column("id").to_numpy(), _matrix(rows.column("vector").combine_chunks(), dims)
         columns = np.ascontiguousarray(np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2").reshape(-1, len(words)).T)
-        scale = rows.column("scale").to_numpy().astype(np.float32)
+        scale = rows.column("scale").to_numpy()
         qid, q, probe = queries.column("id").to_numpy(), _matrix(queries.column("vector").combine_chunks(), dims), queries.column("probe").to_numpy()
+        unit = directions(q)[0]
         few = min(max(shortlist, int(share * len(ids))), len(ids))
         found = []
         for i in range(len(q)):
-            table = (first @ q[i].astype(np.float32)).reshape(len(words), -1)
+            table = (first @ unit[i]).reshape(len(words), -1)
             s = table[0][columns[0]]
             for j in range(1, len(words)):
                 s += table[j][columns[j]]
-            s *= scale
+            s = s * scale
             near = np.argpartition(-s, few - 1)[:few] if few < len(s) else np.arange(len(s))
             exact = x[near] @ q[i]
             best = np.lexsort((ids[near], -exact))[:k]
@@ -220,9 +235,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     classes = heads.where("r = 1").select("id", "vector")
     many = classes.count()
     drawn_share = min(1.0, 1.3 * train_rows / max(many, 1))
-    drawn = classes.select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "id", F.col("vector").cast("array<float>").alias("v")).where(F.col("h") <= int(drawn_share * (1 << 30)))
+    drawn = classes.select(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "id", "vector", F.array_max(F.transform("vector", F.abs)).alias("most")).where(F.col("h") <= int(drawn_share * (1 << 30)))
+    drawn = drawn.select("h", "id", F.transform("vector", lambda x: x / F.col("most")).cast("array<float>").alias("v"))
     sample = sorted((r.h, r.id, r.v) for r in drawn.collect())[:train_rows]
-    sample = np.array([x[2] for x in sample], np.float32)
+    sample = directions(np.array([x[2] for x in sample], np.float64).reshape(len(sample), dims))[0]
     lists = max(1, min(most_lists, many // list_rows, len(sample) // 8))
     model = spark.sparkContext.broadcast((train(sample, books, words), coarse(sample, lists)))
     index = stored(classes.mapInArrow(_coded(model, beam, dims), "id long, vector array<double>, codes binary, scale double, list int"), "index")
