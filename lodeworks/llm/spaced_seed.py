@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a hash of the words at a mask's fixed positions in a window; words at the other positions may differ. The
-seeds of the benchmark's windows are a table, those of the documents' windows another, and the two are joined. Each hit
-names a diagonal of an item and a document; the words of both are compared along it and the overlap is grown while at
-least ``match`` of its words agree. It counts from ``least`` equal words (or the whole item, if shorter: all words of
+distinct seeds of the benchmark's items are a table, those of the documents another, and the two are joined. Where a
+document meets an item, each hit of equal seeds names a diagonal of the two; the words of both are compared along it and
+the overlap is grown while at least ``match`` of its words agree. It counts from ``least`` equal words (or the whole item, if shorter: all words of
 such an item must agree).
 
 No overlap goes unseen. One of at least 13 equal words and 80 % has a stretch of at most 33 words that is one too, as
@@ -11,9 +11,11 @@ one half of a longer one would do, and every placing of unequal words in such a
 equal (the tests go through all of them). For a lower ``least`` or ``match``, the run of equal words that must be there
 by pigeonhole is a further mask.
 
-Of the documents' seeds only those leave their task that a bitmap of the benchmark's seeds lets through. It has a fixed
-size, so a larger benchmark lets more through to the join and nothing else changes. Of the texts, only the words on a
-hit's diagonal are sent to be compared, as many as the item has.
+Of the documents' seeds only those leave their task that a bitmap of the benchmark's seeds lets through. It has 16 bits a
+seed up to a million seeds and no more after that, so a larger benchmark lets more through to the join (a fifth of all
+seeds at four million, two thirds at 16 million) and nothing else changes. Items' words go to the documents that they
+meet, a megabyte of them a row. A seed that repeats in a document or an item is one row of either, and windows of a
+document that are equal word for word are compared once: the work is linear in texts of one word repeated.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.shared import quoted, small, stored, unused
-from lodeworks.llm.textops import BYTE_VALUES, LOWER, pieces, tidy, window_hashes, words
+from lodeworks.llm.textops import BYTE_VALUES, LOWER, pieces, powers, tidy, window_hashes, words
 
 #: Fixed masks, as offsets of the words that must agree; together they meet every overlap of 13 equal words and 80 %.
 MASKS = (
@@ -35,6 +37,8 @@ MASKS = (
     (0, 1, 2, 4, 6, 7),
     (0, 1, 3, 7, 10, 11),
 )
+#: Bytes of items that meet a text in one row.
+GROUP_BYTES = 1 << 20
 #: Most bits of the bitmap of the benchmark's seeds, as a power of two: 2 MB.
 MOST_BITS = 24
 
@@ -101,14 +105,14 @@ def _item_seeds(masks: list[tuple[int, ...]], common: int):
                 h = np.frombuffer(packed, np.uint64)
                 for j, m in enumerate(masks):
                     if j < common or len(h) == len(m):
-                        seeds = window_hashes(h, m)
-                        yield pa.record_batch([pa.array(np.full(len(seeds), iid)), pa.array(np.full(len(seeds), j, np.int32)), pa.array(seeds.view(np.int64)), pa.array(np.arange(len(seeds)))], ["iid", "m", "seed", "at"])
+                        seeds = np.unique(window_hashes(h, m))
+                        yield pa.record_batch([pa.array(np.full(len(seeds), iid)), pa.array(np.full(len(seeds), j, np.int32)), pa.array(seeds.view(np.int64))], ["iid", "m", "seed"])
 
     return run
 
 
 def _doc_seeds(shared, masks: list[tuple[int, ...]]):
-    """Seeds of all windows of whole texts that the bitmap lets through."""
+    """Distinct seeds of whole texts that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(shared.value, bitorder="little").view(bool)
@@ -121,45 +125,97 @@ def _doc_seeds(shared, masks: list[tuple[int, ...]]):
                     hit = np.flatnonzero(flags[(every >> shift).astype(np.int64)]) if len(every) else np.zeros(0, np.int64)
                     doc = np.searchsorted(at, hit, "right") - 1
                     inside = hit + m[-1] < at[doc + 1]  # windows don't go over the end of a text
-                    hit, doc = hit[inside], doc[inside]
-                    for x in range(0, len(hit), 1 << 16):
-                        p, d = hit[x : x + (1 << 16)], doc[x : x + (1 << 16)]
-                        own = pa.array(d + a)
-                        yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.full(len(p), j, np.int32)), pa.array(every[p].view(np.int64)), pa.array(p - at[d])], ["key", "uid", "m", "seed", "p"])
+                    seed, doc = every[hit[inside]], doc[inside]
+                    order = np.lexsort((seed, doc))
+                    seed, doc = seed[order], doc[order]
+                    new = np.ones(len(seed), bool)
+                    new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
+                    seed, doc = seed[new], doc[new]
+                    for x in range(0, len(seed), 1 << 16):
+                        part, own = seed[x : x + (1 << 16)], pa.array(doc[x : x + (1 << 16)] + a)
+                        yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.full(len(part), j, np.int32)), pa.array(part.view(np.int64))], ["key", "uid", "m", "seed"])
         tidy()
 
     return run
 
 
-def _diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text and each of its diagonals (iid, d, n): the text's words beside the item's."""
-    for batch in batches:
-        lists = batch.column(3)
-        for a, b, raw, off in pieces(batch.column(2)):
-            h, at = words(raw, off, _VALUES, _WORDY)
-            for i in range(b - a):
-                own = h[at[i] : at[i + 1]]
-                wanted = lists[a + i].as_py()
-                for x in range(0, len(wanted), 1024):
-                    part = wanted[x : x + 1024]
-                    first = [max(0, -w["d"]) for w in part]
-                    cut = [own[w["d"] + f : max(w["d"] + w["n"], 0)].tobytes() for w, f in zip(part, first, strict=True)]
-                    same = pa.array([a + i] * len(part))
-                    yield pa.record_batch([batch.column(0).take(same), batch.column(1).take(same), pa.array([w["iid"] for w in part], pa.int64()), pa.array([w["d"] for w in part], pa.int64()), pa.array(first, pa.int64()), pa.array(cut, pa.binary())], ["key", "uid", "iid", "d", "first", "beside"])
-    tidy()
-
+#: Hits of a text and an item that are laid out one by one; with more, all diagonals are looked at.
+MOST_HITS = 1 << 22
+
+
+class _Text:
+    """A text's words, and its seeds in order for each mask."""
+
+    def __init__(self, own: np.ndarray, masks: list[tuple[int, ...]]):
+        self.words = own
+        self.seeds = []
+        for m in masks:
+            every = window_hashes(own, m)
+            order = np.argsort(every, kind="stable")
+            self.seeds.append((every[order], order))
+        self.sums: np.ndarray | None = None
+
+    def diagonals(self, item: np.ndarray, masks: list[tuple[int, ...]], common: int) -> np.ndarray:
+        """The diagonals that hold a hit, each a place of the item's first word in the text.
+
+        Where windows of the text as long as the item are equal word for word, the first stands for all: the others'
+        overlaps are the same ones further on. So a text of one word, or of a few in turn, has few diagonals.
+        """
+        n, found, hits = len(item), [], 0
+        for j, m in enumerate(masks):
+            if j < common or n == len(m):
+                seeds, order = self.seeds[j]
+                own = window_hashes(item, m)
+                lo, hi = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
+                hits += int((hi - lo).sum())
+                found.append((lo, hi - lo, order))
+        if hits > MOST_HITS:
+            d = np.arange(1 - n, len(self.words))
+        else:
+            d = np.unique(np.concatenate([order[np.repeat(lo - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())] - np.repeat(np.arange(len(k)), k) for lo, k, order in found if len(k)] or [np.zeros(0, np.int64)]))
+        if len(d) <= 16:
+            return d
+        inside = (d >= 0) & (d + n <= len(self.words))
+        x = d[inside]
+        up, down = powers(len(self.words) + 1)
+        with np.errstate(over="ignore"):
+            if self.sums is None:
+                self.sums = np.zeros(len(self.words) + 1, np.uint64)
+                np.cumsum(self.words * up[: len(self.words)], out=self.sums[1:])
+            _, first = np.unique((self.sums[x + n] - self.sums[x]) * down[x], return_index=True)
+        return np.r_[d[~inside], x[first]]
+
+
+def best_overlap(text: _Text, item: np.ndarray, masks: list[tuple[int, ...]], common: int, least: int, match: float) -> tuple[int, int, int, int] | None:
+    """(equal words, first word in the text, first word in the item, length) of the best overlap of a text and an item."""
+    best = None
+    for d in text.diagonals(item, masks, common).tolist():
+        first = max(0, -d)
+        if found := grown(item, first, text.words[d + first : max(d + len(item), 0)], least, match):
+            mine = (found[0], -(found[1] + d), -found[1], found[2])
+            best = mine if best is None or mine > best else best
+    return best and (best[0], -best[1], -best[2], best[3])
+
+
+def _verified(masks: list[tuple[int, ...]], common: int, least: int, match: float):
+    """Of each text and each of its items (iid, words): the best overlap."""
 
-def _verified(least: int, match: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(3)
             rows, at = [], []
-            for i, (d, first, beside, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), strict=True)):
-                if found := grown(np.frombuffer(item, np.uint64), first, np.frombuffer(beside, np.uint64), least, match):
-                    rows.append((found[0], found[1] + d, found[1], found[2]))
-                    at.append(i)
+            for a, b, raw, off in pieces(batch.column(2)):
+                h, ends = words(raw, off, _VALUES, _WORDY)
+                for i in range(b - a):
+                    text = _Text(h[ends[i] : ends[i + 1]], masks)
+                    for x in lists[a + i].as_py():
+                        if found := best_overlap(text, np.frombuffer(x["words"], np.uint64), masks, common, least, match):
+                            rows.append((x["iid"], *found))
+                            at.append(a + i)
             own = pa.array(at, pa.int64())
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.record_batch([*(batch.column(c).take(own) for c in range(3)), *(pa.array(c, pa.int64()) for c in cols)], ["key", "uid", "iid", "matches", "doc_word", "item_word", "length"])
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c, pa.int64()) for c in cols)], ["key", "uid", "iid", "matches", "doc_word", "item_word", "length"])
+        tidy()
 
     return run
 
@@ -186,21 +242,22 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, least: int, match: float, k
     span = max(m[-1] + 1 for m in MASKS)
     short = [r.n for r in items.where(F.col("n") < max(span, least)).select("n").distinct().collect()]
     masks, common = masks_for(short, least, match)
-    seeds = stored(items.select("iid", "words").mapInArrow(_item_seeds(masks, common), "iid long, m int, seed long, at long"), "seeds")
+    seeds = stored(items.select("iid", "words").mapInArrow(_item_seeds(masks, common), "iid long, m int, seed long"), "seeds")
     many, (count, width) = seeds.count(), items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()
     flags = spark.sparkContext.broadcast(_bitmap(seeds, many))
-    hits = slim.mapInArrow(_doc_seeds(flags, masks), f"key {kind}, uid long, m int, seed long, p long")
-    met = hits.join(small(seeds, many, 40), ["m", "seed"]).select("key", "uid", "iid", (F.col("p") - F.col("at")).alias("d")).distinct()
-    met = stored(met, "met")
-    sized = met.join(small(items.select("iid", "n"), count, 32), "iid")
-    by_doc = sized.groupBy("key", "uid").agg(F.collect_list(F.struct("iid", "d", "n")).alias("diagonals"))
+    hits = slim.mapInArrow(_doc_seeds(flags, masks), f"key {kind}, uid long, m int, seed long")
+    met = stored(hits.join(small(seeds, many, 32), ["m", "seed"]).select("key", "uid", "iid").distinct(), "met")
+    # a row for each megabyte of a document's items
+    part = F.floor(F.sum(F.octet_length("words") + 64).over(Window.partitionBy("key", "uid").orderBy("iid")) / GROUP_BYTES)
+    with_words = met.join(small(items.select("iid", "words"), 1, width), "iid").select("key", "uid", part.alias("part"), "iid", "words")
+    by_doc = with_words.groupBy("key", "uid", "part").agg(F.collect_list(F.struct("iid", "words")).alias("items"))
+    by_doc = by_doc.withColumn("lead", F.row_number().over(Window.partitionBy("key", "uid").orderBy("part")) == 1)
     by_doc = stored(by_doc.withColumnRenamed("key", "own").withColumnRenamed("uid", "own_uid"), "diagonals")
-    few, bytes_ = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("diagonals") * 40 + 64), F.lit(0))).first()
-    texts = stored(slim.join(small(by_doc, 1, bytes_), (F.col("uid") == F.col("own_uid")) & F.col("key").eqNullSafe(F.col("own"))).select("key", "uid", "text", "diagonals"), "hits")
-    rows = texts.groupBy(F.col("key").alias("own"), F.col("uid").alias("own_uid")).agg(F.count(F.lit(1)).alias("rows"))
-    beside = texts.mapInArrow(_diagonals, f"key {kind}, uid long, iid long, d long, first long, beside binary")
-    pairs = beside.join(small(items.select(F.col("iid").alias("other"), "words"), 1, width), F.col("iid") == F.col("other")).select("key", "uid", "iid", "d", "first", "beside", "words")
-    found = pairs.mapInArrow(_verified(least, match), f"key {kind}, uid long, iid long, matches long, doc_word long, item_word long, length long")
+    few, bytes_ = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("items", F.lit(64).cast("long"), lambda n, x: n + 64 + F.octet_length(x["words"]))), F.lit(0))).first()
+    texts = stored(slim.join(small(by_doc, 1, bytes_), (F.col("uid") == F.col("own_uid")) & F.col("key").eqNullSafe(F.col("own"))).select("key", "uid", "text", "items", "lead"), "hits")
+    rows = texts.where("lead").groupBy(F.col("key").alias("own"), F.col("uid").alias("own_uid")).agg(F.count(F.lit(1)).alias("rows"))
+    once = texts.select("key", "uid", "text", "items")
+    found = once.mapInArrow(_verified(masks, common, least, match), f"key {kind}, uid long, iid long, matches long, doc_word long, item_word long, length long")
     found = found.join(small(items.select("iid", "item"), count, 64), "iid")
     best = found.groupBy("key", "uid", "item").agg(F.max(F.struct("matches", (-F.col("doc_word")).alias("a"), (-F.col("item_word")).alias("b"), "length")).alias("x"))
     best = best.join(small(rows, few, 48), (F.col("uid") == F.col("own_uid")) & F.col("key").eqNullSafe(F.col("own")))
