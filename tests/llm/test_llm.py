@@ -386,7 +386,7 @@ def test_muldiv_beyond_64_bits():
     a = np.array([0, 1, 7 * 10**10, 15 * 10**10])
     for b, c in ((5 * 10**9, 15 * 10**10), (10**13, 15 * 10**10)):
         assert packing.muldiv(a, b, c).tolist() == [int(x) * b // c for x in a]
-        assert packing.muldiv_rest(a, b, c).tolist() == [int(x) * b % c for x in a]
+        assert packing._muldivmod(a, b, c)[1].tolist() == [int(x) * b % c for x in a]
 
 
 def test_packing_odd_rows_and_many_queues(spark):
