@@ -23,7 +23,7 @@ from lodeworks.llm.shared import forget, quoted, small, stored
 from lodeworks.llm.textops import LOWER, string_bytes, tidy, word_marks
 
 #: Bytes of text of a chunk, and those that a worker holds for all languages.
-CHUNK, HELD = 8 << 20, 24 << 20
+CHUNK, HELD = 24 << 20, 40 << 20
 # What ends a piece, what ends a word.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 IS_WORD = np.ones(256, bool)
@@ -115,8 +115,8 @@ def _pairs(tokens: pa.Table, names: pa.Table) -> pa.Table:
 def counted(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "text", lang: str = "lang", chunk_bytes: int = CHUNK) -> tuple[list[DataFrame], DataFrame]:
     """The frequent n-grams by length, and the words of each language (lang, n).
 
-    Table k has (id, lang, words, a; left, right: ids of its first and its last k-1 words), k from 1. Null texts are
-    empty, a null language is ``und``. The tables are stored; ``forget`` deletes them.
+    Table 1 has (id, lang, word, a), table k (id, left, right, a): left and right are the ids of its first and its last
+    k-1 words. Null texts are empty, a null language is ``und``. The tables are stored; ``forget`` deletes them.
     """
     slim = docs.select(F.coalesce(F.col(quoted(lang)).cast("string"), F.lit("und")).alias("lang"), F.col(quoted(text)).alias("text")).where(F.length("text") > 0)
     state = stored(slim.mapInArrow(_words(chunk_bytes, max(HELD, chunk_bytes)), _DICTIONARY.format("word string, ")), "words")
@@ -126,7 +126,7 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "te
     for k in range(1, longest + 1):
         key = ["lang", "word"] if k == 1 else ["left", "right"]
         rows = state.where("code >= 0")
-        often = rows.groupBy(*key).agg(F.sum("n").alias("a"), *([F.min("lang").alias("lang")] if k > 1 else [])).where(F.col("a") >= least)
+        often = rows.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         often = stored(often.withColumn("id", F.monotonically_increasing_id() + (k << 56)), f"grams{k}")
         grams.append(often)
         many = often.count()
@@ -155,7 +155,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
     """
     grams, totals = counted(docs, least, longest, text, lang, chunk_bytes)
     none = F.array().cast("array<long>")
-    below = grams[0].select("id", F.array("word").alias("words"), F.array("a").alias("first"), F.array("a").alias("last"), none.alias("inside"))
+    below = grams[0].select("id", "lang", F.array("word").alias("words"), F.array("a").alias("first"), F.array("a").alias("last"), none.alias("inside"))
     levels = []
     for k, g in enumerate(grams[1:], 2):
         side = lambda s: below.select(*[F.col(c).alias(f"{s}_{c}") for c in below.columns])  # noqa: E731, B023
@@ -163,7 +163,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
         inside = F.array_distinct(F.concat(F.array("left", "right"), "l_inside", "r_inside")) if k > 2 else none
         below = stored(
             both.select(
-                "id", "lang", "a", F.concat("l_words", F.slice("r_words", k - 1, 1)).alias("words"), F.concat("l_first", F.array("a")).alias("first"), F.concat("r_last", F.array("a")).alias("last"), inside.alias("inside"),
+                "id", F.col("l_lang").alias("lang"), "a", F.concat("l_words", F.slice("r_words", k - 1, 1)).alias("words"), F.concat("l_first", F.array("a")).alias("first"), F.concat("r_last", F.array("a")).alias("last"), inside.alias("inside"),
             ),
             f"phrases{k}",
         )
