@@ -6,7 +6,6 @@ part for projects, lineitem for references, customer for types, pages for config
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
 from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, packages, projects, retrieval, risk, typegraph
 from lodeworks.plans import assess, ingest, mermaid
-from lodeworks.shipping import work_folder
+from lodeworks.shipping import scratch
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
 from lodeworks.sources.snapshots import Index, TextIndex
@@ -98,7 +97,7 @@ def text_index(spark: SparkSession, d: str) -> TextIndex:
     source = f"{d}/documents.parquet"
     key = (source, TextIndex.stamp(spark, source))
     if key not in made:
-        made[key] = TextIndex(spark, f"{work_folder(spark)}/lodeworks/text-{uuid.uuid4().hex}").write(texts(spark, d))
+        made[key] = TextIndex(spark, scratch(spark, "text")).write(texts(spark, d))
     return made[key]
 
 
@@ -318,17 +317,57 @@ def chunk_documents(spark, d):
 FROM documents d LEFT JOIN cut ON file_path = d.source || '/' || d.lang || '/' || d.doc_id GROUP BY d.source, d.lang, d.doc_id""")
 def ingest_ledger(spark, d):
     """What an index holds after a run over all files and another over the same."""
-    index = Index(spark, f"{work_folder(spark)}/lodeworks/index-{uuid.uuid4().hex}")
+    index = Index(spark, scratch(spark, "index"))
     for _ in range(2):
         ingest.ingest_files(braced_files(spark, d).select("path", "content"), index, HashEmbedder(16))
     chunks = index.table("chunks").where(F.size("embedding") == 16).groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     return index.table("ledger").join(chunks, "path", "left").where(F.coalesce("n", F.lit(0)) == F.col("chunk_count")).select("path", "content_hash", "chunk_count")
 
 
+SQL_LINES = """final AS (SELECT source || '/' || lang || '/' || doc_id AS path, CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END AS text, doc_id FROM documents WHERE text IS NOT NULL)"""
+
+
+def three_commits(spark: SparkSession, d: str) -> Index:
+    """An index of documents by lines after three commits: nine tenths of them, then a tenth more and a tenth changed,
+    then a tenth gone."""
+    docs = read(spark, d, "documents").where("text is not null").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")).withColumn("part", F.col("doc_id") % 10)
+    changed = docs.withColumn("text", F.when(F.col("part") == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    index = Index(spark, scratch(spark, "index"))
+    none = F.lit(False)
+    for rows, come, go in ((docs, F.col("part") != 9, none), (changed, F.col("part").isin(3, 9), F.col("part") == 3), (changed, none, F.col("part") == 7)):
+        new = rows.where(come)
+        cut = new.select("path", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+        line = (F.col("line") + 1).alias("start_line")
+        chunks = cut.select(F.concat_ws("#", "path", F.col("line") + 1).alias("id"), F.col("path").alias("file_path"), line, line.alias("end_line"), "content", F.lit(None).cast("array<float>").alias("embedding"))
+        entries = new.select("path", T.content_hash(F.col("text")).alias("content_hash"), F.size(F.split("text", "\n")).alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
+        index.replace(rows.where(go).select("path"), chunks, entries)
+    return index
+
+
+@query(f"""WITH {SQL_LINES} SELECT path, upper(sha256(text)) AS content_hash, len(string_split(text, chr(10)))::INT AS chunk_count, len(string_split(text, chr(10)))::BIGINT AS live, length(replace(text, chr(10), ''))::BIGINT AS chars, len(string_split(text, chr(10)))::INT AS last_line
+FROM final WHERE doc_id % 10 <> 7""")
+def committed_index(spark, d):
+    """What segments and deletion vectors hold together after new, changed and vanished files."""
+    index = three_commits(spark, d)
+    lines = index.table("chunks").groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("live"), F.sum(F.length("content")).alias("chars"), F.max("end_line").alias("last_line"))
+    return index.table("ledger").join(lines, "path").select("path", "content_hash", "chunk_count", "live", "chars", "last_line")
+
+
+@query(f"""WITH {SQL_LINES}, l AS (SELECT doc_id % 10 AS part, len(string_split(text, chr(10)))::BIGINT AS n FROM final),
+c(version, chunks, ledger, gone) AS (SELECT 1, coalesce(sum(n) FILTER (part <> 9), 0), count(*) FILTER (part <> 9), 0 FROM l UNION ALL SELECT 2, coalesce(sum(n) FILTER (part IN (3, 9)), 0), count(*) FILTER (part IN (3, 9)), coalesce(sum(n) FILTER (part = 3), 0) FROM l UNION ALL SELECT 3, 0, 0, coalesce(sum(n) FILTER (part = 7), 0) FROM l)
+SELECT version::BIGINT AS version, chunks::BIGINT AS chunks, ledger::BIGINT AS ledger, gone::BIGINT AS gone, (sum(chunks - gone) OVER (ORDER BY version))::BIGINT AS live, true AS by_change FROM c""")
+def commit_log(spark, d):
+    """What each of the three commits wrote; by_change: its bytes are its share of the rows, not the index's."""
+    log = three_commits(spark, d).commits()
+    first = log[0]["bytes"] / max(log[0]["chunks"], 1)
+    rows = [(c["version"], c["chunks"], c["ledger"], c["gone"], c["live"], c["bytes"] <= 2 * first * c["chunks"] + 24 * c["gone"] + (1 << 17)) for c in log]
+    return spark.createDataFrame(rows, "version long, chunks long, ledger long, gone long, live long, by_change boolean")
+
+
 @query("SELECT 'source=' || source || '/part' AS path, count(*) AS lines, true AS source_file FROM documents GROUP BY source")
 def walked_files(spark, d):
     """Files under a folder with their paths relative to it; documents are written there as lines."""
-    folder = f"{work_folder(spark)}/lodeworks/tree-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tree")
     read(spark, d, "documents").select("source", "doc_id").write.partitionBy("source").option("maxRecordsPerFile", 10_000).json(folder)
     found = files_source.files(spark, folder).select(F.regexp_replace("path", "/part-[^/]*$", "/part").alias("path"), F.endswith("path", F.lit(".json")).alias("source_file"), T.read_lines_count(F.col("content")).alias("lines"))
     return found.groupBy("path", "source_file").agg(F.sum("lines").alias("lines"))
@@ -337,7 +376,7 @@ def walked_files(spark, d):
 @query("SELECT 'source=' || source AS folder, 1 AS chunk_count FROM documents GROUP BY source")
 def streamed_ledger(spark, d):
     """2.11c: a watched folder with a file for each source, indexed by a stream that ends when all is read."""
-    work = f"{work_folder(spark)}/lodeworks/watched-{uuid.uuid4().hex}"
+    work = scratch(spark, "watched")
     read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.partitionBy("source").json(f"{work}/tree")
     run = watch(spark, f"{work}/tree", f"{work}/index", f"{work}/checkpoint", HashEmbedder(8))
     run.awaitTermination()

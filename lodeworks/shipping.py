@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB.
@@ -20,7 +23,8 @@ def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else one of our own.
 
     Where nothing is set, a local master gets a temporary folder (as in tests), which goes when the driver ends, and
-    any other master a folder in the warehouse, which the executors see too.
+    any other master a folder in the warehouse; if that is on the driver's own disk, which executors don't see, it is an
+    error.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
@@ -30,10 +34,31 @@ def work_folder(spark: SparkSession) -> str:
         own = "file://" + folder
     else:
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodeworks"
+        if _files(spark, own)[0].getUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(own)
     return work_folder(spark)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of Hadoop's."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the driver ends."""
+    path = f"{work_folder(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
+    fs, at = _files(spark, path)
+
+    def end() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended before
+            fs.delete(at, True)
+
+    atexit.register(end)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once for each Spark context, through Spark's own file server.
 

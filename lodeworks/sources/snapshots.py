@@ -1,8 +1,13 @@
-"""Versioned snapshots of an index: chunks, their text index and the ledger, which change together.
+"""An index that changes by commits: chunks, their text index and the ledger, which always change together.
 
-Rows are dealt to buckets by a hash of their path. A snapshot is a folder with the tables of the buckets that a commit
-touches, written whole before the pointer file names it; the pointer says for every bucket in which snapshot it lies. So
-a commit costs what its buckets hold, readers always see one version, and a crash leaves the old one in force.
+A commit writes what is new as a segment of its own, sorted by path, and for the rows that it takes away the bits of
+their positions in older segments: deletion vectors, 64 rows a number. Readers merge: they read all segments of the
+version in force and leave out the rows whose bit is set. So a commit writes what the changed files hold and nothing of
+the others. Segments of one size class are written together once there are ``fan`` of them, and so is one that has lost
+half of its rows; a row is thus written again as often as its size class grows, the logarithm of the index.
+
+A pointer file names the segments and vectors in force and is moved last: readers always see one version, and a crash
+leaves the old one in force.
 """
 
 from __future__ import annotations
@@ -10,20 +15,20 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeworks.functions.text import index_terms
 from lodeworks.operators.retrieval import corpus_stats, postings
 
 CHUNKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 LEDGER = T.StructType([T.StructField("path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_count", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
-SCHEMAS, PATHS = {"chunks": CHUNKS, "ledger": LEDGER}, {"chunks": "file_path", "ledger": "path"}
-BUCKETS = 32
-
-
-def bucket_of(path: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+POSTINGS = T.StructType([T.StructField("id", T.StringType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("doc_len", T.IntegerType())])
+SCHEMAS, PATHS = {"chunks": CHUNKS, "ledger": LEDGER, "postings": POSTINGS}, {"chunks": "file_path", "ledger": "path"}
+#: Segments of a size class that are merged into one; commits that the pointer file remembers; bytes of vectors that are broadcast.
+FAN, LOG, VECTOR_BYTES = 4, 64, 48 << 20
+DELETES = "vector string, segment string, word long, bits long, rows long, terms long, texts long"
 
 
 class TextIndex:
@@ -64,101 +69,186 @@ class TextIndex:
 class Index:
     """The index under a folder that Spark can write: chunks, text index and ledger, always of one version."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, folder: str, fan: int = FAN):
+        self.spark, self.folder, self.fan = spark, folder.rstrip("/"), fan
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _current(self) -> dict:
-        """version, buckets, and for each bucket that holds anything the folder of its snapshot."""
+        """version; by segment the rows it was written with and those that are gone; vectors; the last commits."""
         if not self.fs.exists(self._path(f"{self.folder}/CURRENT")):
-            return {"version": 0, "buckets": self.buckets, "in": {}}
+            return {"version": 0, "segments": {}, "deletes": [], "commits": []}
         return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
 
     def version(self) -> int:
-        """The snapshot in force; 0 for none."""
+        """The commit in force; 0 for none."""
         return self._current()["version"]
 
-    def _read(self, name: str, current: dict, only: set[int] | None = None) -> DataFrame:
-        at = [f"{self.folder}/{s}/{name}/bucket={b}" for b, s in current["in"].items() if only is None or int(b) in only]
-        at = [p for p in at if self.fs.exists(self._path(p))]
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*at) if at else self.spark.createDataFrame([], SCHEMAS[name])
+    def commits(self) -> list[dict]:
+        """The last commits, oldest first: version, chunks and ledger rows written, chunks gone, live chunks and segments
+        after it, bytes written, and bytes written again by merging."""
+        return self._current()["commits"]
+
+    def _bytes(self, *folders: str) -> int:
+        found = [self._path(f"{self.folder}/{f}") for f in folders]
+        return sum(self.fs.getContentSummary(p).getLength() for p in found if self.fs.exists(p))
+
+    def _live(self, name: str, current: dict, only: list[str] | None = None) -> DataFrame:
+        """Rows of a table with doc, their position, and segment; without those whose bit in the vectors is set."""
+        vector = "ledger" if name == "ledger" else "chunks"
+        mine = [s for s, n in current["segments"].items() if n[vector] > n[f"dead_{vector}"] and (only is None or s in only)]
+        at = [f"{self.folder}/{name}/segment={s}" for s in mine]
+        more = [T.StructField("doc", T.LongType()), T.StructField("segment", T.StringType())]
+        schema = T.StructType([*SCHEMAS[name].fields, *([T.StructField("terms", T.IntegerType())] if name == "chunks" else []), *more])
+        if not at:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*at)
+        held = [d for d in current["deletes"] if set(d["segments"]) & set(mine)]
+        if not held:
+            return rows
+        bits = self.spark.read.schema(DELETES).parquet(*[f"{self.folder}/deletes/{d['folder']}" for d in held]).where((F.col("vector") == vector) & F.col("segment").isin(mine))
+        bits = bits.groupBy(F.col("segment").alias("of"), "word").agg(F.bit_or("bits").alias("bits"))
+        bits = F.broadcast(bits) if sum(d["words"] for d in held) * 64 <= VECTOR_BYTES else bits
+        seen = rows.join(bits, (F.col("segment") == F.col("of")) & (F.shiftright("doc", 6) == F.col("word")), "left")
+        return seen.where(F.col("bits").isNull() | (F.expr("shiftright(bits, cast(doc & 63 as int)) & 1") == 0)).select(rows.columns)
 
     def table(self, name: str) -> DataFrame:
-        return self._read(name, self._current())
+        return self._live(name, self._current()).select(SCHEMAS[name].names)
+
+    def _write(self, segment: str, chunks: DataFrame, ledger: DataFrame) -> dict:
+        """Write a segment; what it holds."""
+        at = {t: f"{self.folder}/{t}/segment={segment}" for t in SCHEMAS}
+        terms = F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content")))).cast("int")
+        for table, rows, order in (("chunks", chunks.select(*CHUNKS.names, terms.alias("terms")), ["file_path", "start_line", "id"]), ("ledger", ledger.select(LEDGER.names), ["path"])):
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()).write.parquet(at[table])
+        new = self.spark.read.schema(T.StructType([*CHUNKS.fields, T.StructField("terms", T.IntegerType()), T.StructField("doc", T.LongType())])).parquet(at["chunks"])
+        n = new.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"), F.count("terms").alias("texts")).first()
+        entries = self.spark.read.schema(LEDGER).parquet(at["ledger"]).count()
+        if n.chunks:
+            rows = postings(new.select("id", "content", "doc"), keep=["doc"]).select(*POSTINGS.names, "doc")
+            rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(at["postings"])
+        return {"chunks": n.chunks, "ledger": entries, "terms": n.terms, "texts": n.texts, "dead_chunks": 0, "dead_ledger": 0, "dead_terms": 0, "dead_texts": 0}
+
+    def _delete(self, name: str, current: dict, gone: DataFrame) -> dict | None:
+        """Write the vectors of the rows of some paths (path) and count them with their segments; None for none.
+
+        A path's chunks are in the segment of its ledger entry, so other segments' chunks aren't looked at.
+        """
+        paths = gone.select(F.col("path").alias("_gone")).distinct()
+        entries = self._live("ledger", current).join(paths, F.col("path") == F.col("_gone"), "left_semi").select("segment", "doc").persist()
+        inside = [r.segment for r in entries.select("segment").distinct().collect()]  # segments are few
+        if not inside:
+            entries.unpersist()
+            return None
+        zero = F.lit(0).cast("long")
+        rows = self._live("chunks", current, inside).join(paths, F.col("file_path") == F.col("_gone"), "left_semi")
+        dead = rows.select(F.lit("chunks").alias("vector"), "segment", "doc", F.coalesce(F.col("terms").cast("long"), zero).alias("terms"), F.col("terms").isNotNull().cast("long").alias("texts"))
+        dead = dead.unionByName(entries.select(F.lit("ledger").alias("vector"), "segment", "doc", zero.alias("terms"), zero.alias("texts")))
+        bit = F.expr("shiftleft(1L, cast(doc & 63 as int))")
+        words = dead.groupBy("vector", "segment", F.shiftright("doc", 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("rows"), F.sum("terms").alias("terms"), F.sum("texts").alias("texts"))
+        words.write.parquet(f"{self.folder}/deletes/{name}")
+        entries.unpersist()
+        made = self.spark.read.schema(DELETES).parquet(f"{self.folder}/deletes/{name}")
+        sums = made.groupBy("vector", "segment").agg(F.count(F.lit(1)).alias("words"), *[F.sum(c).alias(c) for c in ("rows", "terms", "texts")]).collect()  # two rows a segment
+        for r in sums:
+            n = current["segments"][r.segment]
+            n[f"dead_{r.vector}"] += r["rows"]
+            n["dead_terms"] += r.terms
+            n["dead_texts"] += r.texts
+        return {"folder": name, "words": sum(r.words for r in sums), "segments": sorted({r.segment for r in sums})}
+
+    def _worn(self, current: dict) -> list[str]:
+        """The segments to be written together: those of a size class with ``fan`` of them, and those half gone."""
+        live = {s: n["chunks"] + n["ledger"] - n["dead_chunks"] - n["dead_ledger"] for s, n in current["segments"].items()}
+        classes: dict[int, list[str]] = {}
+        for s, rows in live.items():
+            size = 0
+            while self.fan ** (size + 1) <= rows:
+                size += 1
+            classes.setdefault(size, []).append(s)
+        out = {s for group in classes.values() if len(group) >= self.fan for s in group}
+        return sorted(out | {s for s, n in current["segments"].items() if 2 * live[s] <= n["chunks"] + n["ledger"]})
 
     def replace(self, gone: DataFrame, chunks: DataFrame, ledger: DataFrame) -> int:
-        """Put the next snapshot in force: rows of the paths gone (path) go, those of chunks and ledger come.
+        """Put the next version in force: rows of the paths gone (path) go, those of chunks and ledger come.
 
-        Only the buckets of these paths are read and written. A writer that finds another snapshot in force than the one
-        it began from gives up with an error, as it would undo the other's work.
+        What is written is the new rows, their postings and the bits of those that go. A writer that finds another
+        version in force than the one it began from gives up with an error, as it would undo the other's work.
         """
         current = self._current()
-        new, buckets = current["version"] + 1, current["buckets"]
-        name = f"snapshot={new}-{uuid.uuid4().hex[:12]}"
-        paths = gone.select("path").unionByName(chunks.select(F.col("file_path").alias("path"))).unionByName(ledger.select("path"))
-        touched = {r[0] for r in paths.select(bucket_of(F.col("path"), buckets)).distinct().collect()}  # a number for each bucket
-        for table, rows in (("chunks", chunks), ("ledger", ledger)):
-            path = PATHS[table]
-            kept = self._read(table, current, touched).join(gone.select(F.col("path").alias(path)).distinct(), path, "left_anti")
-            every = kept.select(SCHEMAS[table].names).unionByName(rows.select(SCHEMAS[table].names)).withColumn("bucket", bucket_of(F.col(path), buckets))
-            every.repartitionByRange("bucket", path).write.partitionBy("bucket").parquet(f"{self.folder}/{name}/{table}")
-        held = {**current["in"], **{str(b): name for b in touched}}
-        written = {int(s.getPath().getName().split("=")[1]) for s in self.fs.listStatus(self._path(f"{self.folder}/{name}/ledger")) if "=" in s.getPath().getName()}
-        held = {b: s for b, s in held.items() if s != name or int(b) in written}  # buckets that nothing is left in
-        self._write_text(f"{self.folder}/{name}")
-        draft, pointer = self._path(f"{self.folder}/{name}/CURRENT"), self._path(f"{self.folder}/CURRENT")
+        before, new = current["version"], current["version"] + 1
+        name = f"{new}-{uuid.uuid4().hex[:12]}"
+        kept = set(current["segments"])
+        went = self._delete(name, current, gone)
+        if went:
+            current["deletes"].append(went)
+        dead = sum(n["dead_chunks"] for n in current["segments"].values())
+        added = self._write(name, chunks, ledger)
+        current["segments"][name] = added
+        wrote = self._bytes(*[f"{t}/segment={name}" for t in SCHEMAS], f"deletes/{name}")
+        self._drop_empty(current)
+        again = 0
+        if worn := self._worn(current):
+            merged = f"{new}-{uuid.uuid4().hex[:12]}"
+            held = self._write(merged, *(self._live(t, current, worn) for t in ("chunks", "ledger")))
+            current["segments"] = {s: n for s, n in current["segments"].items() if s not in worn} | {merged: held}
+            self._drop_empty(current)
+            again = self._bytes(*[f"{t}/segment={merged}" for t in SCHEMAS])
+        old = current["commits"]
+        live = sum(n["chunks"] - n["dead_chunks"] for n in current["segments"].values())
+        log = {"version": new, "chunks": added["chunks"], "ledger": added["ledger"], "gone": dead - (old[-1]["dead"] if old else 0), "live": live, "segments": len(current["segments"]), "bytes": wrote, "merged_bytes": again}
+        log["dead"] = sum(n["dead_chunks"] for n in current["segments"].values())
+        current |= {"version": new, "commits": [*old, log][-LOG:]}
+        draft, pointer = self._path(f"{self.folder}/draft-{name}"), self._path(f"{self.folder}/CURRENT")
         out = self.fs.create(draft, True)
-        out.writeBytes(json.dumps({"version": new, "buckets": buckets, "in": held}) + "\n")
+        out.writeBytes(json.dumps(current) + "\n")
         out.close()
-        if self._current()["version"] != current["version"]:
-            self.fs.delete(self._path(f"{self.folder}/{name}"), True)
-            raise RuntimeError(f"another writer has put a snapshot after {current['version']} in force")
+        if self._current()["version"] != before:
+            for f in (*[f"{t}/segment={s}" for t in SCHEMAS for s in set(current["segments"]) - kept], f"deletes/{name}", f"draft-{name}"):
+                self.fs.delete(self._path(f"{self.folder}/{f}"), True)
+            raise RuntimeError(f"another writer has put a version after {before} in force")
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
         over[0] = hadoop.Options.Rename.OVERWRITE
         hadoop.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, pointer, over)
-        used = {*held.values(), *current["in"].values(), name}  # those of the version before may still be read
-        for status in self.fs.listStatus(self._path(self.folder)):
-            found = status.getPath().getName()
-            if found.startswith("snapshot=") and found not in used and int(found[9:].split("-")[0]) < new:
-                self.fs.delete(status.getPath(), True)
+        self._tidy(new, {f"segment={s}" for s in {*kept, *current["segments"]}} | {d["folder"] for d in current["deletes"]})
         return new
 
-    def _write_text(self, folder: str) -> None:
-        """Postings and statistics of a snapshot's chunks, by bucket."""
-        schema = T.StructType([*CHUNKS.fields, T.StructField("bucket", T.IntegerType())])
-        if not any("=" in s.getPath().getName() for s in self.fs.listStatus(self._path(f"{folder}/chunks"))):
-            return
-        chunks = self.spark.read.schema(schema).parquet(f"{folder}/chunks")
-        rows = postings(chunks.select("id", "content", "bucket"), keep=["bucket"])
-        rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{folder}/text/postings")
-        corpus_stats(chunks, by=["bucket"]).write.partitionBy("bucket").parquet(f"{folder}/text/stats")
+    @staticmethod
+    def _drop_empty(current: dict) -> None:
+        """Forget segments of which nothing is left, and vectors of none that is there."""
+        segments = {s: n for s, n in current["segments"].items() if n["chunks"] > n["dead_chunks"] or n["ledger"] > n["dead_ledger"]}
+        current["segments"] = segments
+        current["deletes"] = [d for d in current["deletes"] if set(d["segments"]) & set(segments)]
+
+    def _tidy(self, version: int, used: set[str]) -> None:
+        """Delete what neither this version nor the one before, which may still be read, holds."""
+        for top in (*SCHEMAS, "deletes"):
+            at = self._path(f"{self.folder}/{top}")
+            for status in self.fs.listStatus(at) if self.fs.exists(at) else []:
+                found = status.getPath().getName()
+                if found not in used and int(found.removeprefix("segment=").split("-")[0]) < version - (top == "deletes"):
+                    self.fs.delete(status.getPath(), True)
 
     def text(self) -> TextIndex | None:
-        """The text index of the snapshot in force; None for none."""
-        at = [(f"{self.folder}/{s}/text", b) for b, s in self._current()["in"].items()]
-        at = [(f, b) for f, b in at if self.fs.exists(self._path(f"{f}/stats/bucket={b}"))]
-        return _Buckets(self.spark, at) if at else None
+        """The text index of the version in force; None for none."""
+        current = self._current()
+        return _Merged(self, current) if any(n["chunks"] > n["dead_chunks"] for n in current["segments"].values()) else None
 
     def clear(self) -> None:
         self.fs.delete(self._path(self.folder), True)
 
 
-class _Buckets(TextIndex):
-    """The text index of some buckets, each in a snapshot of its own."""
+class _Merged(TextIndex):
+    """The text index of all segments of a version."""
 
-    def __init__(self, spark: SparkSession, at: list[tuple[str, str]]):
-        super().__init__(spark)
-        self.at = at
+    def __init__(self, index: Index, current: dict):
+        super().__init__(index.spark)
+        self.index, self.current = index, current
 
     def postings(self) -> DataFrame:
-        found = [f"{f}/postings/bucket={b}" for f, b in self.at]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(found[0]).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("id string, term string, tf long, doc_len int").parquet(*[p for p in found if fs.exists(path(p))])
+        return self.index._live("postings", self.current).select(POSTINGS.names)
 
     def stats(self) -> DataFrame:
-        s = self.spark.read.schema("n long, terms long, texts long").parquet(*[f"{f}/stats/bucket={b}" for f, b in self.at])
-        return s.agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("texts")).alias("avgdl"))
+        live = {c: sum(n[c] - n[f"dead_{c}"] for n in self.current["segments"].values()) for c in ("chunks", "terms", "texts")}
+        return self.spark.range(1).select(F.lit(live["chunks"]).cast("long").alias("n"), (F.lit(live["terms"]).cast("double") / F.nullif(F.lit(live["texts"]), F.lit(0))).alias("avgdl"))

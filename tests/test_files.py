@@ -166,31 +166,62 @@ def test_ingest(spark, root, tmp_path):
     assert index.table("chunks").count() == 0
 
 
-def test_a_commit_touches_its_buckets_only(spark, tmp_path):
+def index_rows(spark):
+    rows = lambda names, word: spark.createDataFrame([(f"{n}#{i}", n, i, i, f"{word} {n} {n}" if n != "p3" else None, [1.0]) for n in names for i in (1, 2)], "id string, file_path string, start_line int, end_line int, content string, embedding array<float>")
+    entry = lambda names: spark.createDataFrame([(n, "h", 2, None) for n in names], "path string, content_hash string, chunk_count int, indexed_at timestamp")
+    gone = lambda names: spark.createDataFrame([(n,) for n in names], "path string")
+    return rows, entry, gone
+
+
+def same_as_scan(index):
     from lodeworks.operators.retrieval import bm25_topk, indexed_topk
 
-    index = Index(spark, str(tmp_path / "index"), buckets=8)
-    rows = lambda names, word: spark.createDataFrame([(f"{n}#1", n, 1, 1, f"{word} {n} {n}" if n != "p3" else None, [1.0]) for n in names], "id string, file_path string, start_line int, end_line int, content string, embedding array<float>")
-    entry = lambda names: spark.createDataFrame([(n, "h", 1, None) for n in names], "path string, content_hash string, chunk_count int, indexed_at timestamp")
-    gone = lambda names: spark.createDataFrame([(n,) for n in names], "path string")
-    names = [f"p{i}" for i in range(40)]
-    index.replace(gone([]), rows(names, "old"), entry(names))
-    first = dict(index._current()["in"])
-    index.replace(gone(["p5", "p6"]), rows(["p5"], "new"), entry(["p5"]))
-    second = index._current()["in"]
-    assert 1 <= sum(first[b] != second[b] for b in first) <= 2 and len(first) == 8
-    chunks = index.table("chunks")
-    assert {r.file_path: (r.content or "").split()[:1] for r in chunks.collect()} == {n: ["new"] if n == "p5" else [] if n == "p3" else ["old"] for n in names if n != "p6"}
-    assert index.table("ledger").count() == 39 and index.version() == 2
-    text = index.text()
+    text, chunks = index.text(), index.table("chunks")
     for terms in (["new"], ["p7", "old"], ["nowhere"], []):
         mine = indexed_topk(text.postings(), text.stats(), terms, 5).orderBy("rank").collect()
         plain = bm25_topk(chunks, terms, 5).orderBy("rank").collect()
         assert [(r.id, r["rank"]) for r in mine] == [(r.id, r["rank"]) for r in plain] and all(abs(a.score - b.score) < 1e-9 for a, b in zip(mine, plain, strict=True))
+
+
+def test_a_commit_writes_what_changed(spark, tmp_path):
+    index, (rows, entry, gone) = Index(spark, str(tmp_path / "index")), index_rows(spark)
+    names = [f"p{i}" for i in range(400)]
+    index.replace(gone([]), rows(names, "old"), entry(names))
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "index/chunks").rglob("*.parquet")}
+    index.replace(gone(["p5", "p6", "nowhere"]), rows(["p5"], "new"), entry(["p5"]))
+    assert all(p.stat().st_mtime_ns == t for p, t in first.items())  # nothing that was there is written again
+    a, b = index.commits()
+    assert (a["chunks"], a["gone"], a["live"]) == (800, 0, 800) and (b["chunks"], b["gone"], b["live"], b["segments"]) == (2, 4, 798, 2)
+    assert b["bytes"] < a["bytes"] / 2 and not b["merged_bytes"]
+    words = {r.file_path: (r.content or "").split()[:1] for r in index.table("chunks").collect()}
+    assert words == {n: ["new"] if n == "p5" else [] if n == "p3" else ["old"] for n in names if n != "p6"}
+    assert index.table("ledger").count() == 399 and index.version() == 2
+    same_as_scan(index)
+    index.replace(gone(["p5"]), rows(["p5"], "newer"), entry(["p5"]))  # a path that has gone before
+    assert [r.content for r in index.table("chunks").where("file_path = 'p5'").collect()] == ["newer p5 p5"] * 2
+    assert index.commits()[-1]["gone"] == 2
     index.replace(gone(names), rows([], ""), entry([]))
-    assert index.table("chunks").count() == 0 and index.text() is None and index._current()["in"] == {}
+    assert index.table("chunks").count() == 0 and index.text() is None and index._current()["segments"] == {} and index._current()["deletes"] == []
     index.replace(gone([]), rows(["p1"], "again"), entry(["p1"]))
-    assert index.table("chunks").count() == 1 and len(list((tmp_path / "index").glob("snapshot=*"))) <= 2
+    assert index.table("chunks").count() == 2 and len(list((tmp_path / "index/chunks").glob("segment=*"))) <= 2
+
+
+def test_segments_are_merged_by_size(spark, tmp_path):
+    import random
+
+    rng, index, (rows, entry, gone) = random.Random(3), Index(spark, str(tmp_path / "index"), fan=3), index_rows(spark)
+    held: dict[str, str] = {}
+    for k in range(9):
+        some = rng.sample([f"p{i}" for i in range(30)], rng.randint(1, 8))
+        out = [n for n in rng.sample(sorted(held), len(held) // 4) if n not in some]
+        index.replace(gone([*some, *out]), rows(some, f"w{k}"), entry(some))
+        held = {n: w for n, w in held.items() if n not in out} | {n: f"w{k}" for n in some}
+        got = index.table("chunks").collect()
+        assert sorted((r.file_path, (r.content or "").split()[:1]) for r in got) == sorted((n, [w] if n != "p3" else []) for n, w in held.items() for _ in (1, 2))
+        assert sorted(r.path for r in index.table("ledger").collect()) == sorted(held)
+        assert index.commits()[-1]["live"] == len(got) and index.commits()[-1]["segments"] <= 6
+    same_as_scan(index)
+    assert any(c["merged_bytes"] for c in index.commits())
 
 
 def test_streaming_ingest(spark, root, tmp_path):
