@@ -86,15 +86,16 @@ def bm25_topk(chunks: DataFrame, terms: list[str], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def fuse(vector: DataFrame, text: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(id, vector_score, vector_rank, text_rank, fused_score, fused_pos) of two ranked lists.
+def fuse(vector: DataFrame, text: DataFrame, k: int = RRF_K, by: list[str] | None = None) -> DataFrame:
+    """(id, vector_score, vector_rank, text_rank, fused_score, fused_pos) of two ranked lists, or of two for each ``by``.
 
     Equal sums keep the vector list's order first, then the text list's.
     """
-    v = vector.select("id", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    t = text.select("id", F.col("rank").alias("text_rank"))
-    both = v.join(t, "id", "full_outer").withColumn("fused_score", rrf(F.col("vector_rank"), k) + rrf(F.col("text_rank"), k))
-    order = Window.orderBy(F.desc("fused_score"), F.asc_nulls_last("vector_rank"), "text_rank")
+    by = by or []
+    v = vector.select(*by, "id", F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
+    t = text.select(*by, "id", F.col("rank").alias("text_rank"))
+    both = v.join(t, [*by, "id"], "full_outer").withColumn("fused_score", rrf(F.col("vector_rank"), k) + rrf(F.col("text_rank"), k))
+    order = Window.partitionBy(*by).orderBy(F.desc("fused_score"), F.asc_nulls_last("vector_rank"), "text_rank")
     return both.withColumn("fused_pos", F.row_number().over(order))
 
 
@@ -106,17 +107,19 @@ def trust(fused: DataFrame, floor: float = FLOOR, trusted_rank: int = TRUSTED_RA
     return kept.withColumn("source", source).withColumn("score", F.coalesce("vector_score", F.lit(0.0)))
 
 
-def rank(hits: DataFrame, k: int, floor: float = FLOOR, per_file: int = PER_FILE, pos: str = "fused_pos") -> DataFrame:
-    """The k best hits: vector-only ones under the floor go, each file keeps its best few, then the best overall.
+def rank(hits: DataFrame, k: int, floor: float = FLOOR, per_file: int = PER_FILE, pos: str = "fused_pos", by: list[str] | None = None) -> DataFrame:
+    """The k best hits, or those of each ``by``: vector-only ones under the floor go, each file keeps its best few, then the best overall.
 
     Ties keep the order of files by first appearance, then of hits.
     """
     good = hits.where((F.col("source") != "vector") | (F.col("score") >= floor))
-    file = Window.partitionBy("file_path")
+    by = by or []
+    file = Window.partitionBy(*by, "file_path")
     good = good.withColumn("file_pos", F.min(pos).over(file))
     good = good.withColumn("in_file", F.row_number().over(file.orderBy(F.desc("score"), pos))).where(F.col("in_file") <= per_file)
-    top = good.orderBy(F.desc("score"), "file_pos", pos).limit(k)
-    return top.withColumn("final_rank", F.row_number().over(Window.orderBy(F.desc("score"), "file_pos", pos)))
+    order = [F.desc("score"), F.col("file_pos"), F.col(pos)]
+    top = good if by else good.orderBy(*order).limit(k)
+    return top.withColumn("final_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("final_rank") <= k)
 
 
 def retrieve(chunks: DataFrame, probe: list[float], terms: list[str], k: int = 6, floor: float = FLOOR, per_file: int = PER_FILE, trusted_rank: int = TRUSTED_RANK, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

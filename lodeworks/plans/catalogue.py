@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
-from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, packages, projects, retrieval, risk, typegraph
+from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, many, packages, projects, retrieval, risk, typegraph
 from lodeworks.plans import assess, ingest, mermaid
 from lodeworks.shipping import scratch
 from lodeworks.sources import files as files_source
@@ -176,6 +176,37 @@ def retrieve_hybrid(spark, d):
     return retrieval.retrieve(chunk_table(spark, d), probe(spark, d), TERMS, 6, FLOOR, index=(index.postings(), index.stats())).select("id", "file_path", "source", F.round("score", 6).alias("score"), F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
+SQL_MANY = rf"""asked AS (SELECT item_id AS qid, embedding AS e, list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{{L}}\p{{Nd}}]+'), lambda x: length(x) > 1)) AS words FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+vec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, vec_id AS id, greatest(-1.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]))) AS score FROM embeddings, asked WHERE e IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 24),
+terms AS (SELECT doc_id AS id, {SQL_TERMS} AS t FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM terms),
+posts AS (SELECT id, w, count(*) AS f, any_value(dl) AS dl FROM (SELECT id, unnest(t) AS w, len(t) AS dl FROM terms) GROUP BY id, w),
+idf AS (SELECT w, greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0) AS x FROM (SELECT w, count(*) AS df FROM posts GROUP BY w), stats),
+txt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, sum(CASE WHEN x <= 0 THEN 1e-6 ELSE x END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM (SELECT qid, unnest(words) AS w FROM asked) JOIN posts USING (w) JOIN idf USING (w), stats GROUP BY qid, id) QUALIFY rank <= 24),
+both_lists AS (SELECT qid, id, v.score AS vector_score, v.rank AS vector_rank, t.rank AS text_rank, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS fused_score FROM vec v FULL JOIN txt t USING (qid, id)),
+fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, vector_rank NULLS LAST, text_rank) AS fused_pos FROM both_lists),
+{SQL_TRUSTED},
+placed AS (SELECT h.*, d.source AS file_path FROM hits h JOIN documents d ON d.doc_id = h.id),
+good AS (SELECT *, min(fused_pos) OVER (PARTITION BY qid, file_path) AS file_pos FROM placed WHERE source <> 'vector' OR score >= {FLOOR}),
+capped AS (SELECT *, row_number() OVER (PARTITION BY qid, file_path ORDER BY score DESC, fused_pos) AS in_file FROM good),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_pos, fused_pos) AS final_rank FROM capped WHERE in_file <= 3)"""
+
+
+def question_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item as a question: its terms, and the vector of equal id for its own."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("probe"))
+    items = read(spark, d, "benchmark")
+    return items.join(e, items["item_id"] == e["vec_id"], "left").select(F.col("item_id").alias("qid"), "probe", T.query_terms(F.col("text")).alias("terms"))
+
+
+@query(f"WITH {SQL_MANY} SELECT qid, id, file_path, source, round(score, 6) AS score, round(fused_score, 9) AS fused_score, final_rank FROM ranked WHERE final_rank <= 6")
+def retrieve_many(spark, d):
+    """All benchmark items as questions against all chunks, in tiles."""
+    index = text_index(spark, d)
+    found = many.retrieve_many(chunk_table(spark, d), question_table(spark, d), 6, FLOOR, index=(index.postings(), index.stats()))
+    return found.select("qid", "id", "file_path", "source", F.round("score", 6).alias("score"), F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
 @query("SELECT source || '/' || lang || '/' || doc_id AS file_path, 1 AS start_line, text AS content FROM documents WHERE source || '/' || lang || '/' || doc_id = 'src0/fr/0'")
 def excerpt_lookup(spark, d):
     """One chunk by path and line."""

@@ -87,3 +87,28 @@ def test_excerpt(spark):
 def test_rrf_is_symmetric_and_falls(a, b):
     f = lambda x, y: 1 / (60 + x) + 1 / (60 + y)
     assert f(a, b) == f(b, a) and f(a + 1, b) < f(a, b)
+
+
+def test_many_questions_as_one_by_one(spark):
+    import random
+
+    from lodeworks.operators import many, retrieval
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    vector = lambda: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
+    rows = [(i, f"f{i % 5}", None if i % 11 == 0 else vector(), None if i % 13 == 0 else " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "id long, file_path string, embedding array<double>, content string")
+    asks = [(i, vector(), rng.sample([*words, "nowhere"], rng.randint(0, 4))) for i in range(9)]
+    asks += [(20, None, ["w1"]), (21, [0.0] * 4, []), (22, [], ["nowhere"])]
+    questions = spark.createDataFrame(asks, "qid int, probe array<double>, terms array<string>")
+    cols = ["id", "file_path", "source", "score", "fused_score", "final_rank"]
+    got = {}
+    for r in many.retrieve_many(chunks, questions, 3, 0.3, tile_chunks=30, tile_questions=4).collect():
+        got.setdefault(r.qid, []).append(tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols))
+    for qid, probe, terms in asks:
+        lone = chunks if probe else chunks.withColumn("embedding", F.lit(None).cast("array<double>"))
+        want = retrieval.retrieve(lone, probe or [0.0] * 4, terms, 3, 0.3).collect()
+        assert sorted(got.get(qid, [])) == sorted(tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols) for r in want), qid
+    assert many.retrieve_many(chunks, questions.limit(0), 3).count() == 0
+    assert many.retrieve_many(chunks.limit(0), questions, 3).count() == 0
