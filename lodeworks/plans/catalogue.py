@@ -176,13 +176,14 @@ def retrieve_hybrid(spark, d):
     return retrieval.retrieve(chunk_table(spark, d), probe(spark, d), TERMS, 6, FLOOR, index=(index.postings(), index.stats())).select("id", "file_path", "source", F.round("score", 6).alias("score"), F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
+# Text scores are summed in the order of the terms, so that equal texts have equal scores.
 SQL_MANY = rf"""asked AS (SELECT item_id AS qid, embedding AS e, list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{{L}}\p{{Nd}}]+'), lambda x: length(x) > 1)) AS words FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
 vec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, vec_id AS id, greatest(-1.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]))) AS score FROM embeddings, asked WHERE e IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 24),
 terms AS (SELECT doc_id AS id, {SQL_TERMS} AS t FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM terms),
 posts AS (SELECT id, w, count(*) AS f, any_value(dl) AS dl FROM (SELECT id, unnest(t) AS w, len(t) AS dl FROM terms) GROUP BY id, w),
 idf AS (SELECT w, greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 0) AS x FROM (SELECT w, count(*) AS df FROM posts GROUP BY w), stats),
-txt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, sum(CASE WHEN x <= 0 THEN 1e-6 ELSE x END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM (SELECT qid, unnest(words) AS w FROM asked) JOIN posts USING (w) JOIN idf USING (w), stats GROUP BY qid, id) QUALIFY rank <= 24),
+txt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, list_sum(list(CASE WHEN x <= 0 THEN 1e-6::DOUBLE ELSE x END * (f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) ORDER BY w)) AS score FROM (SELECT qid, unnest(words) AS w FROM asked) JOIN posts USING (w) JOIN idf USING (w), stats GROUP BY qid, id) QUALIFY rank <= 24),
 both_lists AS (SELECT qid, id, v.score AS vector_score, v.rank AS vector_rank, t.rank AS text_rank, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS fused_score FROM vec v FULL JOIN txt t USING (qid, id)),
 fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, vector_rank NULLS LAST, text_rank) AS fused_pos FROM both_lists),
 {SQL_TRUSTED},
