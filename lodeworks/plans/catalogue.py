@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
-from lodeworks.operators import assessment, characterize, chunking, csharp, history, ledger, lines, many, packages, projects, retrieval, risk, typegraph
-from lodeworks.plans import assess, ingest, mermaid
-from lodeworks.shipping import scratch
+from lodeworks.operators import assessment, characterize, chunking, csharp, diagrams, history, ledger, lines, many, packages, projects, retrieval, risk, typegraph
+from lodeworks.plans import assess, ingest
+from lodeworks.shipping import kept, scratch
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
 from lodeworks.sources.snapshots import Index, TextIndex
@@ -750,20 +750,40 @@ def package_references(spark, d):
     return project_source.package_refs(project_source.read(files), files.where(F.endswith("path", F.lit("packages.config"))))
 
 
-def as_rows(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in text.rstrip("\n").split("\n")], "line string")
+SQL_PLAIN = """k // 3 AS base, 'P' || CASE k % 3 WHEN 0 THEN '.' WHEN 1 THEN '"' ELSE '-' END || k // 3"""
+
+
+def spelled(name: str):
+    """P1, P2 and so on, three to a number with other characters between: names that share an identifier."""
+    k = F.substring(name, 2, 20).cast("long")
+    return F.concat(F.lit("P"), F.when(k % 3 == 0, ".").when(k % 3 == 1, '"').otherwise("-"), F.floor(k / 3))
 
 
 @query(f"""WITH {SQL_PROJECTS}, {SQL_EDGES}, top AS (SELECT lines FROM projects WHERE kind <> 'Test' ORDER BY lines DESC LIMIT 12), least AS (SELECT greatest(500, CASE WHEN count(*) >= 12 THEN min(lines) ELSE 500 END) AS n FROM top),
-shown AS (SELECT name, lines, p_brand AS layer FROM projects JOIN part USING (p_partkey), least WHERE lines >= n AND kind <> 'Test'), layers AS (SELECT DISTINCT layer FROM shown)
-SELECT 'graph LR' AS line UNION ALL SELECT '    subgraph g' || regexp_replace(layer, '[^0-9A-Za-z]', '_', 'g') || '["' || layer || '"]' FROM layers UNION ALL SELECT '    end' FROM layers
-UNION ALL SELECT '        n' || name || '["' || name || '<br/>' || format('{{:,}}', lines) || ' lines"]' FROM shown UNION ALL SELECT '    n' || a || ' --> n' || b FROM edges WHERE a IN (SELECT name FROM shown) AND b IN (SELECT name FROM shown)
-UNION ALL SELECT '    %% ' || ((SELECT count(*) FROM projects) - count(*)) || ' of ' || (SELECT count(*) FROM projects) || ' projects are not drawn' FROM shown""")
+named AS (SELECT k, {SQL_PLAIN} AS name, lines, layer FROM (SELECT p_partkey AS k, lines, p_brand AS layer FROM projects JOIN part USING (p_partkey), least WHERE lines >= n AND kind <> 'Test')),
+turns AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY layer, lines DESC, name) AS turn FROM named),
+shown AS (SELECT *, 'nP_' || base || CASE WHEN turn > 1 THEN '_' || turn ELSE '' END AS id FROM turns), layers AS (SELECT DISTINCT layer FROM shown),
+arrows AS (SELECT f.name AS a, t.name AS b, f.id AS f, t.id AS t FROM edges e JOIN shown f ON e.a = 'P' || f.k JOIN shown t ON e.b = 'P' || t.k),
+l AS (SELECT 0 AS s, '' AS a, 0 AS part, 0::BIGINT AS z, '' AS b, 'graph LR' AS line
+UNION ALL SELECT 1, layer, 0, 0, '', '    subgraph g' || regexp_replace(layer, '[^0-9A-Za-z]', '_', 'g') || '["' || layer || '"]' FROM layers UNION ALL SELECT 1, layer, 2, 0, '', '    end' FROM layers
+UNION ALL SELECT 1, layer, 1, -lines, name, '        ' || id || '["' || replace(name, '"', '&quot;') || '<br/>' || format('{{:,}}', lines) || ' lines"]' FROM shown
+UNION ALL SELECT 2, a, 0, 0, b, '    ' || f || ' --> ' || t FROM arrows
+UNION ALL SELECT 3, '', 0, 0, '', '    %% ' || ((SELECT count(*) FROM projects) - count(*)) || ' of ' || (SELECT count(*) FROM projects) || ' projects are not drawn' FROM shown)
+SELECT row_number() OVER (ORDER BY s, a, part, z, b) AS line_no, line FROM l""")
 def solution_diagram(spark, d):
-    """The largest projects by layer, as the lines of a diagram."""
+    """The largest projects by layer, as numbered lines; names share identifiers and hold quotes."""
     p = project_table(spark, d).withColumn("path", F.concat_ws("/", F.lit("src"), F.split("path", "/")[0], "name", F.lit("x.csproj")))
     least = projects.diagram_threshold(p).first()[0]
-    return as_rows(spark, mermaid.solution(p, edge_table(spark, d), least))
+    edges = edge_table(spark, d).select(spelled("from").alias("from"), spelled("to").alias("to"))
+    return diagrams.solution(p.withColumn("name", spelled("name")), edges, least)
+
+
+@query(f"""WITH n AS (SELECT k, {SQL_PLAIN} AS name FROM (SELECT p_partkey AS k FROM part)), t AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k) AS turn FROM n)
+SELECT name, 'nP_' || base || CASE WHEN turn > 1 THEN '_' || turn ELSE '' END AS id FROM t""")
+def diagram_identifiers(spark, d):
+    """F16: an identifier for every part, three of which would share one."""
+    parts = read(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.col("p_partkey").alias("at"))
+    return diagrams.identifiers(parts.select(spelled("name").alias("name"), "at"), "n")
 
 
 SQL_NESTED = "f AS (SELECT source || '/' || lang || '/' || doc_id || '.cs' AS path, len(string_split(text, chr(10)))::BIGINT AS lines, source, lang FROM documents)"
@@ -850,13 +870,16 @@ def csharp_types(spark, d):
     return csharp.types(csharp_files(spark, d)).select("name", "namespace", "shape", "is_abstract", F.array_join("base_types", ",").alias("bases"), F.array_join("members", ",").alias("members"), "complexity")
 
 
-@query(f"""WITH {SQL_CSHARP}, t AS (SELECT * FROM cs WHERE k % 9 = 4)
-SELECT 'classDiagram' AS line UNION ALL SELECT '    class T' || k || ' {{' FROM t UNION ALL SELECT '    }}' FROM t UNION ALL SELECT '        <<' || CASE WHEN k % 5 = 0 THEN 'record' ELSE 'abstract' END || '>>' FROM t WHERE k % 5 < 2
-UNION ALL SELECT '        +M' || unnest(range(least(m, 2))) || '()' FROM t UNION ALL SELECT '        +' || (m - 2) || ' more' FROM t WHERE m > 2 UNION ALL SELECT '    %% ' || 2 * count(*) || ' relations lead out of this selection' FROM t""")
+@query(f"""WITH {SQL_CSHARP}, t AS (SELECT *, 'T' || k AS name FROM cs WHERE k % 9 = 4),
+l AS (SELECT 0 AS s, '' AS a, 0 AS part, 0::BIGINT AS c, 'classDiagram' AS line UNION ALL SELECT 1, name, 0, 0, '    class T' || k || ' {{' FROM t UNION ALL SELECT 1, name, 4, 0, '    }}' FROM t
+UNION ALL SELECT 1, name, 1, 0, '        <<' || CASE WHEN k % 5 = 0 THEN 'record' ELSE 'abstract' END || '>>' FROM t WHERE k % 5 < 2
+UNION ALL SELECT 1, name, 2, i, '        +M' || i || '()' FROM (SELECT name, unnest(range(least(m, 2))) AS i FROM t) UNION ALL SELECT 1, name, 3, 0, '        +' || (m - 2) || ' more' FROM t WHERE m > 2
+UNION ALL SELECT 2, '', 0, 0, '    %% ' || 2 * count(*) || ' relations lead out of this selection' FROM t)
+SELECT row_number() OVER (ORDER BY s, a, part, c) AS line_no, line FROM l""")
 def class_diagram(spark, d):
-    """The types of a namespace, as the lines of a diagram."""
-    t = csharp.types(csharp_files(spark, d))
-    return as_rows(spark, mermaid.class_diagram(t, typegraph.relations(t), namespace="N4", max_members=2))
+    """The types of a namespace, as numbered lines."""
+    t = kept(csharp.types(csharp_files(spark, d)), "types")
+    return diagrams.class_diagram(t, typegraph.relations(t), namespace="N4", max_members=2)
 
 
 SQL_REFS = "refs AS (SELECT 'Proj' || l_orderkey % 97 AS project, (CASE WHEN l_suppkey % 2 = 0 THEN 'Pack' ELSE 'pack' END) || l_partkey % 500 AS id, (l_suppkey % 7) || '.0' AS version FROM lineitem)"

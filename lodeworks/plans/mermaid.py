@@ -1,85 +1,21 @@
-"""Mermaid diagrams of collected projects and types: small results, drawn on the driver."""
+"""Diagrams as one text, for those who ask for a page: the numbered lines of ``operators.diagrams``, put together."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodeworks.functions.text import layer
-from lodeworks.operators import projects as P
-from lodeworks.operators import typegraph
-
-MAX_MEMBERS = 8
-
-
-class Names:
-    """Identifiers for diagram nodes: other characters become _, and names that collide are numbered."""
-
-    def __init__(self, prefix: str):
-        self.prefix, self.taken, self.known = prefix, set(), {}
 
-    def of(self, name: str) -> str:
-        if name not in self.known:
-            base = self.prefix + re.sub(r"[^0-9A-Za-z]", "_", name)
-            got, n = base, 1
-            while got in self.taken:
-                n += 1
-                got = f"{base}_{n}"
-            self.taken.add(got)
-            self.known[name] = got
-        return self.known[name]
+from lodeworks.operators import diagrams
 
 
-def quoted(text: str) -> str:
-    return text.replace('"', "'")
+def _page(lines: DataFrame) -> str:
+    return "".join(r.line + "\n" for r in lines.orderBy("line_no").toLocalIterator())
 
 
 def solution(projects: DataFrame, edges: DataFrame, min_lines: int = 500, include_tests: bool = False) -> str:
     """A graph of projects by layer with their dependencies, and a note of how many were left out."""
-    seen = projects.where((F.col("lines") >= min_lines) & (F.lit(include_tests) | (F.col("kind") != "Test")))
-    rows = seen.select("name", "lines", "kind", F.coalesce(layer(F.col("path")), F.lit("")).alias("layer")).orderBy("layer", F.desc("lines"), "name").collect()
-    arrows = P.diagram_edges(projects, edges, min_lines, include_tests).orderBy("from", "to").collect()
-    total = projects.count()
-    nodes, groups, out = Names("n"), Names("g"), ["graph LR"]
-    spelled = {r.name.lower(): r.name for r in rows}
-    for g in dict.fromkeys(r.layer for r in rows):
-        mine = [r for r in rows if r.layer == g]
-        inset = "    "
-        if g:
-            out.append(f'    subgraph {groups.of(g)}["{quoted(g)}"]')
-            inset = "        "
-        out += [f'{inset}{nodes.of(r.name)}["{quoted(r.name)}<br/>{r.lines:,} lines"]' for r in mine]
-        if g:
-            out.append("    end")
-    out += [f"    {nodes.of(spelled[a['from'].lower()])} --> {nodes.of(spelled[a['to'].lower()])}" for a in arrows]
-    if left := total - len(rows):
-        out.append(f"    %% {left} of {total} projects are not drawn")
-    return "\n".join(out) + "\n"
+    return _page(diagrams.solution(projects, edges, min_lines, include_tests))
 
 
-def class_diagram(types: DataFrame, relations: DataFrame, namespace: str | None = None, around: str | None = None, max_members: int = MAX_MEMBERS) -> str:
+def class_diagram(types: DataFrame, relations: DataFrame, namespace: str | None = None, around: str | None = None, max_members: int = diagrams.MAX_MEMBERS) -> str:
     """The types of a namespace, or around one type, with members and relations."""
-    chosen = typegraph.around(types, relations, around) if around else types.where(F.col("namespace") == namespace) if namespace is not None else types
-    rows = chosen.orderBy("name", "path", "pos").collect()
-    inner, outer = typegraph.split_by_selection(relations, chosen)
-    arrows, outside = inner.orderBy("from", "to", "kind").collect(), outer.count()
-    name, out, drawn = Names(""), ["classDiagram"], set()
-    for r in rows:
-        if r.name in drawn:
-            continue
-        drawn.add(r.name)
-        out.append(f"    class {name.of(r.name)} {{")
-        mark = {"Interface": "interface", "Enum": "enumeration", "Record": "record", "Struct": "struct"}.get(r["shape"]) or ("abstract" if r.is_abstract else "")
-        if mark:
-            out.append(f"        <<{mark}>>")
-        out += [f"        +{re.sub(r'[{}<>~]', '', m)}" for m in r.members[:max_members]]
-        if len(r.members) > max_members:
-            out.append(f"        +{len(r.members) - max_members} more")
-        out.append("    }")
-    for a in arrows:
-        out.append(f"    {name.of(a['to'])} {'<|..' if a.kind == 'Implements' else '<|--'} {name.of(a['from'])}")
-    if outside:
-        out.append(f"    %% {outside} relations lead out of this selection")
-    return "\n".join(out) + "\n"
+    return _page(diagrams.class_diagram(types, relations, namespace, around, max_members))

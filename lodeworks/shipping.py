@@ -12,7 +12,7 @@ import zipfile
 from pathlib import Path
 
 from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB.
 BATCH_BYTES = 8 << 20
@@ -59,6 +59,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: made once, however often a plan uses it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once for each Spark context, through Spark's own file server.
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -108,6 +110,31 @@ def test_cycles_and_diagram(spark):
     assert "nA --> nB" in text and "nT" not in text and "2 of 4 projects" in text and 'subgraph gL1["L1"]' in text
 
 
+def test_identifiers_as_taken_one_by_one(spark):
+    from lodeworks.operators.diagrams import identifiers
+
+    rng, taken, want = random.Random(7), set(), {}
+    names = list({"".join(rng.choices("aB.-_2", k=rng.randint(0, 5))) for _ in range(400)} | {"a", "a_2", "a-2", "a.2", "a_2_2", "é.", "é-", '"'})
+    rng.shuffle(names)
+    for name in names:
+        base = "n" + re.sub(r"[^\w]|_", "_", name)
+        tries = (base if n == 1 else f"{base}_{n}" for n in range(1, 1000))
+        want[name] = next(x for x in tries if x not in taken)
+        taken.add(want[name])
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(names)] + [(names[0], 999)], "name string, at int")
+    assert {r.name: r.id for r in identifiers(rows, "n").collect()} == want
+
+
+def test_lines_in_order(spark):
+    from lodeworks.operators import diagrams
+
+    p = spark.createDataFrame([("A.b", "x/L/A/A.csproj", "Library", 900), ("A-b", "x/L/B/B.csproj", "Web", 1900), ('C"', "C.csproj", "Console", 500)], "name string, path string, kind string, lines long")
+    e = spark.createDataFrame([("a-B", "A.b"), ("A.b", 'C"')], "from string, to string")
+    lines = [r.line for r in diagrams.solution(p, e).orderBy("line_no").collect()]
+    assert lines == ["graph LR", '    nC_["C&quot;<br/>500 lines"]', '    subgraph gL["L"]', '        nA_b["A-b<br/>1,900 lines"]', '        nA_b_2["A.b<br/>900 lines"]', "    end", "    nA_b_2 --> nC_", "    nA_b --> nA_b_2"]
+    assert [r.line for r in diagrams.solution(p.limit(0), e.limit(0)).collect()] == ["graph LR"]
+
+
 def test_packages(spark):
     refs = spark.createDataFrame([("A", "Newtonsoft.Json", "11.0.2"), ("B", "newtonsoft.json", "13.0.3"), ("A", "Microsoft.AspNet.Mvc", "5.3.0"), ("B", "Some.Internal.Package", "1")], "project string, id string, version string")
     c = {r.id.lower(): r for r in packages.catalogue(refs).collect()}
