@@ -122,14 +122,16 @@ def rank(hits: DataFrame, k: int, floor: float = FLOOR, per_file: int = PER_FILE
     return top.withColumn("final_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("final_rank") <= k)
 
 
-def retrieve(chunks: DataFrame, probe: list[float], terms: list[str], k: int = 6, floor: float = FLOOR, per_file: int = PER_FILE, trusted_rank: int = TRUSTED_RANK, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, probe: list[float], terms: list[str], k: int = 6, floor: float = FLOOR, per_file: int = PER_FILE, trusted_rank: int = TRUSTED_RANK, index: tuple[DataFrame, DataFrame] | None = None, text: DataFrame | None = None) -> DataFrame:
     """The k best chunks for a question, given as a vector and terms: one lazy plan from scan to result.
 
     Both lists are fetched ``OVERFETCH`` times wider than asked. Only the few hits are joined with their chunks. With
-    an ``index`` (stored postings and corpus statistics) the texts are not read for the text list.
+    an ``index`` (stored postings and corpus statistics) the texts are not read for the text list; ``text`` is that list
+    itself, as an index in blocks gives it.
     """
     wide = k * OVERFETCH
-    text = indexed_topk(*index, terms, wide) if index else bm25_topk(chunks, terms, wide)
+    if text is None:
+        text = indexed_topk(*index, terms, wide) if index else bm25_topk(chunks, terms, wide)
     hits = trust(fuse(vector_topk(chunks.where(F.col("embedding").isNotNull()), probe, wide), text), floor, trusted_rank)
     placed = F.broadcast(hits).join(chunks.select("id", "file_path"), "id")  # at most 2 * wide rows
     return rank(placed, k, floor, per_file)

@@ -112,3 +112,27 @@ def test_many_questions_as_one_by_one(spark):
         assert sorted(got.get(qid, [])) == sorted(tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols) for r in want), qid
     assert many.retrieve_many(chunks, questions.limit(0), 3).count() == 0
     assert many.retrieve_many(chunks.limit(0), questions, 3).count() == 0
+
+
+def test_blocks_equal_a_scan(spark, tmp_path):
+    import random
+
+    from lodeworks.operators.blockmax import BlockIndex
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, None if i % 97 == 5 else " ".join(rng.choices(words[: 6 + 54 * (i % 5 == 0)], k=rng.choice((1, 3, 40))))) for i in range(700)]
+    rows += [(1000 + i, "w1 w2 rare rare") for i in range(9)]  # ties
+    chunks = spark.createDataFrame(rows, "id long, content string")
+    for name, block in (("own", None), ("named", F.floor(F.col("id") / 8))):
+        index = BlockIndex(spark, f"{tmp_path}/{name}").write(chunks, block)
+        for terms, k in ((["w1"], 5), (["w59", "w3", "w3"], 30), (["rare"], 4), (["rare", "w2", "none"], 20), (["rare"], 50)):
+            want = [(r.id, round(r.score, 9), r["rank"]) for r in R.bm25_topk(chunks, terms, k).orderBy("rank").collect()]
+            asked = index.ask(terms, k, (2, 4))
+            assert [(r.id, round(r.score, 9), r["rank"]) for r in asked.top.orderBy("rank").collect()] == want
+        assert asked.read == asked.bounds.count()  # fewer hits than asked for: all that have the term
+        assert not index.ask([], 5).top.collect() and not index.ask(["none"], 5).top.collect()
+    few = index.ask(["rare", "w2"], 4, (2, 4))
+    assert few.read < few.bounds.count() / 4
+    empty = BlockIndex(spark, f"{tmp_path}/empty").write(chunks.limit(0))
+    assert not empty.ask(["w1"], 5).top.collect()
