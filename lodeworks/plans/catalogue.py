@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
-from lodeworks.operators import assessment, characterize, chunking, csharp, diagrams, history, ledger, lines, many, packages, projects, retrieval, risk, typegraph
+from lodeworks.operators import assessment, blockmax, characterize, chunking, csharp, diagrams, history, ledger, lines, many, packages, projects, retrieval, risk, typegraph
 from lodeworks.plans import assess, ingest
 from lodeworks.shipping import kept, scratch
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
 from lodeworks.sources.snapshots import Index, TextIndex
-from lodeworks.streaming.ingest import watch, windowed_churn
+from lodeworks.streaming.ingest import follow_churn, watch, windowed_churn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,6 +143,45 @@ def bm25_topk(spark, d):
     return text_topk(spark, d).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def block_index(spark: SparkSession, d: str) -> blockmax.BlockIndex:
+    """documents by blocks of 16 neighbours, made once a session as ``text_index`` is."""
+    made = spark.sparkContext.__dict__.setdefault("_lodeworks_blocks", {})
+    source = f"{d}/documents.parquet"
+    key = (source, TextIndex.stamp(spark, source))
+    if key not in made:
+        made[key] = blockmax.BlockIndex(spark, scratch(spark, "blocks")).write(texts(spark, d), F.floor(F.col("id") / 16))
+    return made[key]
+
+
+@query(f"WITH {SQL_BM25} SELECT id, round(score, 6) AS score, rank FROM txt")
+def bm25_blocks(spark, d):
+    """2.10, O2: the same list from the blocks that can add to it."""
+    top = block_index(spark, d).ask(TERMS, 24).top
+    return top.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+SQL_PART = "idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
+
+
+@query(f"""WITH {SQL_BM25}, blk AS (SELECT id // 16 AS block, w, max(f) AS f, min(dl) AS dl, count(*) AS n FROM tf WHERE f > 0 GROUP BY ALL),
+bounds AS (SELECT block, sum({SQL_PART}) AS bound, sum(blk.n) AS n FROM blk JOIN idf USING (w), stats GROUP BY block),
+turns AS (SELECT *, row_number() OVER (ORDER BY bound DESC, block) AS turn FROM bounds),
+early AS (SELECT s.score, row_number() OVER (ORDER BY s.score DESC, s.id) AS place, turn FROM scored s JOIN turns t ON t.block = s.id // 16 WHERE turn <= 4),
+f1 AS (SELECT coalesce((SELECT score FROM early WHERE place = 3), 0) AS floor), r1 AS (SELECT *, row_number() OVER (ORDER BY turn) AS again FROM turns, f1 WHERE turn > 4 AND bound * (1 + 1e-9) >= floor),
+seen AS (SELECT block FROM turns WHERE turn <= 4 UNION SELECT block FROM r1 WHERE again <= 16),
+f2 AS (SELECT coalesce((SELECT score FROM scored WHERE id // 16 IN (FROM seen) ORDER BY score DESC, id LIMIT 1 OFFSET 2), 0) AS floor)
+SELECT b.block, round(bound, 6) AS bound, n::BIGINT AS postings, bound * (1 + 1e-9) >= (SELECT score FROM scored ORDER BY score DESC, id LIMIT 1 OFFSET 2) AS needed,
+  (SELECT count(*) FROM seen) + (SELECT count(*) FROM r1, f2 WHERE again > 16 AND bound * (1 + 1e-9) >= f2.floor) AS read, (SELECT count(*) FROM bounds) AS blocks FROM bounds b""")
+def bm25_skips(spark, d):
+    """2.10: what the three best hits can be in: the bounds of all blocks, those needed for the final threshold, and how
+    many were read, 4 and 16 at first."""
+    asked = block_index(spark, d).ask(TERMS, 3, (4, 16))
+    floor = asked.top.agg(F.min("score").alias("floor"))
+    blocks = asked.bounds.agg(F.count(F.lit(1)).alias("blocks"))
+    rows = asked.bounds.crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(blocks))  # one row each
+    return rows.select("block", F.round("bound", 6).alias("bound"), F.col("n").alias("postings"), (F.col("bound") * (1 + blockmax.SLACK) >= F.col("floor")).alias("needed"), F.lit(asked.read).cast("long").alias("read"), "blocks")
+
+
 @query(f"WITH {SQL_BM25} SELECT id, round(score, 6) AS score, rank FROM txt")
 def bm25_scan(spark, d):
     """The same list of texts that are in no index yet."""
@@ -505,11 +544,35 @@ def git_log_parse(spark, d):
     return history.parse_log(logs, keep=["user_id"]).select("author", "pos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("read_at"), "path")
 
 
-@query(f"WITH {SQL_COMMITS}, w AS (SELECT path, date_trunc('day', ts) - to_days(k) AS start_day FROM commits, (SELECT unnest(range(7))::INT AS k)) SELECT strftime(start_day, '%Y-%m-%d') AS since, path, count(*) AS commits FROM w GROUP BY ALL")
+@query(f"WITH {SQL_COMMITS}, w AS (SELECT path, author, date_trunc('day', ts) - to_days(k) AS start_day FROM commits, (SELECT unnest(range(7))::INT AS k)) SELECT strftime(start_day, '%Y-%m-%d') AS since, path, count(*) AS commits, count(DISTINCT author) AS authors FROM w GROUP BY ALL")
 def sliding_churn(spark, d):
-    """2.11d: commits by path over windows of a week that slide by days."""
+    """2.11d, A1: commits and authors by path over windows of a week that slide by days."""
+    c = commits(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_churn(c).select(F.date_format("window.start", "yyyy-MM-dd").alias("since"), "path", "commits", "authors")
+
+
+@query(f"""WITH {SQL_COMMITS}, ends AS (SELECT min(ts) AS lo, date_trunc('day', min(ts)) + INTERVAL 21 DAY AS first, date_trunc('day', min(ts)) + INTERVAL 25 DAY AS second FROM commits),
+come AS (SELECT c.*, CASE WHEN event_id % 10 = 0 THEN 3 WHEN ts < first THEN 1 WHEN ts < second THEN 2 ELSE 3 END AS step FROM commits c, ends),
+mark AS (SELECT max(ts) FILTER (step <= 2) - INTERVAL 2 DAY AS over_at FROM come),
+w AS (SELECT path, author, step, date_trunc('day', ts) - to_days(k) AS start_day FROM come, (SELECT unnest(range(7))::INT AS k)),
+kept AS (SELECT w.* FROM w, mark WHERE NOT (step = 3 AND start_day + INTERVAL 7 DAY <= over_at))
+SELECT strftime(start_day, '%Y-%m-%d') AS since, path, count(*) AS commits, count(DISTINCT author) AS authors FROM kept GROUP BY ALL""")
+def streamed_churn(spark, d):
+    """2.11d: the same as a stream in four runs from one checkpoint. A tenth of the commits come with the third, those of
+    windows that are over by then too late; the fourth brings a commit long after all others."""
     c = commits(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_churn(c).select(F.date_format("window.start", "yyyy-MM-dd").alias("since"), "path", "commits")
+    lo = c.agg(F.date_trunc("day", F.min("ts")).alias("lo")).first().lo
+    if lo is None:
+        return windowed_churn(c).select(F.date_format("window.start", "yyyy-MM-dd").alias("since"), "path", "commits", "authors")
+    after = lambda days: F.col("ts") >= F.lit(lo) + F.make_interval(days=F.lit(days))
+    step = F.when(F.col("pos.event_id") % 10 == 0, 3).when(~after(21), 1).when(~after(25), 2).otherwise(3)
+    slim = c.select("path", F.col("author").cast("long").alias("author"), "ts", step.alias("step"))
+    work = scratch(spark, "churn")
+    for run in (1, 2, 3, 4):
+        last = slim.agg((F.max("ts") + F.make_interval(days=F.lit(60))).alias("ts")).select(F.lit("").alias("path"), F.lit(None).cast("long").alias("author"), "ts")
+        (slim.where(F.col("step") == run).drop("step") if run < 4 else last).write.mode("append").parquet(f"{work}/in")
+        follow_churn(spark, f"{work}/in", f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out").select(F.date_format("window.start", "yyyy-MM-dd").alias("since"), "path", "commits", "authors")
 
 
 @query("WITH r AS (SELECT *, dense_rank() OVER (ORDER BY p_size) - 1 AS r FROM part) SELECT p_partkey, round(CASE WHEN max(r) OVER () = 0 THEN 0.5 ELSE r::DOUBLE / max(r) OVER () END, 9) AS place FROM r")
