@@ -267,3 +267,38 @@ def test_prompt_budget():
     p = answer.prompt("why?", [hit(1, 700), hit(2, 700), hit(3, 700)], 2000)
     assert len(p) <= 2000 and "F1.cs lines 1-9" in p and "F3.cs" not in p and "why?" in p
     assert answer.CUT in answer.prompt("q", [hit(1, 5000)], 1500) and len(answer.prompt("q", [hit(1, 5000)], 1500)) <= 1500
+
+
+def test_followed_directory(spark, tmp_path):
+    from lodeworks.functions.embedding import HashEmbedder
+    from lodeworks.sources.snapshots import Index
+    from lodeworks.streaming.ingest import follow
+
+    root = tmp_path / "tree"
+    (root / "src").mkdir(parents=True)
+    for name in ("a", "b", "c"):
+        (root / "src" / f"{name}.cs").write_text(f"class {name} {{ }}\n")
+    (root / "pic.png").write_bytes(b"\x00")
+
+    def run():
+        follow(spark, str(root), f"{tmp_path}/index", f"{tmp_path}/checkpoint", HashEmbedder(8)).awaitTermination()
+        index = Index(spark, f"{tmp_path}/index")
+        held = {r.path: r.content_hash for r in index.table("ledger").collect()}
+        assert {r.file_path for r in index.table("chunks").collect()} == set(held)
+        return index.version(), held
+
+    version, first = run()
+    assert version == 1 and set(first) == {"src/a.cs", "src/b.cs", "src/c.cs"}
+    assert run() == (1, first)  # nothing changed, nothing written
+    (root / "src/a.cs").write_text("class a2 { int x; }\n")  # an edit, a deletion, a new file, a file only touched
+    (root / "src/b.cs").unlink()
+    (root / "src/d.cs").write_text("class d { }\n")
+    (root / "src/c.cs").touch()
+    version, second = run()
+    assert version == 2 and set(second) == {"src/a.cs", "src/c.cs", "src/d.cs"}
+    assert second["src/a.cs"] != first["src/a.cs"] and second["src/c.cs"] == first["src/c.cs"]
+    (root / "src/d.cs").write_bytes(b"")  # no file to index any more
+    assert set(run()[1]) == {"src/a.cs", "src/c.cs"}
+    for f in root.rglob("*.cs"):
+        f.unlink()
+    assert run()[1] == {}
