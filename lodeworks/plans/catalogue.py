@@ -20,7 +20,7 @@ from lodeworks.shipping import kept, scratch
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
 from lodeworks.sources.snapshots import Index, TextIndex
-from lodeworks.streaming.ingest import follow_churn, watch, windowed_churn
+from lodeworks.streaming.ingest import follow, follow_churn, watch, windowed_churn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -454,6 +454,42 @@ def streamed_ledger(spark, d):
     return Index(spark, f"{work}/index").table("ledger").select(F.regexp_replace("path", "/part-[^/]*$", "").alias("folder"), "chunk_count")
 
 
+@query("""WITH f AS (SELECT source, coalesce(lang, 'none') AS lang, doc_id // 20 AS part, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+left_over AS (SELECT *, row_number() OVER (ORDER BY source, lang, part) AS turn FROM f WHERE source <> (SELECT min(source) FROM f)),
+final AS (SELECT 'source=' || source || '/lang=' || lang || '/part=' || part AS folder, CASE WHEN turn = 1 THEN 'edited' || chr(10) ELSE body END AS body FROM left_over)
+SELECT folder, upper(sha256(body)) AS content_hash FROM final WHERE strlen(body) BETWEEN 1 AND 512 * 1024""")
+def followed_ledger(spark, d):
+    """2.11c, S16, X16: a directory followed over two runs of one checkpoint. Documents lie there by twenties; between
+    the runs a third of the files come, one is edited and all of a source go."""
+    lang, part = F.coalesce("lang", F.lit("none")).alias("lang"), F.floor(F.col("doc_id") / 20).alias("part")
+    docs = read(spark, d, "documents").where("source is not null").select("source", lang, part, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    work = scratch(spark, "followed")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(work).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(rows: DataFrame) -> None:
+        whole = rows.repartition("source", "lang", "part").sortWithinPartitions("source", "lang", "part", "doc_id").drop("doc_id")
+        whole.write.mode("append").partitionBy("source", "lang", "part").text(f"{work}/tree")
+
+    def run() -> None:
+        follow(spark, f"{work}/tree", f"{work}/index", f"{work}/checkpoint", HashEmbedder(8)).awaitTermination()
+
+    put(docs.where("part % 3 <> 2"))
+    run()
+    put(docs.where("part % 3 = 2"))
+    gone = docs.agg(F.min("source").alias("s")).first().s
+    fs.delete(at(f"{work}/tree/source={gone}"), True)
+    first = docs.where(F.col("source") != gone).select("source", "lang", "part").orderBy("source", "lang", "part").first()
+    if first:
+        for file in fs.listStatus(at(f"{work}/tree/source={first.source}/lang={first.lang}/part={first.part}")):
+            if file.getPath().getName().endswith(".txt"):
+                out = fs.create(file.getPath(), True)
+                out.writeBytes("edited\n")
+                out.close()
+    run()
+    return Index(spark, f"{work}/index").table("ledger").select(F.regexp_replace("path", "/part-[^/]*$", "").alias("folder"), "content_hash")
+
+
 @query("SELECT doc_id, 'File: ' || source || '/' || lang || '/' || doc_id || chr(10) || chr(10) || text AS text FROM documents")
 def embedding_texts(spark, d):
     """What is embedded for a chunk."""
