@@ -142,9 +142,9 @@ def excerpt(chunks: DataFrame, path: str, line: int) -> DataFrame:
     return chunks.where((F.col("file_path") == path) & (F.col("start_line") == line)).orderBy("id").limit(1)
 
 
-def budgeted(hits: DataFrame, order: Column, size: Column, most: int = 12_000) -> DataFrame:
-    """The leading hits whose sizes fit a budget together; the first that doesn't ends the list."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def budgeted(hits: DataFrame, order: Column, size: Column, most: int | Column = 12_000, by: list[str] | None = None) -> DataFrame:
+    """The leading hits, or those of each ``by``, whose sizes fit a budget together; the first that doesn't ends the list."""
+    w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return hits.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= most)
 
 

@@ -7,26 +7,14 @@ import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from lodeworks.functions.embedding import Embedder, HashEmbedder
 from lodeworks.functions.text import query_terms
 from lodeworks.operators import retrieval
-from lodeworks.operators.chunking import utf16
+from lodeworks.operators.prompts import CUT, MOST, prompts  # noqa: F401  CUT is what callers look for
 
-HEAD = """Below are excerpts of one code base. Each is labelled with its file and lines.
-
-- Answer from the excerpts alone; there is no other evidence.
-- If the answer is not in them, say that you do not know.
-- Name file and lines for each claim.
-
-EXCERPTS
-
-"""
-TAIL = "\nQUESTION\n\n{question}\n\nAnswer from the excerpts alone, name file and lines, or say that you do not know.\n"
-CUT = "\n[excerpt cut short]\n\n"
 NOTHING_FOUND = "Nothing in the index seems to be about this question. Try the words that the code itself uses."
-LEAST_ROOM = 200
 
 
 class ChatModel(Protocol):
@@ -59,30 +47,12 @@ class HttpChat:
         return "".join(self.stream(prompt))
 
 
-def _cut(text: str, units: int) -> str:
-    """The longest beginning of at most so many UTF-16 units."""
-    out = text[:units]
-    while utf16(out) > units:
-        out = out[: len(out) - (utf16(out) - units + 1) // 2 or -1]
-    return out
-
-
-def prompt(question: str, hits: list[Row], max_chars: int = 12_000) -> str:
-    """Head, excerpts best first while they fit, question. The first excerpt is cut rather than left out."""
-    tail = TAIL.format(question=question)
-    room = max(0, max_chars - utf16(HEAD) - utf16(tail))
-    body: list[str] = []
-    for h in hits:
-        label = f"[{h.file_path} lines {h.start_line}-{h.end_line}]\n"
-        block = f"{label}{h.content}\n\n"
-        if utf16(block) <= room:
-            body.append(block)
-            room -= utf16(block)
-            continue
-        if not body and room > utf16(label) + len(CUT) + LEAST_ROOM:
-            body.append(label + _cut(h.content, room - utf16(label) - len(CUT)) + CUT)
-        break
-    return HEAD + "".join(body) + tail
+def prompt(question: str, hits: list[Row], max_chars: int = MOST) -> str:
+    """The prompt of one question from its few hits, best first, by the rule for many."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    rows = [(0, i, h.file_path, h.start_line, h.end_line, h.content) for i, h in enumerate(hits)]
+    found = spark.createDataFrame(rows, "qid int, rank int, file_path string, start_line int, end_line int, content string")
+    return prompts(spark.createDataFrame([(0, question)], "qid int, question string"), found, "qid", max_chars).first().prompt
 
 
 def terms_of(spark, question: str) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
-from lodeworks.operators import assessment, blockmax, characterize, chunking, csharp, diagrams, history, ledger, lines, many, packages, projects, retrieval, risk, typegraph
+from lodeworks.operators import assessment, blockmax, characterize, chunking, csharp, diagrams, history, ledger, lines, many, packages, projects, prompts, retrieval, risk, typegraph
 from lodeworks.plans import assess, ingest
 from lodeworks.shipping import kept, scratch
 from lodeworks.sources import files as files_source
@@ -247,6 +247,22 @@ def retrieve_many(spark, d):
     return found.select("qid", "id", "file_path", "source", F.round("score", 6).alias("score"), F.round("fused_score", 9).alias("fused_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
+@query(rf"""WITH {SQL_MANY}, q AS (SELECT item_id AS qid, '{prompts.BEFORE}' || text || '{prompts.AFTER}' AS tail FROM benchmark), room AS (SELECT *, greatest(0, 4000 - {len(prompts.HEAD)} - length(tail)) AS room FROM q),
+b AS (SELECT r.qid, final_rank, '[' || file_path || ' lines 1-1]' || chr(10) AS label, text, room FROM ranked r JOIN room USING (qid) JOIN documents ON doc_id = r.id WHERE final_rank <= 6),
+run AS (SELECT *, label || text || chr(10) || chr(10) AS block, sum(length(label) + length(text) + 2) OVER (PARTITION BY qid ORDER BY final_rank) AS used FROM b),
+fit AS (SELECT qid, final_rank, block, false AS cut FROM run WHERE used <= room UNION ALL
+SELECT qid, final_rank, label || left(text, room - length(label) - {len(prompts.CUT)}) || '{prompts.CUT}', true FROM run WHERE final_rank = 1 AND used > room AND room - length(label) - {len(prompts.CUT)} > {prompts.LEAST_ROOM}),
+body AS (SELECT qid, string_agg(block, '' ORDER BY final_rank) AS body, count(*) AS n, bool_or(cut) AS cut FROM fit GROUP BY qid)
+SELECT qid, n::INT AS excerpts, coalesce(cut, false) AS cut, sha256('{prompts.HEAD}' || coalesce(body, '') || tail) AS prompt FROM (SELECT qid, tail, body, coalesce(n, 0) AS n, cut FROM room LEFT JOIN body USING (qid))""")
+def question_prompts(spark, d):
+    """The prompts of all benchmark items from what was found for each; answers build theirs by the same rule."""
+    index = text_index(spark, d)
+    found = many.retrieve_many(chunk_table(spark, d), question_table(spark, d), 6, FLOOR, index=(index.postings(), index.stats()))
+    hits = found.select("qid", "id", F.col("final_rank").alias("rank"), "file_path").join(texts(spark, d), "id").withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(1))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return prompts.prompts(asked, hits, "qid", 4000).withColumn("prompt", F.sha2("prompt", 256))
+
+
 @query("SELECT source || '/' || lang || '/' || doc_id AS file_path, 1 AS start_line, text AS content FROM documents WHERE source || '/' || lang || '/' || doc_id = 'src0/fr/0'")
 def excerpt_lookup(spark, d):
     """One chunk by path and line."""

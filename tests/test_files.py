@@ -269,6 +269,20 @@ def test_prompt_budget():
     assert answer.CUT in answer.prompt("q", [hit(1, 5000)], 1500) and len(answer.prompt("q", [hit(1, 5000)], 1500)) <= 1500
 
 
+def test_prompts_of_many(spark):
+    from lodeworks.operators import prompts as Q
+
+    hits = [(1, 1, "a", 1, 2, "x" * 300 + "\U0001f600" * 1500), (2, 1, "a", 1, 2, "short"), (2, 2, "b", 3, 4, "y" * 3000), (2, 3, "c", 5, 6, "z"), (3, 1, "n", 1, 1, None), (5, 1, "tiny", 1, 1, "w" * 3000)]
+    asked = [(1, "one"), (2, "two"), (3, None), (4, "four"), (5, "q" * 1500)]
+    h = spark.createDataFrame(hits, "qid int, rank int, file_path string, start_line int, end_line int, content string")
+    got = {r.qid: r for r in Q.prompts(spark.createDataFrame(asked, "qid int, question string"), h, "qid", 2000).collect()}
+    wide = lambda text: len(text.encode("utf-16-le")) // 2
+    assert got[1].cut and got[1].excerpts == 1 and 1998 < wide(got[1].prompt) <= 2000 and "\ufffd" not in got[1].prompt
+    assert got[2].excerpts == 1 and "short" in got[2].prompt and "yyy" not in got[2].prompt and "lines 5" not in got[2].prompt  # the list ends
+    assert got[3].prompt == Q.HEAD + Q.BEFORE + Q.AFTER and got[4].prompt == Q.HEAD + Q.BEFORE + "four" + Q.AFTER
+    assert got[5].excerpts == 0 and not got[5].cut  # no room for a useful piece
+
+
 def test_followed_directory(spark, tmp_path):
     from lodeworks.functions.embedding import HashEmbedder
     from lodeworks.sources.snapshots import Index
