@@ -5,13 +5,13 @@ projects: name, path, kind, target_framework, references, assembly_references, s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.operators import cycles as strong
 from lodeworks.shipping import ship
 
 # Assemblies that tie a library to the web, and what marks test projects.
@@ -46,46 +46,51 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(cycle): dependency cycles of any length, each from its least name and closed by it, distinct.
 
-    A depth-first walk over names in order, without case, reports the path that each edge back to it closes. Every
-    part of the graph that has cycles thus gives one at least, but not all of those it has, which can be more than
-    can be counted. The walk is linear and one task's: there is one row for each reference between projects.
+    The strongly connected components are found first, by joins. Within each a depth-first walk from its least name, over
+    names in order, without case, reports the path that each edge back to it closes. So each component gives one cycle at
+    least, but not all of those it has, which can be more than can be counted. A walk is linear, and a task has the edges
+    of one component: ``cycles.shortest`` gives one cycle of each without any walk.
     """
     ship(edges.sparkSession)
-    found = edges.select("from", "to").distinct().coalesce(1).mapInArrow(_back_edges, "cycle array<string>")
-    return found.distinct()
+    e = edges.select("from", "to", F.lower("from").alias("a"), F.lower("to").alias("b")).distinct()
+    parts = strong.components(e.select("a", "b"))
+    inside = e.join(parts.withColumnRenamed("node", "a"), "a").join(parts.withColumnsRenamed({"node": "b", "component": "other"}), "b").where("component = other")
+    return inside.groupBy("component").applyInArrow(_back_edges, "cycle array<string>").distinct()
 
 
-def _back_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cycles that a depth-first walk of all edges (from, to) meets."""
+def components(edges: DataFrame, finish: int = strong.FINISH) -> DataFrame:
+    """(project, component, size): projects that depend on themselves over others, by the least of those that they share
+    their cycles with; names in lower case."""
+    parts = strong.components(edges.select(F.lower("from").alias("a"), F.lower("to").alias("b")), finish)
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return parts.join(sizes, "component").select(F.col("node").alias("project"), "component", "size")
+
+
+def _back_edges(edges: pa.Table) -> pa.Table:
+    """The cycles that a depth-first walk of one component's edges (from, to; a and b in lower case) meets."""
     written: dict[str, str] = {}
     after: dict[str, list[str]] = {}
-    rows = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    for a, b in rows:
-        written.setdefault(a.lower(), a)
-        after.setdefault(a.lower(), []).append(b.lower())
-    for _, b in rows:
-        written.setdefault(b.lower(), b)
-    out, settled = [], set()
-    for first in sorted(after):
-        if first in settled:
-            continue
-        place, path, todo = {first: 0}, [first], [iter(dict.fromkeys(after[first]))]
-        while path:
-            to = next(todo[-1], None)
-            if to is None:
-                settled.add(path[-1])
-                del place[path.pop()]
-                todo.pop()
-            elif to in place:
-                ring = path[place[to] :]
-                at = ring.index(min(ring, key=written.__getitem__))
-                ring = ring[at:] + ring[:at]
-                out.append([written[x] for x in [*ring, ring[0]]])
-            elif to not in settled:
-                place[to] = len(path)
-                path.append(to)
-                todo.append(iter(dict.fromkeys(after.get(to, ()))))
-    yield pa.record_batch([pa.array(out, pa.list_(pa.string()))], ["cycle"])
+    for name, _, a, b in sorted(zip(*(edges.column(c).to_pylist() for c in ("from", "to", "a", "b")), strict=True)):
+        written.setdefault(a, name)
+        after.setdefault(a, []).append(b)
+    first = min(after)
+    out, settled, place, path, todo = [], set(), {first: 0}, [first], [iter(dict.fromkeys(after[first]))]
+    while path:
+        to = next(todo[-1], None)
+        if to is None:
+            settled.add(path[-1])
+            del place[path.pop()]
+            todo.pop()
+        elif to in place:
+            ring = path[place[to] :]
+            at = ring.index(min(ring, key=written.__getitem__))
+            ring = ring[at:] + ring[:at]
+            out.append([written[x] for x in [*ring, ring[0]]])
+        elif to not in settled:
+            place[to] = len(path)
+            path.append(to)
+            todo.append(iter(dict.fromkeys(after[to])))
+    return pa.table([pa.array(out, pa.list_(pa.string()))], ["cycle"])
 
 
 def _named(name: str, df: DataFrame, ord_: int, summary: Column, detail: str) -> DataFrame:

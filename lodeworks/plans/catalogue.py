@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
-from lodeworks.operators import assessment, blockmax, characterize, chunking, csharp, diagrams, history, ledger, lines, many, packages, projects, prompts, retrieval, risk, typegraph
+from lodeworks.operators import assessment, blockmax, characterize, chunking, csharp, cycles, diagrams, history, ledger, lines, many, packages, projects, prompts, retrieval, risk, typegraph
 from lodeworks.plans import assess, ingest
 from lodeworks.shipping import kept, scratch
 from lodeworks.sources import files as files_source
@@ -741,6 +741,39 @@ def project_cycles(spark, d):
     return cycle_table(spark, d).select(F.array_join("cycle", " -> ").alias("cycle"))
 
 
+SQL_WEB = """web AS (SELECT DISTINCT 'p' || l_partkey AS a, 'p' || b AS b FROM (SELECT l_partkey, (l_partkey // 50 * 50 + sum(l_orderkey * 7 + l_suppkey) % 120)::BIGINT AS b
+  FROM lineitem GROUP BY l_partkey, l_returnflag) WHERE b IN (SELECT p_partkey FROM part)),
+reach(a, b) AS (SELECT a, b FROM web UNION SELECT r.a, w.b FROM reach r JOIN web w ON w.a = r.b),
+parts AS (SELECT r.a AS project, min(r.b) AS component FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a)"""
+
+
+def web_table(spark: SparkSession, d: str) -> DataFrame:
+    """A graph with several references a project, among its neighbours by number and to those of the next fifty."""
+    key = F.col("l_partkey")
+    refs = read(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.sum(F.col("l_orderkey") * 7 + F.col("l_suppkey")).alias("x"))
+    refs = refs.select(F.concat(F.lit("P"), key).alias("from"), F.concat(F.lit("P"), (F.floor(key / 50) * 50 + F.col("x") % 120).cast("long")).alias("to"))
+    return projects.edges(refs, read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name")))
+
+
+@query(f"WITH RECURSIVE {SQL_WEB} SELECT project, component, count(*) OVER (PARTITION BY component) AS size FROM parts")
+def project_components(spark, d):
+    """Projects that depend on themselves, by strongly connected component; by joins alone at any size."""
+    return projects.components(web_table(spark, d), finish=0)
+
+
+@query(f"""WITH RECURSIVE {SQL_WEB},
+inner_edges AS (SELECT w.a, w.b, p.component AS root FROM web w JOIN parts p ON p.project = w.a JOIN parts q ON q.project = w.b AND q.component = p.component),
+back(node, root, d) AS (SELECT DISTINCT root, root, 0 FROM inner_edges UNION SELECT e.a, e.root, k.d + 1 FROM back k JOIN inner_edges e ON e.b = k.node WHERE e.a <> e.root AND k.d < 60),
+dist AS (SELECT node, root, min(d) AS d FROM back GROUP BY node, root),
+steps AS (SELECT e.a, e.root, arg_min(e.b, (t.d, e.b)) AS b FROM inner_edges e JOIN dist t ON t.node = e.b GROUP BY e.a, e.root),
+walk(root, path) AS (SELECT root, [root, b] FROM steps WHERE a = root UNION ALL SELECT w.root, list_append(w.path, s.b) FROM walk w JOIN steps s ON s.a = w.path[-1] AND s.a <> s.root)
+SELECT root, array_to_string(path, ' -> ') AS cycle FROM walk WHERE path[-1] = root""")
+def shortest_cycles(spark, d):
+    """The shortest cycle through the least project of each component, of equal ones the first by names."""
+    e = web_table(spark, d).select(F.lower("from").alias("a"), F.lower("to").alias("b"))
+    return cycles.shortest(e).select("root", F.array_join("cycle", " -> ").alias("cycle"))
+
+
 @query(f"WITH {SQL_REFERENCES} SELECT a AS \"from\", string_agg(b, ',' ORDER BY b) AS targets, count(*) AS degree FROM refs_all GROUP BY a")
 def adjacency(spark, d):
     """Outgoing neighbours."""

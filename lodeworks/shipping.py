@@ -46,6 +46,12 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later plan reads."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's name in the shared folder; what is written there goes when the driver ends."""
     path = f"{work_folder(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
