@@ -757,8 +757,9 @@ def web_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SQL_WEB} SELECT project, component, count(*) OVER (PARTITION BY component) AS size FROM parts")
 def project_components(spark, d):
-    """Projects that depend on themselves, by strongly connected component; by joins alone at any size."""
-    return projects.components(web_table(spark, d), finish=0)
+    """Projects that depend on themselves, by strongly connected component. One task finishes a thousand edges at
+    most, so the rounds of joins run on small tables too."""
+    return projects.components(web_table(spark, d), finish=1000)
 
 
 @query(f"""WITH RECURSIVE {SQL_WEB},
