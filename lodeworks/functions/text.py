@@ -33,13 +33,14 @@ ACCENTED, PLAIN = _accents()
 
 
 def fold(text: Column) -> Column:
-    """Lower case, Latin accents removed."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, Latin accents removed; a text of ASCII alone has none to look for."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def index_terms(text: Column) -> Column:
     """Terms of a document for full-text search: folded runs of letters and digits."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{Nd}]+"), lambda x: x != "")
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{Nd}]+"), "")
 
 
 def query_terms(text: Column) -> Column:

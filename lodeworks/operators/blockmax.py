@@ -66,7 +66,7 @@ class BlockIndex:
 
     def weights(self, terms: list[str]) -> DataFrame:
         """(term, idf, avgdl): a row for each term of the question that some chunk has. Counts come from the blocks."""
-        stats = self._table("stats").select("n", (F.col("terms") / F.col("texts")).alias("avgdl"))
+        stats = self._table("stats").select("n", F.try_divide("terms", "texts").alias("avgdl"))
         df = self._table("blocks").where(F.col("term").isin(terms)).groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return df.crossJoin(F.broadcast(stats)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")

@@ -10,6 +10,8 @@ from lodeworks.functions.vectors import cosine_to, rrf
 
 FLOOR, PER_FILE, TRUSTED_RANK, RRF_K, OVERFETCH = 0.52, 3, 5, 60, 4
 K1, B = 1.2, 0.75
+#: A term and its repeats in a string of sorted terms; possessive, so that Java's matcher does not recurse.
+RUN = r"(\S+)(?: \1(?= |$))*+"
 
 
 def vector_topk(chunks: DataFrame, probe: list[float], k: int) -> DataFrame:
@@ -22,16 +24,17 @@ def vector_topk(chunks: DataFrame, probe: list[float], k: int) -> DataFrame:
 def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(id, term, tf, doc_len), and the columns to keep: a row for each term of each chunk.
 
-    Terms are counted within their chunk, by the runs of its sorted terms, so nothing is shuffled.
+    Terms are counted within their chunk, so nothing is shuffled: the sorted terms are one string, of which a run of one
+    term is a match, and the run's length by the term's is its count. Native functions only, as a lambda is interpreted
+    for each term; no row that is made carries the chunk's terms, and the outer form of explode keeps Spark from asking
+    beforehand whether there are any, which would find them all once more.
     """
     keep = keep or []
-    terms = chunks.select("id", *keep, F.array_sort(index_terms(F.col("content"))).alias("s")).where(F.size("s") > 0)
-    at = F.sequence(F.lit(0), F.size("s") - 1)
-    starts = F.filter(at, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    runs = terms.select("id", *keep, "s", F.size("s").alias("doc_len"), starts.alias("from"))
-    ends = F.concat(F.slice("from", F.lit(2), F.size("from")), F.array("doc_len"))
-    rows = runs.select("id", *keep, "s", "doc_len", F.explode(F.arrays_zip(F.col("from"), ends.alias("to"))).alias("r"))
-    return rows.select("id", F.get("s", F.col("r.from")).alias("term"), (F.col("r.to") - F.col("r.from")).cast("long").alias("tf"), "doc_len", *keep)
+    terms = chunks.select("id", *keep, F.sort_array(index_terms(F.col("content"))).alias("s"))
+    found = terms.select("id", *keep, F.size("s").alias("doc_len"), F.regexp_extract_all(F.array_join("s", " "), F.lit(RUN), F.lit(0)).alias("runs"))
+    runs = found.select("id", *keep, "doc_len", F.explode_outer("runs").alias("run")).where("run is not null").select("id", *keep, "doc_len", "run", F.substring_index("run", " ", 1).alias("term"))
+    tf = ((F.octet_length("run") + 1) / (F.octet_length("term") + 1)).cast("long")
+    return runs.select("id", "term", tf.alias("tf"), "doc_len", *keep)
 
 
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ class TextIndex:
     def stats(self) -> DataFrame:
         """One row: n, avgdl."""
         s = self.spark.read.parquet(*[f"{f}/stats" for f in self.folders])
-        return s.agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("texts")).alias("avgdl"))
+        return s.agg(F.sum("n").alias("n"), F.try_divide(F.sum("terms"), F.sum("texts")).alias("avgdl"))
 
 
 class Index:

@@ -136,3 +136,15 @@ def test_blocks_equal_a_scan(spark, tmp_path):
     assert few.read < few.bounds.count() / 4
     empty = BlockIndex(spark, f"{tmp_path}/empty").write(chunks.limit(0))
     assert not empty.ask(["w1"], 5).top.collect()
+
+
+def test_postings_find_the_terms_once(spark):
+    """No lambda a term, no filter that finds the terms once more, and a word repeated very often is one match."""
+    rows = [(1, "b a b é E_e a1 b"), (2, "w " * 30_000 + "w2"), (3, ""), (4, None), (5, " ,. "), (6, "ab a abc ab")]
+    made = R.postings(spark.createDataFrame(rows, "id long, content string"))
+    got = {(r.id, r.term): (r.tf, r.doc_len) for r in made.collect()}
+    want = {(1, "b"): (3, 8), (1, "a"): (1, 8), (1, "e"): (3, 8), (1, "a1"): (1, 8)}
+    want |= {(2, "w"): (30_000, 30_001), (2, "w2"): (1, 30_001), (6, "ab"): (2, 4), (6, "a"): (1, 4), (6, "abc"): (1, 4)}
+    assert got == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("split(") == 1
