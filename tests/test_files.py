@@ -316,3 +316,16 @@ def test_followed_directory(spark, tmp_path):
     for f in root.rglob("*.cs"):
         f.unlink()
     assert run()[1] == {}
+
+
+def test_put_writes_files_in_place(spark, tmp_path):
+    """A file a row, without Hadoop's commit: no checksum or marker beside it, and once more is the same."""
+    from lodeworks.sources.files import put
+
+    rows = [(f"source=a b/lang=é%/part={i}/part-0.txt", f"x{i}\n\né\n") for i in range(30)] + [("empty.txt", "")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    for root in (str(tmp_path / "tree"), f"file://{tmp_path}/tree"):
+        assert put(files, root) == 31
+        found = {str(p.relative_to(tmp_path / "tree")): p.read_bytes().decode() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
+        assert found == dict(rows)
+    assert put(files.limit(0), str(tmp_path / "tree")) == 0
