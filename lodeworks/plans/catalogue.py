@@ -760,7 +760,7 @@ def web_table(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {SQL_WEB} SELECT project, component, count(*) OVER (PARTITION BY component) AS size FROM parts")
 def project_components(spark, d):
     """Projects that depend on themselves, by strongly connected component. One task finishes a thousand edges at
-    most, so the rounds of joins run from sf0.01 on; at sf0.001 all edges are fewer."""
+    most, so blocks run from sf0.01 on; at sf0.001 all edges are fewer."""
     return projects.components(web_table(spark, d), finish=1000)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from lodeworks.operators import cycles
@@ -61,3 +62,52 @@ def test_no_cycle_and_no_rows(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "a string, b string")
     for finish in (0, 10):
         assert cycles.shortest(df, finish).count() == 0 and cycles.components(df.limit(0), finish).count() == 0
+
+
+def thick(n, r):
+    """A deep graph, in which every node leads to near ones and, rarely, back."""
+    return [(f"t{k}", f"t{min(n - 1, max(0, k + r.randrange(-2, 9)))}") for k in range(n) for _ in range(2)]
+
+
+@pytest.mark.parametrize("block", [40, 200])
+def test_blocks_as_one_task(spark, block, monkeypatch):
+    """A deep graph is cut into blocks until one task can finish it; labels, a round for each step down, are asked only
+    where blocks are so small that most of their nodes are ends."""
+    edges = thick(300, random.Random(5)) + [("hub", f"t{k}") for k in range(0, 300, 3)] + [("t7", "hub"), ("lone", "lone")]
+    df = spark.createDataFrame([*edges, (None, "q"), ("p", None)], "a string, b string")
+    want, rings = cycles._search(df, cycles.FINISH, True)
+    want, best = sorted(map(tuple, want.collect())), sorted(map(tuple, rings.collect()))
+    assert 1 < len({c for _, c in want})
+    if block == 200:
+        monkeypatch.setattr(cycles, "_labels", None)
+    members, rings = cycles._search(df, 300, True, block)
+    assert sorted(map(tuple, members.collect())) == want
+    monkeypatch.undo()
+    assert sorted(map(tuple, rings.collect())) == best
+
+
+def test_a_block_keeps_ways_through(spark):
+    """Whatever the cut and the form that a block leaves, ways between its ends stay as they were."""
+    r = random.Random(9)
+    for _ in range(60):
+        edges = {(f"n{r.randrange(14):02}", f"n{r.randrange(14):02}") for _ in range(20)}
+        ends = [(f"n{k:02}", None) for k in r.sample(range(14), 5)] + [(None, f"n{k:02}") for k in r.sample(range(14), 5)]
+        rows = [*edges, *ends]
+        out = cycles._contract("h0:", pa.table([pa.array([3] * len(rows), pa.int32()), *(pa.array([e[k] for e in rows], pa.string()) for k in (0, 1))], ["block", "a", "b"])).to_pylist()
+        before, after = reach(edges), reach({(o["a"], o["b"]) for o in out if o["kind"] == "edge"})
+        came, gone = ({o["a"]: o["b"] for o in out if o["kind"] == k} for k in ("entry", "exit"))
+        for b in (e[1] for e in ends if e[0] is None):
+            for a in (e[0] for e in ends if e[1] is None):
+                there = a == b or a in before.get(b, ())
+                assert there == (b in came and a in gone and (came[b] == gone[a] or gone[a] in after.get(came[b], ())))
+
+
+def reach(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    while True:
+        new = {a: bs.union(*(out.get(b, ()) for b in bs)) for a, bs in out.items()}
+        if new == out:
+            return out
+        out = new
