@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.operators.retrieval import K1, B, corpus_stats, postings
+from lodeworks.operators.retrieval import K1, B, placed, postings, stored_stats
 from lodeworks.shipping import kept
 
 #: Chunks of a block as a power of two, where the caller names none; blocks of the first two rounds (the third reads all that are left).
@@ -50,15 +50,15 @@ class BlockIndex:
         """Index chunks (id, content). block: the whole number of a chunk's block, else chunks are dealt in order (id)."""
         if block is None:
             order = order or ["id"]
-            placed = chunks.select("id", "content", *[c for c in order if c not in ("id", "content")]).repartitionByRange(*order).sortWithinPartitions(*order)
-            numbered = placed.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+            dealt = chunks.select("id", "content", *[c for c in order if c not in ("id", "content")]).repartitionByRange(*order).sortWithinPartitions(*order)
+            numbered = dealt.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
         else:
             numbered = chunks.select("id", "content", block.cast("long").alias("block"))
-        rows = postings(numbered, keep=["block"]).repartitionByRange("term", "block").sortWithinPartitions("term", "block", "id")
-        rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 4096).parquet(f"{self.folder}/postings")
-        most = self._table("postings").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("doc_len").alias("doc_len"))
+        pages = {"parquet.block.size": 8 << 20, "parquet.page.row.count.limit": 4096}
+        rows = placed(postings(numbered, keep=["block"]), f"{self.folder}/postings", ["term", "block"], ["id"], "overwrite", **pages)
+        most = rows.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("doc_len").alias("doc_len"))
         most.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{self.folder}/blocks")
-        corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats")  # one row
+        stored_stats(chunks, rows).write.mode("overwrite").parquet(f"{self.folder}/stats")
         return self
 
     def _table(self, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ class BlockIndex:
 
     def weights(self, terms: list[str]) -> DataFrame:
         """(term, idf, avgdl): a row for each term of the question that some chunk has. Counts come from the blocks."""
-        stats = self._table("stats").select("n", F.try_divide("terms", "texts").alias("avgdl"))
+        stats = self._table("stats").select("n", (F.col("terms") / F.nullif(F.col("texts"), F.lit(0))).alias("avgdl"))
         df = self._table("blocks").where(F.col("term").isin(terms)).groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return df.crossJoin(F.broadcast(stats)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")

@@ -94,7 +94,7 @@ def top_lists(chunks: DataFrame, questions: DataFrame, k: int, index: tuple[Data
     empty probes and null embeddings have no vector list, questions without terms no text list.
     """
     ship(chunks.sparkSession)
-    posts, stats = index or (postings(chunks), corpus_stats(chunks).select("n", F.try_divide("terms", "texts").alias("avgdl")))
+    posts, stats = index or (postings(chunks), corpus_stats(chunks).select("n", (F.col("terms") / F.nullif(F.col("texts"), F.lit(0))).alias("avgdl")))
     asked = questions.select("qid", F.explode("terms").alias("term"))
     mine = posts.join(asked.select("term").distinct(), "term", "left_semi").select("id", "term", "tf", "doc_len")
     corpus = stats.first()  # one row

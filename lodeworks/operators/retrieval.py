@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import index_terms
 from lodeworks.functions.vectors import cosine_to, rrf
+from lodeworks.shipping import discard, scratch
 
 FLOOR, PER_FILE, TRUSTED_RANK, RRF_K, OVERFETCH = 0.52, 3, 5, 60, 4
 K1, B = 1.2, 0.75
@@ -27,7 +28,8 @@ def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Terms are counted within their chunk, so nothing is shuffled: the sorted terms are one string, of which a run of one
     term is a match, and the run's length by the term's is its count. Native functions only, as a lambda is interpreted
     for each term; no row that is made carries the chunk's terms, and the outer form of explode keeps Spark from asking
-    beforehand whether there are any, which would find them all once more.
+    beforehand whether there are any, which would find them all once more. A table that is sorted by ranges is made by
+    ``placed``, as the sample of the ranges would find them again, too.
     """
     keep = keep or []
     terms = chunks.select("id", *keep, F.sort_array(index_terms(F.col("content"))).alias("s"))
@@ -37,12 +39,30 @@ def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return runs.select("id", "term", tf.alias("tf"), "doc_len", *keep)
 
 
+def placed(rows: DataFrame, path: str, order: list[str], within: list[str], mode: str = "errorifexists", **options: object) -> DataFrame:
+    """rows as a table dealt by ranges of some columns, and sorted by them and more within. The rows are made once, as a
+    plain table that then goes; the sample of the ranges reads that, and would make them all once more else."""
+    spark = rows.sparkSession
+    plain = scratch(spark, "plain")
+    rows.write.parquet(plain)
+    again = spark.read.schema(rows.schema).parquet(plain)
+    again.repartitionByRange(*order).sortWithinPartitions(*order, *within).write.mode(mode).options(**options).parquet(path)
+    discard(spark, plain)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """n, the chunks, texts, those with a content, and terms, theirs in all: one row, or one for each group."""
     size = F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content"))))
     return chunks.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("terms"), F.count("content").alias("texts"))
 
 
+def stored_stats(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """``corpus_stats`` of chunks whose stored postings are rows: their counts add up to the terms, so no text is split."""
+    counts = chunks.agg(F.count(F.lit(1)).alias("n"), F.count("content").alias("texts"))
+    return counts.crossJoin(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))).select("n", "terms", "texts").coalesce(1)  # one row
+
+
 def indexed_topk(index: DataFrame, stats: DataFrame, terms: list[str], k: int) -> DataFrame:
     """``bm25_topk`` from stored postings and statistics (n, avgdl): only the postings of the question's terms are read."""
     if not terms:

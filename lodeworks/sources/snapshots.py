@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.functions.text import index_terms
-from lodeworks.operators.retrieval import corpus_stats, postings
+from lodeworks.operators.retrieval import placed, postings, stored_stats
 
 CHUNKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 LEDGER = T.StructType([T.StructField("path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_count", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
@@ -28,6 +28,7 @@ POSTINGS = T.StructType([T.StructField("id", T.StringType()), T.StructField("ter
 SCHEMAS, PATHS = {"chunks": CHUNKS, "ledger": LEDGER, "postings": POSTINGS}, {"chunks": "file_path", "ledger": "path"}
 #: Segments of a size class that are merged into one; commits that the pointer file remembers; bytes of vectors that are broadcast.
 FAN, LOG, VECTOR_BYTES = 4, 64, 48 << 20
+ROW_GROUPS = {"parquet.block.size": 8 << 20}
 DELETES = "vector string, segment string, word long, bits long, rows long, terms long, texts long"
 
 
@@ -51,9 +52,8 @@ class TextIndex:
     def write(self, chunks: DataFrame) -> TextIndex:
         """Index chunks (id, content) in the one folder."""
         (folder,) = self.folders
-        rows = postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-        rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
-        corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+        rows = placed(postings(chunks), f"{folder}/postings", ["term", "id"], [], "overwrite", **ROW_GROUPS)
+        stored_stats(chunks, rows).write.mode("overwrite").parquet(f"{folder}/stats")
         return self
 
     def postings(self) -> DataFrame:
@@ -63,7 +63,7 @@ class TextIndex:
     def stats(self) -> DataFrame:
         """One row: n, avgdl."""
         s = self.spark.read.parquet(*[f"{f}/stats" for f in self.folders])
-        return s.agg(F.sum("n").alias("n"), F.try_divide(F.sum("terms"), F.sum("texts")).alias("avgdl"))
+        return s.agg(F.sum("n").alias("n"), (F.sum("terms") / F.nullif(F.sum("texts"), F.lit(0))).alias("avgdl"))
 
 
 class Index:
@@ -119,14 +119,15 @@ class Index:
         """Write a segment; what it holds."""
         at = {t: f"{self.folder}/{t}/segment={segment}" for t in SCHEMAS}
         terms = F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content")))).cast("int")
-        for table, rows, order in (("chunks", chunks.select(*CHUNKS.names, terms.alias("terms")), ["file_path", "start_line", "id"]), ("ledger", ledger.select(LEDGER.names), ["path"])):
-            rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()).write.parquet(at[table])
+        # terms are counted behind the exchange, as the sample of its ranges makes all that lies before it once more
+        for table, rows, more, order in (("chunks", chunks.select(CHUNKS.names), [terms.alias("terms")], ["file_path", "start_line", "id"]), ("ledger", ledger.select(LEDGER.names), [], ["path"])):
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", *more, F.monotonically_increasing_id().alias("doc")).write.parquet(at[table])
         new = self.spark.read.schema(T.StructType([*CHUNKS.fields, T.StructField("terms", T.IntegerType()), T.StructField("doc", T.LongType())])).parquet(at["chunks"])
         n = new.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"), F.count("terms").alias("texts")).first()
         entries = self.spark.read.schema(LEDGER).parquet(at["ledger"]).count()
         if n.chunks:
             rows = postings(new.select("id", "content", "doc"), keep=["doc"]).select(*POSTINGS.names, "doc")
-            rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(at["postings"])
+            placed(rows, at["postings"], ["term", "id"], [], **ROW_GROUPS)
         return {"chunks": n.chunks, "ledger": entries, "terms": n.terms, "texts": n.texts, "dead_chunks": 0, "dead_ledger": 0, "dead_terms": 0, "dead_texts": 0}
 
     def _delete(self, name: str, current: dict, gone: DataFrame) -> dict | None:

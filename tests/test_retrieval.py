@@ -148,3 +148,37 @@ def test_postings_find_the_terms_once(spark):
     assert got == want
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and plan.count("split(") == 1
+
+
+def test_an_index_reads_its_texts_twice(spark, tmp_path):
+    """Once for the postings and once to count the texts: the sample of the ranges and the sum of terms read what was written."""
+    from lodeworks.operators.blockmax import BlockIndex
+    from lodeworks.sources.snapshots import TextIndex
+
+    for name, kind in (("text", TextIndex), ("blocks", BlockIndex)):
+        log = str(tmp_path / f"{name}.log")
+
+        def noted(batches, log=log):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write("read\n" * b.num_rows)
+                yield b
+
+        rows = spark.range(6).select("id", F.when(F.col("id") < 4, F.concat(F.lit("a b a w"), "id")).when(F.col("id") < 5, "").alias("content"))
+        chunks = rows.coalesce(1).mapInArrow(noted, "id long, content string")
+        index = kind(spark, f"{tmp_path}/{name}").write(chunks, *([F.col("id")] if kind is BlockIndex else []))
+        with open(log) as f:
+            assert len(f.readlines()) <= 2 * 6
+        assert tuple(spark.read.parquet(f"{tmp_path}/{name}/stats").select("n", "terms", "texts").first()) == (6, 16, 5)
+        found = spark.read.parquet(f"{tmp_path}/{name}/postings")
+        assert found.count() == 12 and found.where("term = 'a'").agg(F.sum("tf")).first()[0] == 8
+        assert index is not None
+
+
+def test_no_text_has_no_mean_length(spark, tmp_path):
+    from lodeworks.operators.blockmax import BlockIndex
+    from lodeworks.sources.snapshots import TextIndex
+
+    none = spark.createDataFrame([(1, None)], "id long, content string")
+    assert tuple(TextIndex(spark, f"{tmp_path}/t").write(none).stats().first()) == (1, None)
+    assert BlockIndex(spark, f"{tmp_path}/b").write(none.limit(0)).weights(["w"]).collect() == []
