@@ -167,3 +167,13 @@ def test_characterize(tmp_path, monkeypatch):
     v = characterize.run("sample_values")
     assert {t.name for t in v.targets} == {"day", "at", "twice", "name", "size"} and len(v.cases) == 11 and not v.failed and not v.skipped
     assert len(characterize.cases([int, str, bool], 6)) == 4 and characterize.cases([]) == [[]]
+
+
+def test_files_of_one_task_are_parsed_by_several(spark):
+    """A scan of one task deals its files out by path before they are parsed."""
+    from lodeworks.operators import csharp
+
+    files = spark.range(400).coalesce(1).selectExpr("concat('T', id, '.cs') AS path", "concat('class T', id, ' { int M() { return 1; } }') AS content")
+    for made in (csharp.types(files), csharp.metrics(files)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInPandas") < plan.index("hashpartitioning(path") and made.count() == 400
