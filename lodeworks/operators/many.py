@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.operators.retrieval import FLOOR, K1, OVERFETCH, PER_FILE, TRUSTED_RANK, B, corpus_stats, fuse, postings, rank, trust
-from lodeworks.shipping import ship
+from lodeworks.shipping import kept, ship
 
 #: Chunks and questions of a tile; bytes of a side that may be broadcast.
 TILE_CHUNKS, TILE_QUESTIONS, BROADCAST_BYTES = 4096, 512, 48 << 20
@@ -43,7 +43,7 @@ def _tile(k: int, avgdl: float):
             out.extend((qid[q], kind, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True))
 
         asks = [i for i, p in enumerate(questions.column("probe").to_pylist()) if p]
-        own = chunks.filter(pc.is_valid(chunks.column("embedding")))
+        own = chunks.filter(pc.is_null(chunks.column("term")))
         if asks and len(own):
             probes = np.array([questions.column("probe")[i].as_py() for i in asks], np.float64)
             flat = own.column("embedding").combine_chunks()
@@ -108,7 +108,8 @@ def top_lists(chunks: DataFrame, questions: DataFrame, k: int, index: tuple[Data
     deal = lambda c, m, name: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias(name)
     null = lambda t: F.lit(None).cast(t)
     vectors = chunks.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"), null("string").alias("term"), null("long").alias("tf"), null("int").alias("doc_len"))
-    left = vectors.unionByName(mine.select("id", null("array<double>").alias("embedding"), "term", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("int").alias("doc_len")))
+    # an empty vector, as Arrow's writer goes over all nulls of a batch again at each row of a list column
+    left = vectors.unionByName(mine.select("id", F.array().cast("array<double>").alias("embedding"), "term", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("int").alias("doc_len")))
     left = left.select("*", deal("id", tiles, "tile"), every(parts, "part"))
     right = questions.select("qid", F.col("probe").cast("array<double>").alias("probe")).join(rated, "qid", "left")
     right = right.select("*", deal("qid", parts, "part")).select("*", every(tiles, "tile"))
@@ -122,7 +123,7 @@ def top_lists(chunks: DataFrame, questions: DataFrame, k: int, index: tuple[Data
 def retrieve_many(chunks: DataFrame, questions: DataFrame, k: int = 6, floor: float = FLOOR, per_file: int = PER_FILE, trusted_rank: int = TRUSTED_RANK, index: tuple[DataFrame, DataFrame] | None = None, **tiles: int) -> DataFrame:
     """What ``retrieval.retrieve`` gives for each question (qid, probe, terms): its k best chunks, with qid."""
     wide = k * OVERFETCH
-    lists = top_lists(chunks, questions, wide, index, **tiles)
+    lists = kept(top_lists(chunks, questions, wide, index, **tiles), "lists")  # both sides read them
     side = lambda kind: lists.where(F.col("kind") == kind).select("qid", "id", "score", "rank")
     hits = trust(fuse(side("vector"), side("text"), by=["qid"]), floor, trusted_rank)
     few = questions.count() * 2 * wide * 64 <= BROADCAST_BYTES  # at most two lists of each question

@@ -182,3 +182,19 @@ def test_no_text_has_no_mean_length(spark, tmp_path):
     none = spark.createDataFrame([(1, None)], "id long, content string")
     assert tuple(TextIndex(spark, f"{tmp_path}/t").write(none).stats().first()) == (1, None)
     assert BlockIndex(spark, f"{tmp_path}/b").write(none.limit(0)).weights(["w"]).collect() == []
+
+
+def test_tiles_run_once_and_send_no_null_lists(spark):
+    """Arrow's writer goes over the nulls of a list column at each row, so postings carry an empty list."""
+    import pyarrow as pa
+
+    from lodeworks.operators import many
+
+    lists = pa.list_(pa.float64())
+    chunks = pa.table({"id": [1, 2, 1], "embedding": pa.array([[1.0, 0.0], [], []], lists), "term": [None, "a", "a"], "tf": [None, 1, 2], "doc_len": pa.array([None, 3, 3], pa.int32())})
+    questions = pa.table({"qid": [7], "probe": pa.array([[1.0, 0.0]], lists), "terms": [[{"term": "a", "idf": 1.0}]]})
+    got = many._tile(5, 3.0)(chunks, questions)
+    assert list(zip(got["kind"].to_pylist(), got["id"].to_pylist(), strict=True)) == [("vector", 1), ("text", 1), ("text", 2)]
+    rows = spark.createDataFrame([(1, "f", "a b", [1.0, 0.0]), (2, "g", "b", None)], "id long, file_path string, content string, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], ["a"])], "qid long, probe array<double>, terms array<string>")
+    assert "CoGroup" not in many.retrieve_many(rows, asked)._jdf.queryExecution().optimizedPlan().toString()
