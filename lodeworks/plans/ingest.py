@@ -43,11 +43,12 @@ def ingest_files(found: DataFrame, index: Index, embedder: Embedder | None = Non
     batches = max(1, -(-work // batch_files)) if batch_files else 1
     for b in range(batches):
         mine = F.pmod(F.xxhash64("path"), F.lit(batches)) == b
-        todo = now.join(states.where(F.col("status").isin("new", "changed") & mine).select("path"), "path", "left_semi")
+        fresh = states.where(F.col("status").isin("new", "changed") & mine)
+        todo = now.join(fresh.select("path"), "path", "left_semi")
         new = chunking.chunks(todo).withColumn("embedding", embed(embedding_text(F.col("file_path"), F.col("content")), embedder)).persist()
         gone = states.where((F.col("status").isin("new", "changed") & mine) | ((F.col("status") == "vanished") & F.lit(b == 0))).select("path")
         per_file = new.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
-        done = todo.select("path", "content_hash").join(per_file, "path", "left").select("path", "content_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
+        done = fresh.select("path", "content_hash").join(per_file, "path", "left").select("path", "content_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
         made += new.count()
         index.replace(gone, new, done)
         new.unpersist()

@@ -329,3 +329,27 @@ def test_put_writes_files_in_place(spark, tmp_path):
         found = {str(p.relative_to(tmp_path / "tree")): p.read_bytes().decode() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
         assert found == dict(rows)
     assert put(files.limit(0), str(tmp_path / "tree")) == 0
+
+
+def test_embedding_hashes_a_word_once(monkeypatch):
+    """Repeats of a word are looked up; vectors are those of adding its parts one by one."""
+    import zlib
+
+    import numpy as np
+
+    from lodeworks.functions import embedding
+
+    texts = ["fooBar foo fooBar", "", "Foo_bar HTTPServer2 é foo", "foo " * 500]
+    want = np.zeros((4, 16), np.float32)
+    parts = [["foobar", "foo", "bar", "foo", "foobar", "foo", "bar"], [], ["foo_bar", "foo", "bar", "httpserver2", "http", "server", "2", "é", "foo"], ["foo"] * 500]
+    for row, own in enumerate(parts):
+        for part in own:
+            h = zlib.crc32(part.encode())
+            want[row, h % 16] += 1 if h >> 31 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    hashed, crc = [], zlib.crc32
+    monkeypatch.setattr(embedding.zlib, "crc32", lambda b: hashed.append(b) or crc(b))
+    assert np.array_equal(HashEmbedder(16).embed(texts), want)
+    assert len(hashed) == 12
+    monkeypatch.setattr(embedding, "KNOWN_WORDS", 2, raising=False)
+    assert np.array_equal(HashEmbedder(16).embed(texts), want)
