@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import index_terms
 from lodeworks.functions.vectors import cosine_to, rrf
-from lodeworks.shipping import discard, scratch
 
 FLOOR, PER_FILE, TRUSTED_RANK, RRF_K, OVERFETCH = 0.52, 3, 5, 60, 4
 K1, B = 1.2, 0.75
+#: Files at most that a frequent term's postings are dealt to.
+SPREAD = 8
 #: A term and its repeats in a string of sorted terms; possessive, so that Java's matcher does not recurse.
 RUN = r"(\S+)(?: \1(?= |$))*+"
 
@@ -28,8 +29,7 @@ def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Terms are counted within their chunk, so nothing is shuffled: the sorted terms are one string, of which a run of one
     term is a match, and the run's length by the term's is its count. Native functions only, as a lambda is interpreted
     for each term; no row that is made carries the chunk's terms, and the outer form of explode keeps Spark from asking
-    beforehand whether there are any, which would find them all once more. A table that is sorted by ranges is made by
-    ``placed``, as the sample of the ranges would find them again, too.
+    beforehand whether there are any, which would find them all once more. ``placed`` makes the sorted table.
     """
     keep = keep or []
     terms = chunks.select("id", *keep, F.sort_array(index_terms(F.col("content"))).alias("s"))
@@ -40,15 +40,11 @@ def postings(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def placed(rows: DataFrame, path: str, order: list[str], within: list[str], mode: str = "errorifexists", **options: object) -> DataFrame:
-    """rows as a table dealt by ranges of some columns, and sorted by them and more within. The rows are made once, as a
-    plain table that then goes; the sample of the ranges reads that, and would make them all once more else."""
-    spark = rows.sparkSession
-    plain = scratch(spark, "plain")
-    rows.write.parquet(plain)
-    again = spark.read.schema(rows.schema).parquet(plain)
-    again.repartitionByRange(*order).sortWithinPartitions(*order, *within).write.mode(mode).options(**options).parquet(path)
-    discard(spark, plain)
-    return spark.read.schema(rows.schema).parquet(path)
+    """Postings as a table whose files are sorted by some columns and more. A term is dealt by its hash, and by one of its
+    ids' to at most ``SPREAD`` files; ranges need a sample, for which all that lies before it is made once more or stored."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).repartition("term", "_deal").drop("_deal")
+    dealt.sortWithinPartitions(*order, *within).write.mode(mode).options(**options).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:

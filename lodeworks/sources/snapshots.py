@@ -35,8 +35,7 @@ DELETES = "vector string, segment string, word long, bits long, rows long, terms
 class TextIndex:
     """Postings and corpus statistics of chunks, as Parquet tables in one or more folders.
 
-    Postings are dealt by ranges of terms and sorted, so a question's filter on its terms leaves few files and few row
-    groups to be read.
+    Postings are dealt by terms' hashes and sorted, so a question's filter on its terms leaves few row groups to be read.
     """
 
     def __init__(self, spark: SparkSession, *folders: str):

@@ -198,3 +198,24 @@ def test_tiles_run_once_and_send_no_null_lists(spark):
     rows = spark.createDataFrame([(1, "f", "a b", [1.0, 0.0]), (2, "g", "b", None)], "id long, file_path string, content string, embedding array<double>")
     asked = spark.createDataFrame([(7, [1.0, 0.0], ["a"])], "qid long, probe array<double>, terms array<string>")
     assert "CoGroup" not in many.retrieve_many(rows, asked)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_dealt_without_a_sample(spark, tmp_path):
+    """Each term is in a few files, each file is sorted, and no job but the write itself makes the rows."""
+    from lodeworks.sources.snapshots import TextIndex
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(300).select("id", F.concat(F.lit("all w"), F.col("id") % 7).alias("content")).repartition(4)
+    placed = R.placed(R.postings(rows).withColumn("term", counted("term")), str(tmp_path / "p"), ["term", "id"], [])
+    assert made.value == 600 and placed.count() == 600 and placed.distinct().count() == 600
+    for _, part in placed.withColumn("f", F.input_file_name()).withColumn("n", F.monotonically_increasing_id()).toPandas().groupby("f"):
+        at = list(part.sort_values("n")[["term", "id"]].itertuples(index=False, name=None))
+        assert at == sorted(at)
+    index = TextIndex(spark, str(tmp_path / "t")).write(rows)
+    assert index.postings().count() == 600 and index.stats().first().n == 300
