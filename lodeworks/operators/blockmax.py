@@ -39,8 +39,8 @@ def part(idf: Column, tf: Column, length: Column, avgdl: Column) -> Column:
 class BlockIndex:
     """Postings (term, block, id, tf, doc_len) sorted by term and block, blocks (term, block, n, tf, doc_len), and stats.
 
-    Tables are dealt by ranges of terms and blocks, so filters on both leave few row groups and pages to be read; a
-    frequent term is many blocks in many files.
+    Tables are dealt by hashes, a frequent term to some files, and sorted, so filters on terms and blocks leave few
+    row groups and pages to be read.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -57,7 +57,7 @@ class BlockIndex:
         pages = {"parquet.block.size": 8 << 20, "parquet.page.row.count.limit": 4096}
         rows = placed(postings(numbered, keep=["block"]), f"{self.folder}/postings", ["term", "block"], ["id"], "overwrite", **pages)
         most = rows.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("doc_len").alias("doc_len"))
-        most.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{self.folder}/blocks")
+        most.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{self.folder}/blocks")
         stored_stats(chunks, rows).write.mode("overwrite").parquet(f"{self.folder}/stats")
         return self
 
