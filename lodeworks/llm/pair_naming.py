@@ -50,8 +50,20 @@ def _codes_of(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, np.bincount(mine, minlength=len(words.dictionary)), codes
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as bytes, compressed: a shuffle's own codec finds little in whole numbers of four bytes."""
+    return pa.compress(codes.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(tokens: pa.Table) -> np.ndarray:
+    """The codes of a chunk's one row of them."""
+    if not len(tokens) or not (n := tokens.column("n")[0].as_py()):
+        return np.zeros(0, np.int32)
+    return np.frombuffer(pa.decompress(tokens.column("codes")[0].as_py(), 4 * n, "zstd"), "<i4")
+
+
 def _words(chunk_bytes: int, held_bytes: int):
-    """Rows of the first dictionaries: a row for each distinct word of a chunk, and one, code -1, that holds its codes."""
+    """Rows of the first dictionaries: a row for each distinct word of a chunk, and one, code -1, that holds its codes, of which there are n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -67,7 +79,7 @@ def _words(chunk_bytes: int, held_bytes: int):
                 k = len(part)
                 yield pa.record_batch([pa.array(np.full(k, chunk)), pa.array([lang] * k, pa.string()), pa.array(np.arange(a, a + k, dtype=np.int32)), part, pa.array(n[a : a + k]), pa.nulls(k, pa.binary())], ["chunk", "lang", "code", "word", "n", "codes"])
             if len(words):
-                yield pa.record_batch([pa.array([chunk]), pa.array([lang], pa.string()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([codes.tobytes()], pa.binary())], ["chunk", "lang", "code", "word", "n", "codes"])
+                yield pa.record_batch([pa.array([chunk]), pa.array([lang], pa.string()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([len(codes)]), pa.array([_packed(codes)], pa.binary())], ["chunk", "lang", "code", "word", "n", "codes"])
             chunk += 1
 
         for batch in batches:
@@ -89,7 +101,7 @@ def _words(chunk_bytes: int, held_bytes: int):
 
 def _pairs(tokens: pa.Table, names: pa.Table) -> pa.Table:
     """A chunk's next dictionary from its codes and the ids of those that are frequent: distinct pairs of neighbours."""
-    codes = np.frombuffer(tokens.column("codes")[0].as_py(), "<i4") if len(tokens) else np.zeros(0, np.int32)
+    codes = _unpacked(tokens)
     own, ids = names.column("code").to_numpy(), names.column("id").to_numpy()
     size = int(max(codes.max(initial=-1), own.max(initial=-1))) + 2
     known = np.full(size, -1, np.int64)  # the last is what -1 reads
@@ -103,11 +115,11 @@ def _pairs(tokens: pa.Table, names: pa.Table) -> pa.Table:
     k = len(pairs)
     rows = k + (k > 0)
     last = pa.array([None] * (rows - k), pa.int64())
-    with_last = lambda v: pa.concat_arrays([pa.array(v.astype(np.int64)), last])
+    with_last = lambda v, x=last: pa.concat_arrays([pa.array(v.astype(np.int64)), x])
     chunk, lang = (tokens.column(c)[0].as_py() if len(tokens) else None for c in ("chunk", "lang"))
     left, right = (ids[pairs // max(len(own), 1)], ids[pairs % max(len(own), 1)]) if k else (np.zeros(0, np.int64),) * 2
     return pa.table(
-        [pa.array(np.full(rows, chunk or 0, np.int64)), pa.array([lang] * rows, pa.string()), pa.array(np.r_[np.arange(k), np.full(rows - k, -1)].astype(np.int32)), with_last(left), with_last(right), with_last(n), pa.array([None] * k + [new.tobytes()] * (rows - k), pa.binary())],
+        [pa.array(np.full(rows, chunk or 0, np.int64)), pa.array([lang] * rows, pa.string()), pa.array(np.r_[np.arange(k), np.full(rows - k, -1)].astype(np.int32)), with_last(left), with_last(right), with_last(n, pa.array([len(new)] * (rows - k), pa.int64())), pa.array([None] * k + [_packed(new)] * (rows - k), pa.binary())],
         ["chunk", "lang", "code", "left", "right", "n", "codes"],
     )
 
@@ -126,16 +138,17 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "te
     for k in range(1, longest + 1):
         key = ["lang", "word"] if k == 1 else ["left", "right"]
         rows = state.where("code >= 0")
-        often = rows.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        # a word's row keeps the chunks that have it, each once: the word itself is shuffled and compared once
+        owners = [F.collect_list(F.struct(F.col("chunk").alias("owner"), "code")).alias("owners")] if k == 1 else []
+        often = (rows.repartition(*key) if owners else rows).groupBy(*key).agg(F.sum("n").alias("a"), *owners).where(F.col("a") >= least)
         often = stored(often.withColumn("id", F.monotonically_increasing_id() + (k << 56)), f"grams{k}")
-        grams.append(often)
+        grams.append(often.drop("owners"))
         many = often.count()
         if k == longest or not many:
             forget(state)
             break
-        row_bytes = 40 if k > 1 else 40 + int(often.agg(F.max(F.octet_length("word")) + F.max(F.octet_length("lang"))).first()[0])
-        names = rows.join(small(often.select(*key, "id"), many, row_bytes), key).select(F.col("chunk").alias("owner"), "code", "id")
-        tokens = state.where("code = -1").select("chunk", "lang", "codes")
+        names = often.select("id", F.inline("owners")) if owners else rows.join(small(often.select(*key, "id"), many, 40), key).select(F.col("chunk").alias("owner"), "code", "id")
+        tokens = state.where("code = -1").select("chunk", "lang", "n", "codes")
         new = stored(tokens.groupBy("chunk").cogroup(names.groupBy("owner")).applyInArrow(_pairs, _DICTIONARY.format("left long, right long, ")), "pairs")
         forget(state)
         state = new

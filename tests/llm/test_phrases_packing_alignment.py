@@ -75,6 +75,15 @@ def test_collocation_scores_beyond_64_bits(spark):
     assert one.first().s == 1000 * 9000000000000001 // 3
 
 
+def test_codes_are_compressed_and_words_are_not_joined(spark):
+    docs = spark.createDataFrame([("a b c d " * 5000, "en")], "text string, lang string")
+    rows = docs.select("lang", "text").mapInArrow(pair_naming._words(1 << 20, 1 << 20), pair_naming._DICTIONARY.format("word string, "))
+    one = rows.where("code = -1").toArrow()
+    assert len(one.column("codes")[0].as_py()) < 4000 and pair_naming._unpacked(one).tolist() == [0, 1, 2, 3] * 5000
+    grams, _ = pair_naming.counted(docs, 2)
+    assert {r.word: r.a for r in grams[0].collect()} == dict.fromkeys("abcd", 5000) and "owners" not in grams[0].columns
+
+
 def test_collocations_odd_rows(spark):
     assert pair_naming.collocations(empty(spark), least=2).count() == 0
     assert pair_naming.collocations(corpus(spark, [None, "", "a", "a. a"]), least=2).count() == 0
