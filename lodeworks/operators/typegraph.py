@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import looks_like_interface, simple_base
+from lodeworks.shipping import kept
 
 
 def shapes(types: DataFrame) -> DataFrame:
@@ -51,6 +52,6 @@ def around(types: DataFrame, rels: DataFrame, name: str) -> DataFrame:
 def split_by_selection(rels: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relations with both ends among the chosen names, and those that leave it."""
     c = chosen.select("name").distinct()
-    mine = rels.join(c.withColumnRenamed("name", "from"), "from", "left_semi")
+    mine = kept(rels.join(c.withColumnRenamed("name", "from"), "from", "left_semi"), "relations")  # rels are made once for both
     other = c.withColumnRenamed("name", "to")
     return mine.join(other, "to", "left_semi").select(rels.columns), mine.join(other, "to", "left_anti").select(rels.columns)
