@@ -122,7 +122,7 @@ def code_lines(source: Column) -> Column:
     zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside"))
 
     def step(a: Column, raw: Column) -> Column:
-        x = F.regexp_replace(raw, r"^\s+|\s+$", "")
+        x = F.trim(raw, F.lit(" \t\x0b\f\r"))
         opens = F.startswith(x, F.lit("/*"))
         counts = ~a["inside"] & (x != "") & ~F.startswith(x, F.lit("//")) & ~opens
         inside = F.when(a["inside"], ~F.contains(x, F.lit("*/"))).when(opens, ~F.contains(x, F.lit("*/"))).otherwise(False)
