@@ -16,7 +16,7 @@ from lodeworks.functions.embedding import HashEmbedder
 from lodeworks.functions.vectors import cosine
 from lodeworks.operators import assessment, blockmax, characterize, chunking, csharp, cycles, diagrams, history, ledger, lines, many, packages, projects, prompts, retrieval, risk, typegraph
 from lodeworks.plans import assess, ingest
-from lodeworks.shipping import kept, scratch
+from lodeworks.shipping import kept, partitions, scratch
 from lodeworks.sources import files as files_source
 from lodeworks.sources import projects as project_source
 from lodeworks.sources.snapshots import Index, TextIndex
@@ -856,6 +856,11 @@ xml AS (SELECT 'P' || k AS name, k, z, broken, sdk AND NOT broken AS sdk_style,
   CASE WHEN NOT broken THEN CASE WHEN sdk THEN 'net' || z % 9 ELSE 'v' || z % 9 || '.5' END END AS target_framework FROM k)"""
 
 
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """part's keys and sizes, dealt before files are made of them: a small table is one scan task's."""
+    return read(spark, d, "part").select("p_partkey", "p_size").repartition(partitions(spark), "p_partkey")
+
+
 def xml_files(spark: SparkSession, d: str) -> DataFrame:
     """part as project files in both dialects, some of them broken, with a source file and, beside old ones, a package list."""
     k, z = F.col("p_partkey"), F.col("p_size")
@@ -871,7 +876,7 @@ def xml_files(spark: SparkSession, d: str) -> DataFrame:
     project = F.struct(s(folder, "/P", k, ".csproj").alias("path"), s(head, "<PropertyGroup>", framework, more, "</PropertyGroup><ItemGroup>", refs, end).alias("content"))
     source = F.struct(s(folder, "/A.cs").alias("path"), F.repeat(F.lit("x\n"), z % 5).alias("content"))
     listed = F.struct(s(folder, "/packages.config").alias("path"), s('<packages><package id="Old', k % 40, '" version="', z % 3, '.1" /><package id="Bare" /></packages>').alias("content"))
-    return read(spark, d, "part").select(F.inline(F.when(sdk, F.array(project, source)).otherwise(F.array(project, source, listed))))
+    return parts(spark, d).select(F.inline(F.when(sdk, F.array(project, source)).otherwise(F.array(project, source, listed))))
 
 
 @query(f"""WITH {SQL_XML} SELECT name, kind, target_framework, sdk_style, broken, CASE WHEN broken THEN 0 ELSE 1 END::BIGINT AS source_files, CASE WHEN broken THEN 0 ELSE z % 5 END::BIGINT AS lines,
@@ -1002,7 +1007,7 @@ def csharp_files(spark: SparkSession, d: str) -> DataFrame:
     body = F.array_join(F.transform(F.sequence(F.lit(0), (z % 4).cast("int")), method), "")
     kind = F.when(k % 5 == 0, "public record").when(k % 5 == 1, "abstract class").otherwise("class")
     head = s("namespace N", k % 9, ";\n\n", F.when(k % 7 == 0, "[TestFixture]\n").otherwise(""), kind, " T", k, " : B", k % 11, "<int>, IThing\n{\n")
-    return read(spark, d, "part").select(k.alias("k"), s("src/T", k, F.when(k % 13 == 0, ".g.cs").otherwise(".cs")).alias("path"), s(head, body, "}\n").alias("content"))
+    return parts(spark, d).select(k.alias("k"), s("src/T", k, F.when(k % 13 == 0, ".g.cs").otherwise(".cs")).alias("path"), s(head, body, "}\n").alias("content"))
 
 
 SQL_CSHARP = """cs AS (SELECT p_partkey AS k, p_size % 4 + 1 AS m, list_transform(range(p_size % 4 + 1), lambda i: 1 + (p_partkey + i) % 3) AS c, p_partkey % 7 = 0 AS test FROM part)"""

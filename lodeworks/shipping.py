@@ -72,6 +72,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession) -> int:
+    """The session's shuffle partitions. Given as a number they stay: what is left to adaptive execution becomes about a
+    task for each core by the bytes, and one more waits for a round of its own where rows are slim and slow to parse."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """(path, content) by path, for a parser: one scan task of a small table may make very many files."""
+    return files.select("path", "content").repartition(partitions(files.sparkSession), "path")
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once for each Spark context, through Spark's own file server.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import read_lines_count
 from lodeworks.operators import projects as P
-from lodeworks.shipping import ship
+from lodeworks.shipping import dealt, ship
 from lodeworks.sources.files import extension
 
 PROJECT = "path string, name string, folder string, broken boolean, sdk_style boolean, target_framework string, any_framework string, refs array<string>, assemblies array<string>, use_wpf boolean, use_forms boolean, form_files boolean, output_type string, packages array<struct<id:string,version:string>>"
@@ -75,7 +75,7 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = [read_project(p, c or "") for p, c in zip(b["path"], b["content"], strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r", (?![^<]*>)", PROJECT)])
 
-    return files.select("path", "content").repartition("path").mapInPandas(run, PROJECT)  # else a small table's one scan task parses all
+    return dealt(files).mapInPandas(run, PROJECT)
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def package_refs(projects: DataFrame, configs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([r for p, c in zip(b["path"], b["content"], strict=True) for r in read_packages_config(p, c or "")], columns=["folder", "id", "version"])
 
-    listed = configs.select("path", "content").repartition("path").mapInPandas(run, "folder string, id string, version string")
+    listed = dealt(configs).mapInPandas(run, "folder string, id string, version string")
     with_file = configs.select(F.regexp_replace("path", r"/?[^/]*$", "").alias("folder")).distinct()
     old = projects.select("name", "folder").join(listed, "folder").select(F.col("name").alias("project"), "id", "version")
     new = projects.join(with_file, "folder", "left_anti").select(F.col("name").alias("project"), F.inline("packages"))

@@ -177,3 +177,29 @@ def test_files_of_one_task_are_parsed_by_several(spark):
     for made in (csharp.types(files), csharp.metrics(files)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert plan.index("MapInPandas") < plan.index("hashpartitioning(path") and made.count() == 400
+
+
+def test_files_are_parsed_in_the_sessions_partitions(spark):
+    """A number of partitions that is given stays; adaptive execution would leave about a task for each core."""
+    from lodeworks.operators import csharp
+    from lodeworks.sources import projects as source
+
+    files = spark.range(40).coalesce(1).selectExpr("concat('T', id, '.cs') AS path", "concat('class T', id, ' { }') AS content")
+    for made in (csharp.types(files), csharp.metrics(files), source.parsed(files)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
+def test_tokens_in_one_pass():
+    from lodeworks.operators import csharp
+
+    assert csharp.tokens('a$$"""x "" y""" + @"p""q" ?? \'c\' // no\n/* no') == ["a", '""', "+", '""', "??", '""']
+    assert csharp.tokens('x = """ open') == ["x", "=", '""'] and csharp.tokens(" ") == [] and csharp.tokens("#if A\nb") == ["b"]
+    assert csharp._TOKEN.groups == 3  # one findall, whose tuples tell strings from the rest
+
+
+def test_selected_relations_are_made_once(spark):
+    rels = spark.createDataFrame([("A", "B"), ("A", "C"), ("D", "A")], "from string, to string")
+    inside, out = typegraph.split_by_selection(rels, spark.createDataFrame([("A",), ("B",)], "name string"))
+    assert [tuple(r) for r in inside.collect()] == [("A", "B")] and [tuple(r) for r in out.collect()] == [("A", "C")]
+    assert inside.inputFiles() and set(inside.inputFiles()) == set(out.inputFiles())
