@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.operators.retrieval import K1, B, placed, postings, stored_stats
+from lodeworks.operators.retrieval import K1, B, placed, postings, stored_stats, summed
 from lodeworks.shipping import kept
 
 #: Chunks of a block as a power of two, where the caller names none; blocks of the first two rounds (the third reads all that are left).
@@ -108,7 +108,7 @@ class BlockIndex:
                 if not more:
                     break
                 rows, read, done = scored.join(left.select("block"), "block", "left_semi"), read + more, True
-            sums = rows.join(weights, "term").groupBy("id").agg(F.sum(part(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))).alias("score"))
+            sums = summed(rows.join(weights, "term"), part(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl")))
             found = self.spark.createDataFrame(best, result).unionByName(sums)  # no chunk is in two blocks
             best = found.orderBy(F.desc("score"), "id").limit(k).collect()
             if done:

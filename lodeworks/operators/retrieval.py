@@ -59,6 +59,13 @@ def stored_stats(chunks: DataFrame, rows: DataFrame) -> DataFrame:
     return counts.crossJoin(rows.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))).select("n", "terms", "texts").coalesce(1)  # one row
 
 
+def summed(rows: DataFrame, part: Column) -> DataFrame:
+    """(id, score): the parts of each chunk's terms, a row a term, added in the order of the terms. A plain sum adds them as
+    they come, so that equal texts may differ in the last bit and their ids no longer decide."""
+    parts = F.array_sort(F.collect_list(F.struct("term", part.alias("part"))))
+    return rows.groupBy("id").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
+
+
 def indexed_topk(index: DataFrame, stats: DataFrame, terms: list[str], k: int) -> DataFrame:
     """``bm25_topk`` from stored postings and statistics (n, avgdl): only the postings of the question's terms are read."""
     if not terms:
@@ -68,7 +75,7 @@ def indexed_topk(index: DataFrame, stats: DataFrame, terms: list[str], k: int) -
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    top = mine.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    top = summed(mine.join(F.broadcast(weights), "term"), part).orderBy(F.desc("score"), "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 

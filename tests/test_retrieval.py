@@ -219,3 +219,21 @@ def test_postings_are_dealt_without_a_sample(spark, tmp_path):
         assert at == sorted(at)
     index = TextIndex(spark, str(tmp_path / "t")).write(rows)
     assert index.postings().count() == 600 and index.stats().first().n == 300
+
+
+def test_parts_are_added_in_the_order_of_their_terms(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ: rows that come in another order must not part equal texts."""
+    from lodeworks.operators.blockmax import BlockIndex
+
+    texts = spark.createDataFrame([(i, "a b c d d d e") for i in range(40)] + [(100 + i, f"x{i} y") for i in range(400)], "id long, content string")
+    index = BlockIndex(spark, f"{tmp_path}/b").write(texts, F.floor(F.col("id") / 4))
+    # the stored postings turned round for every other text
+    found = index._table("postings").where("id < 100")
+    turned = found.where("id % 2 = 0").orderBy("id", "term").unionByName(found.where("id % 2 = 1").orderBy("id", F.desc("term"))).coalesce(1)
+    stats = spark.createDataFrame([(440, 2.5)], "n long, avgdl double")
+    top = R.indexed_topk(turned, stats, ["a", "b", "c", "d"], 24).orderBy("rank").collect()
+    assert [r.id for r in top] == list(range(24)) and len({r.score for r in top}) == 1
+    assert [r.id for r in index.ask(["d", "c", "b", "a"], 24, (2, 4)).top.orderBy("rank").collect()] == list(range(24))
+    rows = [(i, t, p) for i in range(8) for t, p in sorted(zip("abc", (0.1, 0.2, 0.3), strict=True), reverse=i % 2 == 0)]
+    one = spark.createDataFrame(rows, "id long, term string, part double").coalesce(1)
+    assert {r.score for r in R.summed(one, F.col("part")).collect()} == {0.1 + 0.2 + 0.3}
