@@ -237,3 +237,11 @@ def test_parts_are_added_in_the_order_of_their_terms(spark, tmp_path):
     rows = [(i, t, p) for i in range(8) for t, p in sorted(zip("abc", (0.1, 0.2, 0.3), strict=True), reverse=i % 2 == 0)]
     one = spark.createDataFrame(rows, "id long, term string, part double").coalesce(1)
     assert {r.score for r in R.summed(one, F.col("part")).collect()} == {0.1 + 0.2 + 0.3}
+
+
+def test_fused_places_of_equal_texts_follow_their_ids(spark):
+    """The text list of postings in any order, fused with a vector list: equal texts keep the order of their ids."""
+    posts = [(i, t, f, 7) for i in range(40) for t, f in sorted(zip("abcd", (1, 1, 1, 3), strict=True), reverse=i % 2 == 0)]
+    text = R.indexed_topk(spark.createDataFrame(posts, "id long, term string, tf long, doc_len int").coalesce(1), spark.createDataFrame([(440, 2.5)], "n long, avgdl double"), ["d", "a", "c", "b"], 24)
+    vector = spark.createDataFrame([(1000, 0.5, 1)], "id long, score double, rank int")
+    assert [r.id for r in R.fuse(vector, text).orderBy("fused_pos").collect()] == [1000, *range(24)]
