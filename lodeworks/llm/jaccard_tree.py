@@ -5,7 +5,9 @@ den * intersection >= num * union.
 
 1. One pass over the texts gives each document its set size, a digest of the set (its *node*: equal sets are one node)
    and segment keys. Hash space is cut into m segments; m is more than the largest symmetric difference that linked
-   sets of that size class can have, so linked sets agree on at least one whole segment (pigeonhole). Nodes that
+   sets of that size class can have, so linked sets agree on at least one whole segment (pigeonhole). A set gives keys
+   for its first D + 1 segments that hold something, where D is the largest difference that a set of its own size can
+   have: of those of the set that stops first one is the other's as well. Nodes that
    share a segment key form the roots of the trees; nothing else can link.
 2. The nodes of a key are a bucket. Buckets of the same least node come to one task, with their nodes' bitmaps once
    however many buckets a node is in. Each bucket is a signature tree over bitmaps: hierarchical nodes hold OR-combined
@@ -26,6 +28,7 @@ No cap, no sampling: every pair that links is found or is already connected thro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,10 @@ from lodeworks.llm.textops import mix, pieces, tidy, window_hashes, words
 
 #: Ratio of a size class's largest to its smallest set.
 CLASS_RATIO = 1.5
-#: Segments beyond the pigeonhole's need, so that empty segments need no key of their own.
+#: Segments beyond the pigeonhole's need and the empty ones that are to be expected, so that those need no key of their own.
 SPARE = 2
+#: Segments that a set gives keys for if it has so many, where fewer would do: few keys are no load.
+FEW = 8
 #: Bytes of sets in one block.
 BLOCK_BYTES = 16 << 20
 LEAF, FAN = 16, 4
@@ -70,17 +75,38 @@ def class_of(n: int) -> int:
     return int(np.floor(np.log(max(n, 1)) / np.log(CLASS_RATIO) + 1e-9))
 
 
+@lru_cache(None)
 def class_segments(c: int, num: int, den: int) -> int:
-    """Segments for pairs whose larger set is in class c: more than their symmetric difference, and SPARE more.
+    """Segments for pairs whose larger set is in class c: more than their symmetric difference, those likely to be empty
+    in the class's largest sets, and SPARE more.
 
     overlap >= num/(num+den) (a+b), so the difference is at most (den-num)/(den+num) (a+b) <= 2 (den-num)/(den+num) u.
     """
-    most = int(np.ceil(CLASS_RATIO ** (c + 1)))
-    return int(2 * (den - num) * most // (den + num)) + 1 + SPARE
+    most = largest(c)
+    need = difference(most, most, num, den) + 1
+    empty = need * np.exp(-most / need)
+    return need + SPARE + int(empty + 3 * np.sqrt(empty))
+
+
+def largest(c: int) -> int:
+    """No set of class c is larger."""
+    return int(np.ceil(CLASS_RATIO ** (c + 1)))
+
+
+def difference(a: int, b: int, num: int, den: int) -> int:
+    """The largest symmetric difference of linked sets of sizes up to a and b."""
+    return (den - num) * (a + b) // (den + num)
 
 
 def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys for the set's own class and, where a linked larger set can be in the next class, for that one."""
+    """Keys for the set's own class and, where a linked larger set can be in the next class, for that one.
+
+    A set of more than D segments that hold something gives a key for the first D + 1 of them, or FEW, in the order of
+    hash space; any other gives one for every segment, empty ones too. Of two linked sets let A be the one whose last key
+    is for the earlier segment: at most D of its D + 1 or more differ, so B holds the same in one of them, and B has a key for
+    all of its segments up to there. Two sets with all keys agree on at least one of the m > D segments. Were empty
+    segments given keys as a rule, all sets of a class with the same one empty would meet, and their pairs grow with the square.
+    """
     n = len(s)
     if not n:
         return np.zeros(0, np.int64)
@@ -94,10 +120,9 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
             seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             at = np.searchsorted(seg, np.arange(m + 1, dtype=np.uint64))
             total = mixed[at[1:]] - mixed[at[:-1]]
-            full = at[1:] > at[:-1]
-            if (~full).sum() <= SPARE:
-                keep = np.flatnonzero(full)
-            else:
+            need = difference(n, min(largest(c), n * den // num), num, den) + 1
+            keep = np.flatnonzero(at[1:] > at[:-1])[: max(need, FEW)]
+            if len(keep) < need:
                 keep = np.arange(m)
             tag = np.uint64(c * 0x9E3779B1 + 1) + keep.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             out.append(mix(total[keep] + mix(tag)))

@@ -168,6 +168,30 @@ def test_keep_one_with_repeated_keys_and_clashing_names(spark):
     assert {(r.ID, r.h, r["a.b"]) for r in got.collect()} == {("own", 1, 2)}
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (1, 2)])
+def test_linked_sets_share_a_key(num, den):
+    """Pairs with as small an overlap as links allow, of even and uneven sizes, meet under a key."""
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        n = int(rng.integers(1, rng.choice((12, 80, 900))))
+        out = int(rng.integers(0, n * (den - num) // den + 1))  # gone from the one set
+        more = (den * (n - out) - num * n) // num  # and come to the other
+        pool = rng.integers(0, 1 << 64, n + more, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[out:])
+        both = len(np.intersect1d(a, b))
+        assert den * both >= num * (len(a) + len(b) - both)
+        assert np.intersect1d(jaccard_tree.segment_keys(a, num, den), jaccard_tree.segment_keys(b, num, den)).size, (n, out, more)
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
+def test_unlike_sets_of_a_class_do_not_meet_by_empty_segments(num, den):
+    """Sets without a common shingle share no key, so what is compared does not grow with the square of the documents."""
+    rng = np.random.default_rng(6)
+    for low, high in ((100, 150), (580, 740), (5000, 7500)):
+        keys = np.concatenate([jaccard_tree.segment_keys(np.unique(rng.integers(0, 1 << 64, rng.integers(low, high), dtype=np.uint64)), num, den) for _ in range(200)])
+        assert len(keys) == len(np.unique(keys)), low
+
+
 def test_buckets_of_even_copies_stay_apart(spark):
     """Buckets {L, H, Z} with Z twice: L and H hold the extreme digests, and each Z meets L in its own bucket only."""
     k, num, den = 3, 90, 100
