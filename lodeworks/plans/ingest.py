@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions.embedding import Embedder, HashEmbedder, embed
 from lodeworks.functions.text import content_hash, embedding_text, is_generated
 from lodeworks.operators import chunking, ledger
-from lodeworks.shipping import ship
+from lodeworks.shipping import discard, scratch, ship, shuffles_freed
 from lodeworks.sources.files import files
 from lodeworks.sources.snapshots import Index
 
@@ -44,14 +44,19 @@ def ingest_files(found: DataFrame, index: Index, embedder: Embedder | None = Non
     for b in range(batches):
         mine = F.pmod(F.xxhash64("path"), F.lit(batches)) == b
         fresh = states.where(F.col("status").isin("new", "changed") & mine)
-        todo = now.join(fresh.select("path"), "path", "left_semi")
-        new = chunking.chunks(todo).withColumn("embedding", embed(embedding_text(F.col("file_path"), F.col("content")), embedder)).persist()
+        # where all files are new or changed, their texts need no shuffle to be told
+        todo = now.join(fresh.select("path"), "path", "left_semi") if n.get("unchanged") else now.where(F.col("path").isNotNull() & mine)
+        cut = chunking.chunks(todo).withColumn("embedding", embed(embedding_text(F.col("file_path"), F.col("content")), embedder))
+        place = scratch(spark, "cut")
+        with shuffles_freed(spark):
+            cut.write.parquet(place)
+        new = spark.read.schema(cut.schema).parquet(place)
         gone = states.where((F.col("status").isin("new", "changed") & mine) | ((F.col("status") == "vanished") & F.lit(b == 0))).select("path")
         per_file = new.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         done = fresh.select("path", "content_hash").join(per_file, "path", "left").select("path", "content_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
         made += new.count()
         index.replace(gone, new, done)
-        new.unpersist()
+        discard(spark, place)
     states.unpersist()
     return IngestResult(read, made, int((time.time() - began) * 1000))
 

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from py4j.protocol import Py4JError
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB.
 BATCH_BYTES = 8 << 20
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 
@@ -72,6 +74,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """A query's shuffle files go when it is done; otherwise they stay until the driver's heap is collected, which may be
+    long after the disk is full."""
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions. Given as a number they stay: what is left to adaptive execution becomes about a
     task for each core by the bytes, and one more waits for a round of its own where rows are slim and slow to parse."""

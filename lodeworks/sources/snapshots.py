@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from lodeworks.functions.text import index_terms
 from lodeworks.operators.retrieval import placed, postings, stored_stats
+from lodeworks.shipping import shuffles_freed
 
 CHUNKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 LEDGER = T.StructType([T.StructField("path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("chunk_count", T.IntegerType()), T.StructField("indexed_at", T.TimestampType())])
@@ -28,10 +29,25 @@ POSTINGS = T.StructType([T.StructField("id", T.StringType()), T.StructField("ter
 SCHEMAS, PATHS = {"chunks": CHUNKS, "ledger": LEDGER, "postings": POSTINGS}, {"chunks": "file_path", "ledger": "path"}
 #: Segments of a size class that are merged into one; commits that the pointer file remembers; bytes of vectors that are broadcast.
 FAN, LOG, VECTOR_BYTES = 4, 64, 48 << 20
+#: Bits of a row's number within its file (monotonically_increasing_id); terms whose postings are shuffled at once.
+FILE_BITS, SLICE_TERMS = 33, 1 << 27
 ROW_GROUPS = {"parquet.block.size": 8 << 20}
 DELETES = "vector string, segment string, word long, bits long, rows long, terms long, texts long"
 
 
+def slices(terms: list[tuple[int, int]], most: int = 0) -> list[tuple[int, int]]:
+    """(first, last) of runs of files, given as (file, terms) in order, with ``most`` (SLICE_TERMS) terms each, or one file."""
+    out: list[tuple[int, int]] = []
+    size = 0
+    for file, n in terms:
+        if out and size + n <= (most or SLICE_TERMS):
+            out[-1], size = (out[-1][0], file), size + n
+        else:
+            out.append((file, file))
+            size = n
+    return out
+
+
 class TextIndex:
     """Postings and corpus statistics of chunks, as Parquet tables in one or more folders.
 
@@ -115,19 +131,23 @@ class Index:
         return self._live(name, self._current()).select(SCHEMAS[name].names)
 
     def _write(self, segment: str, chunks: DataFrame, ledger: DataFrame) -> dict:
-        """Write a segment; what it holds."""
+        """Write a segment; what it holds. Postings are many times their texts on the way through a shuffle, so they are
+        made and placed a slice of the files after another, and a slice's shuffle goes with it."""
         at = {t: f"{self.folder}/{t}/segment={segment}" for t in SCHEMAS}
         terms = F.when(F.col("content").isNotNull(), F.size(index_terms(F.col("content")))).cast("int")
         # terms are counted behind the exchange, as the sample of its ranges makes all that lies before it once more
         for table, rows, more, order in (("chunks", chunks.select(CHUNKS.names), [terms.alias("terms")], ["file_path", "start_line", "id"]), ("ledger", ledger.select(LEDGER.names), [], ["path"])):
             rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", *more, F.monotonically_increasing_id().alias("doc")).write.parquet(at[table])
         new = self.spark.read.schema(T.StructType([*CHUNKS.fields, T.StructField("terms", T.IntegerType()), T.StructField("doc", T.LongType())])).parquet(at["chunks"])
-        n = new.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"), F.count("terms").alias("texts")).first()
+        by_file = new.groupBy(F.shiftright("doc", FILE_BITS).alias("file")).agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"), F.count("terms").alias("texts"))
+        held = by_file.orderBy("file").collect()  # a row a file
         entries = self.spark.read.schema(LEDGER).parquet(at["ledger"]).count()
-        if n.chunks:
-            rows = postings(new.select("id", "content", "doc"), keep=["doc"]).select(*POSTINGS.names, "doc")
-            placed(rows, at["postings"], ["term", "id"], [], **ROW_GROUPS)
-        return {"chunks": n.chunks, "ledger": entries, "terms": n.terms, "texts": n.texts, "dead_chunks": 0, "dead_ledger": 0, "dead_terms": 0, "dead_texts": 0}
+        for first, last in slices([(r.file, r.terms) for r in held]):
+            some = new.where((F.col("doc") >= first << FILE_BITS) & (F.col("doc") < (last + 1) << FILE_BITS))
+            rows = postings(some.select("id", "content", "doc"), keep=["doc"]).select(*POSTINGS.names, "doc")
+            placed(rows, at["postings"], ["term", "id"], [], "append", **ROW_GROUPS)
+        n = {c: sum(r[c] for r in held) for c in ("chunks", "terms", "texts")}
+        return {"chunks": n["chunks"], "ledger": entries, "terms": n["terms"], "texts": n["texts"], "dead_chunks": 0, "dead_ledger": 0, "dead_terms": 0, "dead_texts": 0}
 
     def _delete(self, name: str, current: dict, gone: DataFrame) -> dict | None:
         """Write the vectors of the rows of some paths (path) and count them with their segments; None for none.
@@ -175,6 +195,10 @@ class Index:
         What is written is the new rows, their postings and the bits of those that go. A writer that finds another
         version in force than the one it began from gives up with an error, as it would undo the other's work.
         """
+        with shuffles_freed(self.spark):
+            return self._replace(gone, chunks, ledger)
+
+    def _replace(self, gone: DataFrame, chunks: DataFrame, ledger: DataFrame) -> int:
         current = self._current()
         before, new = current["version"], current["version"] + 1
         name = f"{new}-{uuid.uuid4().hex[:12]}"

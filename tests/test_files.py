@@ -353,3 +353,32 @@ def test_embedding_hashes_a_word_once(monkeypatch):
     assert len(hashed) == 12
     monkeypatch.setattr(embedding, "KNOWN_WORDS", 2, raising=False)
     assert np.array_equal(HashEmbedder(16).embed(texts), want)
+
+
+def test_a_commit_leaves_no_shuffles_and_places_postings_by_slices(spark, tmp_path, monkeypatch):
+    """Shuffle files go with their query and no more than a slice's postings are shuffled at once; the index is the same."""
+    from lodeworks.sources import snapshots
+
+    assert snapshots.slices([(0, 5), (1, 5), (2, 1), (3, 20), (5, 9), (6, 0)], 10) == [(0, 1), (2, 2), (3, 3), (5, 6)]
+    assert snapshots.slices([]) == []
+    made = []
+    real = snapshots.placed
+
+    def noted(rows, *args, **options):
+        made.append(rows.agg(F.sum("tf")).first()[0])
+        return real(rows, *args, **options)
+
+    monkeypatch.setattr(snapshots, "placed", noted)
+    monkeypatch.setattr(snapshots, "SLICE_TERMS", 300)
+    files = spark.createDataFrame([(f"d/f{i}.py", "\n".join(f"w{j} all v{i}" for j in range(40))) for i in range(24)], "path string, content string").repartition(4)
+    index = Index(spark, f"{tmp_path}/index")
+    kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # more than one small file
+    ingest.ingest_files(files, index, HashEmbedder(4))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.conf.get(kept) == before
+    assert len(made) > 1 and sum(made) == 24 * 120
+    text = index.text()
+    assert tuple(text.stats().first()) == (24, 120.0) and text.postings().where("term = 'all'").agg(F.count(F.lit(1)), F.sum("tf")).first()[:] == (24, 960)
+    assert text.postings().where("term = 'v7'").select("id", "tf").collect() == [("d/f7.py#1", 40)]
