@@ -382,3 +382,40 @@ def test_a_commit_leaves_no_shuffles_and_places_postings_by_slices(spark, tmp_pa
     text = index.text()
     assert tuple(text.stats().first()) == (24, 120.0) and text.postings().where("term = 'all'").agg(F.count(F.lit(1)), F.sum("tf")).first()[:] == (24, 960)
     assert text.postings().where("term = 'v7'").select("id", "tf").collect() == [("d/f7.py#1", 40)]
+
+
+def test_followed_contents_are_kept_once(spark, tmp_path, monkeypatch):
+    """A batch's contents are read, judged and hashed once: what is new is kept by path and hash, and none is shuffled
+    where all that is listed has changed; files that only were touched stay."""
+    import os
+
+    from lodeworks.streaming import ingest as streaming
+
+    tables = []
+    real = streaming.kept
+
+    def noted(df, name):
+        tables.append((name, df.columns))
+        return real(df, name)
+
+    monkeypatch.setattr(streaming, "kept", noted)
+    root = tmp_path / "tree"
+    root.mkdir()
+    for i in range(3):
+        (root / f"f{i}.py").write_text(f"x = {i}\n")
+    (root / "g.py").write_text("# auto-generated\n")
+    run = lambda: streaming.follow(spark, str(root), f"{tmp_path}/index", f"{tmp_path}/checkpoint", HashEmbedder(4)).awaitTermination()
+    run()
+    assert [c for n, c in tables if n == "new"] == [["path", "content_hash"]]
+    assert sum("content" in c and n != "cut" for n, c in tables) == 1
+    first = {r.path: r.indexed_at for r in Index(spark, f"{tmp_path}/index").table("ledger").collect()}
+    assert sorted(first) == ["f0.py", "f1.py", "f2.py"]
+    os.utime(root / "f0.py", (1, 1))  # touched
+    (root / "f1.py").write_text("x = 11\n")
+    (root / "f2.py").write_text("# auto-generated\n")
+    (root / "g.py").write_text("y = 1\n")
+    run()
+    index = Index(spark, f"{tmp_path}/index")
+    then = {r.path: r.indexed_at for r in index.table("ledger").collect()}
+    assert sorted(then) == ["f0.py", "f1.py", "g.py"] and then["f0.py"] == first["f0.py"] and then["f1.py"] > first["f1.py"]
+    assert sorted(r.content for r in index.table("chunks").collect()) == ["x = 0\n", "x = 11\n", "y = 1\n"]
